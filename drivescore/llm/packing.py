@@ -16,6 +16,7 @@ from __future__ import annotations
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -27,32 +28,58 @@ from .common import before, bucket_count, staged
 
 CAPACITY = 4096
 END_ID = 1
-CACHED_WORDS = 250_000
+CACHED_WORDS = 450_000
 
 
 class WordEncoder:
-    """Token ids of texts as little-endian unsigned 32-bit bytes, word by word through a bounded cache.
+    """Token ids of texts as little-endian unsigned 32-bit bytes, word by word through bounded caches.
 
     The tokenizer never joins characters across a space or line feed: its pre-tokenizer drops white
     space. So ids of a text are the ids of its parts between those characters, one after another.
+    In the same way one comma or full stop after a letter and at the end of a part is a pre-token
+    of its own, and ASCII letters are put in lower case; so parts that differ in those share an entry.
     """
 
     def __init__(self, path: str, limit: int = CACHED_WORDS):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.limit, self.known = Tokenizer.from_file(path), limit, {}
+        self.tokenizer, self.limit = Tokenizer.from_file(path), limit
+        self.known: dict[str, bytes] = {}
+        self.cores: dict[str, bytes] = {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.closes = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.closes[[k for t, k in vocabulary.items() if t.endswith("</w>")]] = True
+        self.tails = {c: self._one(c) for c in ",."} | {"": b""}
 
-    def learn(self, words: list[str]) -> None:
+    def _one(self, word: str) -> bytes:
+        return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _letters(self, words: list[str]) -> None:
+        """Learn words of letters alone: each is one pre-token, whose last id closes a word."""
         for k in range(0, len(words), 1024):
             some = words[k : k + 1024]
-            got = self.tokenizer.encode(some, is_pretokenized=True, add_special_tokens=False)
-            if None in got.word_ids:  # ids of special tokens belong to no word
-                for w in some:
-                    self.known[w] = np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, "<u4").tobytes()
-                continue
-            ids = np.array(got.ids, "<u4").tobytes()
-            ends = (np.searchsorted(np.array(got.word_ids, np.int64), np.arange(len(some)), "right") * 4).tolist()
-            self.known.update(zip(some, map(ids.__getitem__, map(slice, [0, *ends], ends)), strict=False))
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
+            ends = ((np.flatnonzero(self.closes[ids]) + 1) * 4).tolist()
+            if len(ends) == len(some):
+                self.cores.update(zip(some, map(ids.tobytes().__getitem__, map(slice, [0, *ends], ends)), strict=False))
+            else:
+                self.cores.update((w, self._one(w)) for w in some)
+
+    def learn(self, words: list[str]) -> None:
+        parts = []
+        for w in words:
+            tail = w[-1] if w[-1:] in self.tails and w[-2:-1].isalpha() else ""
+            c = w[:-1] if tail else w
+            if c.isalpha():
+                parts.append((w, c.lower() if c.isascii() else c, tail))
+            else:
+                self.known[w] = self._one(w) if w else b""
+        fresh = {c for _, c, _ in parts}.difference(self.cores)
+        if fresh and len(self.cores) + len(fresh) > self.limit:
+            self.cores.clear()
+            fresh = {c for _, c, _ in parts}
+        self._letters(sorted(fresh))
+        self.known.update((w, self.cores[c] + self.tails[tail] if tail else self.cores[c]) for w, c, tail in parts)
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         """The ids of each text; texts that together have few words share one look at the cache."""
@@ -82,11 +109,17 @@ class WordEncoder:
             yield b"".join(map(self.known.__getitem__, words))
 
 
+@lru_cache(maxsize=1)
+def word_encoder(path: str) -> WordEncoder:
+    """One for each Python worker: its caches serve all tasks that the worker runs."""
+    return WordEncoder(path)
+
+
 def tokenized_pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY) -> DataFrame:
     """Pieces of every document: id, piece, start, length, ids_crc32."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordEncoder(tokenizer)
+        encoder = word_encoder(tokenizer)
         end, step = np.array([END_ID], "<u4").tobytes(), capacity * 4
         for b in batches:
             at, piece, start, length, crc = [], [], [], [], []
