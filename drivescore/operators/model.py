@@ -95,7 +95,7 @@ def fit_booster(x: np.ndarray, y: np.ndarray, x_test: np.ndarray, y_test: np.nda
 def train_ensemble(df: DataFrame, keys: list[str], features: list[str], row_id: str, label: str = "label", role: str = "role", rounds: int = 200, rate: float = 0.1, patience: int = 20, depth: int = 4) -> DataFrame:
     """Node rows of one booster per key (keys include the split). Groups without both labels in train give none."""
 
-    def fit(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def fit(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(row_id)
         train, test = pdf[pdf[role] == "train"], pdf[pdf[role] == "test"]
         out = []
@@ -127,7 +127,7 @@ def score_members(df: DataFrame, nodes: DataFrame, keys: list[str], features: li
     key over so many tasks, each with the key's nodes.
     """
 
-    def score(key, rows: pd.DataFrame, trees: pd.DataFrame) -> pd.DataFrame:
+    def score(key: tuple, rows: pd.DataFrame, trees: pd.DataFrame) -> pd.DataFrame:
         x, out = rows[features].to_numpy(float), []
         for name, own in trees.groupby(member, sort=True) if member else [(None, trees)]:
             if len(own) and len(rows):
@@ -185,7 +185,7 @@ def tree_shapley(nodes: np.ndarray, x: np.ndarray, out: np.ndarray) -> float:
 def tree_attribution(df: DataFrame, nodes: DataFrame, keys: list[str], features: list[str], row_id: str) -> DataFrame:
     """(keys, row id, attr_<feature> ..., base, margin): additive attribution of each row's margin under its model."""
 
-    def explain(key, rows: pd.DataFrame, trees: pd.DataFrame) -> pd.DataFrame:
+    def explain(key: tuple, rows: pd.DataFrame, trees: pd.DataFrame) -> pd.DataFrame:
         names = [*keys, row_id, *[f"attr_{f}" for f in features], "base", "margin"]
         if not len(rows) or not len(trees):
             return pd.DataFrame(columns=names)
