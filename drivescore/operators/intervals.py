@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BIN = 4096
+BIN = 256
 
 
 def in_bins(intervals: DataFrame, lo: str, hi: str, width: int = BIN) -> DataFrame:

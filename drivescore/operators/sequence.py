@@ -43,17 +43,19 @@ def cumulative_weights(df: DataFrame, weight: str, keys: list[str], order: list[
     return out.withColumn("cum_lo", F.lag("cum_hi", 1, 0.0).over(group.orderBy(*order))).drop("_w")
 
 
-def weighted_draw(candidates: DataFrame, counts: DataFrame, weight: str, keys: list[str], order: list[str], seed: int = 1, per_row: int = 50, cells: int = 64) -> DataFrame:
+def weighted_draw(candidates: DataFrame, counts: DataFrame, weight: str, keys: list[str], order: list[str], seed: int = 1, per_row: int = 50, cells: int = 1024, per: tuple[str, ...] = ()) -> DataFrame:
     """Draw ``per_row`` times each key's count rows with replacement, in proportion to the weight.
 
-    Draws are numbered from 1; draw d of a key takes the row whose cumulative range holds u * total, where u
-    is the hash uniform of (key, d, seed). Draws and ranges meet in cells of u, so a key's candidates are not
-    compared with all its draws.
+    ``counts`` has the keys, n and the columns ``per``: the draws of each (per, key) come from the one table of
+    the key. Draws are numbered from 1; draw d takes the row whose cumulative range holds u * total, where u is
+    the hash uniform of (per, key, d, seed). Draws and ranges meet in cells of u, so that a key's candidates are
+    not compared with all its draws and a frequent key is dealt over its cells.
     """
     table = cumulative_weights(candidates, weight, keys, order).filter("cum_hi > cum_lo")
     table = table.withColumn("_cell", F.explode(F.sequence(F.floor(F.col("cum_lo") / F.col("total") * cells), F.least(F.lit(cells), F.floor(F.col("cum_hi") / F.col("total") * cells)))))
-    draws = counts.filter("n > 0").select(*keys, F.explode(F.sequence(F.lit(1), (F.col("n") * per_row).cast("int"))).alias("draw"))
-    draws = draws.withColumn("u", hash_uniform(*[F.col(k) for k in keys], F.col("draw"), F.lit(seed)))
+    names = [*per, *keys]
+    draws = counts.filter("n > 0").select(*names, F.explode(F.sequence(F.lit(1), (F.col("n") * per_row).cast("int"))).alias("draw"))
+    draws = draws.withColumn("u", hash_uniform(*[F.col(k) for k in names], F.col("draw"), F.lit(seed)))
     draws = draws.withColumn("_cell", F.floor(F.col("u") * cells))
     x = F.col("u") * F.col("total")
     return draws.join(table, [*keys, "_cell"]).filter((F.col("cum_lo") <= x) & (x < F.col("cum_hi"))).drop("_cell", "cum_lo", "cum_hi", "total")

@@ -59,8 +59,8 @@ def build_training_table(t: dict[str, DataFrame], per_row: int = 50, threshold:
     muts = filter_by_excess(muts, t["estimates"], threshold)
     positives = region_overlap_outer(to_half_open(muts), t["regions"]).select("ttype", "gene", "chr", "pos", "ref", "alt")
     counts = positives.groupBy("ttype", "gene").agg(F.count("*").alias("n"))
-    candidates = t["candidates"].join(counts.select("ttype", "gene"), "gene")
-    negatives = weighted_draw(candidates, counts, "rate", ["ttype", "gene"], ["chr", "pos", "alt"], seed, per_row).select("ttype", "gene", "chr", "pos", "ref", "alt")
+    candidates = t["candidates"].join(counts.select("gene").distinct(), "gene", "left_semi")
+    negatives = weighted_draw(candidates, counts, "rate", ["gene"], ["chr", "pos", "alt"], seed, per_row, per=("ttype",)).select("ttype", "gene", "chr", "pos", "ref", "alt")
     rows = union_labelled(positives, negatives).withColumn("chr", normalize_chrom(F.col("chr")))
     return rectify(drop_synonymous_positives(one_hot_consequence(add_features(rows, t), "csqn_type")))
 
