@@ -110,6 +110,23 @@ def train_ensemble(df: DataFrame, keys: list[str], features: list[str], row_id:
     return df.select(*keys, row_id, role, label, *[F.col(f).cast("double").alias(f) for f in features]).groupBy(*keys).applyInPandas(fit, f"{kinds}, {NODE_COLUMNS}")
 
 
+def learning_curves(df: DataFrame, keys: list[str], features: list[str], row_id: str, label: str = "label", role: str = "role", rounds: int = 200, rate: float = 0.1, patience: int = 20, depth: int = 4) -> DataFrame:
+    """(keys, round, logloss): test log loss after each round of a key's booster, up to its best round."""
+
+    def fit(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(row_id)
+        train, test = pdf[pdf[role] == "train"], pdf[pdf[role] == "test"]
+        out = []
+        if train[label].nunique() == 2:
+            x, t = train[features].to_numpy(float), test[features].to_numpy(float)
+            trees, _, curve = fit_booster(x, train[label].to_numpy(float), t, test[label].to_numpy(float), rounds, rate, patience, depth)
+            out = [(*key, k, loss) for k, loss in enumerate(curve[: len(trees)])]
+        return pd.DataFrame(out, columns=[*keys, "round", "logloss"])
+
+    kinds = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)
+    return df.select(*keys, row_id, role, label, *[F.col(f).cast("double").alias(f) for f in features]).groupBy(*keys).applyInPandas(fit, f"{kinds}, round int, logloss double")
+
+
 def failed_groups(df: DataFrame, nodes: DataFrame, keys: list[str]) -> DataFrame:
     """Keys that gave no model."""
     return df.select(*keys).distinct().join(nodes.select(*keys).distinct(), keys, "left_anti")

@@ -9,8 +9,8 @@ from drivescore.functions.variants import CLASSES, FEATURES, classify_consequenc
 from drivescore.operators.clusters import filter_by_excess, filter_driver_snvs
 from drivescore.operators.intervals import domain_membership, interval_membership, region_overlap_outer, signal_at_point
 from drivescore.operators.lookups import annotate_variant, anti_join_mnv, flag_vector_lookup, point_membership
-from drivescore.operators.metrics import consensus
-from drivescore.operators.model import score_members, select_model
+from drivescore.operators.metrics import consensus, mean_train_size
+from drivescore.operators.model import failed_groups, score_members, select_model, train_ensemble
 from drivescore.operators.sequence import weighted_draw
 
 
@@ -75,6 +75,16 @@ def select_features(df: DataFrame, keep: tuple[str, ...] = (), response: str = "
     return df.select(*keep, *[f for f in FEATURES if f in df.columns], F.col(response).alias("label"))
 
 
+def train_models(splits: DataFrame, keys: list[str], features: list[str], row_id: str, least: int = 30, **options) -> tuple[DataFrame, DataFrame]:
+    """Node rows of the members of all keys whose mean training size reaches ``least``; and the keys without a model.
+
+    ``splits`` has the keys, split, role, label, row id and features.
+    """
+    enough = mean_train_size(splits, keys, least).select(*keys)
+    nodes = train_ensemble(splits.join(enough, keys, "left_semi"), [*keys, "split"], features, row_id, **options)
+    return nodes, failed_groups(splits, nodes, keys)
+
+
 def predict_saturation(rows: DataFrame, nodes: DataFrame, selection: DataFrame, features: list[str], row_id: str, root: str | None = None) -> DataFrame:
     """(ttype, gene, row id, selected_ttype, score, class): members' consensus of the chosen model of each gene."""
     chosen = select_model(rows.select("ttype", "gene").distinct(), selection, root)

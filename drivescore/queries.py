@@ -961,9 +961,7 @@ def model_rows(t) -> DataFrame:
 
 
 def trained(t) -> tuple[DataFrame, DataFrame]:
-    rows = model_rows(t)
-    cut = splits.balanced_splits(rows.withColumn("label", 1 - F.col("label")), ["ttype", "gene"], "id", n_splits=4).withColumn("label", 1 - F.col("label"))
-    long = cut.join(rows.drop("label"), ["ttype", "gene", "id"])
+    long = split_rows(t)
     path = scratch(t.spark, "nodes")
     model.train_ensemble(long, ["ttype", "gene", "split"], MODEL_FEATURES, "id", rounds=30, patience=5).write.parquet(path)
     return long, t.spark.read.parquet(path)
@@ -974,6 +972,22 @@ def _(t):
     return trained(t)[1]
 
 
+def split_rows(t) -> DataFrame:
+    rows = model_rows(t)
+    cut = splits.balanced_splits(rows.withColumn("label", 1 - F.col("label")), ["ttype", "gene"], "id", n_splits=4).withColumn("label", 1 - F.col("label"))
+    return cut.join(rows.drop("label"), ["ttype", "gene", "id"])
+
+
+@query("train_models")
+def _(t):
+    return training.train_models(split_rows(t), ["ttype", "gene"], MODEL_FEATURES, "id", least=10, rounds=20, patience=5)[0]
+
+
+@query("learning_curves")
+def _(t):
+    return model.learning_curves(split_rows(t), ["ttype", "gene", "split"], MODEL_FEATURES, "id", rounds=30, patience=5)
+
+
 @query("score_members")
 def _(t):
     long, nodes = trained(t)
