@@ -41,11 +41,36 @@ def binary_metrics(df: DataFrame, keys: list[str], label: str = "label", p: str
     )
 
 
+def _before(by: DataFrame, keys: list[str], p: str, values: list[str], descending: bool = False) -> DataFrame:
+    """Add _before_<value>: its sum over the rows of the keys whose score comes before the row's own.
+
+    ``by`` has one row per distinct score. Scores go to buckets of a monotone function; whole buckets are summed
+    first and a row adds its own bucket's part, so that a key with most of the rows is dealt over its buckets.
+    """
+    rows = by.withColumn("_bucket", F.floor(F.asinh(F.col(p).cast("double") * 1e6) * 50))
+
+    def up(c: str) -> Column:
+        return F.desc(c) if descending else F.asc(c)
+
+    def so_far(w, c: str) -> Column:
+        return F.coalesce(F.sum(c).over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+
+    sums = rows.groupBy(*keys, "_bucket").agg(*[F.sum(v).alias(v) for v in values])
+    over = W.partitionBy(*keys).orderBy(up("_bucket"))
+    bases = sums.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_bucket").alias("_b"), *[so_far(over, v).alias(f"_base_{v}") for v in values])
+    same = F.col("_bucket").eqNullSafe(F.col("_b"))
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    within = W.partitionBy(*keys, "_bucket").orderBy(up(p))
+    out = rows.withColumns({f"_own_{v}": so_far(within, v) for v in values}).join(bases, same)
+    out = out.withColumns({f"_before_{v}": F.col(f"_own_{v}") + F.col(f"_base_{v}") for v in values})
+    return out.select(*by.columns, *[f"_before_{v}" for v in values])
+
+
 def roc_auc(df: DataFrame, keys: list[str], label: str = "label", p: str = "p") -> DataFrame:
     """Area under the ROC curve by mid-ranks; NULL with one class. Equal scores meet in one row before any window."""
     by = df.groupBy(*keys, p).agg(F.count("*").alias("_n"), F.sum(label).alias("_pos"))
-    below = F.coalesce(F.sum("_n").over(W.partitionBy(*keys).orderBy(p).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    ranked = by.withColumn("_mid", below + (F.col("_n") + 1) / 2)
+    ranked = _before(by, keys, p, ["_n"]).withColumn("_mid", F.col("_before__n") + (F.col("_n") + 1) / 2)
     g = ranked.groupBy(*keys).agg(F.sum(F.col("_mid") * F.col("_pos")).alias("_s"), F.sum("_pos").alias("_p1"), F.sum(F.col("_n") - F.col("_pos")).alias("_p0"))
     return g.select(*keys, F.try_divide(F.col("_s") - F.col("_p1") * (F.col("_p1") + 1) / 2, (F.col("_p1") * F.col("_p0")).cast("double")).alias("auc"))
 
@@ -66,10 +91,13 @@ def deviance(df: DataFrame, keys: list[str], label: str = "label", p: str = "p")
 
 def _cumulated(df: DataFrame, keys: list[str], label: str, p: str) -> DataFrame:
     """One row per distinct score: positives and negatives at or above it, and the totals."""
-    by = df.groupBy(*keys, p).agg(F.sum(label).alias("_pos"), F.count("*").alias("_n"))
-    upto = W.partitionBy(*keys).orderBy(F.desc(p)).rowsBetween(W.unboundedPreceding, 0)
-    every = W.partitionBy(*keys)
-    return by.select(*keys, p, F.sum("_pos").over(upto).alias("_tp"), F.sum(F.col("_n") - F.col("_pos")).over(upto).alias("_fp"), F.sum("_pos").over(every).alias("_p1"), F.sum(F.col("_n") - F.col("_pos")).over(every).alias("_p0"))
+    by = df.groupBy(*keys, p).agg(F.sum(label).alias("_pos"), F.count("*").alias("_n")).withColumn("_neg", F.col("_n") - F.col("_pos"))
+    totals = by.groupBy(*[F.col(k).alias(f"_t_{k}") for k in keys]).agg(F.sum("_pos").alias("_p1"), F.sum("_neg").alias("_p0"))
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_t_{k}"))
+    upto = _before(by, keys, p, ["_pos", "_neg"], descending=True).join(totals, same)
+    return upto.select(*keys, p, (F.col("_before__pos") + F.col("_pos")).alias("_tp"), (F.col("_before__neg") + F.col("_neg")).alias("_fp"), "_pos", "_neg", "_p1", "_p0")
 
 
 def roc_points(df: DataFrame, keys: list[str], label: str = "label", p: str = "p") -> DataFrame:
@@ -86,9 +114,12 @@ def pr_curve(df: DataFrame, keys: list[str], label: str = "label", p: str = "p")
 
 def pr_auc(df: DataFrame, keys: list[str], label: str = "label", p: str = "p") -> DataFrame:
     """Trapezoid area under the precision-recall curve, which begins at recall 0 with precision 1."""
-    w = W.partitionBy(*keys).orderBy(F.desc("threshold"))
-    c = pr_curve(df, keys, label, p).withColumn("_r", F.lag("recall", 1, 0.0).over(w)).withColumn("_p", F.lag("precision", 1, 1.0).over(w))
-    return c.groupBy(*keys).agg(F.sum((F.col("recall") - F.col("_r")) * (F.col("precision") + F.col("_p")) / 2).alias("pr_auc"))
+    c = _cumulated(df, keys, label, p)
+    # The point before is what the counts were without the row's own score.
+    tp, fp, tp0, fp0 = (x.cast("double") for x in (F.col("_tp"), F.col("_fp"), F.col("_tp") - F.col("_pos"), F.col("_fp") - F.col("_neg")))
+    step = F.try_divide(F.col("_pos").cast("double"), F.col("_p1"))
+    height = tp / (tp + fp) + F.coalesce(F.try_divide(tp0, tp0 + fp0), F.lit(1.0))
+    return c.groupBy(*keys).agg(F.sum(step * height / 2).alias("pr_auc"))
 
 
 def pr_benchmark(df: DataFrame, keys: list[str], label: str, score: str, row_id: str, least_positives: int = 20, balance: bool = True, seed: int = 1) -> DataFrame:
