@@ -11,8 +11,8 @@ from drivescore.functions.variants import normalize_chrom
 
 # Fixed names: the columns of a variant annotation table, in order.
 VEP_COLUMNS = [
-    "CHR", "POS", "REF", "ALT", "GENE", "FEATURE", "FEATURE_TYPE", "CONSEQUENCE", "CDNA_POSITION", "CDS_POSITION", "PROTEIN_POSITION", "AMINO_ACIDS", "CODONS",
-    "EXISTING_VARIATION", "IMPACT", "DISTANCE", "STRAND", "FLAGS", "SYMBOL", "SYMBOL_SOURCE", "HGNC_ID", "CANONICAL", "MANE_SELECT", "MANE_PLUS_CLINICAL", "ENSP", "EXON", "INTRON",
+    "CHR", "POS", "REF", "ALT", "GENE", "ENST", "TYPE", "CNSQ", "cDNA_POS", "CDS_POS", "PROT_POS", "AA", "CODONS", "EXISTING_VARIATION", "IMPACT", "DISTANCE", "STRAND", "FLAGS", "SYMBOL",
+    "SYMBOL_SOURCE", "HGNC_ID", "CANONICAL", "MANE_SELECT", "MANE_PLUS_CLINICAL", "ENSP", "EXON", "INTRON",
 ]
 # Fixed names: chromosomes that annotation tables number, and their usual names.
 CHROM_NAMES = {"23": "X", "24": "Y", "MT": "M"}
