@@ -45,6 +45,7 @@ BAD_NAMES = {
     "nav", "navbar", "navigation", "menu", "breadcrumb", "breadcrumbs", "masthead", "footer", "sidebar", "aside", "notice", "cookie", "cookies", "consent", "gdpr", "banner", "popup",
     "modal", "overlay", "newsletter", "subscribe", "signup", "login", "ad", "ads", "advert", "adverts", "advertisement", "sponsor", "sponsored", "promo", "promotion", "comment",
     "comments", "disqus", "respond", "replies", "share", "sharing", "social", "related", "recommended", "widget", "toolbar", "pagination", "pager", "alert", "disclaimer", "topbar", "copyright",
+    "commentlist", "adslot", "adsbox", "advertising", "cookiebar", "topnav", "sidenav", "navmenu", "mainmenu", "submenu", "paywall", "teaser", "outbrain", "taboola",
 }
 HEAD_NAMES = {"header", "topbar", "masthead"}
 BAD_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "alertdialog", "menu", "menubar", "form", "note", "status", "toolbar"}
@@ -78,7 +79,7 @@ def events(page: str, weights: Weights | None = None) -> tuple[list[tuple[str, s
     weights = weights or Weights()
     root = Container("", [], 0, False, False, False, None)
     stack, out, extents = [root], [], []
-    at, size = 0, len(page)
+    at, size, found = 0, len(page), False
 
     def close(k: int) -> None:
         for c in stack[k:]:
@@ -128,8 +129,14 @@ def events(page: str, weights: Weights | None = None) -> tuple[list[tuple[str, s
                     role = value.strip().lower()
                 else:
                     names += [f"{'.' if key.lower() == 'class' else '#'}{x.lower()}" for x in value.split()]
-            marked = not above.bad and (name in CONTENT or role in CONTENT)
             words = {w.lower() for n in names[1:] for w in NAME.findall(n)}
+            content = name in CONTENT or role in CONTENT
+            if content and above.bad and not found and not words & BAD_NAMES and not any(c.tag in BOILERPLATE for c in stack):
+                # A wrapper that holds the content is no boilerplate, whatever its name says ("has-sidebar").
+                for c in stack:
+                    c.bad = False
+            marked = not above.bad and content
+            found = found or marked
             bad = above.bad or name in BOILERPLATE or role in BAD_ROLES or bool(words & BAD_NAMES) and name != "body"
             bad = bad or not above.inside and (name == "header" or bool(words & HEAD_NAMES))
             learned = [weights.names[n] for n in names if n in weights.names and not (n == "body" or n == "div")]

@@ -105,3 +105,8 @@ def test_secrets(spark):
     for i, t, _ in rows[:300]:
         assert ("github:" in spans[i]) == bool(re.search("gh[pousr]_[A-Za-z0-9]{36,}", t))
     assert secret_scan.secret_scan(df.limit(0)).count() == 0
+
+
+def test_wrapper_named_like_boilerplate_and_comment_articles():
+    page = '<body><div class="page has-sidebar"><div class="sidebar">Links here</div><main><h1>Title</h1><p>Body text of the page.</p></main><div class="comments"><article class="comment"><p>I disagree with all of it</p></article></div></div></body>'
+    assert html_extract.main_text(page) == "Title\n\nBody text of the page."
