@@ -159,14 +159,14 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     The fraction is rounded up or down by a hash of the row's id, so that sums keep near the targets.
     Rows without words are left out, as the mix takes nothing of them. The columns are those of ``docs``.
     """
-    mixed = mix_sources(docs, id_col, text_col, source_col, seed=seed).select(F.col(id_col).alias("m_id"), F.col(source_col).alias("m_source"), F.col("size").alias("m_size"), "taken")
-    ratio = F.col("taken") / F.col("m_size")
-    u = F.shiftrightunsigned(F.xxhash64("m_id", F.lit(seed), F.lit("round")), 11) / F.lit(float(1 << 53))
-    copies = mixed.filter("m_size > 0").withColumn("copies", F.floor(ratio + u).cast("int")).filter("copies > 0")
+    mixed = mix_sources(docs, id_col, text_col, source_col, seed=seed).select(F.col(id_col).alias("__m_id"), F.col(source_col).alias("__m_source"), F.col("size").alias("__m_size"), "taken")
+    ratio = F.col("taken") / F.col("__m_size")
+    u = F.shiftrightunsigned(F.xxhash64("__m_id", F.lit(seed), F.lit("round")), 11) / F.lit(float(1 << 53))
+    copies = mixed.filter("__m_size > 0").withColumn("__copies", F.floor(ratio + u).cast("int"))
     # Repeated rows share an id, source and size: each of them takes the mean of their copies.
-    copies = copies.groupBy("m_id", "m_source", "m_size").agg(F.round(F.avg("copies")).cast("int").alias("copies"))
-    same = F.col(id_col).eqNullSafe(F.col("m_id")) & F.col(source_col).eqNullSafe(F.col("m_source")) & (n_words(F.col(text_col)) == F.col("m_size"))
-    return docs.join(copies, same).withColumn("__copy", F.explode(F.expr("sequence(1, copies)"))).select(*docs.columns)
+    copies = copies.groupBy("__m_id", "__m_source", "__m_size").agg(F.round(F.avg("__copies")).cast("int").alias("__copies")).filter("__copies > 0")
+    same = F.col(id_col).eqNullSafe(F.col("__m_id")) & F.col(source_col).eqNullSafe(F.col("__m_source")) & (n_words(F.col(text_col)) == F.col("__m_size"))
+    return docs.join(copies, same).withColumn("__copy", F.explode(F.expr("sequence(1, __copies)"))).select(*docs.columns)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -180,8 +180,8 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay: of each component the one with the smallest id."""
     groups = simhash_groups(docs, id_col, text_col)
-    out = groups.filter(~F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("gone")).distinct()
-    return docs.join(out, F.col(id_col).eqNullSafe(F.col("gone")), "left_anti").select(*docs.columns)
+    out = groups.filter(~F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("__gone")).distinct()
+    return docs.join(out, F.col(id_col).eqNullSafe(F.col("__gone")), "left_anti").select(*docs.columns)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
