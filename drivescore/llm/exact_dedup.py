@@ -82,15 +82,18 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns; one for each group of equal texts."""
-    kept = exact_dedup(docs, id_col, text_col).filter("kept")
+    text = F.coalesce(F.col(text_col), F.lit(""))
     keyed = docs.withColumns(
-        {"__id": F.col(id_col), "__sha": F.lower(F.sha2(F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), WHITE_SPACE, ""), 256)), "__n": F.length(F.coalesce(F.col(text_col), F.lit("")))}
+        {"__id": F.col(id_col), "__sha": F.lower(F.sha2(F.regexp_replace(text, WHITE_SPACE, ""), 256)), "__n": F.length(text)}
     )
-    kept = kept.select(F.col(id_col).alias("k_id"), F.col("text_sha256").alias("k_sha"))
-    same = F.col("__id").eqNullSafe(F.col("k_id")) & (F.col("__sha") == F.col("k_sha"))
-    stays = keyed.join(kept, same, "left_semi")
-    one = W.partitionBy("__id", "__sha").orderBy(F.desc("__n"))
-    return stays.withColumn("__one", F.row_number().over(one)).filter("__one = 1").select(*docs.columns)
+    kept = exact_dedup(docs, id_col, text_col).filter("kept").select(F.col(id_col).alias("__k"), F.col("text_sha256").alias("__sha"))
+    # Null ids get a key of their own, so that join and window share one exchange of the rows.
+    keyed = keyed.withColumn("__null", F.col("__id").isNull()).withColumn("__key", F.coalesce("__id", F.lit(0)))
+    kept = kept.select(F.coalesce("__k", F.lit(0)).alias("__key"), F.col("__k").isNull().alias("__null"), "__sha")
+    keys = ["__key", "__null", "__sha"]
+    one = W.partitionBy(*keys).orderBy(F.desc("__n"))
+    stays = keyed.join(kept, keys, "left_semi")
+    return stays.withColumn("__one", F.row_number().over(one)).filter(F.col("__one") < 2).select(*docs.columns)
 
 
 ORACLE_SQL = r"""
