@@ -29,13 +29,14 @@ from pyspark.sql import functions as F
 from .common import staged
 from .words import WordTable
 
-SAMPLE_ROWS = 4000
+SAMPLE_ROWS = 6000
 FOLDS, HELD = 4, 2
 THRESHOLD = 0.3
 PREFIXES = (4, 5, 6)
 LEAST_DOCS = 3
+DOUBT = 1.5
 LEAST_ODDS = 1.5
-TOXIC_ODDS = 3.0
+TOXIC_ODDS = 2.0
 FEATURES = 4 + len(PREFIXES)  # bias, form, prefixes, the two neighbours
 
 
@@ -216,7 +217,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         share = counts.get(1, 0) / max(1, sum(counts.values()))
         tagger.calibration = np.array([np.log((share + 1e-6) / (1 - share + 1e-6)), 0.0, 0.0])
         return tagger
+    # Lower bound of the log-odds: a few rows alone don't make a rare word toxic.
     odds = F.log((F.col("bad") + 0.5) / (bad + 1)) - F.log((F.col("good") + 0.5) / (good + 1))
+    odds = odds - DOUBT * F.sqrt(1 / (F.col("bad") + 0.5) + 1 / (F.col("good") + 0.5))
     found = sample.mapInArrow(tally, "key string, bad long, good long").groupBy("key").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
     found = found.filter(F.col("bad") >= LEAST_DOCS).select("key", odds.alias("odds")).filter(F.col("odds") >= LEAST_ODDS)
     tagger.lexicon = {r["key"]: r["odds"] for r in found.collect()}  # bounded by the sample
@@ -262,6 +265,19 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return tagger
 
 
+def batch_summaries(t: Tagger, table: WordTable, texts: list[str | None]) -> list[tuple[float, float]]:
+    """(sum, maximum) of the marginals of each text; texts without any feature are not walked."""
+    out = []
+    for rows, counts in table.groups([x or "" for x in texts]):
+        hit = table.values[rows, -1] > 0
+        stops = np.cumsum(counts)
+        hits = np.concatenate(([0], np.cumsum(hit)))
+        some = hits[stops] > hits[stops - counts]
+        for stop, n, any_hit in zip(stops.tolist(), counts.tolist(), some.tolist(), strict=True):
+            out.append(t.summary(table.values[rows[stop - n : stop]]) if any_hit else (0.0, 0.0))
+    return out
+
+
 def summaries(docs: DataFrame, shared) -> DataFrame:
     """(id, total, most) of (id, text) rows: sum and maximum of the marginals."""
 
@@ -269,14 +285,7 @@ def summaries(docs: DataFrame, shared) -> DataFrame:
         t = shared.value
         table = WordTable(t.word_features, 2 + len(PREFIXES))
         for b in batches:
-            out = []
-            for rows, counts in table.groups([x or "" for x in b.column(1).to_pylist()]):
-                hit = table.values[rows, -1] > 0
-                stops = np.cumsum(counts)
-                hits = np.concatenate(([0], np.cumsum(hit)))
-                some = hits[stops] > hits[stops - counts]
-                for stop, n, any_hit in zip(stops.tolist(), counts.tolist(), some.tolist(), strict=True):
-                    out.append(t.summary(table.values[rows[stop - n : stop]]) if any_hit else (0.0, 0.0))
+            out = batch_summaries(t, table, b.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x[0] for x in out], pa.float64()), pa.array([x[1] for x in out], pa.float64())], names=["id", "total", "most"])
 
     kind = docs.schema["id"].dataType.simpleString()
@@ -335,9 +344,18 @@ def score_with(docs: DataFrame, tagger: Tagger, id_col: str = "doc_id", text_col
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that are not predicted toxic, with all their columns."""
-    bad = toxicity(docs, labels, id_col, text_col).filter("predicted = 1").select(F.col(id_col).alias("bad_id")).distinct()
-    return docs.join(bad, F.col(id_col).eqNullSafe(F.col("bad_id")), "left_anti").select(*docs.columns)
+    """The rows of ``docs`` that are not predicted toxic, with all their columns. Rows stay where they are."""
+    shared = docs.sparkSession.sparkContext.broadcast(train(docs, labels, id_col, text_col))
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = shared.value
+        table = WordTable(t.word_features, 2 + len(PREFIXES))
+        for b in batches:
+            found = np.array(batch_summaries(t, table, b.column(at).to_pylist())).reshape(-1, 2)
+            yield b.filter(pa.array(t.score(found[:, 0], found[:, 1]) < THRESHOLD))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
