@@ -9,17 +9,20 @@ import numpy as np
 
 CACHED_WORDS = 250_000
 GROUP_CHARS = 400_000
+MEAN_CHARS = 24
 
 
 class WordTable:
     """Values of white-space separated words: ``compute`` makes a row of floats for each new word.
 
-    Holds at most ``limit`` words, or those of one group of texts; when more come it starts afresh.
+    Holds at most ``limit`` words of ``MEAN_CHARS`` characters on average, or those of one group of texts;
+    when more come it starts afresh.
     """
 
     def __init__(self, compute: Callable[[list[str]], np.ndarray], width: int, limit: int = CACHED_WORDS):
         self.compute, self.limit = compute, limit
         self.known: dict[str, int] = {}
+        self.chars = 0
         self.values = np.zeros((1024, width), np.float32)
 
     def _learn(self, words: list[str]) -> None:
@@ -41,9 +44,12 @@ class WordTable:
             counts = np.fromiter(map(len, lists), np.int64, len(lists))
             distinct = set().union(*lists)
             fresh = distinct.difference(self.known)
-            if fresh and len(self.known) + len(fresh) > self.limit:
+            more = sum(map(len, fresh))
+            if fresh and (len(self.known) + len(fresh) > self.limit or self.chars + more > self.limit * MEAN_CHARS):
                 self.known.clear()
-                fresh = distinct
+                self.chars, fresh = 0, distinct
+                more = sum(map(len, fresh))
+            self.chars += more
             if fresh:
                 self._learn(sorted(fresh))
             rows = np.fromiter(map(self.known.__getitem__, chain.from_iterable(lists)), np.int64, int(counts.sum()))
