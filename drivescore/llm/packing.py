@@ -17,6 +17,7 @@ import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 from functools import lru_cache
+from string import punctuation
 
 import numpy as np
 import pyarrow as pa
@@ -25,10 +26,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from .common import before, bucket_count, staged
+from .words import MEAN_CHARS
 
 CAPACITY = 4096
 END_ID = 1
-CACHED_WORDS = 450_000
+CACHED_WORDS = 550_000
 
 
 class WordEncoder:
@@ -36,8 +38,8 @@ class WordEncoder:
 
     The tokenizer never joins characters across a space or line feed: its pre-tokenizer drops white
     space. So ids of a text are the ids of its parts between those characters, one after another.
-    In the same way one comma or full stop after a letter and at the end of a part is a pre-token
-    of its own, and ASCII letters are put in lower case; so parts that differ in those share an entry.
+    In the same way ASCII punctuation after letters and at the end of a part is a pre-token of its
+    own, and ASCII letters are put in lower case; so parts that differ in those share an entry.
     """
 
     def __init__(self, path: str, limit: int = CACHED_WORDS):
@@ -45,11 +47,12 @@ class WordEncoder:
 
         self.tokenizer, self.limit = Tokenizer.from_file(path), limit
         self.known: dict[str, bytes] = {}
+        self.chars = 0
         self.cores: dict[str, bytes] = {}
         vocabulary = self.tokenizer.get_vocab()
         self.closes = np.zeros(max(vocabulary.values()) + 1, bool)
         self.closes[[k for t, k in vocabulary.items() if t.endswith("</w>")]] = True
-        self.tails = {c: self._one(c) for c in ",."} | {"": b""}
+        self.tails: dict[str, bytes] = {"": b""}
 
     def _one(self, word: str) -> bytes:
         return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
@@ -67,10 +70,14 @@ class WordEncoder:
 
     def learn(self, words: list[str]) -> None:
         parts = []
+        if len(self.tails) > self.limit // 8:
+            self.tails = {"": b""}
         for w in words:
-            tail = w[-1] if w[-1:] in self.tails and w[-2:-1].isalpha() else ""
-            c = w[:-1] if tail else w
+            c = w.rstrip(punctuation)
             if c.isalpha():
+                tail = w[len(c) :]
+                if tail not in self.tails:
+                    self.tails[tail] = self._one(tail)
                 parts.append((w, c.lower() if c.isascii() else c, tail))
             else:
                 self.known[w] = self._one(w) if w else b""
@@ -101,9 +108,12 @@ class WordEncoder:
     def _group(self, texts: list[list[str]]) -> Iterator[bytes]:
         distinct = set().union(*texts)
         fresh = distinct.difference(self.known)
-        if fresh and len(self.known) + len(fresh) > self.limit:
+        more = sum(map(len, fresh))
+        if fresh and (len(self.known) + len(fresh) > self.limit or self.chars + more > self.limit * MEAN_CHARS):
             self.known.clear()
-            fresh = distinct
+            self.chars, fresh = 0, distinct
+            more = sum(map(len, fresh))
+        self.chars += more
         self.learn(sorted(fresh))
         for words in texts:
             yield b"".join(map(self.known.__getitem__, words))
