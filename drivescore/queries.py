@@ -641,13 +641,28 @@ def _(t):
 VECTOR_SQL = "vec as (select gene, ttype, pos, max(case when impact = 'Missense' then 1 else 0 end) as h, row_number() over (partition by gene, ttype order by pos) as k from fx_tmuts where pos < 400 group by 1, 2, 3)"
 
 
+def all_vectors(t, rows: DataFrame | None = None) -> DataFrame:
+    rows = t["fx_tmuts"] if rows is None else rows
+    return codon.saturation_vectors(rows.withColumn("h", (F.col("impact") == "Missense").cast("int")), ["gene", "ttype"], "pos", "h")
+
+
 def vectors(t) -> DataFrame:
-    return codon.saturation_vectors(t["fx_tmuts"].filter("pos < 400").withColumn("h", (F.col("impact") == "Missense").cast("int")), ["gene", "ttype"], "pos", "h")
+    """Of the slice that the SQL reads; the queries named ..._all take every position."""
+    return all_vectors(t, t["fx_tmuts"].filter("pos < 400"))
+
+
+def vector_text(df: DataFrame) -> DataFrame:
+    return df.select("gene", "ttype", F.array_join(F.transform("vector", lambda x: x.cast("string")), "").alias("vector"))
 
 
 @query("saturation_vectors", f"with {VECTOR_SQL} select gene, ttype, string_agg(cast(h as string), '' order by pos) as vector from vec group by 1, 2")
 def _(t):
-    return vectors(t).select("gene", "ttype", F.array_join(F.transform("vector", lambda x: x.cast("string")), "").alias("vector"))
+    return vector_text(vectors(t))
+
+
+@query("saturation_vectors_all")
+def _(t):
+    return vector_text(all_vectors(t))
 
 
 @query("pairwise_mcc_distance", f"""with {VECTOR_SQL}, n as (select gene, ttype, count(*) as n, sum(h) as s from vec group by 1, 2),
@@ -659,6 +674,11 @@ def _(t):
     return codon.pairwise_mcc_distance(vectors(t)).select("gene", "a", "b", r6("distance").alias("distance"))
 
 
+@query("pairwise_mcc_distance_all")
+def _(t):
+    return codon.pairwise_mcc_distance(all_vectors(t)).select("gene", "a", "b", r6("distance").alias("distance"))
+
+
 @query("confusion_counts", "select grp, split, count(*) filter (p >= 0.5 and label = 1) as tp, count(*) filter (p >= 0.5 and label = 0) as fp, count(*) filter (p < 0.5 and label = 0) as tn, count(*) filter (p < 0.5 and label = 1) as fn from fx_scored group by 1, 2")
 def _(t):
     return metrics.confusion_counts(t["fx_scored"], ["grp", "split"])
