@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from drivescore.functions.variants import hash_uniform, pyrimidine_context
 
 BASES = "ACGT"
+DRAWS = 4096
 
 
 def explode_bases(regions: DataFrame, keys: list[str], start: str = "start", seq: str = "seq") -> DataFrame:
@@ -54,7 +55,11 @@ def weighted_draw(candidates: DataFrame, counts: DataFrame, weight: str, keys: l
     table = cumulative_weights(candidates, weight, keys, order).filter("cum_hi > cum_lo")
     table = table.withColumn("_cell", F.explode(F.sequence(F.floor(F.col("cum_lo") / F.col("total") * cells), F.least(F.lit(cells), F.floor(F.col("cum_hi") / F.col("total") * cells)))))
     names = [*per, *keys]
-    draws = counts.filter("n > 0").select(*names, F.explode(F.sequence(F.lit(1), (F.col("n") * per_row).cast("int"))).alias("draw"))
+    # Few keys have all draws: blocks of draws are dealt over the tasks before they are numbered.
+    last = (F.col("n") * per_row).cast("long")
+    blocks = counts.filter("n > 0").select(*names, last.alias("_last"), F.explode(F.sequence(F.lit(1).cast("long"), last, F.lit(DRAWS).cast("long"))).alias("_from"))
+    blocks = blocks.repartition(int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions")), *names, "_from")
+    draws = blocks.select(*names, F.explode(F.sequence("_from", F.least("_last", F.col("_from") + DRAWS - 1))).alias("draw"))
     draws = draws.withColumn("u", hash_uniform(*[F.col(k) for k in names], F.col("draw"), F.lit(seed)))
     draws = draws.withColumn("_cell", F.floor(F.col("u") * cells))
     x = F.col("u") * F.col("total")

@@ -199,10 +199,19 @@ def _(t):
 
 @query("parse_aa_position", "select id, case when id % 3 = 0 then -1 else cast(id as int) end as strict, case when id % 3 = 1 then null else cast(id as int) end as digits from (select id, split from fx_scored where id % 3 = 0 or id % 3 = 2)")
 def _(t):
-    rows = t["fx_scored"].filter("id % 3 in (0, 2)").withColumn("aa", F.expr("case when id % 3 = 0 then concat('A', id, 'fs*') else concat('A', id, 'C') end"))
+    return parsed_positions(t["fx_scored"].filter("id % 3 in (0, 2)"))
+
+
+def parsed_positions(scored: DataFrame) -> DataFrame:
+    rows = scored.withColumn("aa", F.expr("case id % 3 when 0 then concat('A', id, 'fs*') when 1 then 'p.?' else concat('A', id, 'C') end"))
     return rows.select("id", V.parse_aa_position(F.col("aa")).alias("strict"), V.parse_aa_position(F.col("aa"), strict=False).alias("digits"))
 
 
+@query("parse_aa_position_all")
+def _(t):
+    return parsed_positions(t["fx_scored"])
+
+
 @query("nmd_flag", "select chr, pos, case when chr = '7' then 1 else 0 end as last_only, case when chr in ('1', '7') then 1 else 0 end as either from fx_muts")
 def _(t):
     exon = F.concat("chr", F.lit("/7"))
@@ -371,8 +380,16 @@ def _(t):
 
 @query("signal_at_point", "select distinct m.chr, m.pos, c.p_value as signal from fx_muts m left join (select * from fx_clusters where lo % 60 = 0) c on c.chr = m.chr and m.pos > c.lo and m.pos <= c.hi")
 def _(t):
-    signal = t["fx_clusters"].filter("lo % 60 = 0").select(F.concat(F.lit("chr"), "chr").alias("chrom"), F.col("lo").alias("start"), F.col("hi").alias("end"), F.col("p_value").alias("value"))
-    return intervals.signal_at_point(t["fx_muts"].select("chr", "pos").distinct(), signal)
+    return intervals.signal_at_point(t["fx_muts"].select("chr", "pos").distinct(), signal_ranges(t["fx_clusters"].filter("lo % 60 = 0")))
+
+
+def signal_ranges(clusters: DataFrame) -> DataFrame:
+    return clusters.select(F.concat(F.lit("chr"), "chr").alias("chrom"), F.col("lo").alias("start"), F.col("hi").alias("end"), F.col("p_value").alias("value"))
+
+
+@query("signal_at_point_all")
+def _(t):
+    return intervals.signal_at_point(t["fx_muts"].select("chr", "pos").distinct(), signal_ranges(t["fx_clusters"]))
 
 
 @query("flag_vector_lookup", """select l_orderkey, l_linenumber, cast(coalesce(embedding[1] > 0, false) as int) as "Acetylation", cast(coalesce(embedding[6] > 0, false) as int) as "Methylation",
@@ -518,13 +535,22 @@ def _(t):
   s as (select distinct cohort, gene, sample_id as sample from fx_muts where pos % 10 = 0 union all select distinct cohort, 'h', sample_id from fx_muts where pos % 500 = 1)
   select ancestor as node, sample, count(*) as n from s join fx_cohorts c on c.cohort = s.cohort join closure on closure.node = c.ttype group by 1, 2""")
 def _(t):
-    own = t["fx_muts"].filter("pos % 10 = 0").groupBy("cohort", "gene").agg(F.collect_set("sample_id").alias("l")).groupBy("cohort").agg(F.map_from_entries(F.collect_list(F.struct("gene", "l"))).alias("donors"))
+    return samples_by_node(t, t["fx_muts"].filter("pos % 10 = 0"))
+
+
+def samples_by_node(t, donors: DataFrame) -> DataFrame:
+    own = donors.groupBy("cohort", "gene").agg(F.collect_set("sample_id").alias("l")).groupBy("cohort").agg(F.map_from_entries(F.collect_list(F.struct("gene", "l"))).alias("donors"))
     high = t["fx_muts"].filter("pos % 500 = 1").groupBy("cohort").agg(F.collect_set("sample_id").alias("hypermutators"))
     samples = clusters.explode_samples(own.join(high, "cohort", "full"))
     nodes = tree.subtree_cohorts(tree.tree_closure(t["fx_tree"]), t["fx_cohorts"])
     return clusters.attach_ttypes(samples, nodes).groupBy("node", "sample").agg(F.count("*").alias("n"))
 
 
+@query("explode_samples_all")
+def _(t):
+    return samples_by_node(t, t["fx_muts"])
+
+
 @query("explode_samples_stats", "select distinct cohort, sample_id as sample from fx_muts")
 def _(t):
     per = t["fx_muts"].groupBy("cohort", "sample_id").agg(F.count("*").alias("n")).groupBy("cohort").agg(F.map_from_entries(F.collect_list(F.struct("sample_id", "n"))).alias("counts"))
@@ -846,9 +872,18 @@ def _(t):
   u as (select gene, draw, {HEX.format("concat_ws('|', gene, cast(draw as string), '1')")} as u from d)
   select u.gene, context, count(*) as n from u join cum on u.gene = cum.gene and u.u * total >= lo and u.u * total < hi group by 1, 2""")
 def _(t):
-    counts = t["fx_muts"].filter("pos % 20 = 0").groupBy("gene").agg(F.count("*").alias("n"))
+    return draws_by_context(t, t["fx_muts"].filter("pos % 20 = 0"), per_row=5)
+
+
+def draws_by_context(t, rows: DataFrame, **options) -> DataFrame:
+    counts = rows.groupBy("gene").agg(F.count("*").alias("n"))
     whole = t["fx_rates"].withColumn("w", F.expr("cast(round(rate * 100) as bigint)").cast("double"))
-    return sequence.weighted_draw(whole, counts, "w", ["gene"], ["context"], per_row=5).groupBy("gene", "context").agg(F.count("*").alias("n"))
+    return sequence.weighted_draw(whole, counts, "w", ["gene"], ["context"], **options).groupBy("gene", "context").agg(F.count("*").alias("n"))
+
+
+@query("weighted_draw_all")
+def _(t):
+    return draws_by_context(t, t["fx_muts"])
 
 
 @query("union_labelled", "select gene, pos, 1 as response from fx_muts where ref = 'O' union all select gene, start_pos, 0 from fx_domains")
@@ -1050,7 +1085,7 @@ def feature_tables(t) -> dict[str, DataFrame]:
     ann = annotations(t).withColumn("csqn", F.expr("case impact when 'Missense' then 'missense_variant' when 'Nonsense' then 'stop_gained' when 'Essential_Splice' then 'splice_donor_variant' else 'synonymous_variant' end"))
     return {
         "annotations": ann.select("chr", "pos", "alt", "ord", "mane", "csqn", F.concat("chr", F.lit("/7")).alias("exon"), F.concat(F.lit("A"), "pos", "alt").alias("aachange")),
-        "signal": t["fx_clusters"].select(F.concat(F.lit("chr"), "chr").alias("chrom"), F.col("lo").alias("start"), F.col("hi").alias("end"), F.col("p_value").alias("value")),
+        "signal": signal_ranges(t["fx_clusters"]),
         "flags": t["part"].join(t["embeddings"], F.col("p_partkey") == F.col("vec_id")).select(F.col("p_brand").alias("gene"), F.concat(F.lit("A"), "vec_id").alias("residue"), F.transform("embedding", lambda x: (x > 0).cast("int")).alias("flags")),
         "clusters": t["fx_clusters"].filter("p_value <= 0.05"),
         "points": t["fx_clusters"].select("chr", F.col("lo").alias("pos"), "ttype"),
@@ -1061,11 +1096,11 @@ def feature_tables(t) -> dict[str, DataFrame]:
 @query("build_training_table")
 def _(t):
     rates = t["fx_muts"].groupBy("gene", "chr", "pos", "ref", "alt").agg(F.count("*").cast("double").alias("rate"))
-    regions = t["fx_clusters"].filter("lo % 60 = 0").select("chr", F.col("lo").alias("r_start"), F.col("hi").alias("r_end"))
+    regions = t["fx_clusters"].select("chr", F.col("lo").alias("r_start"), F.col("hi").alias("r_end"))
     return training.build_training_table(feature_tables(t) | {
         "muts": t["fx_tmuts"], "drivers": t["fx_excess"].filter("wmis > 8"), "mnvs": t.sql(MNV_SQL).groupBy("gene", "sample_id", "cohort").agg(F.array_join(F.collect_list(F.col("pos").cast("string")), ",").alias("positions")),
         "estimates": t["fx_excess"], "regions": regions, "candidates": rates,
-    }, per_row=2)
+    })
 
 
 @query("annotate_saturation")

@@ -1,11 +1,15 @@
 """Queries over whole views, which have no SQL form, against brute force on the smallest tables."""
 
+import hashlib
 import math
-from collections import defaultdict
+from bisect import bisect_right
+from collections import Counter, defaultdict
+from itertools import accumulate
 
 import pytest
 
 from drivescore.fixtures import Tables
+from drivescore.plans import training
 from drivescore.queries import QUERIES
 
 FOLDER = "/root/testdata/sf0.001"
@@ -45,3 +49,56 @@ def test_saturation_vectors_go_beyond_the_slice_of_the_sql(spark):
     positions = Tables(spark, folder)["fx_tmuts"].select("gene", "ttype", "pos").distinct()
     got = QUERIES["saturation_vectors_all"](spark, folder).selectExpr("sum(length(vector)) as n").first().n
     assert got == positions.count() > 2 * positions.filter("pos < 400").count()
+
+
+def test_parse_aa_position_takes_every_row(spark, view):
+    got = {r.id: (r.strict, r.digits) for r in QUERIES["parse_aa_position_all"](spark, FOLDER).collect()}
+    assert got == {i: ((-1, i), (-1, None), (i, i))[i % 3] for (i,) in view("fx_scored", "id")}
+
+
+def test_signal_at_point_takes_every_interval(spark, view):
+    ranges, sites = view("fx_clusters", "chr", "lo", "hi", "p_value"), set(view("fx_muts", "chr", "pos"))
+    want = {(c, p): min((v for k, lo, hi, v in ranges if k == c and lo < p <= hi), default=None) for c, p in sites}
+    rows = QUERIES["signal_at_point_all"](spark, FOLDER).collect()
+    assert len(rows) == len(want) and {(r.chr, r.pos): r.signal for r in rows} == want
+
+
+def above(view):
+    """Each node's ancestors, itself included."""
+    parent = dict(view("fx_tree", "id", "parent"))
+    out = {}
+    for node in parent:
+        out[node], at = [], node
+        while at is not None:
+            out[node].append(at)
+            at = parent.get(at)
+    return out
+
+
+def test_explode_samples_takes_every_donor(spark, view):
+    ancestors, ttype = above(view), dict(view("fx_cohorts", "cohort", "ttype"))
+    muts = view("fx_muts", "cohort", "gene", "sample_id", "pos")
+    samples = [(c, s) for c, _, s in {m[:3] for m in muts}] + list({(c, s) for c, _, s, p in muts if p % 500 == 1})
+    want = Counter((node, s) for c, s in samples for node in ancestors[ttype[c]])
+    assert {(r.node, r["sample"]): r.n for r in QUERIES["explode_samples_all"](spark, FOLDER).collect()} == want
+
+
+def test_weighted_draw_makes_fifty_draws_a_row(spark, view):
+    weights = defaultdict(list)
+    for gene, context, rate in sorted(view("fx_rates", "gene", "context", "rate")):
+        weights[gene].append((context, int(rate * 100 + 0.5)))
+    want = Counter()
+    for gene, n in Counter(g for (g,) in view("fx_muts", "gene")).items():
+        ends = list(accumulate(w for _, w in weights[gene]))
+        for draw in range(1, 50 * n + 1):
+            u = int(hashlib.md5(f"{gene}|{draw}|1".encode()).hexdigest()[:8], 16) / 2**32
+            want[gene, weights[gene][bisect_right(ends, u * ends[-1])][0]] += 1
+    assert sum(want.values()) == 50 * len(view("fx_muts", "gene"))
+    assert {(r.gene, r.context): r.n for r in QUERIES["weighted_draw_all"](spark, FOLDER).collect()} == want
+
+
+def test_training_table_takes_every_region_and_draw(spark, monkeypatch):
+    seen = {}
+    monkeypatch.setattr(training, "build_training_table", lambda t, **options: seen.update(t, **options))
+    QUERIES["build_training_table"](spark, FOLDER)
+    assert seen["regions"].count() == Tables(spark, FOLDER)["fx_clusters"].count() and seen.get("per_row", 50) == 50
