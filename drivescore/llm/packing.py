@@ -18,6 +18,7 @@ from bisect import bisect_left, insort
 from collections.abc import Iterator
 from functools import lru_cache
 from string import punctuation
+from unicodedata import normalize
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +41,8 @@ class WordEncoder:
     space. So ids of a text are the ids of its parts between those characters, one after another.
     In the same way ASCII punctuation after letters and at the end of a part is a pre-token of its
     own, and ASCII letters are put in lower case; so parts that differ in those share an entry.
+    Letters that the tokenizer's normalizer turns into a letter and a mark are the exception, as the
+    mark joins the punctuation: parts with those are encoded whole.
     """
 
     def __init__(self, path: str, limit: int = CACHED_WORDS):
@@ -74,7 +77,7 @@ class WordEncoder:
             self.tails = {"": b""}
         for w in words:
             c = w.rstrip(punctuation)
-            if c.isalpha():
+            if c.isalpha() and (c.isascii() or normalize("NFC", c).lower().isalpha()):
                 tail = w[len(c) :]
                 if tail not in self.tails:
                     self.tails[tail] = self._one(tail)

@@ -129,3 +129,13 @@ def test_plan():
             else:
                 plain.append(cap - n)
         assert bins <= len(plain) * 1.02 + 1, (case, bins, len(plain))
+
+
+def test_every_letter_before_punctuation():
+    tk, encoder = Tokenizer.from_file(TOKENIZER), packing.WordEncoder(TOKENIZER)
+    letters = [c for c in map(chr, range(0x110000)) if c.isalpha()]
+    assert {"İ", "য়", "ढ़"} <= set(letters)
+    words = [f"x{c}{tail}" for c in letters for tail in (",", '."')] + ["হয়,", "xİ,", "बढ़,", "बढ़,"]
+    got = dict(zip(words, encoder.encode(words), strict=True))
+    want = dict(zip(words, (np.array(e.ids, "<u4").tobytes() for e in tk.encode_batch(words, add_special_tokens=False)), strict=True))
+    assert [w for w in words if got[w] != want[w]] == []
