@@ -1,9 +1,9 @@
 """Main text of web pages by the maximum-scoring subsequence of words and tags.
 
-A page becomes a sequence of text runs and tags. Words score positive and tags negative; words
-inside boilerplate containers score negative too. The weights come from labelled pages: pages
-that mark their own content with ``article``, ``main`` or ``role=main`` tell for each container name
-(tag, class, id) and each tag how often it lies inside that content and outside. One linear scan
+A page becomes a sequence of text runs and tags. Words score positive and tags negative; what
+lies in boilerplate containers scores nothing, so that it parts no content. The weights come from labelled pages: pages
+that mark their own content with ``article``, ``main`` or ``role=main`` tell for each class and id
+of a container and each tag how often it lies inside that content and outside. One linear scan
 finds the contiguous region of largest score. The region is widened to the marked content element it
 lies in, if any, so that no short block at its edge is lost, and the words of boilerplate
 containers inside it are left out.
@@ -129,7 +129,8 @@ def events(page: str, weights: Weights | None = None) -> tuple[list[tuple[str, s
                     role = value.strip().lower()
                 else:
                     names += [f"{'.' if key.lower() == 'class' else '#'}{x.lower()}" for x in value.split()]
-            words = {w.lower() for n in names[1:] for w in NAME.findall(n)}
+            # In marked content only a whole class or id counts: "related-work" is a section there.
+            words = {n[1:] for n in names[1:]} if above.inside else {w.lower() for n in names[1:] for w in NAME.findall(n)}
             content = name in CONTENT or role in CONTENT
             if content and above.bad and not found and not words & BAD_NAMES and not any(c.tag in BOILERPLATE for c in stack):
                 # A wrapper that holds the content is no boilerplate, whatever its name says ("has-sidebar").
@@ -139,7 +140,7 @@ def events(page: str, weights: Weights | None = None) -> tuple[list[tuple[str, s
             found = found or marked
             bad = above.bad or name in BOILERPLATE or role in BAD_ROLES or bool(words & BAD_NAMES) and name != "body"
             bad = bad or not above.inside and (name == "header" or bool(words & HEAD_NAMES))
-            learned = [weights.names[n] for n in names if n in weights.names and not (n == "body" or n == "div")]
+            learned = [weights.names[n] for n in names[1:] if n in weights.names]
             weight = min(learned) if learned and not above.inside and not marked else above.weight
             stack.append(Container(name, names, len(out), above.inside or marked, marked, bad, weight))
         out.append(("start", name, stack[-1]))
@@ -149,11 +150,11 @@ def events(page: str, weights: Weights | None = None) -> tuple[list[tuple[str, s
 
 def word_weight(c: Container, weights: Weights) -> float:
     if c.bad:
-        return -0.2  # left out in any case, so that it need not part what lies around it
+        return 0.0  # left out in any case, so that it need not part what lies around it
     if c.inside:
         return weights.word
     if c.weight is not None:
-        return max(-4.0, min(weights.word, c.weight))
+        return max(0.0, min(weights.word, c.weight))  # left out as well if not positive
     return 0.5 * weights.word
 
 
@@ -174,7 +175,7 @@ def main_text(page: str | None, weights: Weights | None = None) -> str:
     """Main text of a page: blocks in page order with two line feeds between them; empty if none."""
     weights = weights or Weights()
     seq, extents = events(page or "", weights)
-    scores = [word_weight(c, weights) * len(v.split()) if kind == "text" else weights.tag(v) for kind, v, c in seq]
+    scores = [word_weight(c, weights) * len(v.split()) if kind == "text" else 0.0 if word_weight(c, weights) <= 0 else weights.tag(v) for kind, v, c in seq]
     begin, end = best_region(scores)
     if begin == end:
         return ""
@@ -217,9 +218,9 @@ def learn_weights(pages: DataFrame, id_col: str = "page_id", html_col: str = "ht
                 for kind, value, c in seq:
                     if kind == "text":
                         many = len(value.split())
-                        for name in c.names if many else ():
+                        for name in c.names[1:] if many else ():
                             own.setdefault(("name", name), [0, 0])[not c.inside] += many
-                    else:
+                    elif not c.bad:  # the others cost nothing, and lists of links would tell against all lists
                         own.setdefault(("tag", value), [0, 0])[not c.inside] += 1
                 for key, (a, o) in own.items():
                     s = seen.setdefault(key, [0, 0, 0])

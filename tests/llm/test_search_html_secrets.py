@@ -110,3 +110,19 @@ def test_secrets(spark):
 def test_wrapper_named_like_boilerplate_and_comment_articles():
     page = '<body><div class="page has-sidebar"><div class="sidebar">Links here</div><main><h1>Title</h1><p>Body text of the page.</p></main><div class="comments"><article class="comment"><p>I disagree with all of it</p></article></div></div></body>'
     assert html_extract.main_text(page) == "Title\n\nBody text of the page."
+
+
+def test_lists_and_leads_of_unmarked_pages_stay(spark):
+    nav = "<nav><ul>" + "<li><a href='/x'>Menu entry of the site</a></li>" * 9 + "</ul></nav>"
+    marked = [(k, "u", f"<body>{nav}<article><h1>Title</h1><p>{'plain words of content ' * 9}</p></article></body>") for k in range(12)]
+    body = "<p>A short lead.</p>" + "<div class='ad'><ul>" + "<li>Buy it now and here</li>" * 20 + "</ul></div><ul><li>First point</li><li>Second point</li></ul>" + f"<p>{'more words ' * 60}</p>"
+    page = f"<body>{nav}<div class='post'>{body}</div></body>"
+    df = spark.createDataFrame([*marked, (99, "u", page)], "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html_extract.extract(df).collect()}
+    assert got[99] == "A short lead.\n\nFirst point\n\nSecond point\n\n" + " ".join(["more words"] * 60)
+    assert got[0] == "Title\n\n" + " ".join(["plain words of content"] * 9)
+
+
+def test_sections_named_in_part_like_boilerplate_stay_in_marked_content():
+    page = "<body><main><p>Body text.</p><section id='related-work'><p>Earlier results.</p></section><div class='related'><p>Read this too</p></div></main></body>"
+    assert html_extract.main_text(page) == "Body text.\n\nEarlier results."
