@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 NODE_COLUMNS = "tree int, node int, feature int, threshold double, left_node int, right_node int, value double, cover double, base_margin double"
+TASK_ROWS = 65_536
 
 
 def _sigmoid(z):
@@ -137,11 +138,26 @@ def _trees(nodes: pd.DataFrame) -> Iterator[np.ndarray]:
         yield t[["feature", "threshold", "left_node", "right_node", "value", "cover"]].to_numpy(float)
 
 
-def score_members(df: DataFrame, nodes: DataFrame, keys: list[str], features: list[str], row_id: str, member: str | None = None, salts: int = 1) -> DataFrame:
+def dealt(rows: DataFrame, nodes: DataFrame, keys: list[str], row_id: str, salts: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Both with a column _salt: a key's rows dealt over salts, its nodes once for each of them.
+
+    Without ``salts`` a key has one for each ``TASK_ROWS`` of its rows, so that no task holds a large key whole.
+    """
+    if salts is None:
+        counts = rows.groupBy(*keys).agg(F.ceil(F.count("*") / TASK_ROWS).cast("int").alias("_salts"))
+        rows, nodes = rows.join(counts, keys, "left"), nodes.join(counts, keys, "left")
+    else:
+        rows, nodes = rows.withColumn("_salts", F.lit(salts)), nodes.withColumn("_salts", F.lit(salts))
+    many = F.coalesce("_salts", F.lit(1))
+    left = rows.withColumn("_salt", F.pmod(F.xxhash64(row_id), many).cast("int"))
+    return left.drop("_salts"), nodes.withColumn("_salt", F.explode(F.sequence(F.lit(0), many - 1))).drop("_salts")
+
+
+def score_members(df: DataFrame, nodes: DataFrame, keys: list[str], features: list[str], row_id: str, member: str | None = None, salts: int | None = None) -> DataFrame:
     """(keys, member, row id, p): each row's probability under its own model, or under each member of its key.
 
     With ``member`` the keys find all members' nodes and rows have no member. ``salts`` deals the rows of a
-    key over so many tasks, each with the key's nodes.
+    key over so many tasks, each with the key's nodes; by default their number follows from the key's rows.
     """
 
     def score(key: tuple, rows: pd.DataFrame, trees: pd.DataFrame) -> pd.DataFrame:
@@ -154,8 +170,7 @@ def score_members(df: DataFrame, nodes: DataFrame, keys: list[str], features: li
         names = [*keys, *([member] if member else []), row_id, "p"]
         return pd.concat(out)[names] if out else pd.DataFrame(columns=names)
 
-    left = df.select(*keys, row_id, *[F.col(f).cast("double").alias(f) for f in features]).withColumn("_salt", F.pmod(F.xxhash64(row_id), F.lit(salts)).cast("int"))
-    right = nodes.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    left, right = dealt(df.select(*keys, row_id, *[F.col(f).cast("double").alias(f) for f in features]), nodes, keys, row_id, salts)
     kind = {k: (df if k in df.columns else nodes).schema[k].dataType.simpleString() for k in [*keys, *([member] if member else []), row_id]}
     schema = ", ".join(f"`{k}` {v}" for k, v in kind.items()) + ", p double"
     return left.groupBy(*keys, "_salt").cogroup(right.groupBy(*keys, "_salt")).applyInPandas(score, schema)
@@ -215,8 +230,8 @@ def tree_attribution(df: DataFrame, nodes: DataFrame, keys: list[str], features:
 
     kinds = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in [*keys, row_id])
     schema = f"{kinds}, " + ", ".join(f"attr_{f} double" for f in features) + ", base double, margin double"
-    left = df.select(*keys, row_id, *[F.col(f).cast("double").alias(f) for f in features])
-    return left.groupBy(*keys).cogroup(nodes.groupBy(*keys)).applyInPandas(explain, schema)
+    left, right = dealt(df.select(*keys, row_id, *[F.col(f).cast("double").alias(f) for f in features]), nodes, keys, row_id)
+    return left.groupBy(*keys, "_salt").cogroup(right.groupBy(*keys, "_salt")).applyInPandas(explain, schema)
 
 
 def mean_attribution(attributions: DataFrame, keys: list[str]) -> DataFrame:

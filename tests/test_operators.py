@@ -190,3 +190,20 @@ def test_sources(spark, tmp_path):
     assert values(clusters.explode_samples(got.select("COHORT", "donors", "hypermutators.hypermutators"), "COHORT")) == [("a", "s1"), ("a", "s2"), ("a", "s3")]
     (tmp_path / "t.txt").write_text("## c\nx\n# y\n")
     assert src.read_trace_skip_comments(spark, f"{tmp_path}/t.txt").count() == 2
+
+
+def test_large_keys_are_dealt_over_tasks(spark, monkeypatch):
+    rows = spark.createDataFrame([("a", k, float(k % 7)) for k in range(100)] + [("b", 500, 1.0), (None, 600, 1.0)], "gene string, id int, x double")
+    stump = [(0, 0, 0, 3.0, 1, 2, 0.0, 10.0), (0, 1, -1, 0.0, -1, -1, -1.0, 4.0), (0, 2, -1, 0.0, -1, -1, 1.0, 6.0)]
+    names = [c.strip().split()[0] for c in model.NODE_COLUMNS.split(",")]
+    places = dict(zip(("tree", "node", "feature", "threshold", "left_node", "right_node", "value", "cover"), range(8), strict=True))
+    nodes = spark.createDataFrame([(g, *[0.5 if n == "base_margin" else r[places[n]] for n in names]) for g in "ab" for r in stump], f"gene string, {model.NODE_COLUMNS}")
+    score = lambda: values(model.score_members(rows, nodes, ["gene"], ["x"], "id"))
+    explain = lambda: values(model.tree_attribution(rows, nodes, ["gene"], ["x"], "id"))
+    whole = score(), explain()
+    assert len(whole[0]) == len(whole[1]) == 101
+    monkeypatch.setattr(model, "TASK_ROWS", 16)
+    assert (score(), explain()) == whole
+    left, right = model.dealt(rows, nodes, ["gene"], "id")
+    assert left.filter("gene = 'a'").select("_salt").distinct().count() == 7 and right.filter("gene = 'a'").count() == 21
+    assert left.count() == 102 and right.filter("gene = 'b'").count() == 3
