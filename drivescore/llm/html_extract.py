@@ -1,14 +1,18 @@
 """Main text of web pages by the maximum-scoring subsequence of words and tags.
 
-A page becomes a sequence of text runs and tags. Words score positive and tags negative; what
-lies in boilerplate containers scores nothing, so that it parts no content. The weights come from labelled pages: pages
-that mark their own content with ``article``, ``main`` or ``role=main`` tell for each class and id
-of a container and each tag how often it lies inside that content and outside. One linear scan
-finds the contiguous region of largest score. The region is widened to the marked content element it
-lies in, if any, so that no short block at its edge is lost, and the words of boilerplate
-containers inside it are left out.
-
-The weights are fitted on about ``SAMPLE_PAGES`` pages chosen by a hash; every page is then read whole.
+A page becomes a sequence of words and tags. Words score positive and tags negative, by weights from
+labelled pages: those that mark their own content with ``article``, ``main`` or ``role=main`` tell for
+each class and id of a container, for each telling element and for links how many words lie inside that content and
+outside. A container with negative log-odds is boilerplate: its words score nothing and the tag that opens it costs
+by its odds. One linear scan finds the contiguous region of largest sum, and the region alone decides where
+the text begins and ends: what lies outside stays out whatever its own score. Inside the region boilerplate
+(an advert between two paragraphs) is left out.
+
+Names of boilerplate enter as features: a small prior where the labelled pages say nothing. A form, or a
+container with such a name, that holds marked content or is nearly the whole page is a wrapper and weighs nothing.
+
+Reading a page takes linear time, broken markup included. The weights are fitted on about ``SAMPLE_PAGES``
+pages chosen by a hash; every page is then read whole.
 """
 
 from __future__ import annotations
@@ -23,139 +27,273 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
 SAMPLE_PAGES = 4000
 LEAST_PAGES = 5
+LIMIT = 4.0  # bound of a log-odds weight
+WRAPPER = 0.8  # share of a page's words from which on a form or named container is its wrapper
 
-MARKUP = re.compile(r"<!--.*?(?:--!?>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?>(?:=\s*\"[^\"]*\"|=\s*'[^']*'|[^>])*))>|<[a-zA-Z/!?][^<>]*\Z", re.S)
+TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>\"']*)>")
+NAME = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+MARK = re.compile(r"[\"'>]")
 ATTRIBUTE = re.compile(r"""(?:^|[\s"'/])(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I | re.S)
-NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
+FRAGMENT = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 # Elements of HTML by what they mean for the text.
 SKIPPED = {"script", "style", "noscript", "template", "head", "title", "iframe", "svg", "object", "canvas", "math"}
-FORMS = {"form", "button", "select", "textarea", "option", "fieldset", "dialog", "menu"}
-PLAIN_VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
-CONTAINERS = {"article", "main", "section", "div", "nav", "header", "footer", "aside", "ul", "ol", "dl", "table", "body", "figure", "blockquote", "details", "address", "center", *FORMS}
+FORMS = {"form", "button", "select", "textarea", "option", "fieldset", "dialog", "menu", "label"}
+TELLING = {"nav", "header", "footer", "aside", *FORMS}
 CONTENT = {"article", "main"}
-BOILERPLATE = {"nav", "footer", "aside", *FORMS}
-BLOCKS = CONTAINERS | {"p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "dt", "dd", "tr", "caption", "thead", "tbody", "tfoot", "pre", "hr", "figcaption", "hgroup", "summary", "legend", "search"}
+CONTAINERS = {"article", "main", "section", "div", "nav", "header", "footer", "aside", "ul", "ol", "dl", "table", "body", "figure", "blockquote", "details", "address", "center", *FORMS}
+BLOCKS = CONTAINERS - {"label"} | {"p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "dt", "dd", "tr", "caption", "thead", "tbody", "tfoot", "pre", "hr", "figcaption", "hgroup", "summary", "legend", "search"}
 SPACES = {"br", "td", "th", "wbr"}
-# Words in class and id names that mean boilerplate, and roles that do.
+# Priors: log-odds of containers with such a name or role, where labelled pages tell nothing else.
 BAD_NAMES = {
     "nav", "navbar", "navigation", "menu", "breadcrumb", "breadcrumbs", "masthead", "footer", "sidebar", "aside", "notice", "cookie", "cookies", "consent", "gdpr", "banner", "popup",
-    "modal", "overlay", "newsletter", "subscribe", "signup", "login", "ad", "ads", "advert", "adverts", "advertisement", "sponsor", "sponsored", "promo", "promotion", "comment",
-    "comments", "disqus", "respond", "replies", "share", "sharing", "social", "related", "recommended", "widget", "toolbar", "pagination", "pager", "alert", "disclaimer", "topbar", "copyright",
-    "commentlist", "adslot", "adsbox", "advertising", "cookiebar", "topnav", "sidenav", "navmenu", "mainmenu", "submenu", "paywall", "teaser", "outbrain", "taboola",
+    "modal", "overlay", "newsletter", "subscribe", "signup", "login", "ad", "ads", "advert", "adverts", "advertisement", "advertising", "sponsor", "sponsored", "promo", "promotion", "comment",
+    "comments", "commentlist", "disqus", "respond", "replies", "share", "sharing", "social", "related", "recommended", "widget", "toolbar", "pagination", "pager", "alert", "disclaimer", "topbar",
+    "copyright", "paywall", "teaser",
 }
 HEAD_NAMES = {"header", "topbar", "masthead"}
 BAD_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "alertdialog", "menu", "menubar", "form", "note", "status", "toolbar"}
+#: Endings of class names that say where a box stands, not what it is ("ad-slot", "sidebar-left").
+PLACES = {"left", "right", "top", "bottom", "wrap", "wrapper", "container", "box", "bar", "inner", "outer", "block", "area", "slot", "list", "item", "section", "panel", "widget"}
+PRIOR = -2.0
+
+
+def head_word(name: str) -> str:
+    """What a class or id names: its last part that is not a place ("cookie" of "site-cookieBar")."""
+    parts = [p.lower() for p in FRAGMENT.findall(name)]
+    while len(parts) > 1 and parts[-1] in PLACES:
+        parts.pop()
+    return parts[-1] if parts else ""
 
 
 @dataclass
 class Weights:
-    """Log-odds of lying in marked content: for words by the name of their container, for tags."""
+    """Log-odds of lying in content: of words by feature of their container, of words in links, and scores of tags."""
 
     names: dict[str, float] = field(default_factory=dict)
     tags: dict[str, float] = field(default_factory=dict)
     word: float = 1.0
+    link: float = -0.5
 
     def tag(self, name: str) -> float:
-        return -0.05 - 0.25 * min(4.0, max(0.0, -self.tags.get(name, 0.0)))
+        return -0.05 - 0.25 * min(LIMIT, max(0.0, -self.tags.get(name, 0.0)))
+
+    def odds(self, c: Container) -> float | None:
+        """The least log-odds of the container's features; None if it has none."""
+        found = [self.names[f] for f in features(c) if f in self.names]
+        if c.tag != "body" and (c.tag in TELLING and not (c.tag == "header" and c.inside) or any(prior(n, c.inside) for n in c.names)):
+            found.append(PRIOR)
+        return min(found, default=None)
 
 
-@dataclass
 class Container:
-    tag: str
-    names: list[str]
-    start: int
-    inside: bool  # lies in marked content, or is it
-    marked: bool
-    bad: bool
-    weight: float | None
+    """An element of the page: the words below it and what they weigh."""
 
+    __slots__ = ("above", "barred", "content", "holds", "inside", "names", "own", "tag", "weight", "words")
 
-def events(page: str, weights: Weights | None = None) -> tuple[list[tuple[str, str, Container]], list[tuple[int, int]]]:
-    """(kind, value, innermost container) of text runs and tags, and the extents of marked content."""
-    weights = weights or Weights()
-    root = Container("", [], 0, False, False, False, None)
-    stack, out, extents = [root], [], []
-    at, size, found = 0, len(page), False
-
-    def close(k: int) -> None:
-        for c in stack[k:]:
-            if c.marked:
-                extents.append((c.start, len(out)))
-        del stack[k:]
-
-    while at < size:
-        m = MARKUP.search(page, at)
-        begin = m.start() if m else size
-        if begin > at:
-            out.append(("text", page[at:begin], stack[-1]))
+    def __init__(self, above: Container | None, tag: str, names: list[str]):
+        self.above, self.tag, self.names = above, tag, names
+        self.words, self.own, self.weight = 0, None, None
+        self.content = self.inside = self.holds = False
+        #: Lies in an element that is never a wrapper of content.
+        self.barred = above is not None and (above.barred or above.tag in ("nav", "aside", "footer"))
+
+    def marks(self) -> bool:
+        return self.tag in CONTENT or any(n[1:] in CONTENT for n in self.names if n[0] == "@")
+
+
+def features(c: Container) -> list[str]:
+    """Whole class and id names and roles, and the tag if it tells; generic containers have no feature."""
+    return [n.lower() for n in c.names if c.tag != "body"] + ([f"<{c.tag}>"] if c.tag in TELLING and not (c.tag == "header" and c.inside) else [])
+
+
+def prior(name: str, inside: bool) -> bool:
+    """Whether a class, id or role names boilerplate; within marked content only as a whole ("related-work" is a section)."""
+    kind, bare = name[0], name[1:].lower()
+    if kind == "@":
+        return bare in BAD_ROLES
+    return bare in BAD_NAMES or not inside and (bare in HEAD_NAMES or (word := head_word(name[1:])) in BAD_NAMES or word in HEAD_NAMES)
+
+
+def tag_end(page: str, at: int, spent: dict[str, bool]) -> int:
+    """Place after the ``>`` of the tag whose attributes begin at ``at``; one in a quoted value doesn't end it. 0: no end.
+
+    Once a tag has run to the end of the page in search of one, quotes count no more, so that broken markup is not
+    read again and again.
+    """
+    first, k = page.find(">", at) + 1, at
+    while first and "quotes" not in spent:
+        m = MARK.search(page, k)
         if not m:
+            spent["quotes"] = True
             break
-        at = m.end()
-        name = (m[2] or "").lower()
-        if not name:
-            if m[0].startswith("<![CDATA["):
-                out.append(("text", m[0][9:-3], stack[-1]))
+        k = m.end()
+        if m[0] == ">":
+            return k
+        before = m.start() - 1
+        while before >= at and page[before].isspace():
+            before -= 1
+        if before >= at and page[before] == "=" and m[0] not in spent:
+            close = page.find(m[0], k)
+            if close < 0:
+                spent[m[0]] = True
+            else:
+                k = close + 1
+    return first
+
+
+def events(page: str) -> tuple[list[tuple[str, str, Container]], list[Container]]:
+    """(kind, value, innermost container) of texts and tags in page order, and the containers, outer ones first.
+
+    Takes time linear in the page's length.
+    """
+    root = Container(None, "", [])
+    stack, containers, out = [root], [root], []
+    opened: dict[str, int] = {}
+    size, last = len(page), page.rfind(">")
+    spent: dict[str, bool] = {}
+    ends: dict[str, int] = {}
+    begin = at = 0
+
+    def text(stop: int) -> None:
+        if stop > begin:
+            out.append(("text", page[begin:stop], stack[-1]))
+
+    def following(pattern: str) -> int:
+        """Where the pattern next occurs, or the page's size; a place is looked for once."""
+        if ends.get(pattern, -1) < at:
+            m = re.compile(pattern, re.I).search(page, at)
+            ends[pattern] = m.start() if m else size
+        return ends[pattern]
+
+    while 0 <= (at := page.find("<", at)) < size - 1:
+        c = page[at + 1]
+        if c in "!?":
+            text(at)
+            if page.startswith("<!--", at):
+                stop = following("--!?>")
+                stop = page.find(">", stop) + 1
+            elif page.startswith("<![CDATA[", at):
+                stop = page.find("]]>", at)
+                out.append(("text", page[at + 9 : stop if stop >= 0 else size], stack[-1]))
+                stop = stop + 3 if stop >= 0 else 0
+            else:
+                stop = page.find(">", at) + 1
+            begin = at = stop or size
             continue
-        if m[1]:
+        m = TAG.match(page, at) if at < last and (c == "/" or c.isalpha()) else None
+        if m:
+            closing, name, attributes, stop = m[1], m[2].lower(), m[3], m.end()
+        else:
+            m = NAME.match(page, at) if c == "/" or c.isalpha() else None
+            if not m:
+                at += 1  # a plain less-than sign
+                continue
+            closing, name, stop = m[1], m[2].lower(), tag_end(page, m.end(), spent)
+            if not stop:  # the page ends within a tag
+                text(at)
+                begin = size
+                break
+            attributes = page[m.end() : stop - 1]
+        text(at)
+        begin = at = stop
+        if closing:
             out.append(("end", name, stack[-1]))
-            if name in CONTAINERS:
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k].tag == name:
-                        close(k)
-                        break
+            while opened.get(name):
+                ended = stack.pop().tag
+                opened[ended] -= 1
+                if ended == name:
+                    break
             continue
         if name in SKIPPED:
-            if not m[3].rstrip().endswith("/"):
-                end = re.compile(rf"</{re.escape(name)}\b[^>]*>", re.I).search(page, at)
-                if end:
-                    at = end.end()
+            if not attributes.rstrip().endswith("/"):
+                stop = following(rf"</{re.escape(name)}(?=[\s/>])")
+                if stop < size:
+                    stop = page.find(">", stop) + 1 or size
                 elif name == "head":
-                    body = re.compile(r"<body\b", re.I).search(page, at)
-                    at = body.start() if body else at
-                else:
-                    at = size
+                    stop = following(r"<body(?=[\s>])")
+                    stop = stop if stop < size else at
+                begin = at = stop
             out.append(("start", name, stack[-1]))
             continue
         if name in CONTAINERS:
-            above = stack[-1]
-            names, role = [name], ""
-            for key, value in ATTRIBUTE.findall(m[3]):
-                value = value.strip("\"'")
-                if key.lower() == "role":
-                    role = value.strip().lower()
-                else:
-                    names += [f"{'.' if key.lower() == 'class' else '#'}{x.lower()}" for x in value.split()]
-            # In marked content only a whole class or id counts: "related-work" is a section there.
-            words = {n[1:] for n in names[1:]} if above.inside else {w.lower() for n in names[1:] for w in NAME.findall(n)}
-            content = name in CONTENT or role in CONTENT
-            if content and above.bad and not found and not words & BAD_NAMES and not any(c.tag in BOILERPLATE for c in stack):
-                # A wrapper that holds the content is no boilerplate, whatever its name says ("has-sidebar").
-                for c in stack:
-                    c.bad = False
-            marked = not above.bad and content
-            found = found or marked
-            bad = above.bad or name in BOILERPLATE or role in BAD_ROLES or bool(words & BAD_NAMES) and name != "body"
-            bad = bad or not above.inside and (name == "header" or bool(words & HEAD_NAMES))
-            learned = [weights.names[n] for n in names[1:] if n in weights.names]
-            weight = min(learned) if learned and not above.inside and not marked else above.weight
-            stack.append(Container(name, names, len(out), above.inside or marked, marked, bad, weight))
+            names = []
+            if "=" in attributes:
+                for key, value in ATTRIBUTE.findall(attributes):
+                    names += [{"class": ".", "id": "#", "role": "@"}[key.lower()] + x for x in value.strip("\"'").split()]
+            stack.append(Container(stack[-1], name, names))
+            containers.append(stack[-1])
+            opened[name] = opened.get(name, 0) + 1
         out.append(("start", name, stack[-1]))
-    close(1)
-    return out, extents
+    text(size)
+    return out, containers
 
 
-def word_weight(c: Container, weights: Weights) -> float:
-    if c.bad:
-        return 0.0  # left out in any case, so that it need not part what lies around it
-    if c.inside:
-        return weights.word
-    if c.weight is not None:
-        return max(0.0, min(weights.word, c.weight))  # left out as well if not positive
-    return 0.5 * weights.word
+def weigh(seq: list[tuple[str, str, Container]], containers: list[Container], weights: Weights) -> bool:
+    """Set each container's log-odds and whether it is or lies in marked content; True if the page marks any."""
+    for kind, value, c in seq:
+        if kind == "text":
+            c.words += len(value.split())
+    for c in reversed(containers[1:]):
+        c.above.words += c.words
+
+    def settle(wrappers: set[Container]) -> bool:
+        found = False
+        for c in containers[1:]:
+            c.inside = c.above.inside
+            c.own = None if c in wrappers else weights.odds(c)
+            shaded = c.above.weight is not None and c.above.weight < 0
+            c.content = c.marks() and not shaded and (c.own is None or c.own >= 0)
+            if c.content:
+                c.own, c.inside, found = LIMIT, True, True
+            c.weight = c.above.weight if c.own is None or shaded else c.own
+        return found
+
+    def may_wrap(c: Container) -> bool:
+        return c.own is not None and c.own < 0 and c.tag not in ("nav", "aside", "footer")
+
+    found = settle(set())
+    wrappers = {c for c in containers[1:] if c.tag in FORMS and may_wrap(c) and c.words >= 0.5 * containers[0].words}
+    if not found:
+        # No mark stands free of boilerplate: what holds one, or nearly all words, is a wrapper whatever its name.
+        for c in reversed(containers[1:]):
+            if c.holds or c.marks() and not c.barred and (c.own is None or c.own >= 0):
+                c.above.holds = True
+            if may_wrap(c) and (c.holds or c.words >= WRAPPER * containers[0].words):
+                wrappers.add(c)
+    return settle(wrappers) if wrappers else found
+
+
+def scores(seq: list[tuple[str, str, Container]], marked: bool, weights: Weights) -> list[float]:
+    """Score of each entry of the sequence: words positive, tags negative.
+
+    Words of boilerplate weigh nothing, so that an advert parts no text by its length; the tag that opens it
+    costs as much as ``-own / 2`` words, and ``5 LIMIT`` if it parts the page (nav, header, footer, aside). On a page
+    that marks its content, words elsewhere are known not to be content: they score negative.
+    """
+    out, link = [], False
+    for kind, value, c in seq:
+        bad = c.weight is not None and c.weight < 0
+        if kind == "text":
+            if bad:
+                w = 0.0
+            elif marked and not c.inside and c.weight is None:
+                w = -weights.word
+            else:
+                w = weights.link if link and not c.inside else weights.word
+            out.append(w * len(value.split()))
+            continue
+        if value == "a":
+            link = kind == "start"
+        if not bad:
+            out.append(weights.tag(value))
+        elif kind == "start" and c.tag == value and not c.inside and (c.above.weight is None or c.above.weight >= 0):
+            out.append(-5 * LIMIT if value in ("nav", "header", "footer", "aside") else c.own / 2)
+        else:
+            out.append(0.0)
+    return out
 
 
 def best_region(scores: list[float]) -> tuple[int, int]:
@@ -171,17 +309,11 @@ def best_region(scores: list[float]) -> tuple[int, int]:
     return found
 
 
-def main_text(page: str | None, weights: Weights | None = None) -> str:
+def main_text(page: str | None, weights: Weights | None = None, region=best_region) -> str:
     """Main text of a page: blocks in page order with two line feeds between them; empty if none."""
     weights = weights or Weights()
-    seq, extents = events(page or "", weights)
-    scores = [word_weight(c, weights) * len(v.split()) if kind == "text" else 0.0 if word_weight(c, weights) <= 0 else weights.tag(v) for kind, v, c in seq]
-    begin, end = best_region(scores)
-    if begin == end:
-        return ""
-    for a, b in extents:
-        if a < end and b > begin:
-            begin, end = min(a, begin), max(b, end)
+    seq, containers = events(page or "")
+    begin, end = region(scores(seq, weigh(seq, containers, weights), weights))
     blocks, now = [], []
 
     def flush() -> None:
@@ -192,7 +324,7 @@ def main_text(page: str | None, weights: Weights | None = None) -> str:
 
     for kind, value, c in seq[begin:end]:
         if kind == "text":
-            if word_weight(c, weights) > 0:
+            if c.weight is None or c.weight >= 0:
                 now.append(value)
         elif value in BLOCKS:
             flush()
@@ -202,6 +334,39 @@ def main_text(page: str | None, weights: Weights | None = None) -> str:
     return "\n\n".join(blocks)
 
 
+def tally_page(page: str, seen: dict[tuple[str, str], list[int]]) -> None:
+    """Add a page that marks its content to (words or tags inside, outside, pages) by feature."""
+    seq, containers = events(page)
+    if not weigh(seq, containers, Weights()):
+        return
+    own: dict[tuple[str, str], list[int]] = {}
+    inside = dict.fromkeys(map(id, containers), 0)
+    link = False
+    for kind, value, c in seq:
+        n = len(value.split()) if kind == "text" else 0
+        if c.inside:
+            inside[id(c)] += n
+        if kind != "text" and value == "a":
+            link = kind == "start"
+        # Boilerplate's own tags and links are left aside: menus would tell against all lists and links.
+        if c.weight is None or c.weight >= 0:
+            if kind != "text":
+                own.setdefault(("tag", value), [0, 0])[not c.inside] += 1
+            elif link and n:
+                own.setdefault(("link", ""), [0, 0])[not c.inside] += n
+    for c in reversed(containers[1:]):
+        inside[id(c.above)] += inside[id(c)]
+        for f in features(c) if c.words else ():
+            x = own.setdefault(("name", f), [0, 0])
+            x[0] += inside[id(c)]
+            x[1] += c.words - inside[id(c)]
+    for key, (a, o) in own.items():
+        s = seen.setdefault(key, [0, 0, 0])
+        s[0] += a
+        s[1] += o
+        s[2] += 1
+
+
 def learn_weights(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", sample: int = SAMPLE_PAGES) -> Weights:
     """Weights from the sampled pages that mark their content; defaults if none does."""
     n = pages.count()
@@ -210,23 +375,8 @@ def learn_weights(pages: DataFrame, id_col: str = "page_id", html_col: str = "ht
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             seen: dict[tuple[str, str], list[int]] = {}
-            for page in b.column(0).to_pylist():
-                seq, extents = events(page)
-                if not extents:
-                    continue
-                own: dict[tuple[str, str], list[int]] = {}
-                for kind, value, c in seq:
-                    if kind == "text":
-                        many = len(value.split())
-                        for name in c.names[1:] if many else ():
-                            own.setdefault(("name", name), [0, 0])[not c.inside] += many
-                    elif not c.bad:  # the others cost nothing, and lists of links would tell against all lists
-                        own.setdefault(("tag", value), [0, 0])[not c.inside] += 1
-                for key, (a, o) in own.items():
-                    s = seen.setdefault(key, [0, 0, 0])
-                    s[0] += a
-                    s[1] += o
-                    s[2] += 1
+            for page in b.column(0):
+                tally_page(page.as_py(), seen)
             ks = list(seen)
             yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in ks], pa.string()), pa.array([k[1] for k in ks], pa.string()), *(pa.array([seen[k][j] for k in ks], pa.int64()) for j in range(3))], names=["kind", "name", "a", "o", "p"])
 
@@ -234,8 +384,11 @@ def learn_weights(pages: DataFrame, id_col: str = "page_id", html_col: str = "ht
     got = rows.mapInArrow(tally, "kind string, name string, a long, o long, p long").groupBy("kind", "name").agg(F.sum("a").alias("a"), F.sum("o").alias("o"), F.sum("p").alias("p"))
     out = Weights()
     for r in got.filter(F.col("p") >= LEAST_PAGES).collect():  # bounded by the sample
-        odds = math.log((r["a"] + 1) / (r["o"] + 1))
-        (out.names if r["kind"] == "name" else out.tags)[r["name"]] = max(-4.0, min(4.0, odds))
+        odds = max(-LIMIT, min(LIMIT, math.log((r["a"] + 1) / (r["o"] + 1))))
+        if r["kind"] == "link":
+            out.link = max(-1.0, min(0.0, odds))
+        else:
+            (out.names if r["kind"] == "name" else out.tags)[r["name"]] = odds
     return out
 
 
@@ -249,7 +402,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = [main_text(h, shared.value) for h in b.column(2).to_pylist()]
+            texts = [main_text(h.as_py(), shared.value) for h in b.column(2)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string())], names=["id", "url", "text"])
 
     kind = pages.schema[id_col].dataType.simpleString()
