@@ -6,40 +6,67 @@ that reach the driver are row counts.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterable, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+BATCH_BYTES = 4 << 20
 _OWN_DIR: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from ``spark.checkpoint.dir``.
 
-    Only where the session names none (local tests) a temporary folder is made.
+    Only where the session names none and runs in one process (tests) a temporary folder is made.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    master = spark.conf.get("spark.master", "")
+    if not (master == "local" or master.startswith("local[")):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
     return _OWN_DIR.setdefault("dir", tempfile.mkdtemp(prefix="spark-staged-"))
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder as Parquet and read it back.
+def staged(df: DataFrame, name: str, by: Sequence[str] = ()) -> DataFrame:
+    """Write ``df`` to the shared folder as Parquet, in a folder for each value of ``by``, and read it back.
 
     Cuts the lineage in a way that survives lost executors: the files are complete and shared
     before anything reads them, and each call writes a folder of its own.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.write.partitionBy(*by) if by else df.write).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bounded_batches(df: DataFrame, most: int = BATCH_BYTES) -> DataFrame:
+    """``df``, after its session's Arrow batches were bounded to ``most`` bytes, so that a Python worker holds few texts at once.
+
+    A batch has one row at least, so a longer text is still whole. A smaller bound of the session stays.
+    """
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(str(conf.get(key, "67108864")).rstrip("b")) > most:
+        conf.set(key, str(most))
+    return df
+
+
+def release(*caches: dict) -> None:
+    """Empty a finished task's caches and give the memory back, since the worker lives on for other tasks."""
+    for c in caches:
+        c.clear()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def bucket_count(rows: int, per_bucket: int = 4096, least: int = 64, most: int = 65536) -> int:
     """Buckets over which a hot key is dealt, so that each holds a few thousand rows of it."""
     return max(least, min(most, -(-rows // per_bucket)))

@@ -27,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bounded_batches
+
 SAMPLE_PAGES = 4000
 LEAST_PAGES = 5
 LIMIT = 4.0  # bound of a log-odds weight
@@ -380,7 +382,7 @@ def learn_weights(pages: DataFrame, id_col: str = "page_id", html_col: str = "ht
             ks = list(seen)
             yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in ks], pa.string()), pa.array([k[1] for k in ks], pa.string()), *(pa.array([seen[k][j] for k in ks], pa.int64()) for j in range(3))], names=["kind", "name", "a", "o", "p"])
 
-    rows = pages.filter(F.col(html_col).isNotNull() & (u * n < sample)).select(F.col(html_col).alias("h"))
+    rows = bounded_batches(pages).filter(F.col(html_col).isNotNull() & (u * n < sample)).select(F.col(html_col).alias("h"))
     got = rows.mapInArrow(tally, "kind string, name string, a long, o long, p long").groupBy("kind", "name").agg(F.sum("a").alias("a"), F.sum("o").alias("o"), F.sum("p").alias("p"))
     out = Weights()
     for r in got.filter(F.col("p") >= LEAST_PAGES).collect():  # bounded by the sample

@@ -6,9 +6,10 @@ each language the expected ``SAMPLE_DOCS`` documents of smallest hash, whole tex
 kept in back-off form in sorted arrays of 64-bit n-gram hashes, shared by all languages, with a row
 of log probabilities and of back-off weights for each n-gram; both are bounded by the sample. A
 document gets the language of lowest cross-entropy per character; the score is the posterior of
-a softmax over the negative cross-entropies whose temperature is fitted on the sample, and
-``rejected`` is true where the cross-entropy lies above what nearly all sample documents of that
-language show.
+a softmax over the negative cross-entropies, and
+``rejected`` is true where the cross-entropy lies above what nearly all documents of that
+language show. Temperature and limits are fitted on a fifth of the sample, by a model of the other four fifths. Words are
+letters and combining marks of them are left out, as case is.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bounded_batches, release, staged
 from .words import WordTable, sums
 
 ORDER = 5
@@ -194,42 +196,59 @@ def labelled_sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str,
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = SAMPLE_DOCS, order: int = ORDER) -> Model | None:
     """Model from the labelled rows outside the held-out fold; None if there are none."""
-    from .common import staged
-
-    sample = staged(labelled_sample(docs, id_col, text_col, lang_col, per_language), "lid_sample")
+    sample = labelled_sample(docs, id_col, text_col, lang_col, per_language)
+    # A fifth of the sample, by the text's hash, is held back for the calibration.
+    sample = staged(sample.withColumn("back", F.pmod(F.xxhash64("text"), F.lit(5)) == 0), "lid_sample")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             grams: Counter = Counter()
             words: Counter = Counter()
-            for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                words.update((lang, w) for w in text.split())
-            for (lang, w), c in words.items():
+            for lang, text, back in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist(), strict=True):
+                words.update((lang, back, w) for w in text.as_py().split())
+            for (lang, back, w), c in words.items():
                 if letters(w):
                     for g in word_grams(w, order):
-                        grams[lang, g] += c
+                        grams[lang, back, g] += c
             keys = list(grams)
-            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), pa.array(list(grams.values()), pa.int64())], names=["lang", "gram", "c"])
+            yield pa.RecordBatch.from_arrays([pa.array([k[j] for k in keys], kind) for j, kind in enumerate((pa.string(), pa.bool_(), pa.string()))] + [pa.array(list(grams.values()), pa.int64())], names=["lang", "back", "gram", "c"])
 
-    got = sample.mapInArrow(count, "lang string, gram string, c long").groupBy("lang", "gram").agg(F.sum("c").alias("c")).toArrow()
+    tallied = bounded_batches(sample).mapInArrow(count, "lang string, back boolean, gram string, c long")
+    got = tallied.groupBy("lang", "gram").agg(F.sum("c").alias("c"), F.sum(F.when(~F.col("back"), F.col("c")).otherwise(0)).alias("fit")).toArrow()  # bounded by the sample
     counts: dict[str, dict[str, int]] = {}
-    for lang, g, c in zip(*(got.column(k).to_pylist() for k in range(3)), strict=True):
+    fit: dict[str, dict[str, int]] = {}
+    for lang, g, c, f in zip(*(got.column(k).to_pylist() for k in range(4)), strict=True):
         counts.setdefault(lang, {})[g] = c
+        if f:
+            fit.setdefault(lang, {})[g] = f
     if not counts:
         return None
     model = kneser_ney(counts, sorted(counts), order)
-    scored = entropies(sample.select(F.col("lang").alias("id"), "text"), model).filter("n > 0").toArrow()
-    truth = np.array([model.languages.index(x) for x in scored.column("id").to_pylist()], int)
+    model.reject_above = np.full(len(model.languages), np.inf)
+    if fit:
+        calibrate(model, sample.filter("back").select(F.col("lang").alias("id"), "text"), kneser_ney(fit, sorted(fit), order))
+    return model
+
+
+def calibrate(model: Model, held: DataFrame, part: Model) -> None:
+    """Fit the temperature and the limits of rejection on texts (id: language) that the model ``part`` has not seen.
+
+    A language without such texts rejects none.
+    """
+    scored = entropies(held, part).filter(F.col("n") > 0).filter(F.col("id").isin(part.languages)).toArrow()  # a row for each held back text
+    if not scored.num_rows:
+        return
+    truth = np.array([part.languages.index(x) for x in scored.column("id").to_pylist()], int)
     x = np.array(scored.column("nll").to_pylist(), float).reshape(len(truth), -1) / np.array(scored.column("n").to_pylist(), float)[:, None]
-    x = np.maximum(x, 0)
     fits = []
     for t in np.geomspace(0.5, 64, 29):
         z = -t * x
         z = z - z.max(1, keepdims=True)
         fits.append((-(z[np.arange(len(truth)), truth] - np.log(np.exp(z).sum(1))).mean(), t))
-    model.temperature = min(fits)[1] if len(truth) else 1.0
-    model.reject_above = np.array([np.quantile(x[truth == k, k], REJECT_QUANTILE) if (truth == k).any() else np.inf for k in range(len(model.languages))])
-    return model
+    model.temperature = float(min(fits)[1])
+    for k, lang in enumerate(part.languages):
+        if (truth == k).any():
+            model.reject_above[model.languages.index(lang)] = np.quantile(x[truth == k, k], REJECT_QUANTILE)
 
 
 def entropies(docs: DataFrame, model: Model) -> DataFrame:
@@ -245,9 +264,10 @@ def entropies(docs: DataFrame, model: Model) -> DataFrame:
             x = np.concatenate([np.zeros((0, len(m.languages) + 1)), *got])
             nll = pa.FixedSizeListArray.from_arrays(pa.array(x[:, :-1].ravel()), len(m.languages)).cast(pa.list_(pa.float64()))
             yield pa.RecordBatch.from_arrays([b.column(0), nll, pa.array(np.rint(x[:, -1]).astype(np.int64))], names=["id", "nll", "n"])
+        release(table.known)
 
     kind = docs.schema["id"].dataType.simpleString()
-    return docs.select("id", "text").mapInArrow(run, f"id {kind}, nll array<double>, n long")
+    return bounded_batches(docs.select("id", "text")).mapInArrow(run, f"id {kind}, nll array<double>, n long")
 
 
 def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -26,6 +26,8 @@ SEED = 20_240
 ROUNDS = 20
 CELLS = 1024
 MOST = 3
+SHARD_CELL = 4096
+TASK_SLOTS = 65_536
 
 
 def n_words(text: Column) -> Column:
@@ -73,6 +75,15 @@ def permuted(i: Column, n: Column, *key: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), i, swap_or_not)
 
 
+def numbered_slots(counts: DataFrame) -> DataFrame:
+    """``counts`` (shard, src, c) with first: the sum of c over the source's shards before. A source's shards are summed
+    by cells of ``SHARD_CELL`` first, so that none of its windows grows with the mix but that over the cells."""
+    celled = counts.withColumn("cell", F.expr(f"shard div {SHARD_CELL}"))
+    cells = celled.groupBy("src", "cell").agg(F.sum("c").alias("sum")).withColumn("base", before(F.col("sum"), ["src"], [F.col("cell")])).drop("sum")
+    own = celled.withColumn("own", before(F.col("c"), ["src", "cell"], [F.col("shard")]))
+    return own.join(cells, ["src", "cell"]).select("shard", "src", "c", (F.col("own") + F.col("base")).alias("first"))
+
+
 def draw_runs(sources: DataFrame, slots: int, shard_slots: int, seed: int) -> DataFrame:
     """(shard, src, first, n): slots ``first`` to ``first + n - 1`` of a source lie in a shard.
 
@@ -87,7 +98,7 @@ def draw_runs(sources: DataFrame, slots: int, shard_slots: int, seed: int) -> Da
         F.floor(F.shiftrightunsigned(F.xxhash64("id", F.lit(seed)), 11) / F.lit(float(1 << 53)) * F.lit(float(slots))).alias("at"),
     ).withColumn("cell", F.expr(f"at div {width}"))
     counts = drawn.join(cells, "cell").filter("at >= lo and at < hi").groupBy("shard", "src").agg(F.count("*").alias("c"))
-    numbered = staged(counts.withColumn("first", before(F.col("c"), ["src"], [F.col("shard")])), "draws")
+    numbered = staged(numbered_slots(counts), "draws")
     quota = live.select("src", "quota")
     held = numbered.join(quota, "src").withColumn("n", F.least(F.col("c"), F.col("quota") - F.col("first"))).filter("n > 0").select("shard", "src", "first", "n")
     got = held.groupBy("src").agg(F.sum("n").alias("got"))
@@ -108,7 +119,7 @@ def mix_sources(
     seed: int = SEED,
     keep: tuple[str, ...] = (),
 ) -> DataFrame:
-    """One row per row of ``docs``: id, source, size, source_size, target, taken.
+    """One row per row of ``docs``: id, size, source_size, target, taken, source.
 
     ``taken`` counts the words of the document that the mix takes, repeats counted: at most 3 times
     its size, since no block is taken more than 3 times. A null text has size 0, and so nothing is
@@ -133,7 +144,9 @@ def mix_sources(
         .drop("b_source", "b_bucket", "base", "ahead")
     )
     placed = staged(placed, "placed")
-    runs = draw_runs(sources, slots, shard_slots, seed)
+    # Runs are small but grow to all slots: they are dealt by number, as their bytes tell nothing of that.
+    tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-slots // TASK_SLOTS))
+    runs = draw_runs(sources, slots, shard_slots, seed).repartition(tasks, "shard", "src")
     taken = (
         runs.select("src", F.explode(F.expr("sequence(first, first + n - 1)")).alias("j"))
         .join(sources.select("src", "blocks"), "src")
@@ -148,8 +161,8 @@ def mix_sources(
     words = F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * F.col("length")) - F.greatest(F.col("start"), F.col("block") * F.col("length"))
     took = pieces.join(taken, ["src", "block"]).groupBy("src", "bucket", "place").agg(F.sum(words * F.col("copies")).alias("taken"))
     return placed.join(took, ["src", "bucket", "place"], "left").select(
-        F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target",
-        F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), *[F.col(f"keep_{c}").alias(c) for c in keep],
+        F.col("id").alias(id_col), "size", "source_size", "target",
+        F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), F.col("source").alias(source_col), *[F.col(f"keep_{c}").alias(c) for c in keep],
     )
 
 

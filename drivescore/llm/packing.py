@@ -15,8 +15,7 @@ from __future__ import annotations
 
 import zlib
 from bisect import bisect_left, insort
-from collections.abc import Iterator
-from functools import lru_cache
+from collections.abc import Iterable, Iterator
 from string import punctuation
 from unicodedata import normalize
 
@@ -26,117 +25,119 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import before, bucket_count, staged
-from .words import MEAN_CHARS
+from .common import before, bounded_batches, bucket_count, release, staged
 
 CAPACITY = 4096
 END_ID = 1
-CACHED_WORDS = 550_000
+CACHED_WORDS = 300_000
+GROUP_WORDS = 60_000
+GROUP_CHARS = 2_000_000
 
 
 class WordEncoder:
-    """Token ids of texts as little-endian unsigned 32-bit bytes, word by word through bounded caches.
+    """Token ids of texts as little-endian unsigned 32-bit bytes, word by word through a bounded cache.
 
-    The tokenizer never joins characters across a space or line feed: its pre-tokenizer drops white
-    space. So ids of a text are the ids of its parts between those characters, one after another.
+    For tokenizers of word ends whose pre-tokenizer drops white space, so that no token joins characters across a space
+    or line feed (``_check`` tells others): ids of a text are the ids of its parts between those characters, one after another.
     In the same way ASCII punctuation after letters and at the end of a part is a pre-token of its
     own, and ASCII letters are put in lower case; so parts that differ in those share an entry.
     Letters that the tokenizer's normalizer turns into a letter and a mark are the exception, as the
     mark joins the punctuation: parts with those are encoded whole.
+
+    The cache starts afresh at about ``limit`` entries. Texts are read in groups of at most ``group`` words and
+    ``GROUP_CHARS`` characters, or one word.
     """
 
-    def __init__(self, path: str, limit: int = CACHED_WORDS):
+    def __init__(self, path: str, limit: int = CACHED_WORDS, group: int = GROUP_WORDS):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.limit = Tokenizer.from_file(path), limit
+        self.tokenizer, self.limit, self.group = Tokenizer.from_file(path), limit, group
         self.known: dict[str, bytes] = {}
-        self.chars = 0
-        self.cores: dict[str, bytes] = {}
         vocabulary = self.tokenizer.get_vocab()
         self.closes = np.zeros(max(vocabulary.values()) + 1, bool)
         self.closes[[k for t, k in vocabulary.items() if t.endswith("</w>")]] = True
-        self.tails: dict[str, bytes] = {"": b""}
+        self.by_word = self._check()
 
     def _one(self, word: str) -> bytes:
         return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _letters(self, words: list[str]) -> None:
-        """Learn words of letters alone: each is one pre-token, whose last id closes a word."""
+    def _check(self) -> bool:
+        """Whether ids of words may be joined; a tokenizer that fails these samples is given whole texts."""
+        for words in (["alpha", "Beta,", "gamma"], ["x1", "don't", '"so."'], ["a", "b"]):
+            for between in (" ", "\n"):
+                if self._one(between.join(words)) != b"".join(map(self._one, words)):
+                    return False
+        return self._one("Word,") == self._one("word") + self._one(",") and bool(self.closes.any())
+
+    def _letters(self, words: list[str]) -> Iterator[bytes]:
+        """Ids of words of letters alone: each is one pre-token, whose last id closes a word."""
         for k in range(0, len(words), 1024):
             some = words[k : k + 1024]
             ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
             ends = ((np.flatnonzero(self.closes[ids]) + 1) * 4).tolist()
             if len(ends) == len(some):
-                self.cores.update(zip(some, map(ids.tobytes().__getitem__, map(slice, [0, *ends], ends)), strict=False))
+                yield from map(ids.tobytes().__getitem__, map(slice, [0, *ends], ends))
             else:
-                self.cores.update((w, self._one(w)) for w in some)
+                yield from map(self._one, some)
 
-    def learn(self, words: list[str]) -> None:
-        parts = []
-        if len(self.tails) > self.limit // 8:
-            self.tails = {"": b""}
-        for w in words:
+    def _learn(self, words: set[str]) -> None:
+        """Bring all of the words into the cache."""
+        fresh = words.difference(self.known)
+        if fresh and len(self.known) + len(fresh) > self.limit:
+            self.known.clear()
+            fresh = words
+        known, parts, need = self.known, [], set()
+        for w in sorted(fresh):
             c = w.rstrip(punctuation)
             if c.isalpha() and (c.isascii() or normalize("NFC", c).lower().isalpha()):
                 tail = w[len(c) :]
-                if tail not in self.tails:
-                    self.tails[tail] = self._one(tail)
-                parts.append((w, c.lower() if c.isascii() else c, tail))
+                if c.isascii():
+                    c = c.lower()
+                parts.append((w, c, tail))
+                need.add(c)
+                if tail and tail not in known:
+                    known[tail] = self._one(tail)
             else:
-                self.known[w] = self._one(w) if w else b""
-        fresh = {c for _, c, _ in parts}.difference(self.cores)
-        if fresh and len(self.cores) + len(fresh) > self.limit:
-            self.cores.clear()
-            fresh = {c for _, c, _ in parts}
-        self._letters(sorted(fresh))
-        self.known.update((w, self.cores[c] + self.tails[tail] if tail else self.cores[c]) for w, c, tail in parts)
-
-    def encode(self, texts: list[str]) -> Iterator[bytes]:
-        """The ids of each text; texts that together have few words share one look at the cache."""
-        group, size = [], 0
+                known[w] = self._one(w) if w else b""
+        letters = sorted(need.difference(known))
+        known.update(zip(letters, self._letters(letters), strict=True))
+        known.update([(w, known[c] + known[tail] if tail else known[c]) for w, c, tail in parts])
+
+    def encode(self, texts: Iterable[str]) -> Iterator[bytes]:
+        """The ids of each text; short texts are looked up together, a long one in parts."""
+        if not self.by_word:
+            yield from map(self._one, texts)
+            return
+        some, size, chars = [], 0, 0
         for t in texts:
             words = t.replace("\n", " ").split(" ")
-            if len(words) > self.limit // 4:
-                yield from self._group(group)
-                group, size = [], 0
-                yield b"".join(b"".join(self._group([words[k : k + self.limit // 4]])) for k in range(0, len(words), self.limit // 4))
+            chars += len(t)
+            if some and (size + len(words) > self.group or chars > GROUP_CHARS):
+                yield from self._group(some)
+                some, size, chars = [], 0, len(t)
+            if len(words) > self.group:
+                yield b"".join(b"".join(self._group([words[k : k + self.group]])) for k in range(0, len(words), self.group))
                 continue
-            group.append(words)
+            some.append(words)
             size += len(words)
-            if size > self.limit // 4:
-                yield from self._group(group)
-                group, size = [], 0
-        yield from self._group(group)
+        yield from self._group(some)
 
     def _group(self, texts: list[list[str]]) -> Iterator[bytes]:
-        distinct = set().union(*texts)
-        fresh = distinct.difference(self.known)
-        more = sum(map(len, fresh))
-        if fresh and (len(self.known) + len(fresh) > self.limit or self.chars + more > self.limit * MEAN_CHARS):
-            self.known.clear()
-            self.chars, fresh = 0, distinct
-            more = sum(map(len, fresh))
-        self.chars += more
-        self.learn(sorted(fresh))
+        self._learn(set().union(*texts))
+        ids = self.known.__getitem__
         for words in texts:
-            yield b"".join(map(self.known.__getitem__, words))
-
-
-@lru_cache(maxsize=1)
-def word_encoder(path: str) -> WordEncoder:
-    """One for each Python worker: its caches serve all tasks that the worker runs."""
-    return WordEncoder(path)
+            yield b"".join(map(ids, words))
 
 
 def tokenized_pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY) -> DataFrame:
     """Pieces of every document: id, piece, start, length, ids_crc32."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = word_encoder(tokenizer)
+        encoder = WordEncoder(tokenizer)
         end, step = np.array([END_ID], "<u4").tobytes(), capacity * 4
         for b in batches:
             at, piece, start, length, crc = [], [], [], [], []
-            for row, ids in enumerate(encoder.encode([t or "" for t in b.column(1).to_pylist()])):
+            for row, ids in enumerate(encoder.encode(t.as_py() or "" for t in b.column(1))):
                 ids += end
                 for k, begin in enumerate(range(0, len(ids), step)):
                     part = ids[begin : begin + step]
@@ -147,9 +148,10 @@ def tokenized_pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", te
                     crc.append(zlib.crc32(part))
             columns = [b.column(0).take(pa.array(at, pa.int64())), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc))]
             yield pa.RecordBatch.from_arrays(columns, names=["id", "piece", "start", "length", "ids_crc32"])
+        release(encoder.known)
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).mapInArrow(run, f"id {kind}, piece int, start long, length long, ids_crc32 long")
+    return bounded_batches(docs).select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).mapInArrow(run, f"id {kind}, piece int, start long, length long, ids_crc32 long")
 
 
 def plan_packing(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int]]:

@@ -1,11 +1,11 @@
-"""Secret scans through trigram queries. DataFrame functions only.
+"""Secret scans through a trigram inverted index. DataFrame functions only.
 
 From each rule's regular expression a Boolean query over trigrams of the lower-case text is derived:
 a disjunction of sets of trigrams, one of which every match must hold completely. The trigrams of
-all rules are the index's vocabulary, and their postings are kept by document, as a bitmap of the
-document's trigrams, so the index lies where the texts lie and no text moves: intersecting the
-postings of a set is a bitwise AND, and candidates are the documents whose bits cover a set. Only they
-are verified with the expression. A rule without mandatory trigrams (a hexadecimal run) scans all.
+all rules are the index's vocabulary. ``build_index`` writes a posting (trigram, row) for each of them that a text
+holds, in one folder for each trigram. A set's postings are intersected by counting for each row the set's
+trigrams it has; rows that satisfy a set of a rule are that rule's candidates, and only they are verified with
+the expression. A rule without mandatory trigrams (a hexadecimal run) scans all.
 """
 
 from __future__ import annotations
@@ -17,6 +17,8 @@ from re import _parser as parser
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import staged
+
 ANY = [frozenset()]
 MOST_STRINGS, MOST_SETS = 64, 64
 
@@ -120,46 +122,53 @@ def vocabulary(rules=RULES) -> list[str]:
     return sorted({t for r in rules for s in trigram_query(r.pattern) for t in s})
 
 
-def postings(text: Column, words: list[str]) -> Column:
-    """Bitmaps of the trigrams that the text holds: an array of longs of 62 bits each."""
-    low = F.lower(text)
-    out = []
-    for k in range(0, max(1, len(words)), 62):
-        bits = F.lit(0).cast("long")
-        for j, w in enumerate(words[k : k + 62]):
-            bits = bits.bitwiseOR(F.contains(low, F.lit(w)).cast("long") * F.lit(1 << j).cast("long"))
-        out.append(bits)
-    return F.array(*out)
+def build_index(rows: DataFrame, words: list[str]) -> DataFrame:
+    """Posting lists (word: place in ``words``, row) of the trigrams of ``words`` that texts hold; written, a folder a trigram."""
+    low = F.lower("t")
+    held = F.array_compact(F.array(*[F.when(F.contains(low, F.lit(w)), F.lit(k)) for k, w in enumerate(words)]))
+    return staged(rows.select("row", F.explode(held).alias("word")), "postings", ["word"])
+
 
+def candidates(index: DataFrame, rules: tuple[Rule, ...], words: list[str]) -> DataFrame:
+    """(row, rules): for each row the rules of which it satisfies a set of trigrams, as a bitmap.
 
-def candidate(bitmaps: Column, rule: Rule, words: list[str]) -> Column:
-    """Whether a document's postings satisfy the rule's query; true for a rule without trigrams."""
+    Each set's posting lists are intersected: a row is in all of them if it has as many postings as the set has trigrams.
+    """
     at = {w: k for k, w in enumerate(words)}
-    out = F.lit(False)
-    for s in trigram_query(rule.pattern):
-        fits = F.lit(True)
-        for part in range(-(-max(1, len(words)) // 62)):
-            need = sum(1 << at[t] % 62 for t in s if at[t] // 62 == part)
-            if need:
-                fits = fits & (bitmaps[part].bitwiseAND(F.lit(need).cast("long")) == F.lit(need).cast("long"))
-        out = out | fits
-    return out
+    queries = [(k, s) for k, r in enumerate(rules) for s in trigram_query(r.pattern) if s]
+    wanted = [(at[t], n, k, len(s)) for n, (k, s) in enumerate(queries) for t in sorted(s)]
+    sets = index.sparkSession.createDataFrame(wanted, "word int, set int, rule int, need int")  # as many rows as the rules have trigrams
+    lists = index.join(F.broadcast(sets), "word")
+    both = lists.groupBy("row", "set", "rule", "need").agg(F.count("*").alias("n")).filter("n = need")
+    return both.groupBy("row").agg(F.bit_or(F.expr("shiftleft(1L, rule)")).alias("rules"))
 
 
 def rule_spans(text: Column, rule: Rule, order: int) -> Column:
-    """Array of (start, order, end) of the rule's matches, leftmost first, in code points."""
-    pattern = F.lit(rule.java)
-    found, between = F.regexp_extract_all(text, pattern, F.lit(0)), F.split(text, rule.java, -1)
-    held = F.regexp_extract_all(text, pattern, F.lit(rule.group)) if rule.group else found
-    sizes = F.arrays_zip(F.transform(F.slice(between, 1, F.size(found)), F.length).alias("gap"), F.transform(found, F.length).alias("own"), F.transform(held, F.length).alias("held"))
-    nothing = F.expr("cast(array() as array<struct<start:int,kind:int,end:int>>)")
+    """Array of (start, kind, end) of the rule's matches, leftmost first, in code points.
+
+    One pass of the expression puts marks around each match and its group; all lengths follow from the marks. Marks in the text
+    itself are first replaced by another control character, which no rule matches either.
+    """
+    plain = F.translate(text, "\x01\x02\x03", "\x04\x04\x04")
+    marked = F.regexp_replace(plain, F.lit(rule.java), F.lit(f"\x01$0\x02{f'${rule.group}' if rule.group else ''}\x03"))
+    parts = F.split(marked, "\x01", -1)
+
+    def sizes(part: Column) -> Column:
+        own, rest = F.length(F.substring_index(part, "\x02", 1)), F.substring_index(part, "\x02", -1)
+        held = F.length(F.substring_index(rest, "\x03", 1)) if rule.group else own
+        return F.struct(own.alias("own"), held.alias("held"), F.length(F.substring_index(rest, "\x03", -1)).alias("gap"))
 
     def step(acc, x):
-        begin = acc["at"] + x["gap"]
-        span = F.struct(begin.alias("start"), F.lit(order).alias("kind"), (begin + x["own"]).alias("end"))
-        return F.struct((begin + x["own"]).alias("at"), F.when(x["held"] >= rule.least, F.concat(acc["spans"], F.array(span))).otherwise(acc["spans"]).alias("spans"))
+        end = acc["at"] + x["own"]
+        span = F.struct(acc["at"].alias("start"), F.lit(order).alias("kind"), end.alias("end"))
+        return F.struct((end + x["gap"]).alias("at"), F.when(x["held"] >= rule.least, F.concat(acc["spans"], F.array(span))).otherwise(acc["spans"]).alias("spans"))
+
+    matches = F.transform(F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0))), sizes)
+    return F.aggregate(matches, F.struct(F.length(parts[0]).alias("at"), NOTHING().alias("spans")), step, lambda acc: acc["spans"])
+
 
-    return F.aggregate(sizes, F.struct(F.lit(0).alias("at"), nothing.alias("spans")), step, lambda acc: acc["spans"])
+def NOTHING() -> Column:
+    return F.expr("cast(array() as array<struct<start:int,kind:int,end:int>>)")
 
 
 def secret_scan(docs: DataFrame, rules=RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -171,14 +180,15 @@ def secret_scan(docs: DataFrame, rules=RULES, id_col: str = "doc_id", text_col:
     rows each give a row; an empty table gives none; other columns are ignored.
     """
     words = vocabulary(rules)
-    nothing = F.expr("cast(array() as array<struct<start:int,kind:int,end:int>>)")
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
-    indexed = rows.withColumn("bits", postings(F.col("t"), words))
-    found = []
-    for k, rule in enumerate(rules):
-        passes = candidate(F.col("bits"), rule, words) & F.col("t").rlike(rule.java)
-        found.append(F.when(passes, rule_spans(F.col("t"), rule, k)).otherwise(nothing))
-    spans = indexed.select("id", F.array_sort(F.concat(*found)).alias("s"))
+    indexed = [k for k, r in enumerate(rules) if all(trigram_query(r.pattern))]
+    # Rows get their numbers once, when written; index, scan and verification read the same files.
+    rows = staged(docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"), F.monotonically_increasing_id().alias("row")), "scanned")
+    scanned = [F.when(F.col("t").rlike(r.java), rule_spans(F.col("t"), r, k)).otherwise(NOTHING()) for k, r in enumerate(rules) if k not in indexed]
+    scans = rows.select("id", "row", (F.concat(*scanned) if scanned else NOTHING()).alias("scanned"))
+    named = candidates(build_index(rows, words), rules, words)
+    verified = [F.when(F.col("rules").bitwiseAND(F.lit(1 << k).cast("long")) != 0, rule_spans(F.col("t"), rules[k], k)).otherwise(NOTHING()) for k in indexed]
+    found = named.join(rows.select("row", "t"), "row").select("row", F.concat(NOTHING(), *verified).alias("verified"))
+    spans = scans.join(found, "row", "left").select("id", F.array_sort(F.concat("scanned", F.coalesce("verified", NOTHING()))).alias("s"))
     kinds = F.array(*[F.lit(r.kind) for r in rules])
     base = [k for k, r in enumerate(rules) if r.base]
 

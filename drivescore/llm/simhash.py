@@ -25,12 +25,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
-from .common import connected_components, staged
+from .common import bounded_batches, connected_components, staged
 
 SEED = 42
 RADIUS = 2
 CHUNK = 1 << 18
+HOT_ROWS = 65_536
 
 
 def simhash(text: str | None, words: int = 3) -> int:
@@ -55,16 +57,17 @@ def simhash(text: str | None, words: int = 3) -> int:
     return int(np.packbits(2 * total > shingles, bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id and fp (the fingerprint's bits as a signed long) for every row; null text: 0."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str | None = None) -> DataFrame:
+    """id and fp (the fingerprint's bits as a signed long) for every row; null text: 0. ``keep``: a long to carry as h."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fps = np.fromiter((simhash(t.as_py()) for t in b.column(1)), np.uint64, b.num_rows)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64))], names=["id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64)), *b.columns[2:]], names=["id", "fp", *b.schema.names[2:]])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).mapInArrow(run, f"id {kind}, fp long")
+    more = [F.col(keep).alias("h")] if keep else []
+    return bounded_batches(docs).select(F.col(id_col).alias("id"), F.col(text_col).alias("t"), *more).mapInArrow(run, f"id {kind}, fp long" + ", h long" * bool(keep))
 
 
 def bk_components(nodes: np.ndarray, radius: int = RADIUS) -> np.ndarray:
@@ -156,6 +159,20 @@ def near_links(nodes: DataFrame, large: int = 4096) -> DataFrame:
     return shards.select("shard", "fp").repartition("shard").sortWithinPartitions("shard", "fp").mapInArrow(_stars, "a long, b long")
 
 
+def with_components(rows: DataFrame) -> DataFrame:
+    """``rows`` (id, fp and more) with component_id: the smallest id that links reach."""
+    nodes = staged(rows.groupBy("fp").agg(F.min("id").alias("low"), F.count("*").alias("n")), "nodes")
+    roots = connected_components(near_links(nodes)).withColumnRenamed("node", "fp")
+    members = nodes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    lowest = members.groupBy("root").agg(F.min("low").alias("component_id"))
+    named = staged(members.join(lowest, "root").select("fp", "n", "component_id"), "components")
+    # Fingerprints of very many rows are at most rows / HOT_ROWS: they are broadcast, so that none of their rows moves.
+    hot = named.filter(F.col("n") > HOT_ROWS).select(F.col("fp").alias("hot_fp"), F.col("component_id").alias("hot_id"), F.lit(True).alias("hot"))
+    marked = rows.join(F.broadcast(hot), F.col("fp") == F.col("hot_fp"), "left").drop("hot_fp")
+    rest = marked.filter("hot is null").drop("hot", "hot_id").join(named.filter(F.col("n") <= HOT_ROWS).select("fp", "component_id"), "fp")
+    return marked.filter("hot").withColumn("component_id", F.col("hot_id")).select(*rows.columns, "component_id").unionByName(rest.select(*rows.columns, "component_id"))
+
+
 def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: id, fingerprint (16 hexadecimal digits), component_id.
 
@@ -167,21 +184,27 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     are ignored.
     """
     rows = staged(fingerprints(docs, id_col, text_col), "fingerprints")
-    nodes = staged(rows.groupBy("fp").agg(F.min("id").alias("low")), "nodes")
-    roots = connected_components(near_links(nodes)).withColumnRenamed("node", "fp")
-    members = nodes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    lowest = members.groupBy("root").agg(F.min("low").alias("component_id"))
-    named = members.join(lowest, "root").select("fp", "component_id")
-    return rows.join(named, "fp").select(
-        F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
-    )
+    return with_components(rows).select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay: of each component the one with the smallest id."""
-    groups = simhash_groups(docs, id_col, text_col)
-    out = groups.filter(~F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("__gone")).distinct()
-    return docs.join(out, F.col(id_col).eqNullSafe(F.col("__gone")), "left_anti").select(*docs.columns)
+    """The rows of ``docs`` that stay, with all their columns: one of each component.
+
+    It is the row with the smallest id, null ids after all others; of several rows with that id the one whose text has the smallest
+    hash. Rows are told apart by id and text, so rows that share an id with a copy, or have none, stay if
+    their own component has no better. Of repeated rows one stays. Null and empty texts are copies of each
+    other. An empty table gives no rows.
+    """
+    text_hash = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+    rows = staged(fingerprints(docs.withColumn("__h", text_hash), id_col, text_col, keep="__h"), "fingerprints")
+    # Components without any id are named by their fingerprints' root, so that they do not mix.
+    numbered = with_components(rows.withColumnRenamed("id", "own").withColumn("id", F.col("fp")))
+    best = F.min(F.struct(F.col("own").isNull().alias("none"), F.col("own").alias("id"), F.col("h").alias("h")))
+    stay = numbered.groupBy("component_id").agg(best.alias("b")).select(F.coalesce(F.col("b.id").cast("string"), F.lit("")).alias("__id"), F.col("b.none").alias("__none"), F.col("b.h").alias("__h"))
+    keys = ["__id", "__none", "__h"]
+    keyed = docs.withColumns({"__id": F.coalesce(F.col(id_col).cast("string"), F.lit("")), "__none": F.col(id_col).isNull(), "__h": text_hash})
+    one = W.partitionBy(*keys).orderBy(F.lit(1))
+    return keyed.join(stay, keys, "left_semi").withColumn("__one", F.row_number().over(one)).filter("__one = 1").select(*docs.columns)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

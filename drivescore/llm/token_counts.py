@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bounded_batches, release
 from .words import WordTable, sums
 
 MARK = "▁"
@@ -93,7 +94,7 @@ def token_counts(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trie = ForwardTrie(piece_scores(model_file))
-        table = WordTable(lambda words: np.array([[trie.count(MARK + w)] for w in words], np.float32), 1)
+        table = WordTable(lambda words: np.array([[trie.count(MARK + w)] for w in words], np.float64), 1, kind=np.float64)
         for b in batches:
             texts, words, tokens = [t or "" for t in b.column(1).to_pylist()], [], []
             for rows, counts in table.groups(texts):
@@ -101,9 +102,10 @@ def token_counts(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_
                 tokens.append(sums(table.values[rows], counts)[:, 0])
             columns = [b.column(0), *(pa.array(np.concatenate([np.zeros(0), *x]).astype(np.int64)) for x in (words, tokens))]
             yield pa.RecordBatch.from_arrays(columns, names=[id_col, "n_pretokens", "n_tokens"])
+        release(table.known, trie.children)
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col), F.col(text_col).alias("__text")).mapInArrow(run, f"`{id_col}` {kind}, n_pretokens long, n_tokens long")
+    return bounded_batches(docs.select(F.col(id_col), F.col(text_col).alias("__text"))).mapInArrow(run, f"`{id_col}` {kind}, n_pretokens long, n_tokens long")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

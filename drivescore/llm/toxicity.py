@@ -1,14 +1,15 @@
 """Toxicity by a linear-chain conditional random field over the words of a text.
 
-Labels are given for documents, so token labels are derived: among the sampled labelled rows, a
-word whose form or prefix is far likelier in toxic documents is a toxic token of those. The field
-has two states, features of a word (log-odds of its form and of its prefixes of 4 to 6 letters) and
-of its neighbours, and learned transitions. Forward-backward gives each word's marginal; a document's
+The field has two states and tags each word as plain or toxic. A word's features are the log-odds, in a lexicon of the
+sample, of its form and of its prefixes of 4 to 6 letters; the field also has a bias and transitions. Labels are given for
+documents, not for words, so the words' states are hidden: each toxic word is noticed with probability ``NOTICE``, a document
+has label 1 if one was, and the weights maximise the likelihood of the documents' labels (``fit_chain``). No threshold
+on a word's counts names its state. Forward-backward gives each word's marginal; a document's
 score is a logistic of the marginals' sum and maximum, fitted on the sample and set to the share
 of toxic rows in all labelled training rows. Spans are the runs of words whose marginal is 0.5 or
 more, as code point offsets.
 
-Most words have no feature at all. Their factor is the same matrix, so the exact recursions step over
+Most words have no weight at all. Their factor is the same matrix, so the exact recursions step over
 a run of k such words by that matrix' k-th power and touch only the others.
 
 The sample holds about ``SAMPLE_ROWS`` training rows of each label, chosen by a hash of the id, one
@@ -17,6 +18,7 @@ for each minimum hash of 5-word shingles so that copies count once. Its model is
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
@@ -26,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import bounded_batches, release, staged
 from .words import WordTable
 
 SAMPLE_ROWS = 6000
@@ -35,9 +37,10 @@ THRESHOLD = 0.3
 PREFIXES = (4, 5, 6)
 LEAST_DOCS = 3
 DOUBT = 1.5
-LEAST_ODDS = 1.5
-TOXIC_ODDS = 2.0
-FEATURES = 4 + len(PREFIXES)  # bias, form, prefixes, the two neighbours
+NOTICE = 0.45
+WIDTH, WINDOWS = 9, 8
+LEAST_ODDS = 0.5
+SPAN = "array<struct<start:long,end:long,p:double>>"
 
 
 def core(word: str) -> str:
@@ -52,7 +55,8 @@ def keys(word: str) -> list[str]:
 @dataclass
 class Tagger:
     lexicon: dict[str, float]
-    weights: np.ndarray = field(default_factory=lambda: np.zeros(FEATURES))
+    weights: np.ndarray = field(default_factory=lambda: np.array([1.0, *(0.0 for _ in PREFIXES)]))
+    bias: float = -4.0
     moves: np.ndarray = field(default_factory=lambda: np.zeros((2, 2)))
     calibration: np.ndarray = field(default_factory=lambda: np.array([-3.0, 1.0, 3.0]))
 
@@ -67,134 +71,139 @@ class Tagger:
         self.__post_init__()
 
     def word_features(self, words: list[str]) -> np.ndarray:
-        """Log-odds of form and prefixes (0: not in the lexicon), and their maximum."""
-        out = np.zeros((len(words), 2 + len(PREFIXES)), np.float32)
+        """Log-odds of a word's form and of its prefixes; 0 where the lexicon has none."""
+        out = np.zeros((len(words), 1 + len(PREFIXES)))
         for k, w in enumerate(words):
-            c = core(w)
-            if c:
-                out[k, 0] = self.lexicon.get(c, 0.0)
-                for j, n in enumerate(PREFIXES, 1):
-                    if len(c) > n:
-                        out[k, j] = self.lexicon.get(f"{c[:n]}*", 0.0)
-        out[:, -1] = out[:, :-1].max(1)
+            if c := core(w):
+                for key in keys(c):
+                    if key in self.lexicon:
+                        out[k, 0 if key[-1] != "*" else PREFIXES.index(len(key) - 1) + 1] = self.lexicon[key]
         return out
 
-    @staticmethod
-    def chain_features(x: np.ndarray) -> np.ndarray:
-        """Features of each word of a text: bias, own log-odds, and the neighbours' maxima."""
-        best = x[:, -1]
-        before, after = np.concatenate(([0], best[:-1])), np.concatenate((best[1:], [0]))
-        return np.column_stack([np.ones(len(x)), x[:, :-1], before, after])
+    def word_weights(self, words: list[str]) -> np.ndarray:
+        """Weight of each word, as a column; 0 for a word without any feature."""
+        return (self.word_features(words) @ self.weights)[:, None].astype(np.float32)
 
     def _power(self, k: int) -> np.ndarray:
-        step = np.exp(self.moves) * np.array([1.0, np.exp(self.weights[0])])
-        out = np.linalg.matrix_power(step / np.abs(np.linalg.eigvals(step)).max(), k)
-        return out
+        step = np.exp(self.moves) * np.array([1.0, np.exp(self.bias)])
+        return np.linalg.matrix_power(step / np.abs(np.linalg.eigvals(step)).max(), k)
 
     def marginals(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Places with a feature in them or beside them, and each one's marginal of being toxic."""
-        hit = np.flatnonzero(x[:, -1] > 0)
+        """Places of a text's weighted words and those beside them, and each one's marginal of being toxic.
+
+        ``x`` has the weight of each word of the text.
+        """
+        hit = np.flatnonzero(x)
         if not len(hit):
             return hit, np.zeros(0)
         n = len(x)
         places = np.unique(np.clip(np.concatenate((hit - 1, hit, hit + 1)), 0, n - 1))
-        near = np.unique(np.clip(np.concatenate((places - 1, places, places + 1)), 0, n - 1))
-        f = self.chain_features(x[near])[np.searchsorted(near, places)]
-        # The neighbours of a place in ``near`` are its neighbours in the text.
-        unary = np.column_stack([np.ones(len(places)), np.exp(np.clip(f @ self.weights, -50, 50))])
+        unary = np.column_stack([np.ones(len(places)), np.exp(np.clip(self.bias + x[places].astype(float), -50, 50))])
         step = np.exp(self.moves)
-        start = self._start(int(places[0]))
-        forward = np.empty((len(places), 2))
-        a = start * unary[0]
+        forward, backward = np.empty((len(places), 2)), np.empty((len(places), 2))
+        a = self._start(int(places[0])) * unary[0]
         forward[0] = a / a.sum()
-        for k in range(1, len(places)):
-            gap = int(places[k] - places[k - 1]) - 1
+        gaps = (np.diff(places) - 1).tolist()
+        for k, gap in enumerate(gaps, 1):
             a = forward[k - 1] @ self.powers(gap) @ step * unary[k] if gap else forward[k - 1] @ step * unary[k]
             forward[k] = a / a.sum()
-        backward = np.empty((len(places), 2))
         b = self.powers(n - 1 - int(places[-1])) @ np.ones(2)
         backward[-1] = b / b.sum()
         for k in range(len(places) - 2, -1, -1):
-            gap = int(places[k + 1] - places[k]) - 1
             b = step @ (unary[k + 1] * backward[k + 1])
-            if gap:
-                b = self.powers(gap) @ b
+            if gaps[k]:
+                b = self.powers(gaps[k]) @ b
             backward[k] = b / b.sum()
         p = forward * backward
         return places, p[:, 1] / p.sum(1)
 
     def _start(self, before: int) -> np.ndarray:
-        """Weights of the two states that meet the first featured place, after ``before`` plain words."""
+        """Weights of the two states that meet the first weighted place, after ``before`` plain words."""
         if not before:
             return np.ones(2)
-        first = np.array([1.0, np.exp(self.weights[0])])
+        first = np.array([1.0, np.exp(self.bias)])
         v = first @ self.powers(before - 1) @ np.exp(self.moves)
         return v / v.sum()
 
-    def summary(self, x: np.ndarray) -> tuple[float, float]:
-        """Sum and maximum of the marginals of a text's featured places."""
-        _, p = self.marginals(x)
-        return (float(p.sum()), float(p.max())) if len(p) else (0.0, 0.0)
-
-    def fit_chain(self, x: np.ndarray, y: np.ndarray, rounds: int = 150, rate: float = 0.1, decay: float = 1e-3) -> None:
-        """Maximum conditional likelihood on windows of one length: features x[w, t, f], states y[w, t]."""
-        n, length, _ = x.shape
-        if not n:
-            return
-        theta, m, v = np.concatenate((self.weights, self.moves.ravel())), 0.0, 0.0
-        observed = np.concatenate(((x * y[..., None]).sum((0, 1)), [np.sum((y[:, :-1] == i) & (y[:, 1:] == j)) for i in (0, 1) for j in (0, 1)])) / n
-        for k in range(1, rounds + 1):
-            w, step = theta[: x.shape[2]], np.exp(theta[x.shape[2] :].reshape(2, 2))
-            unary = np.stack([np.ones((n, length)), np.exp(np.clip(x @ w, -50, 50))], -1)
-            fw, bw = np.empty((n, length, 2)), np.ones((n, length, 2))
-            fw[:, 0] = unary[:, 0] / unary[:, 0].sum(1, keepdims=True)
-            for t in range(1, length):
-                a = fw[:, t - 1] @ step * unary[:, t]
-                fw[:, t] = a / a.sum(1, keepdims=True)
-            for t in range(length - 2, -1, -1):
-                b = (unary[:, t + 1] * bw[:, t + 1]) @ step.T
-                bw[:, t] = b / b.sum(1, keepdims=True)
-            p = fw * bw
-            p /= p.sum(2, keepdims=True)
-            pair = fw[:, :-1, :, None] * step * (unary[:, 1:] * bw[:, 1:])[:, :, None, :]
-            pair /= pair.sum((2, 3), keepdims=True)
-            expected = np.concatenate((np.einsum("wtf,wt->f", x, p[..., 1]), pair.sum((0, 1)).ravel())) / n
-            g = observed - expected - decay * theta
-            m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
-            theta = theta + rate * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.99**k)) + 1e-8)
-        self.weights, self.moves = theta[: x.shape[2]], theta[x.shape[2] :].reshape(2, 2)
-        self.powers.cache_clear()
-
     def score(self, total: np.ndarray, most: np.ndarray) -> np.ndarray:
         z = self.calibration[0] + self.calibration[1] * np.log1p(total) + self.calibration[2] * most
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
+def chain_sums(unary: np.ndarray, step: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(log Z, marginals p[w, t], expected numbers of the four moves) of windows of equal length."""
+    n, length = unary.shape
+    fw, bw, log_z = np.empty((n, length, 2)), np.ones((n, length, 2)), np.zeros(n)
+    for t in range(length):
+        a = fw[:, t - 1] @ step if t else np.ones((n, 2))
+        a[:, 1] *= unary[:, t]
+        z = a.sum(1)
+        fw[:, t], log_z = a / z[:, None], log_z + np.log(z)
+    moves = np.zeros((n, 4))
+    for t in range(length - 1, 0, -1):
+        b = bw[:, t].copy()
+        b[:, 1] *= unary[:, t]
+        pair = (fw[:, t - 1, :, None] * step * b[:, None, :]).reshape(n, 4)
+        moves += pair / pair.sum(1, keepdims=True)
+        b = b @ step.T
+        bw[:, t - 1] = b / b.sum(1, keepdims=True)
+    p = fw * bw
+    return log_z, p[:, :, 1] / p.sum(2), moves
+
+
+def fit_chain(x: np.ndarray, doc: np.ndarray, toxic: np.ndarray, rounds: int = 150, rate: float = 0.1, decay: float = 1e-3) -> tuple[np.ndarray, float, np.ndarray]:
+    """Weights, bias and transitions of largest likelihood of the documents' labels, with the words' states hidden.
+
+    ``x[w, t]`` are the features of word t of window w; ``doc[w]`` is the window's
+    document, ``toxic[d]`` its label. A toxic word is noticed with probability ``NOTICE``; label 1 means that one was. The
+    probability of label 0 is then R = Z' / Z, where Z' has the factors of toxic words times 1 - NOTICE. The gradient of log R is
+    E'[f] - E[f], that of log(1 - R) is R / (1 - R) (E[f] - E'[f]).
+    """
+    n, size = len(toxic), x.shape[2]
+    theta = prior = np.concatenate(([1.0], np.zeros(size - 1), [-4.0], np.zeros(4)))
+    decays = np.repeat((decay, 50 * decay), (size + 1, 4))  # transitions stay weak where texts don't tell
+    m = v = np.zeros(len(theta))
+    for k in range(1, rounds + 1):
+        step = np.exp(theta[-4:].reshape(2, 2))
+        unary = np.exp(np.clip(theta[-5] + x @ theta[:size], -50, 50))
+        log_z, p, moves = chain_sums(unary, step)
+        log_u, q, missed = chain_sums(unary * (1 - NOTICE), step)
+        log_r = np.minimum(np.bincount(doc, log_u - log_z, n), -1e-9)
+        pull = np.where(toxic, np.exp(log_r) / -np.expm1(log_r), -1.0)[doc]
+        more = pull[:, None] * (p - q)
+        g = np.concatenate((np.einsum("wt,wtf->f", more, x), [more.sum()], pull @ (moves - missed))) / n - decays * (theta - prior)
+        m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
+        theta = theta + rate * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.99**k)) + 1e-8)
+    return theta[:size], float(theta[-5]), theta[-4:].reshape(2, 2)
+
+
 def held_out(id_col: str):
     """Whether crc32 of the id as text leaves 2 modulo 4; false for a null id."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % FOLDS == HELD, F.lit(False))
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, rows: int) -> tuple[DataFrame, dict[int, int]]:
-    """(label, text) of the sample, and the numbers of all labelled training rows by label."""
+    """(label, kind, text) of the sample, one row for each label and kind, and the numbers of all labelled training rows by label."""
     known = labels.filter(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1) & ~held_out(id_col)).select(F.col(id_col).alias("l_id"), F.col(label_col).cast("int").alias("label")).distinct()
     counts = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count("*").alias("n")).collect()}
     u = F.shiftrightunsigned(F.xxhash64("l_id", F.lit("toxic sample")), 11) / F.lit(float(1 << 53))
     most = F.when(F.col("label") == 1, rows / max(1, counts.get(1, 0))).otherwise(rows / max(1, counts.get(0, 0)))
     chosen = F.broadcast(known.filter(u < most))  # about 2 * rows ids: bounded by the parameter
-    sample = docs.filter(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(chosen, F.col("id") == F.col("l_id"))
+    sample = bounded_batches(docs).filter(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(chosen, F.col("id") == F.col("l_id"))
 
     def kind(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh64_intdigest
 
         for b in batches:
             low = []
-            for t in b.column("text").to_pylist():
-                w = t.lower().split()
+            for t in b.column("text"):
+                w = t.as_py().lower().split()
                 low.append(min(xxh64_intdigest(" ".join(w[k : k + 5])) for k in range(max(1, len(w) - 4))) >> 1)
             yield pa.RecordBatch.from_arrays([b.column("label"), b.column("text"), pa.array(low, pa.int64())], names=["label", "text", "kind"])
 
-    return sample.select("label", "text").mapInArrow(kind, "label int, text string, kind long").dropDuplicates(["label", "kind"]).select("label", "text"), counts
+    rows = sample.select("label", "text").mapInArrow(kind, "label int, text string, kind long")
+    # Of equal kinds the text of least hash, so that the model is the same in every run.
+    return rows.groupBy("label", "kind").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text")), counts
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", rows: int = SAMPLE_ROWS) -> Tagger:
@@ -205,8 +214,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             seen: dict[str, list[int]] = {}
-            for label, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                for key in {k for w in set(map(core, set(text.split()))) if w for k in keys(w)}:
+            for label, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                for key in {k for w in set(map(core, set(text.as_py().split()))) if w for k in keys(w)}:
                     seen.setdefault(key, [0, 0])[label] += 1
             yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array([c[1] for c in seen.values()], pa.int64()), pa.array([c[0] for c in seen.values()], pa.int64())], names=["key", "bad", "good"])
 
@@ -217,43 +226,54 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         share = counts.get(1, 0) / max(1, sum(counts.values()))
         tagger.calibration = np.array([np.log((share + 1e-6) / (1 - share + 1e-6)), 0.0, 0.0])
         return tagger
-    # Lower bound of the log-odds: a few rows alone don't make a rare word toxic.
+    # The lexicon has the log-odds of forms and prefixes that toxic documents favour beyond doubt, as far as that bound, and of
+    # words with such a prefix that clean ones favour.
     odds = F.log((F.col("bad") + 0.5) / (bad + 1)) - F.log((F.col("good") + 0.5) / (good + 1))
-    odds = odds - DOUBT * F.sqrt(1 / (F.col("bad") + 0.5) + 1 / (F.col("good") + 0.5))
-    found = sample.mapInArrow(tally, "key string, bad long, good long").groupBy("key").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
-    found = found.filter(F.col("bad") >= LEAST_DOCS).select("key", odds.alias("odds")).filter(F.col("odds") >= LEAST_ODDS)
-    tagger.lexicon = {r["key"]: r["odds"] for r in found.collect()}  # bounded by the sample
-
-    width = 17
+    doubt = DOUBT * F.sqrt(1 / (F.col("bad") + 0.5) + 1 / (F.col("good") + 0.5))
+    counted = sample.select("label", "text").mapInArrow(tally, "key string, bad long, good long").groupBy("key").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
+    counted = staged(counted.filter(F.greatest("bad", "good") >= LEAST_DOCS).select("key", "bad", odds.alias("odds"), doubt.alias("doubt")), "toxic_words")
+    found = counted.filter((F.col("bad") >= LEAST_DOCS) & (F.col("odds") - F.col("doubt") > LEAST_ODDS))
+    tagger.lexicon = {r["key"]: r["odds"] - r["doubt"] for r in found.collect()}  # bounded by the sample
+    stems = F.broadcast(found.filter(F.col("key").endswith("*")).select(F.col("key").alias("stem")))
+    forms = counted.filter((F.col("odds") + F.col("doubt") < 0) & ~F.col("key").endswith("*"))
+    forms = forms.withColumn("stem", F.explode(F.array(*[F.concat(F.substring("key", 1, n), F.lit("*")) for n in PREFIXES])))
+    tagger.lexicon |= {r["key"]: r["odds"] + r["doubt"] for r in forms.join(stems, "stem", "left_semi").select("key", "odds", "doubt").distinct().collect()}
     shared = spark.sparkContext.broadcast(tagger)
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = shared.value
         for b in batches:
-            xs, ys = [], []
-            for label, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                f = t.word_features(text.split())
-                if len(f) < width:
-                    f = np.concatenate((f, np.zeros((width - len(f), f.shape[1]), f.dtype)))
-                hits = np.flatnonzero(f[:, -1] > 0)
-                starts = {0, *np.clip(hits[:: max(1, len(hits) // 4)][:4] - width // 2, 0, len(f) - width).tolist()}
-                x = t.chain_features(f)
-                for s in sorted(starts):
-                    xs.append(x[s : s + width].ravel())
-                    ys.append((label * (f[s : s + width, -1] >= TOXIC_ODDS)).astype(np.int8))
-            yield pa.RecordBatch.from_arrays([pa.array([x.tolist() for x in xs], pa.list_(pa.float32())), pa.array([y.tolist() for y in ys], pa.list_(pa.int8()))], names=["x", "y"])
-
-    got = sample.mapInArrow(windows, "x array<float>, y array<tinyint>").toArrow()  # at most 5 windows a sampled row
-    x = got.column("x").combine_chunks().flatten().to_numpy().reshape(-1, width, FEATURES).astype(float)
-    y = got.column("y").combine_chunks().flatten().to_numpy().reshape(-1, width).astype(float)
-    tagger.weights = np.zeros(FEATURES)
-    order = np.lexsort(x.reshape(len(x), -1).T[:8])  # the fit does not depend on the order of tasks
-    tagger.fit_chain(x[order], y[order])
-
-    shared = spark.sparkContext.broadcast(tagger)
-    seen = summaries(sample.select(F.col("label").alias("id"), "text"), shared).toArrow()
-    label = np.array(seen.column(0).to_pylist(), float)
-    z = np.column_stack([np.ones(len(label)), np.log1p(np.array(seen.column(1).to_pylist())), np.array(seen.column(2).to_pylist())])
+            docs, xs = [], []
+            for at, text in enumerate(b.column(1)):
+                f = t.word_features(text.as_py().split())
+                f = np.concatenate((f, np.zeros((max(0, WIDTH - len(f)), f.shape[1]))))
+                strength = f.max(1)
+                hits = np.flatnonzero(strength > 0)
+                covered, own = np.zeros(len(f), bool), 0
+                for h in hits[np.argsort(-strength[hits], kind="stable")].tolist():
+                    s = min(max(0, h - WIDTH // 2), len(f) - WIDTH)
+                    if own < WINDOWS and not covered[s : s + WIDTH].any():
+                        covered[s : s + WIDTH] = True
+                        docs.append(at)
+                        xs.append(f[s : s + WIDTH].ravel())
+                        own += 1
+            at = pa.array(docs, pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(2).take(at), pa.array(xs, pa.list_(pa.float32()))], names=["label", "kind", "x"])
+
+    got = sample.select("label", "text", "kind").mapInArrow(windows, "label int, kind long, x array<float>").toArrow()  # at most WINDOWS a sampled row
+    if got.num_rows:
+        label, kind = (got.column(k).to_numpy() for k in (0, 1))
+        x = got.column(2).combine_chunks().flatten().to_numpy().reshape(len(label), WIDTH, -1).astype(float)
+        order = np.lexsort((*x.reshape(len(x), -1).T[::-1], kind, label))  # the fit does not depend on the order of tasks
+        docs_of, doc = np.unique(np.column_stack((label, kind))[order], axis=0, return_inverse=True)
+        tagger.weights, tagger.bias, tagger.moves = fit_chain(x[order], doc.ravel(), docs_of[:, 0] == 1)
+
+    shared_tagger = spark.sparkContext.broadcast(tagger)
+    seen = summaries(sample.select(F.col("label").alias("id"), "text"), shared_tagger).toArrow()  # a row for each sampled row
+    z = np.column_stack([np.ones(seen.num_rows), np.log1p(seen.column(1).to_numpy()), seen.column(2).to_numpy()])
+    label = seen.column(0).to_numpy().astype(float)
+    order = np.lexsort((z[:, 1], z[:, 2], label))
+    z, label = z[order], label[order]
     beta = np.zeros(3)
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(z @ beta, -30, 30)))
@@ -265,69 +285,61 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return tagger
 
 
-def batch_summaries(t: Tagger, table: WordTable, texts: list[str | None]) -> list[tuple[float, float]]:
-    """(sum, maximum) of the marginals of each text; texts without any feature are not walked."""
-    out = []
+def spans_of(text: str, places: np.ndarray, p: np.ndarray, least: float = 0.5) -> list[dict]:
+    """Runs of words whose marginal is ``least`` or more: code point offsets, and the run's largest marginal."""
+    spans: list[dict] = []
+    toxic = {int(a): float(q) for a, q in zip(places, p, strict=True) if q >= least}
+    if toxic:
+        last = -2
+        for at, m in enumerate(re.finditer(r"\S+", text)):
+            if at in toxic:
+                if at == last + 1:
+                    spans[-1] |= {"end": m.end(), "p": max(spans[-1]["p"], toxic[at])}
+                else:
+                    spans.append({"start": m.start(), "end": m.end(), "p": toxic[at]})
+                last = at
+    return spans
+
+
+def batch_summaries(t: Tagger, table: WordTable, texts: list[str | None]) -> Iterator[tuple[float, float, list[dict]]]:
+    """(sum, maximum, spans) of the marginals of each text; texts without any weighted word are not walked."""
+    at = 0
     for rows, counts in table.groups([x or "" for x in texts]):
-        hit = table.values[rows, -1] > 0
+        x = table.values[rows, 0]
         stops = np.cumsum(counts)
-        hits = np.concatenate(([0], np.cumsum(hit)))
+        hits = np.concatenate(([0], np.cumsum(x != 0)))
         some = hits[stops] > hits[stops - counts]
         for stop, n, any_hit in zip(stops.tolist(), counts.tolist(), some.tolist(), strict=True):
-            out.append(t.summary(table.values[rows[stop - n : stop]]) if any_hit else (0.0, 0.0))
-    return out
+            if any_hit:
+                places, p = t.marginals(x[stop - n : stop])
+                yield float(p.sum()), float(p.max()), spans_of(texts[at] or "", places, p)
+            else:
+                yield 0.0, 0.0, []
+            at += 1
 
 
 def summaries(docs: DataFrame, shared) -> DataFrame:
-    """(id, total, most) of (id, text) rows: sum and maximum of the marginals."""
+    """(id, total, most, spans) of (id, text) rows: sum and maximum of the marginals, and toxic spans."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = shared.value
-        table = WordTable(t.word_features, 2 + len(PREFIXES))
+        table = WordTable(t.word_weights, 1)
+        kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("p", pa.float64())]))
         for b in batches:
-            out = batch_summaries(t, table, b.column(1).to_pylist())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x[0] for x in out], pa.float64()), pa.array([x[1] for x in out], pa.float64())], names=["id", "total", "most"])
+            out = list(batch_summaries(t, table, b.column(1).to_pylist()))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x[0] for x in out], pa.float64()), pa.array([x[1] for x in out], pa.float64()), pa.array([x[2] for x in out], kind)], names=["id", "total", "most", "spans"])
+        release(table.known)
 
     kind = docs.schema["id"].dataType.simpleString()
-    return docs.select("id", "text").mapInArrow(run, f"id {kind}, total double, most double")
-
-
-def toxic_spans(docs: DataFrame, tagger: Tagger, id_col: str = "doc_id", text_col: str = "text", least: float = 0.5) -> DataFrame:
-    """(id, spans): arrays of (start, end, p) for the runs of words whose marginal is ``least`` or more."""
-    import re
-
-    shared = docs.sparkSession.sparkContext.broadcast(tagger)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = shared.value
-        kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("p", pa.float64())]))
-        for b in batches:
-            out = []
-            for text in b.column(1).to_pylist():
-                found = [(m.start(), m.end()) for m in re.finditer(r"\S+", text or "")]
-                places, p = t.marginals(t.word_features([text[s:e] for s, e in found])) if found else ([], [])
-                spans: list[dict] = []
-                last = -2
-                for at, q in zip(places, p, strict=True):
-                    if q >= least:
-                        if spans and at == last + 1:
-                            spans[-1] |= {"end": found[at][1], "p": max(spans[-1]["p"], float(q))}
-                        else:
-                            spans.append({"start": found[at][0], "end": found[at][1], "p": float(q)})
-                        last = at
-                out.append(spans)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, kind)], names=["id", "spans"])
-
-    kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).mapInArrow(run, f"id {kind}, spans array<struct<start:long,end:long,p:double>>").withColumnRenamed("id", id_col)
+    return bounded_batches(docs.select("id", "text")).mapInArrow(run, f"id {kind}, total double, most double, spans {SPAN}")
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", rows: int = SAMPLE_ROWS) -> DataFrame:
-    """One row per row of ``docs``: id, held_out, score, predicted.
+    """One row per row of ``docs``: id, held_out, score, predicted, spans (array of start, end, p).
 
     Learns from labelled rows outside the held-out fold (crc32 of the id as text, mod 4, is 2); a
     null label or id is not learned from, a null id is not held out. Null, empty and unknown texts
-    score the share of toxic rows that the fit leaves for texts without any feature. Without both
+    score the share of toxic rows that the fit leaves for texts without any weighted word, and have no span. Without both
     labels to learn from, every score is the share of label 1 (near 0 if there is no label). Repeated
     rows each give a row; an empty table gives none; other columns are ignored.
     """
@@ -340,23 +352,30 @@ def score_with(docs: DataFrame, tagger: Tagger, id_col: str = "doc_id", text_col
     z = F.lit(a) + F.lit(b) * F.log1p("total") + F.lit(c) * F.col("most")
     score = 1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), z))))
     scored = summaries(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), shared)
-    return scored.withColumn("score", score).select(F.col("id").alias(id_col), held_out("id").alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+    return scored.withColumn("score", score).select(F.col("id").alias(id_col), held_out("id").alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), "spans")
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that are not predicted toxic, with all their columns. Rows stay where they are."""
+    """The rows of ``docs`` that are not predicted toxic, with all their columns; each row stays where it is.
+
+    A null or empty text is kept unless the share of toxic rows is above the threshold; repeated rows are judged each and
+    alike; an empty table gives no rows. Labels as in ``toxicity``.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(train(docs, labels, id_col, text_col))
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = shared.value
-        table = WordTable(t.word_features, 2 + len(PREFIXES))
+        table = WordTable(t.word_weights, 1)
         for b in batches:
-            found = np.array(batch_summaries(t, table, b.column(at).to_pylist())).reshape(-1, 2)
+            found = np.array([x[:2] for x in batch_summaries(t, table, b.column(at).to_pylist())]).reshape(-1, 2)
             yield b.filter(pa.array(t.score(found[:, 0], found[:, 1]) < THRESHOLD))
+        release(table.known)
 
-    return docs.mapInArrow(run, docs.schema)
+    return bounded_batches(docs).mapInArrow(run, docs.schema)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    return toxicity(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    found = toxicity(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    shown = F.array_join(F.transform("spans", lambda x: F.concat_ws(":", x["start"], x["end"])), ",")
+    return found.withColumn("spans", shown)

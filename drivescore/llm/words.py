@@ -7,7 +7,7 @@ from itertools import chain
 
 import numpy as np
 
-CACHED_WORDS = 250_000
+CACHED_WORDS = 120_000
 GROUP_CHARS = 400_000
 MEAN_CHARS = 24
 
@@ -19,11 +19,11 @@ class WordTable:
     when more come it starts afresh.
     """
 
-    def __init__(self, compute: Callable[[list[str]], np.ndarray], width: int, limit: int = CACHED_WORDS):
+    def __init__(self, compute: Callable[[list[str]], np.ndarray], width: int, limit: int = CACHED_WORDS, kind: type = np.float32):
         self.compute, self.limit = compute, limit
         self.known: dict[str, int] = {}
         self.chars = 0
-        self.values = np.zeros((1024, width), np.float32)
+        self.values = np.zeros((1024, width), kind)
 
     def _learn(self, words: list[str]) -> None:
         n, more = len(self.known), len(words)

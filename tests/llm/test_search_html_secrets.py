@@ -17,11 +17,11 @@ def test_topk(spark):
     rows += [(400, None, 1, "x"), (450, [float("nan")] * 6, 1, "x"), (500, [None] * 6, 1, "x"), (550, [float("inf")] + [0.0] * 5, 1, "x"), (600, [1e12] * 6, 1, "x"), (None, rows[1][1], 1, "x"), (100, rows[100][1], 1, "x"), (650, [0.5], 1, "x")]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, v int, dim string")
     got = [(r.query_id, r.rank, r.vec_id, r.score) for r in topk.exact_topk(df).collect()]
-    vectors = {i: [math.floor(256 * c) for c in v] for i, v, *_ in rows if i is not None and v and all(c is not None and math.isfinite(c) for c in v)}
+    vectors = [(i, [math.floor(256 * c) for c in v]) for i, v, *_ in rows if i is not None and v and all(c is not None and math.isfinite(c) for c in v)]
     want = []
-    for q, a in vectors.items():
+    for own, (q, a) in enumerate(vectors):
         if q % 50 == 0:
-            best = sorted((-sum(x * y for x, y in zip(a, b)), c) for c, b in vectors.items() if c != q and len(a) == len(b))[:5]
+            best = sorted((-sum(x * y for x, y in zip(a, b)), c) for at, (c, b) in enumerate(vectors) if at != own and len(a) == len(b))[:5]
             want += [(q, k + 1, c, -s) for k, (s, c) in enumerate(best) if -(2**63) <= -s < 2**63]
     small = [g for g in got if g[0] != 600 and g[2] != 600]
     assert sorted(small) == sorted(w for w in want if w[0] != 600 and w[2] != 600)
@@ -33,11 +33,17 @@ def test_tile_sizes_do_not_matter(spark, monkeypatch):
     rows = [(int(k), rng.normal(size=4).tolist()) for k in range(300)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
     one = sorted(map(tuple, topk.exact_topk(df, every=10).collect()))
-    monkeypatch.setattr(topk, "SHARD", 13)
-    monkeypatch.setattr(topk, "QUERY_BLOCK", 5)
+    monkeypatch.setattr(topk, "TILE", 40)
+    monkeypatch.setattr(topk, "QUERY_BYTES", 500)
     assert sorted(map(tuple, topk.exact_topk(df, every=10, fan=3).collect())) == one
 
 
+def test_repeated_ids_are_rows_of_their_own(spark):
+    rows = [(50, [1.0, 0.0]), (7, [0.1, 0.0]), (7, [0.9, 0.0]), (8, [0.5, 0.0]), (100, [0.0, 1.0]), (100, [0.0, 1.0])]
+    got = sorted((r.query_id, r.rank, r.vec_id, r.score) for r in topk.exact_topk(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), k=2).collect())
+    assert got == [(50, 1, 7, 230 * 256), (50, 2, 8, 128 * 256), (100, 1, 100, 65536), (100, 1, 100, 65536), (100, 2, 7, 0), (100, 2, 7, 0)]
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style></head><body><header class="site-header"><h2>Site</h2></header>
 <nav><ul><li><a href="/a">Home page link</a></li><li>More</li></ul></nav><div class="ad">Buy this thing now</div>
 <div class="cookie-notice">We use cookies</div><aside id="sidebar"><p>Popular posts here</p></aside>
