@@ -36,13 +36,14 @@ CONSEQUENCE_CLASSES = {
 }
 CLASSES = ["missense", "nonsense", "splicing", "synonymous"]
 PTMS = ["Acetylation", "Methylation", "Phosphorylation", "Regulatory_Site", "Ubiquitination"]
+# The model columns in their order.
 FEATURES = ["CLUSTL", "HotMaps", "smRegions", "PhyloP", "nmd", *PTMS, *[f"csqn_type_{c}" for c in CLASSES]]
 
 # Fixed values: (least discovery index, least number of mutations) of the selection tiers, and the least F-score.
 TIERS = [(0.0, 50), (0.5, 30), (0.75, 0)]
 LEAST_FSCORE = 0.8
 
-# Features that cannot act through a variant of the class, and so are 0 for it.
+# Features that cannot act through a variant of the class, and so are 0 for it.
 RECTIFIED = {
     "synonymous": ["CLUSTL", "HotMaps", "smRegions", "nmd", *PTMS],
     "missense": ["nmd"],
@@ -76,6 +77,26 @@ def parse_aa_position(aachange: Column, strict: bool = True) -> Column:
     return F.regexp_extract(aachange, r"(\d+)", 1).try_cast("int")
 
 
+def protein_change(position: Column, amino_acids: Column) -> Column:
+    """A33C of position 33 and A/C; '.' for position '-'; NULL if either is."""
+    return F.when(position == "-", F.lit(".")).otherwise(F.concat(F.substring(amino_acids, 1, 1), position.cast("string"), F.substring(amino_acids, -1, 1)))
+
+
+def split_location(location: Column) -> dict[str, Column]:
+    """chr and pos of chr:pos."""
+    parts = F.split(location, ":")
+    return {"chr": parts[0], "pos": parts[1].cast("int")}
+
+
+def row_max_flags(*flags: Column) -> Column:
+    """1 if any flag is; NULL flags are passed over."""
+    return F.greatest(*flags)
+
+
+def class_threshold(score: Column, threshold: float = 0.5) -> Column:
+    return score >= threshold
+
+
 def nmd_flag(exon: Column, first_exon: bool = False) -> Column:
     """1 for the last exon of k/n (and the first, if asked for); 0 otherwise and for anything else."""
     k, n = F.regexp_extract(exon, r"^(\d+)/(\d+)$", 1), F.regexp_extract(exon, r"^(\d+)/(\d+)$", 2)

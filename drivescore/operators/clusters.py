@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from drivescore.functions.variants import excess, normalize_chrom
+from drivescore.sources.tables import required
 
 # The impact classes and the selection estimate of each.
 IMPACT_ESTIMATES = {"Missense": "wmis", "Nonsense": "wnon", "Essential_Splice": "wspl"}
@@ -64,8 +65,8 @@ def attach_ttypes(samples: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def filter_driver_snvs(df: DataFrame, drivers: DataFrame, gene: str = "gene", impact: str = "impact") -> DataFrame:
-    """Single-base changes of driver genes."""
-    return df.filter(F.col(impact) != "no-SNV").join(drivers.select(gene).distinct(), gene, "left_semi")
+    """Single-base changes of driver genes; an error if there is none."""
+    return required(df.filter(F.col(impact) != "no-SNV").join(drivers.select(gene).distinct(), gene, "left_semi"), "mutations of driver genes")
 
 
 def filter_by_excess(df: DataFrame, estimates: DataFrame, threshold: float = 0.85, gene: str = "gene", impact: str = "impact") -> DataFrame:

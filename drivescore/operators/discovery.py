@@ -89,6 +89,12 @@ def discovery_index(fits: DataFrame, sizes: DataFrame, keys: list[str]) -> DataF
     return out.select(*keys, "n_samples", F.col("_q")[1].alias("discovery_index"), F.col("_q")[2].alias("discovery_high"), F.col("_q")[0].alias("discovery_low"))
 
 
+def discovery_table(index: DataFrame, curves: DataFrame, mutations: DataFrame, keys: list[str]) -> DataFrame:
+    """``index`` with n_muts (of ``mutations``: keys, n_muts) and n_unique_muts, the curves' value with all samples."""
+    last = curves.groupBy(*keys).agg(F.max("n_unique").alias("n_unique_muts"))
+    return index.join(mutations.select(*keys, "n_muts"), keys, "left").na.fill(0, ["n_muts"]).join(last, keys)
+
+
 def fitted_curve_points(fits: DataFrame, sizes: DataFrame, keys: list[str], points: int = 50) -> DataFrame:
     """(keys, point, x, y): mean of the replicates' curves at equal steps of 0 to N."""
     rows = fits.join(sizes, keys).withColumn("point", F.explode(F.sequence(F.lit(0), F.lit(points - 1)))).withColumn("x", F.col("point") * F.col("n_samples") / (points - 1))

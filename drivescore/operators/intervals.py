@@ -29,16 +29,31 @@ def points_in(points: DataFrame, intervals: DataFrame, keys: list[str], pos: str
     return left.join(right, on, how).drop("_bin", "_r_bin", *[f"_r_{k}" for k in keys])
 
 
+def interval_levels(sites: DataFrame, clusters: DataFrame, name: str = "level", chrom: str = "chr", pos: str = "pos", ttype: str = "ttype", width: int = BIN) -> DataFrame:
+    """(chrom, pos, ttype, level) of the distinct sites that lie in any interval: 2 in one of their own ttype, else 1."""
+    there = clusters.select(F.col(chrom), F.col("lo").alias("_lo"), F.col("hi").alias("_hi"), F.col(ttype).alias("_t"))
+    hits = points_in(sites.select(chrom, pos, ttype).distinct(), there, [chrom], pos, "_lo", "_hi", F.col(pos).between(F.col("_lo"), F.col("_hi")), width=width)
+    return hits.groupBy(chrom, pos, ttype).agg(F.max(F.when(F.col("_t") == F.col(ttype), 2).otherwise(1)).alias(name))
+
+
 def interval_membership(df: DataFrame, clusters: DataFrame, name: str = "level", chrom: str = "chr", pos: str = "pos", ttype: str = "ttype", width: int = BIN) -> DataFrame:
     """Add the cluster level of each row: 2 in an interval [lo, hi] of its own ttype, 1 in one of any, 0 in none.
 
     Levels are found for the distinct sites and joined back, so rows do not multiply.
     """
-    sites = df.select(chrom, pos, ttype).distinct()
-    there = clusters.select(F.col(chrom), F.col("lo").alias("_lo"), F.col("hi").alias("_hi"), F.col(ttype).alias("_t"))
-    hits = points_in(sites, there, [chrom], pos, "_lo", "_hi", F.col(pos).between(F.col("_lo"), F.col("_hi")), width=width)
-    level = F.max(F.when(F.col("_t") == F.col(ttype), 2).otherwise(1))
-    return df.join(hits.groupBy(chrom, pos, ttype).agg(level.alias(name)), [chrom, pos, ttype], "left").na.fill(0, [name])
+    return df.join(interval_levels(df, clusters, name, chrom, pos, ttype, width), [chrom, pos, ttype], "left").na.fill(0, [name])
+
+
+def domain_levels(sites: DataFrame, domains: DataFrame, name: str = "level", gene: str = "gene", pos: str = "pos", ttype: str = "ttype", width: int = BIN) -> DataFrame:
+    """(gene, pos, ttype, level, motif) of the distinct sites that lie in any domain; see ``domain_membership``."""
+    there = domains.select(F.col(gene), F.col("start_pos").alias("_lo"), F.col("stop_pos").alias("_hi"), F.col("element").alias("_e"), F.col(ttype).alias("_t"), F.col("ord").alias("_o"))
+    inside = (F.col(pos) > F.col("_lo")) & (F.col(pos) < F.col("_hi"))
+    hits = points_in(sites.select(gene, pos, ttype).distinct(), there, [gene], pos, "_lo", "_hi", inside, width=width).withColumn("_own", F.col("_t") == F.col(ttype))
+    level = F.max(F.when(F.col("_own"), 2).otherwise(1))
+    entries = F.sort_array(F.collect_set(F.struct("_o", "_e", "_own")), asc=False)  # a domain once, under however many ttypes it stands
+    found = hits.groupBy(gene, pos, ttype).agg(level.alias(name), entries.alias("_l"))
+    shown = F.filter("_l", lambda x: x["_own"] | (F.col(name) == 1))
+    return found.withColumn("motif", F.array_join(F.transform(shown, lambda x: F.concat(x["_e"], F.lit(";"))), "")).drop("_l")
 
 
 def domain_membership(df: DataFrame, domains: DataFrame, name: str = "level", gene: str = "gene", pos: str = "pos", ttype: str = "ttype", width: int = BIN) -> DataFrame:
@@ -47,25 +62,20 @@ def domain_membership(df: DataFrame, domains: DataFrame, name: str = "level", ge
     The motif lists the elements hit, each with a semicolon, the last of the table first: those of the row's
     own ttype if any, else those of all ttypes. ``domains`` has gene, start_pos, stop_pos, element, ttype, ord.
     """
-    sites = df.select(gene, pos, ttype).distinct()
-    there = domains.select(F.col(gene), F.col("start_pos").alias("_lo"), F.col("stop_pos").alias("_hi"), F.col("element").alias("_e"), F.col(ttype).alias("_t"), F.col("ord").alias("_o"))
-    inside = (F.col(pos) > F.col("_lo")) & (F.col(pos) < F.col("_hi"))
-    hits = points_in(sites, there, [gene], pos, "_lo", "_hi", inside, width=width).withColumn("_own", F.col("_t") == F.col(ttype))
-    level = F.max(F.when(F.col("_own"), 2).otherwise(1))
-    entries = F.sort_array(F.collect_list(F.struct("_o", "_e", "_own")), asc=False)
-    found = hits.groupBy(gene, pos, ttype).agg(level.alias(name), entries.alias("_l"))
-    shown = F.filter("_l", lambda x: x["_own"] | (F.col(name) == 1))
-    motif = F.array_join(F.transform(shown, lambda x: F.concat(x["_e"], F.lit(";"))), "")
-    found = found.withColumn("motif", motif).drop("_l")
-    return df.join(found, [gene, pos, ttype], "left").na.fill({name: 0, "motif": ""})
+    return df.join(domain_levels(df, domains, name, gene, pos, ttype, width), [gene, pos, ttype], "left").na.fill({name: 0, "motif": ""})
+
+
+def signal_values(sites: DataFrame, signal: DataFrame, name: str = "signal", chrom: str = "chr", pos: str = "pos", width: int = BIN) -> DataFrame:
+    """(chrom, pos, value) of the distinct sites that lie in a signal range start < pos <= end."""
+    named = F.when(F.length(chrom) < 3, F.concat(F.lit("chr"), F.col(chrom))).otherwise(F.col(chrom))
+    there = signal.select(F.col("chrom").alias("_c"), F.col("start").alias("_lo"), F.col("end").alias("_hi"), F.col("value").alias("_v"))
+    hits = points_in(sites.select(chrom, pos).distinct().withColumn("_c", named), there, ["_c"], pos, "_lo", "_hi", (F.col(pos) > F.col("_lo")) & (F.col(pos) <= F.col("_hi")), width=width)
+    return hits.groupBy(chrom, pos).agg(F.min("_v").alias(name))
 
 
 def signal_at_point(df: DataFrame, signal: DataFrame, name: str = "signal", chrom: str = "chr", pos: str = "pos", width: int = BIN) -> DataFrame:
     """Add the value of the signal range start < pos <= end; NULL outside. Names under 3 characters get a chr."""
-    sites = df.select(chrom, pos).distinct().withColumn("_c", F.when(F.length(chrom) < 3, F.concat(F.lit("chr"), F.col(chrom))).otherwise(F.col(chrom)))
-    there = signal.select(F.col("chrom").alias("_c"), F.col("start").alias("_lo"), F.col("end").alias("_hi"), F.col("value").alias("_v"))
-    hits = points_in(sites, there, ["_c"], pos, "_lo", "_hi", (F.col(pos) > F.col("_lo")) & (F.col(pos) <= F.col("_hi")), width=width)
-    return df.join(hits.groupBy(chrom, pos).agg(F.min("_v").alias(name)), [chrom, pos], "left")
+    return df.join(signal_values(df, signal, name, chrom, pos, width), [chrom, pos], "left")
 
 
 def region_overlap_outer(df: DataFrame, regions: DataFrame, chrom: str = "chr", start: str = "start", end: str = "end", width: int = BIN) -> DataFrame:

@@ -49,9 +49,12 @@ def anti_join_mnv(df: DataFrame, mnvs: DataFrame, keys: list[str], positions: st
     return df.join(gone, [*keys, pos], "left_anti")
 
 
-def cohort_to_ttype(df: DataFrame, cohorts: DataFrame, cohort: str = "cohort", ttype: str = "ttype") -> DataFrame:
-    """Add the ttype of the row's cohort; an unknown cohort fails when the row is computed."""
-    named = cohorts.groupBy(cohort).agg(F.max(ttype).alias(ttype))
+def cohort_to_ttype(df: DataFrame, cohorts: DataFrame, cohort: str = "cohort", ttype: str = "ttype", order: str | None = None) -> DataFrame:
+    """Add the ttype of the row's cohort; an unknown cohort fails when the row is computed.
+
+    Of a cohort's several rows the last by ``order`` counts, or without that column the last ttype by name.
+    """
+    named = cohorts.groupBy(cohort).agg((F.max_by(ttype, order) if order else F.max(ttype)).alias(ttype))
     out = df.join(named, cohort, "left")
     fail = F.raise_error(F.concat(F.lit("unknown cohort: "), F.coalesce(F.col(cohort), F.lit("NULL"))))
     return out.withColumn(ttype, F.when(F.col(ttype).isNull(), fail.cast("string")).otherwise(F.col(ttype)))

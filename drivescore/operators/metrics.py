@@ -128,15 +128,14 @@ def pr_benchmark(df: DataFrame, keys: list[str], label: str, score: str, row_id:
     The fit is monotone in the score and its slope has the sign of their covariance, so the area is that of
     the score times that sign; no fit is made.
     """
-    from drivescore.operators.splits import balance_classes
+    from drivescore.operators.splits import balance_classes, with_totals
 
     rows = df.filter(F.col(score).isNotNull() & F.col(label).isNotNull())
     if balance:
         rows = balance_classes(rows, keys, label, row_id, seed)
-    group = W.partitionBy(*keys)
-    signed = F.signum(F.covar_pop(F.col(score).cast("double"), F.col(label).cast("double")).over(group)) * F.col(score)
-    rows = rows.withColumn("_s", signed).withColumn("_ones", F.sum(label).over(group)).filter(F.col("_ones") > least_positives)
-    return pr_auc(rows, keys, label, "_s")
+    sign = F.signum(F.covar_pop(F.col(score).cast("double"), F.col(label).cast("double")))
+    rows = with_totals(rows, keys, _sign=sign, _ones=F.sum(label)).filter(F.col("_ones") > least_positives)
+    return pr_auc(rows.withColumn("_s", F.col("_sign") * F.col(score)), keys, label, "_s")
 
 
 def mean_fscore(df: DataFrame, keys: list[str], fscore: str = "fscore50") -> DataFrame:
@@ -165,8 +164,36 @@ def consensus(df: DataFrame, keys: list[str], p: str = "p", weight: str | None =
 
 
 def median_iqr(df: DataFrame, keys: list[str], value: str) -> DataFrame:
-    q = F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    return df.groupBy(*keys).agg(q.alias("_q")).select(*keys, F.col("_q")[0].alias("low"), F.col("_q")[1].alias("median"), F.col("_q")[2].alias("high"))
+    """(keys, low, median, high): quartiles, linear between the two nearest values; NULL values are passed over.
+
+    Values are counted first and ranked through score buckets, so that no task holds all values of a key.
+    """
+    by = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_n"))
+    sizes = df.groupBy(*[F.col(k).alias(f"_t_{k}") for k in keys]).agg(F.count(value).alias("_all"))
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_t_{k}"))
+    ranked = _before(by, keys, value, ["_n"]).join(sizes, same, "right")
+    picks = []
+    for k, q in enumerate((0.25, 0.5, 0.75)):
+        at = (F.col("_all") - 1) * q
+        for name, place in (("lo", F.floor(at)), ("hi", F.ceil(at))):
+            here = (F.col("_before__n") <= place) & (place < F.col("_before__n") + F.col("_n"))
+            picks.append(F.max(F.when(here, F.col(value).cast("double"))).alias(f"_{name}{k}"))
+        picks.append(F.max(at - F.floor(at)).alias(f"_part{k}"))
+    g = ranked.groupBy(*[F.col(f"_t_{k}").alias(k) for k in keys]).agg(*picks)
+    quartiles = [(F.col(f"_lo{k}") + (F.col(f"_hi{k}") - F.col(f"_lo{k}")) * F.col(f"_part{k}")).alias(n) for k, n in enumerate(("low", "median", "high"))]
+    return g.select(*keys, *quartiles)
+
+
+def count_by(df: DataFrame, *keys: str) -> DataFrame:
+    """(keys, n): rows of each key, such as a gene."""
+    return df.groupBy(*keys).agg(F.count("*").alias("n"))
+
+
+def test_summary(df: DataFrame, keys: list[str], p: str = "p", label: str = "label", threshold: float = 0.5) -> DataFrame:
+    """(keys, p, binary, label): each row's probability, its class at the threshold and its true label."""
+    return df.select(*keys, p, (F.col(p) >= threshold).cast("int").alias("binary"), label)
 
 
 def mean_train_size(df: DataFrame, keys: list[str], least: int = 30) -> DataFrame:

@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 
 NODE_COLUMNS = "tree int, node int, feature int, threshold double, left_node int, right_node int, value double, cover double, base_margin double"
 TASK_ROWS = 65_536
+# Parameters of the boosters.
+ROUNDS, RATE, PATIENCE, DEPTH = 20_000, 0.001, 2_000, 4
 
 
 def _sigmoid(z):
@@ -93,7 +95,7 @@ def fit_booster(x: np.ndarray, y: np.ndarray, x_test: np.ndarray, y_test: np.nda
     return trees[: max(1, best[1])], base, curve
 
 
-def train_ensemble(df: DataFrame, keys: list[str], features: list[str], row_id: str, label: str = "label", role: str = "role", rounds: int = 200, rate: float = 0.1, patience: int = 20, depth: int = 4) -> DataFrame:
+def train_ensemble(df: DataFrame, keys: list[str], features: list[str], row_id: str, label: str = "label", role: str = "role", rounds: int = ROUNDS, rate: float = RATE, patience: int = PATIENCE, depth: int = DEPTH) -> DataFrame:
     """Node rows of one booster per key (keys include the split). Groups without both labels in train give none."""
 
     def fit(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
@@ -111,7 +113,7 @@ def train_ensemble(df: DataFrame, keys: list[str], features: list[str], row_id:
     return df.select(*keys, row_id, role, label, *[F.col(f).cast("double").alias(f) for f in features]).groupBy(*keys).applyInPandas(fit, f"{kinds}, {NODE_COLUMNS}")
 
 
-def learning_curves(df: DataFrame, keys: list[str], features: list[str], row_id: str, label: str = "label", role: str = "role", rounds: int = 200, rate: float = 0.1, patience: int = 20, depth: int = 4) -> DataFrame:
+def learning_curves(df: DataFrame, keys: list[str], features: list[str], row_id: str, label: str = "label", role: str = "role", rounds: int = ROUNDS, rate: float = RATE, patience: int = PATIENCE, depth: int = DEPTH) -> DataFrame:
     """(keys, round, logloss): test log loss after each round of a key's booster, up to its best round."""
 
     def fit(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
@@ -214,21 +216,26 @@ def tree_shapley(nodes: np.ndarray, x: np.ndarray, out: np.ndarray) -> float:
     return expected
 
 
-def tree_attribution(df: DataFrame, nodes: DataFrame, keys: list[str], features: list[str], row_id: str) -> DataFrame:
-    """(keys, row id, attr_<feature> ..., base, margin): additive attribution of each row's margin under its model."""
+def tree_attribution(df: DataFrame, nodes: DataFrame, keys: list[str], features: list[str], row_id: str, member: str | None = None) -> DataFrame:
+    """(keys, member, row id, attr_<feature> ..., base, margin): additive attribution of each row's margin under its model, or under
+    each member of its key."""
+    own = [member] if member else []
+    names = [*keys, *own, row_id, *[f"attr_{f}" for f in features], "base", "margin"]
 
     def explain(key: tuple, rows: pd.DataFrame, trees: pd.DataFrame) -> pd.DataFrame:
-        names = [*keys, row_id, *[f"attr_{f}" for f in features], "base", "margin"]
-        if not len(rows) or not len(trees):
-            return pd.DataFrame(columns=names)
-        x, start = rows[features].to_numpy(float), float(trees["base_margin"].iloc[0])
-        out, base, margin = np.zeros((len(x), len(features))), start, np.full(len(x), start)
-        for t in _trees(trees):
-            base += tree_shapley(t, x, out)
-            margin += tree_values(t, x)
-        return rows[[*keys, row_id]].assign(**{f"attr_{f}": out[:, k] for k, f in enumerate(features)}, base=base, margin=margin)[names]
-
-    kinds = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in [*keys, row_id])
+        found = []
+        for name, part in trees.groupby(member, sort=True) if member else [(None, trees)]:
+            if len(rows) and len(part):
+                x, start = rows[features].to_numpy(float), float(part["base_margin"].iloc[0])
+                out, base, margin = np.zeros((len(x), len(features))), start, np.full(len(x), start)
+                for t in _trees(part):
+                    base += tree_shapley(t, x, out)
+                    margin += tree_values(t, x)
+                more = {f"attr_{f}": out[:, k] for k, f in enumerate(features)} | ({member: name} if member else {})
+                found.append(rows[[*keys, row_id]].assign(**more, base=base, margin=margin)[names])
+        return pd.concat(found) if found else pd.DataFrame(columns=names)
+
+    kinds = ", ".join(f"`{k}` {(df if k in df.columns else nodes).schema[k].dataType.simpleString()}" for k in [*keys, *own, row_id])
     schema = f"{kinds}, " + ", ".join(f"attr_{f} double" for f in features) + ", base double, margin double"
     left, right = dealt(df.select(*keys, row_id, *[F.col(f).cast("double").alias(f) for f in features]), nodes, keys, row_id)
     return left.groupBy(*keys, "_salt").cogroup(right.groupBy(*keys, "_salt")).applyInPandas(explain, schema)

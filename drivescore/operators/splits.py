@@ -9,25 +9,62 @@ from pyspark.sql import Window as W
 from drivescore.functions.variants import hash_uniform
 
 
+BUCKETS = 1024
+
+
+def numbered(df: DataFrame, keys: list[str], u: str, row_id: str, name: str) -> DataFrame:
+    """Add the rank (from 1) of each row within the keys, by the uniform number ``u`` and then the row id.
+
+    Rows are ranked within buckets of u, whose sizes are summed before: no window holds more of a key than a bucket.
+    """
+    rows = df.withColumn("_b", F.floor(F.col(u) * BUCKETS).cast("int"))
+    over = W.partitionBy(*[f"_k_{k}" for k in keys]).orderBy("_kb").rowsBetween(W.unboundedPreceding, -1)
+    sizes = rows.groupBy(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_b").alias("_kb")).agg(F.count("*").alias("_many"))
+    sizes = sizes.withColumn("_base", F.coalesce(F.sum("_many").over(over), F.lit(0))).drop("_many")
+    same = F.col("_b") == F.col("_kb")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    own = rows.withColumn("_own", F.row_number().over(W.partitionBy(*keys, "_b").orderBy(u, row_id)))
+    return own.join(sizes, same).withColumn(name, F.col("_own") + F.col("_base")).select(*df.columns, name)
+
+
+def with_totals(df: DataFrame, keys: list[str], **totals) -> DataFrame:
+    """Add aggregates over the keys as columns; a join with one row for each key, whose rows stay dealt as they are."""
+    named = df.groupBy(*[F.col(k).alias(f"_k_{k}") for k in keys]).agg(*[c.alias(n) for n, c in totals.items()])
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    return df.join(named, same).drop(*[f"_k_{k}" for k in keys])
+
+
 def balanced_splits(df: DataFrame, keys: list[str], row_id: str, label: str = "label", n_splits: int = 50, test_fraction: float = 0.3, seed: int = 1) -> DataFrame:
     """(keys, row id, label, split, role): for each split all positives and as many negatives, of which ceil(f n) test.
 
     Negatives are drawn without replacement; fewer stay if there are fewer than positives. Ties of the hash
     go by row id.
     """
-    sizes = W.partitionBy(*keys)
-    base = df.select(*keys, row_id, label).withColumn("_pos", F.sum(F.col(label)).over(sizes))
+    base = with_totals(df.select(*keys, row_id, label), keys, _pos=F.sum(label))
     rows = base.withColumn("split", F.explode(F.sequence(F.lit(0), F.lit(n_splits - 1))))
-    u = hash_uniform(F.col(row_id), F.col("split"), F.lit(seed))
-    pick = W.partitionBy(*keys, "split", label).orderBy("_u", row_id)
-    chosen = rows.withColumn("_u", u).withColumn("_k", F.row_number().over(pick)).filter((F.col(label) == 1) | (F.col("_k") <= F.col("_pos")))
-    v = hash_uniform(F.col(row_id), F.col("split"), F.lit(seed), F.lit("role"))
-    order = W.partitionBy(*keys, "split").orderBy("_v", row_id)
-    ranked = chosen.withColumn("_v", v).withColumn("_r", F.row_number().over(order)).withColumn("_n", F.count("*").over(W.partitionBy(*keys, "split")))
+    rows = rows.withColumn("_u", hash_uniform(F.col(row_id), F.col("split"), F.lit(seed)))
+    # Positives all stay, so that only negatives are ranked.
+    negatives = numbered(rows.filter(F.col(label) != 1), [*keys, "split"], "_u", row_id, "_k").filter(F.col("_k") <= F.col("_pos")).drop("_k")
+    chosen = rows.filter(F.col(label) == 1).unionByName(negatives).drop("_u", "_pos")
+    chosen = chosen.withColumn("_v", hash_uniform(F.col(row_id), F.col("split"), F.lit(seed), F.lit("role")))
+    ranked = with_totals(numbered(chosen, [*keys, "split"], "_v", row_id, "_r"), [*keys, "split"], _n=F.count("*"))
     role = F.when(F.col("_r") <= F.ceil(F.lit(test_fraction) * F.col("_n")), "test").otherwise("train")
     return ranked.select(*keys, row_id, label, "split", role.alias("role"))
 
 
+def stack_iterations(splits: DataFrame, keys: list[str], row_id: str, label: str = "label") -> DataFrame:
+    """(keys, iteration, row id, label): test rows of all splits."""
+    return splits.filter("role = 'test'").select(*keys, F.col("split").alias("iteration"), row_id, label)
+
+
+def combine_genes(splits: DataFrame, groups: DataFrame, gene: str = "gene") -> DataFrame:
+    """Split rows of the genes of each group under the group's name. ``groups`` has (name, gene)."""
+    return splits.join(groups, gene).drop(gene)
+
+
 def dedupe_sites(df: DataFrame, keys: list[str], site: list[str], row_id: str) -> DataFrame:
     """The first row of each site within the keys."""
     w = W.partitionBy(*keys, *site).orderBy(row_id)
@@ -37,11 +74,8 @@ def dedupe_sites(df: DataFrame, keys: list[str], site: list[str], row_id: str) -
 def balance_classes(df: DataFrame, keys: list[str], label: str, row_id: str, seed: int = 1) -> DataFrame:
     """All rows of the rarer class and as many of the other, chosen by hash rank."""
     u = hash_uniform(F.col(row_id), *[F.col(k) for k in keys], F.lit(seed), F.lit("balance"))
-    group = W.partitionBy(*keys)
-    ones = F.sum(F.col(label)).over(group)
-    least = F.least(ones, F.count("*").over(group) - ones)
-    ranked = df.withColumn("_least", least).withColumn("_u", u).withColumn("_k", F.row_number().over(W.partitionBy(*keys, label).orderBy("_u", row_id)))
-    return ranked.filter("_k <= _least").drop("_least", "_u", "_k")
+    sized = with_totals(df, keys, _least=F.least(F.sum(label), F.count("*") - F.sum(label)))
+    return numbered(sized.withColumn("_u", u), [*keys, label], "_u", row_id, "_k").filter("_k <= _least").select(*df.columns)
 
 
 def merge_splits(splits: DataFrame, nodes: DataFrame, ttype: str = "ttype") -> DataFrame:

@@ -12,25 +12,47 @@ from pyspark.sql import Window as W
 def tree_closure(edges: DataFrame, id_col: str = "id", parent_col: str = "parent", max_depth: int = 64) -> DataFrame:
     """(node, ancestor, depth) for every node and each of its ancestors, itself at depth 0.
 
-    A node that stands only as a parent is a root. Recursion ends at ``max_depth``, so a cycle does not run on.
+    A node that stands only as a parent is a root. A cycle, or a tree deeper than ``max_depth``, is an error.
     """
     spark, view = edges.sparkSession, f"edges_{uuid.uuid4().hex}"
     edges.select(F.col(id_col).alias("id"), F.col(parent_col).alias("parent")).createOrReplaceTempView(view)
-    return spark.sql(f"""
+    rows = spark.sql(f"""
         with recursive up(node, ancestor, depth) as (
           select id, id, 0 from (select id from {view} union select parent from {view} where parent is not null)
           union all
           select u.node, e.parent, u.depth + 1 from up u join {view} e on u.ancestor = e.id
           where e.parent is not null and u.depth < {max_depth})
         select * from up""")
+    deep = F.raise_error(F.concat(F.lit(f"a cycle, or more than {max_depth - 1} levels above "), "node"))
+    return rows.filter(F.when(F.col("depth") < max_depth, F.lit(True)).otherwise(deep.cast("boolean")))
 
 
-def subtree_cohorts(closure: DataFrame, cohorts: DataFrame, cohort: str = "cohort", ttype: str = "ttype") -> DataFrame:
-    """(node, cohort): cohorts of the node or any node below it."""
+def subtree_cohorts(closure: DataFrame, cohorts: DataFrame, cohort: str = "cohort", ttype: str = "ttype", node: str | None = None) -> DataFrame:
+    """(node, cohort): cohorts of the node or any node below it; of one ``node`` if named, which the tree must have."""
+    if node is not None:
+        closure = closure.filter(F.col("ancestor") == node)
+        if closure.isEmpty():
+            raise ValueError(f"unknown tumor type: {node}")
     at = cohorts.select(F.col(cohort).alias("cohort"), F.col(ttype).alias("at"))
     return closure.join(at, closure["node"] == at["at"]).select(F.col("ancestor").alias("node"), "cohort")
 
 
+def subtree_filter(df: DataFrame, closure: DataFrame, node: str, ttype: str = "ttype") -> DataFrame:
+    """Rows whose ttype is the node or lies below it."""
+    return df.join(closure.filter(F.col("ancestor") == node).select(F.col("node").alias(ttype)), ttype, "left_semi")
+
+
+def at_ancestors(df: DataFrame, closure: DataFrame, ttype: str = "ttype") -> DataFrame:
+    """Each row once under its ttype and once under each ttype above it, so that equality finds a subtree's rows."""
+    above = closure.select(F.col("node").alias(ttype), F.col("ancestor").alias("_above"))
+    return df.join(above, ttype).drop(ttype).withColumnRenamed("_above", ttype)
+
+
+def genes_to_ttypes(df: DataFrame, gene: str = "gene", ttype: str = "ttype") -> DataFrame:
+    """(gene, ttypes): the distinct ttypes of each gene, in order."""
+    return df.select(gene, ttype).distinct().groupBy(gene).agg(F.sort_array(F.collect_list(ttype)).alias("ttypes"))
+
+
 def leaves_of(closure: DataFrame) -> DataFrame:
     """(node, leaf): the leaves under each node; a leaf is its own."""
     parents = closure.filter("depth = 1").select(F.col("ancestor").alias("p")).distinct()

@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from drivescore.functions.variants import CLASSES, FEATURES, classify_consequence, half_precision, nmd_flag, normalize_chrom, one_hot_consequence, rectify
+from drivescore.functions.variants import CLASSES, FEATURES, class_threshold, classify_consequence, half_precision, nmd_flag, normalize_chrom, one_hot_consequence, rectify
 from drivescore.operators.clusters import filter_by_excess, filter_driver_snvs
-from drivescore.operators.intervals import domain_membership, interval_membership, region_overlap_outer, signal_at_point
+from drivescore.operators.intervals import domain_levels, interval_levels, region_overlap_outer, signal_values
 from drivescore.operators.lookups import annotate_variant, anti_join_mnv, flag_vector_lookup, point_membership
 from drivescore.operators.metrics import consensus, mean_train_size
-from drivescore.operators.model import failed_groups, score_members, select_model, train_ensemble
-from drivescore.operators.sequence import weighted_draw
+from drivescore.operators.model import failed_groups, mean_attribution, score_members, train_ensemble, tree_attribution
+from drivescore.operators.sequence import all_substitutions, explode_bases, weighted_draw
+from drivescore.operators.tree import at_ancestors
+from drivescore.sources.tables import required, written
 
 
 def to_half_open(df: DataFrame, pos: str = "pos") -> DataFrame:
@@ -29,45 +31,79 @@ def drop_synonymous_positives(df: DataFrame, response: str = "response") -> Data
 
 
 def keep_known_consequence(df: DataFrame, consequence: str = "csqn_type") -> DataFrame:
-    return df.filter(F.col(consequence).isin(CLASSES))
+    """Rows of the four classes; an error if there is none."""
+    return required(df.filter(F.col(consequence).isin(CLASSES)), "mutations of a known consequence")
 
 
-def add_features(df: DataFrame, t: dict[str, DataFrame]) -> DataFrame:
-    """All feature columns of rows with (ttype, gene, chr, pos, alt).
+SITE = ["ttype", "gene", "chr", "pos", "alt"]
+
 
-    ``t``: annotations (chr, pos, alt, mane, csqn, exon, aachange, ord), signal, flags (gene, residue, flags),
-    clusters, points, domains.
+def site_features(sites: DataFrame, t: dict[str, DataFrame]) -> DataFrame:
+    """Feature columns of distinct sites (ttype, gene, chr, pos, alt). Each feature reads the sites for itself.
+
+    ``t``: annotations (gene, chr, pos, alt, mane, csqn, exon, aachange, ord), signal, flags (gene, residue, flags),
+    clusters, points, domains. An annotation belongs to its gene: overlapping genes have one each.
     """
-    out = annotate_variant(df, t["annotations"], ["chr", "pos", "alt"], ["ord"], ["csqn", "exon", "aachange"])
+    out = annotate_variant(sites, t["annotations"], ["gene", "chr", "pos", "alt"], ["ord", "csqn"], ["csqn", "exon", "aachange"])
     out = out.withColumn("csqn_type", classify_consequence(F.col("csqn"))).withColumn("nmd", nmd_flag(F.col("exon")))
-    out = signal_at_point(out, t["signal"], "PhyloP").withColumn("PhyloP", half_precision(F.col("PhyloP")))
     out = out.withColumn("residue", F.expr("substring(aachange, 1, length(aachange) - 1)"))
     out = flag_vector_lookup(out, t["flags"], ["gene", "residue"]).drop("residue", "csqn", "exon")
-    out = interval_membership(out, t["clusters"], "CLUSTL")
+    out = out.join(signal_values(sites, t["signal"], "PhyloP"), ["chr", "pos"], "left").withColumn("PhyloP", half_precision(F.col("PhyloP")))
+    out = out.join(interval_levels(sites, t["clusters"], "CLUSTL"), ["chr", "pos", "ttype"], "left")
     out = point_membership(out, t["points"], "HotMaps")
-    return domain_membership(out, t["domains"], "smRegions")
+    out = out.join(domain_levels(sites, t["domains"], "smRegions"), ["gene", "pos", "ttype"], "left")
+    return out.na.fill({"CLUSTL": 0, "smRegions": 0, "motif": ""})
+
+
+def add_features(df: DataFrame, t: dict[str, DataFrame]) -> DataFrame:
+    """All feature columns of rows with (ttype, gene, chr, pos, alt): found once for each distinct site, then joined to the rows."""
+    sites = written(df.select(*SITE).distinct(), "sites")
+    return df.join(site_features(sites, t), SITE)
+
+
+def background(t: dict[str, DataFrame], counts: DataFrame, per_row: int = 50, seed: int = 1) -> DataFrame:
+    """(ttype, gene, chr, pos, ref, alt): mutations drawn at random from the genes' sequences.
+
+    All changes of the bases of ``t["sequences"]`` (gene, chr, start, seq) have the rate of their context in ``t["rates"]`` (context,
+    rate; 0 without one); for each (ttype, gene) of ``counts``, ``per_row`` times n of them are drawn by rate, or evenly if no
+    change of the gene has a rate.
+    """
+    genes = t["sequences"].join(counts.select("gene").distinct(), "gene", "left_semi")
+    changes = all_substitutions(explode_bases(genes, ["gene", "chr"]), ["gene", "chr"])
+    candidates = changes.join(t["rates"].select("context", "rate"), "context", "left").na.fill(0.0, ["rate"])
+    drawn = weighted_draw(candidates, counts, "rate", ["gene"], ["chr", "pos", "alt"], seed, per_row, per=("ttype",))
+    return drawn.select("ttype", "gene", "chr", "pos", "ref", "alt")
 
 
-def build_training_table(t: dict[str, DataFrame], per_row: int = 50, threshold: float = 0.85, seed: int = 1) -> DataFrame:
+def build_training_table(t: dict[str, DataFrame], per_row: int = 50, threshold: float = 0.85, seed: int = 1, counted: bool = False) -> DataFrame:
     """Labelled feature rows: observed driver mutations of excess classes, and drawn background mutations.
 
     ``t``: muts (cohort, ttype, gene, chr, pos, ref, alt, sample_id, impact), drivers, mnvs, estimates, regions
-    (chr, r_start, r_end, r_gene), candidates (gene, chr, pos, ref, alt, rate) and what ``add_features`` takes.
+    (chr, r_start, r_end, r_gene), sequences, rates and what ``site_features`` takes. With ``counted``, equal rows are one
+    row with their number n, before any feature is joined. An error if no observed mutation is left.
     """
     muts = filter_driver_snvs(t["muts"], t["drivers"])
     muts = anti_join_mnv(muts, t["mnvs"], ["gene", "sample_id", "cohort"])
     muts = filter_by_excess(muts, t["estimates"], threshold)
     positives = region_overlap_outer(to_half_open(muts), t["regions"]).select("ttype", "gene", "chr", "pos", "ref", "alt")
-    counts = positives.groupBy("ttype", "gene").agg(F.count("*").alias("n"))
-    candidates = t["candidates"].join(counts.select("gene").distinct(), "gene", "left_semi")
-    negatives = weighted_draw(candidates, counts, "rate", ["gene"], ["chr", "pos", "alt"], seed, per_row, per=("ttype",)).select("ttype", "gene", "chr", "pos", "ref", "alt")
-    rows = union_labelled(positives, negatives).withColumn("chr", normalize_chrom(F.col("chr")))
+    positives = required(written(positives, "positives"), "observed mutations of excess classes")
+    counts = written(positives.groupBy("ttype", "gene").agg(F.count("*").alias("n")), "positive_counts")
+    rows = union_labelled(positives, background(t, counts, per_row, seed)).withColumn("chr", normalize_chrom(F.col("chr")))
+    if counted:
+        rows = rows.groupBy(*rows.columns).agg(F.count("*").alias("n"))
+    rows = written(rows, "training_rows")
     return rectify(drop_synonymous_positives(one_hot_consequence(add_features(rows, t), "csqn_type")))
 
 
-def annotate_saturation(saturation: DataFrame, t: dict[str, DataFrame]) -> DataFrame:
-    """Feature rows of every possible change of the known classes. ``saturation`` has ttype, gene, chr, pos, ref, alt."""
-    return rectify(one_hot_consequence(keep_known_consequence(add_features(saturation, t)), "csqn_type"))
+def annotate_saturation(saturation: DataFrame, t: dict[str, DataFrame], closure: DataFrame | None = None) -> DataFrame:
+    """Feature rows of every possible change of the known classes. ``saturation`` has ttype, gene, chr, pos, ref, alt.
+
+    With ``closure``, what is found at any ttype below the row's own counts as its own. An error if no change has a known class.
+    """
+    if closure is not None:
+        t = t | {k: at_ancestors(t[k], closure) for k in ("clusters", "points", "domains")}
+    rows = written(add_features(saturation, t), "annotated")
+    return rectify(one_hot_consequence(keep_known_consequence(rows), "csqn_type"))
 
 
 def select_features(df: DataFrame, keep: tuple[str, ...] = (), response: str = "response") -> DataFrame:
@@ -85,11 +121,27 @@ def train_models(splits: DataFrame, keys: list[str], features: list[str], row_id
     return nodes, failed_groups(splits, nodes, keys)
 
 
+def cv_table(test: DataFrame, nodes: DataFrame, keys: list[str], features: list[str], row_id: str, label: str = "label") -> DataFrame:
+    """(keys, row id, label, p): test rows with their own member's probability; keys include the split."""
+    return test.select(*keys, row_id, label).join(score_members(test, nodes, keys, features, row_id), [*keys, row_id])
+
+
 def predict_saturation(rows: DataFrame, nodes: DataFrame, selection: DataFrame, features: list[str], row_id: str, root: str | None = None) -> DataFrame:
-    """(ttype, gene, row id, selected_ttype, score, class): members' consensus of the chosen model of each gene."""
-    chosen = select_model(rows.select("ttype", "gene").distinct(), selection, root)
-    asked = rows.join(chosen, ["ttype", "gene"])
+    """(ttype, gene, row id, selected_ttype, score, class, attr_<feature> ...): consensus and mean attribution of the members of
+    each gene's chosen model.
+
+    A gene without a chosen model takes that of ``root``; without a root it is an error when its rows are computed.
+    """
+    asked = rows.join(selection, ["ttype", "gene"], "left")
+    if root is None:
+        fail = F.raise_error(F.concat(F.lit("no high-quality model: "), F.concat_ws(" ", "ttype", "gene"))).cast("string")
+        asked = asked.withColumn("selected_ttype", F.when(F.col("selected_ttype").isNull(), fail).otherwise(F.col("selected_ttype")))
+    else:
+        asked = asked.withColumn("selected_ttype", F.coalesce("selected_ttype", F.lit(root)))
+    asked = written(asked, "asked")
     models = nodes.withColumnRenamed("ttype", "selected_ttype")
-    members = score_members(asked, models, ["selected_ttype", "gene"], features, row_id, member="split")
-    scored = consensus(members, ["selected_ttype", "gene", row_id])
-    return asked.select("ttype", "gene", row_id, "selected_ttype").join(scored, ["selected_ttype", "gene", row_id]).withColumn("class", F.col("score") >= 0.5)
+    model = ["selected_ttype", "gene"]
+    scored = consensus(score_members(asked, models, model, features, row_id, member="split"), [*model, row_id])
+    explained = mean_attribution(tree_attribution(asked, models, model, features, row_id, member="split"), [*model, row_id])
+    out = asked.select("ttype", "gene", row_id, "selected_ttype").join(scored, [*model, row_id]).join(explained, [*model, row_id])
+    return out.withColumn("class", class_threshold(F.col("score")))

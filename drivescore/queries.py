@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,10 +12,10 @@ from drivescore.functions import variants as V
 from drivescore.operators import clusters, codon, discovery, intervals, lookups, metrics, model, sequence, splits, tree
 from drivescore.plans import training
 from drivescore.sources import tables as src
+from drivescore.sources.tables import scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
-_OWN_DIR: dict[str, str] = {}
 
 
 def query(name: str, sql: str | None = None):
@@ -30,12 +28,6 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that driver and executors share."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or _OWN_DIR.setdefault("dir", tempfile.mkdtemp(prefix="spark-files-"))
-    return f"{named.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def r6(c) -> F.Column:
     return F.round(c if not isinstance(c, str) else F.col(c), 6)
 
@@ -82,8 +74,9 @@ def _(t):
 @query("scan_with_key", "select cohort, count(*) as n from fx_muts group by cohort")
 def _(t):
     path = scratch(t.spark, "by_cohort")
-    src.write_parquet(t["fx_muts"].select("cohort", "pos").withColumn("file", F.regexp_replace("cohort", "[^A-Za-z0-9]", "_")), path, ["cohort"])
-    return t.spark.read.parquet(path).groupBy("cohort").agg(F.count("*").alias("n"))
+    src.write_tsv(t["fx_muts"].select(F.regexp_replace("cohort", "#", "_").alias("cohort"), "pos"), path, ["cohort"])
+    rows = src.scan_with_key(t.spark, f"{path}/*", "pos int", "key", r"cohort=([^/]+)/")
+    return rows.groupBy(F.regexp_replace("key", "_", "#").alias("cohort")).agg(F.count("*").alias("n"))
 
 
 @query("scan_key_from_file_name", "select count(*) as n, min(pos) as low, max(pos) as high, cast(count(distinct chr) as bigint) as files from fx_muts")
@@ -97,8 +90,10 @@ def _(t):
 @query("read_json_by_key", "select cohort, count(distinct gene) as n_genes from fx_muts group by cohort")
 def _(t):
     path = scratch(t.spark, "json")
-    t["fx_muts"].groupBy("cohort").agg(F.collect_set("gene").alias("genes")).write.json(path)
-    return t.spark.read.schema("cohort string, genes array<string>").json(path).select("cohort", F.size("genes").cast("long").alias("n_genes"))
+    genes = t["fx_muts"].groupBy(F.regexp_replace("cohort", "#", "_").alias("cohort")).agg(F.collect_set("gene").alias("genes"))
+    src.write_json(genes, path, ["cohort"])
+    rows = src.read_json_by_key(t.spark, f"{path}/*", "genes array<string>", "key", r"cohort=([^/]+)/")
+    return rows.select(F.regexp_replace("key", "_", "#").alias("cohort"), F.size("genes").cast("long").alias("n_genes"))
 
 
 @query("read_rate_map", "select gene, context, round(rate, 4) as rate from fx_rates")
@@ -155,6 +150,14 @@ def _(t):
     return src.vep_input(t["fx_muts"], ["sample_id"])
 
 
+@query("write_vep_input_by_gene", "select gene, count(*) as n from (select distinct gene, chr, pos, ref, alt from fx_muts) group by gene")
+def _(t):
+    path = scratch(t.spark, "vep_by_gene")
+    src.write_vep_input(t["fx_muts"], path, ["sample_id"], "gene")
+    rows = t.spark.read.csv(f"{path}/*", sep="\t", schema="chr string, start int, end int, alleles string")
+    return rows.groupBy(F.url_decode(F.url_decode(src.file_key(r"gene=([^/]+)/"))).alias("gene")).agg(F.count("*").alias("n"))
+
+
 # ---- projections and filters ----------------------------------------------------------------------------------------
 
 
@@ -197,9 +200,9 @@ def _(t):
     return t["fx_muts"].select(V.format_aachange(aa, F.col("pos")).alias("aachange")).groupBy("aachange").agg(F.count("*").alias("n"))
 
 
-@query("parse_aa_position", "select id, case when id % 3 = 0 then -1 else cast(id as int) end as strict, case when id % 3 = 1 then null else cast(id as int) end as digits from (select id, split from fx_scored where id % 3 = 0 or id % 3 = 2)")
+@query("parse_aa_position", "select id, case when id % 3 = 2 then cast(id as int) else -1 end as strict, case when id % 3 = 1 then null else cast(id as int) end as digits from fx_scored")
 def _(t):
-    return parsed_positions(t["fx_scored"].filter("id % 3 in (0, 2)"))
+    return parsed_positions(t["fx_scored"])
 
 
 def parsed_positions(scored: DataFrame) -> DataFrame:
@@ -212,6 +215,12 @@ def _(t):
     return parsed_positions(t["fx_scored"])
 
 
+@query("protein_change", "select pos, case when alt = 'N' then '.' else concat(ref, cast(pos as string), alt) end as change, count(*) as n from fx_muts group by 1, 2")
+def _(t):
+    position = F.when(F.col("alt") == "N", "-").otherwise(F.col("pos").cast("string"))
+    return t["fx_muts"].select("pos", V.protein_change(position, F.concat_ws("/", "ref", "alt")).alias("change")).groupBy("pos", "change").agg(F.count("*").alias("n"))
+
+
 @query("nmd_flag", "select chr, pos, case when chr = '7' then 1 else 0 end as last_only, case when chr in ('1', '7') then 1 else 0 end as either from fx_muts")
 def _(t):
     exon = F.concat("chr", F.lit("/7"))
@@ -290,14 +299,14 @@ def _(t):
 
 @query("split_location", "select chr, pos, count(*) as n from fx_muts group by 1, 2")
 def _(t):
-    parts = F.split(F.concat_ws(":", "chr", "pos"), ":")
-    return t["fx_muts"].select(parts[0].alias("chr"), parts[1].cast("int").alias("pos")).groupBy("chr", "pos").agg(F.count("*").alias("n"))
+    parts = V.split_location(F.concat_ws(":", "chr", "pos"))
+    return t["fx_muts"].select(*[c.alias(n) for n, c in parts.items()]).groupBy("chr", "pos").agg(F.count("*").alias("n"))
 
 
 @query("row_max_flags", "select l_orderkey, l_linenumber, greatest(case when l_quantity > 25 then 1 else 0 end, case when l_discount > 0.05 then 1 else 0 end, case when l_tax > 0.04 then 1 else 0 end) as ptm from lineitem")
 def _(t):
     flags = [(F.col(c) > v).cast("int") for c, v in (("l_quantity", 25), ("l_discount", 0.05), ("l_tax", 0.04))]
-    return t["lineitem"].select("l_orderkey", "l_linenumber", F.greatest(*flags).alias("ptm"))
+    return t["lineitem"].select("l_orderkey", "l_linenumber", V.row_max_flags(*flags).alias("ptm"))
 
 
 @query("domain_geometry", 'select element, start_pos + (stop_pos - start_pos) // 2 as "POS", stop_pos - start_pos + 1 as "SIZE" from fx_domains')
@@ -307,7 +316,7 @@ def _(t):
 
 @query("class_threshold", "select id, p >= 0.5 as cls from fx_scored")
 def _(t):
-    return t["fx_scored"].select("id", (F.col("p") >= 0.5).alias("cls"))
+    return t["fx_scored"].select("id", V.class_threshold(F.col("p")).alias("cls"))
 
 
 @query("drop_suffix_columns", "select a.gene, a.wmis, b.rate from fx_excess a join (select gene, sum(rate) as rate from fx_rates group by gene) b on a.gene = b.gene".replace("b.rate", "round(b.rate, 2) as rate").replace("a.wmis", "round(a.wmis, 6) as wmis"))
@@ -335,7 +344,7 @@ def _(t):
 
 @query("test_summary", "select id, p, cast(p >= 0.5 as int) as binary, label from fx_scored")
 def _(t):
-    return t["fx_scored"].select("id", "p", (F.col("p") >= 0.5).cast("int").alias("binary"), "label")
+    return metrics.test_summary(t["fx_scored"], ["id"])
 
 
 # ---- joins ----------------------------------------------------------------------------------------------------------
@@ -378,9 +387,9 @@ def _(t):
     return out.groupBy("chr", "pos", "alt", F.col("impact").alias("csqn")).agg(F.count("*").alias("n"))
 
 
-@query("signal_at_point", "select distinct m.chr, m.pos, c.p_value as signal from fx_muts m left join (select * from fx_clusters where lo % 60 = 0) c on c.chr = m.chr and m.pos > c.lo and m.pos <= c.hi")
+@query("signal_at_point", "select m.chr, m.pos, min(c.p_value) as signal from (select distinct chr, pos from fx_muts) m left join fx_clusters c on c.chr = m.chr and m.pos > c.lo and m.pos <= c.hi group by 1, 2")
 def _(t):
-    return intervals.signal_at_point(t["fx_muts"].select("chr", "pos").distinct(), signal_ranges(t["fx_clusters"].filter("lo % 60 = 0")))
+    return intervals.signal_at_point(t["fx_muts"].select("chr", "pos").distinct(), signal_ranges(t["fx_clusters"]))
 
 
 def signal_ranges(clusters: DataFrame) -> DataFrame:
@@ -437,8 +446,7 @@ def _(t):
 
 @query("subtree_filter", f"with recursive {CLOSURE_SQL} select chr, lo, hi, ttype from fx_clusters where ttype in (select node from closure where ancestor = 'EUROPE')")
 def _(t):
-    below = tree.tree_closure(t["fx_tree"]).filter("ancestor = 'EUROPE'").select(F.col("node").alias("ttype"))
-    return t["fx_clusters"].join(below, "ttype", "left_semi").select("chr", "lo", "hi", "ttype")
+    return tree.subtree_filter(t["fx_clusters"], tree.tree_closure(t["fx_tree"]), "EUROPE").select("chr", "lo", "hi", "ttype")
 
 
 @query("channel_join", "select a.cohort, n, k, ttype from (select cohort, count(*) as n from fx_muts group by 1) a join (select cohort, count(distinct gene) as k from fx_muts where pos % 7 = 0 group by 1) b on a.cohort = b.cohort join fx_cohorts c on c.cohort = a.cohort")
@@ -532,10 +540,10 @@ def _(t):
 
 @query("explode_samples", """with recursive closure(node, ancestor, depth) as (
   select id, id, 0 from fx_tree union all select c.node, t.parent, c.depth + 1 from closure c join fx_tree t on c.ancestor = t.id where t.parent is not null),
-  s as (select distinct cohort, gene, sample_id as sample from fx_muts where pos % 10 = 0 union all select distinct cohort, 'h', sample_id from fx_muts where pos % 500 = 1)
+  s as (select distinct cohort, gene, sample_id as sample from fx_muts union all select distinct cohort, 'h', sample_id from fx_muts where pos % 500 = 1)
   select ancestor as node, sample, count(*) as n from s join fx_cohorts c on c.cohort = s.cohort join closure on closure.node = c.ttype group by 1, 2""")
 def _(t):
-    return samples_by_node(t, t["fx_muts"].filter("pos % 10 = 0"))
+    return samples_by_node(t, t["fx_muts"])
 
 
 def samples_by_node(t, donors: DataFrame) -> DataFrame:
@@ -613,7 +621,7 @@ def _(t):
 
 @query("count_by_gene", "select gene, count(*) as n from fx_muts group by gene")
 def _(t):
-    return t["fx_muts"].groupBy("gene").agg(F.count("*").alias("n"))
+    return metrics.count_by(t["fx_muts"], "gene")
 
 
 @query("count_mutations", f"with recursive {CLOSURE_SQL} select ancestor as node, gene, cast(count(sample_id) as bigint) as n_muts from fx_tmuts m join closure c on c.node = m.ttype group by 1, 2")
@@ -629,16 +637,15 @@ def _(t):
 
 @query("genes_to_ttypes", "select gene, string_agg(ttype, ',' order by ttype) as ttypes from (select distinct gene, ttype from fx_domains) group by gene")
 def _(t):
-    lists = t["fx_domains"].select("gene", "ttype").distinct().groupBy("gene").agg(F.sort_array(F.collect_list("ttype")).alias("l"))
-    return lists.select("gene", F.array_join("l", ",").alias("ttypes"))
+    return tree.genes_to_ttypes(t["fx_domains"]).select("gene", F.array_join("ttypes", ",").alias("ttypes"))
 
 
 CODON_SQL = """rows as (select distinct l_returnflag as aa, cast(l_partkey as int) as pos, cast(l_suppkey % 3 as int) as transcript, round(l_discount * 10, 4) as score,
-  l_discount >= 0.05 as hit, case when l_quantity > 40 then null else cast(l_quantity as int) end as nmd, l_tax as phylop, cast(l_linenumber % 2 as int) as missense, cast(l_linenumber % 3 = 0 as int) as nonsense, l_orderkey as alt from lineitem where l_returnflag <> 'R')"""
+  l_discount >= 0.05 as hit, case when l_quantity > 40 then null else cast(l_quantity as int) end as nmd, l_tax as phylop, cast(l_linenumber % 2 as int) as missense, cast(l_linenumber % 3 = 0 as int) as nonsense, l_orderkey as alt from lineitem)"""
 
 
 def codon_rows(t) -> DataFrame:
-    return t["lineitem"].filter("l_returnflag <> 'R'").selectExpr("l_returnflag as aa", "cast(l_partkey as int) as pos", "cast(l_suppkey % 3 as int) as transcript", "round(l_discount * 10, 4) as score", "l_discount >= cast(0.05 as double) as hit", "case when l_quantity > 40 then null else cast(l_quantity as int) end as nmd", "l_tax as phylop", "cast(l_linenumber % 2 as int) as missense", "cast(l_linenumber % 3 = 0 as int) as nonsense", "l_orderkey as alt")
+    return t["lineitem"].selectExpr("l_returnflag as aa", "cast(l_partkey as int) as pos", "cast(l_suppkey % 3 as int) as transcript", "round(l_discount * 10, 4) as score", "l_discount >= cast(0.05 as double) as hit", "case when l_quantity > 40 then null else cast(l_quantity as int) end as nmd", "l_tax as phylop", "cast(l_linenumber % 2 as int) as missense", "cast(l_linenumber % 3 = 0 as int) as nonsense", "l_orderkey as alt")
 
 
 def codons(t) -> DataFrame:
@@ -664,17 +671,11 @@ def _(t):
     return codon.codon_bands(codons(t), ["aa", "pos", "transcript"], "missense", "nonsense")
 
 
-VECTOR_SQL = "vec as (select gene, ttype, pos, max(case when impact = 'Missense' then 1 else 0 end) as h, row_number() over (partition by gene, ttype order by pos) as k from fx_tmuts where pos < 400 group by 1, 2, 3)"
-
-
-def all_vectors(t, rows: DataFrame | None = None) -> DataFrame:
-    rows = t["fx_tmuts"] if rows is None else rows
-    return codon.saturation_vectors(rows.withColumn("h", (F.col("impact") == "Missense").cast("int")), ["gene", "ttype"], "pos", "h")
+VECTOR_SQL = "vec as (select gene, ttype, pos, max(case when impact = 'Missense' then 1 else 0 end) as h, row_number() over (partition by gene, ttype order by pos) as k from fx_tmuts group by 1, 2, 3)"
 
 
 def vectors(t) -> DataFrame:
-    """Of the slice that the SQL reads; the queries named ..._all take every position."""
-    return all_vectors(t, t["fx_tmuts"].filter("pos < 400"))
+    return codon.saturation_vectors(t["fx_tmuts"].withColumn("h", (F.col("impact") == "Missense").cast("int")), ["gene", "ttype"], "pos", "h")
 
 
 def vector_text(df: DataFrame) -> DataFrame:
@@ -688,7 +689,7 @@ def _(t):
 
 @query("saturation_vectors_all")
 def _(t):
-    return vector_text(all_vectors(t))
+    return vector_text(vectors(t))
 
 
 @query("pairwise_mcc_distance", f"""with {VECTOR_SQL}, n as (select gene, ttype, count(*) as n, sum(h) as s from vec group by 1, 2),
@@ -702,7 +703,7 @@ def _(t):
 
 @query("pairwise_mcc_distance_all")
 def _(t):
-    return codon.pairwise_mcc_distance(all_vectors(t)).select("gene", "a", "b", r6("distance").alias("distance"))
+    return codon.pairwise_mcc_distance(vectors(t)).select("gene", "a", "b", r6("distance").alias("distance"))
 
 
 @query("confusion_counts", "select grp, split, count(*) filter (p >= 0.5 and label = 1) as tp, count(*) filter (p >= 0.5 and label = 0) as fp, count(*) filter (p < 0.5 and label = 0) as tn, count(*) filter (p < 0.5 and label = 1) as fn from fx_scored group by 1, 2")
@@ -808,18 +809,16 @@ def bench_sql(source: str, keys: str, shown: str, p: str) -> str:
     return f"{balanced_sql(source, keys, shown)}, {signed}, {pr_sql('big', keys, 'sp')}"
 
 
-@query("pr_benchmark", f"with src as (select grp, id, label, ext_score from fx_scored where ext_score is not null), {bench_sql('src', 'split_all', chr(39) + 'all' + chr(39), 'ext_score').replace('split_all', 'x')} select x as grp, pr_auc from area".replace("with src as (select grp, id, label, ext_score", "with src as (select 'all' as x, id, label, ext_score"))
+@query("pr_benchmark", f"with src as (select grp, id, label, ext_score from fx_scored where ext_score is not null), {bench_sql('src', 'grp', 'grp', 'ext_score')} select grp, pr_auc from area")
 def _(t):
-    rows = t["fx_scored"].withColumn("grp", F.lit("all"))
-    return rounded(metrics.pr_benchmark(rows, ["grp"], "label", "ext_score", "id"))
+    return rounded(metrics.pr_benchmark(t["fx_scored"], ["grp"], "label", "ext_score", "id"))
 
 
-@query("score_benchmark_table", """with src as (select 'all' as x, id, label, 'p' as score_name, p as score from fx_scored union all select 'all', id, label, 'ext_score', ext_score from fx_scored where ext_score is not null), """
-       + bench_sql("src", "x, score_name", "x, score_name", "score")
-       + " select 'all' as grp, max(pr_auc) filter (score_name = 'p') as p, max(pr_auc) filter (score_name = 'ext_score') as ext_score from area")
+@query("score_benchmark_table", """with src as (select grp, id, label, 'p' as score_name, p as score from fx_scored union all select grp, id, label, 'ext_score', ext_score from fx_scored where ext_score is not null), """
+       + bench_sql("src", "grp, score_name", "grp, score_name", "score")
+       + " select g.grp, max(pr_auc) filter (score_name = 'p') as p, max(pr_auc) filter (score_name = 'ext_score') as ext_score from (select distinct grp from fx_scored) g left join area a on a.grp = g.grp group by 1")
 def _(t):
-    rows = t["fx_scored"].withColumn("grp", F.lit("all"))
-    return rounded(metrics.score_benchmark_table(rows, ["grp"], "label", ["p", "ext_score"], "id"))
+    return rounded(metrics.score_benchmark_table(t["fx_scored"], ["grp"], "label", ["p", "ext_score"], "id"))
 
 
 @query("evaluate_models", f"with {METRICS_SQL}, a as (select grp, split, round((sum(mid) filter (label = 1) - sum(label) * (sum(label) + 1) / 2) / nullif(sum(label) * (count(*) - sum(label)), 0), 6) as auc, round(case when min(label) = 0 and max(label) = 1 then avg(-ln(case when label = 1 then p else 1 - p end)) end, 6) as logloss from (select grp, split, label, p, rank() over (partition by grp, split order by p) + (count(*) over (partition by grp, split, p) - 1) / 2 as mid from fx_scored) group by 1, 2) select c.grp, c.split, {BINARY}, auc, logloss from c join a on c.grp = a.grp and c.split = a.split")
@@ -852,12 +851,12 @@ def _(t):
 
 @query("sort_output", "select chr, lo, hi from fx_clusters order by chr, lo, hi")
 def _(t):
-    return t["fx_clusters"].select("chr", "lo", "hi").orderBy("chr", "lo", "hi")
+    return src.sort_output(t["fx_clusters"].select("chr", "lo", "hi"), "chr", "lo", "hi")
 
 
 @query("distinct_rows", "select distinct chr, pos, alt from fx_muts")
 def _(t):
-    return t["fx_muts"].select("chr", "pos", "alt").distinct()
+    return src.distinct_rows(t["fx_muts"], "chr", "pos", "alt")
 
 
 @query("cumulative_weights", "select gene, context, round(sum(rate) over (partition by gene order by context rows unbounded preceding), 4) as cum_hi, round(sum(rate) over (partition by gene), 4) as total from fx_rates")
@@ -868,11 +867,11 @@ def _(t):
 
 @query("weighted_draw", f"""with c as (select gene, context, cast(rate * 100 as bigint) as w from fx_rates),
   cum as (select gene, context, sum(w) over (partition by gene order by context rows unbounded preceding) as hi, sum(w) over (partition by gene order by context rows unbounded preceding) - w as lo, sum(w) over (partition by gene) as total from c),
-  d as (select gene, unnest(range(1, n * 5 + 1)) as draw from (select gene, count(*) as n from fx_muts where pos % 20 = 0 group by 1)),
+  d as (select gene, unnest(range(1, n * 50 + 1)) as draw from (select gene, count(*) as n from fx_muts group by 1)),
   u as (select gene, draw, {HEX.format("concat_ws('|', gene, cast(draw as string), '1')")} as u from d)
   select u.gene, context, count(*) as n from u join cum on u.gene = cum.gene and u.u * total >= lo and u.u * total < hi group by 1, 2""")
 def _(t):
-    return draws_by_context(t, t["fx_muts"].filter("pos % 20 = 0"), per_row=5)
+    return draws_by_context(t, t["fx_muts"])
 
 
 def draws_by_context(t, rows: DataFrame, **options) -> DataFrame:
@@ -898,62 +897,63 @@ def _(t):
 
 
 SPLIT_SQL = f"""base as (select grp, id, label, sum(label) over (partition by grp) as pos_n from fx_scored),
-  reps as (select *, {HEX.format("concat_ws('|', cast(id as string), cast(split as string), '1')")} as u, {HEX.format("concat_ws('|', cast(id as string), cast(split as string), '1', 'role')")} as v from (select *, unnest(range(0, 10)) as split from base)),
+  reps as (select *, {HEX.format("concat_ws('|', cast(id as string), cast(split as string), '1')")} as u, {HEX.format("concat_ws('|', cast(id as string), cast(split as string), '1', 'role')")} as v from (select *, unnest(range(0, 50)) as split from base)),
   chosen as (select * from (select *, row_number() over (partition by grp, split, label order by u, id) as k from reps) where label = 1 or k <= pos_n),
   bs as (select grp, id, label, cast(split as int) as split, case when row_number() over (partition by grp, split order by v, id) <= ceil(0.3 * count(*) over (partition by grp, split)) then 'test' else 'train' end as role from chosen)"""
 
 
-def tenfold(t) -> DataFrame:
-    return splits.balanced_splits(t["fx_scored"], ["grp"], "id", n_splits=10)
+def fifty(t) -> DataFrame:
+    return splits.balanced_splits(t["fx_scored"], ["grp"], "id")
 
 
 @query("balanced_splits", f"with {SPLIT_SQL} select grp, id, label, split, role from bs")
 def _(t):
-    return tenfold(t)
+    return fifty(t)
 
 
 @query("mean_train_size", f"with {SPLIT_SQL} select grp, avg(n) as mean_size from (select grp, split, count(*) as n from bs where role = 'train' group by 1, 2) group by 1 having avg(n) >= 30")
 def _(t):
-    return metrics.mean_train_size(tenfold(t), ["grp"])
+    return metrics.mean_train_size(fifty(t), ["grp"])
 
 
 @query("merge_splits", f"with {SPLIT_SQL}, nodes as (select grp as member, grp as node from (select distinct grp from fx_scored) union all select distinct grp, 'ROOT' from fx_scored) select node as ttype, split, role, label, count(*) as n, cast(sum(id) as bigint) as ids from bs join nodes on member = grp group by 1, 2, 3, 4")
 def _(t):
     kinds = t["fx_scored"].select(F.col("grp").alias("member")).distinct()
     nodes = kinds.withColumn("node", F.col("member")).union(kinds.withColumn("node", F.lit("ROOT")))
-    merged = splits.merge_splits(tenfold(t).withColumnRenamed("grp", "ttype"), nodes)
+    merged = splits.merge_splits(fifty(t).withColumnRenamed("grp", "ttype"), nodes)
     return merged.groupBy("ttype", "split", "role", "label").agg(F.count("*").alias("n"), F.sum("id").alias("ids"))
 
 
 @query("stack_iterations", f"with {SPLIT_SQL} select grp, split as iteration, id, label from bs where role = 'test'")
 def _(t):
-    return tenfold(t).filter("role = 'test'").select("grp", F.col("split").alias("iteration"), "id", "label")
+    return splits.stack_iterations(fifty(t), ["grp"], "id")
 
 
 @query("channel_concat", "select gene from fx_muts union all select gene from fx_domains")
 def _(t):
-    return t["fx_muts"].select("gene").union(t["fx_domains"].select("gene"))
+    return src.channel_concat(t["fx_muts"].select("gene"), t["fx_domains"].select("gene"))
 
 
-@query("combine_genes", f"with {SPLIT_SQL} select 'pair' as name, split, role, count(*) as n from bs where grp in ('de', 'fr') group by 2, 3")
+@query("combine_genes", f"with {SPLIT_SQL} select substr(grp, 1, 1) as name, split, role, count(*) as n from bs group by 1, 2, 3")
 def _(t):
-    return tenfold(t).filter("grp in ('de', 'fr')").groupBy(F.lit("pair").alias("name"), "split", "role").agg(F.count("*").alias("n"))
+    groups = t["fx_scored"].select("grp").distinct().withColumn("name", F.substring("grp", 1, 1))
+    return splits.combine_genes(fifty(t), groups, "grp").groupBy("name", "split", "role").agg(F.count("*").alias("n"))
 
 
 # ---- discovery ------------------------------------------------------------------------------------------------------
 
 CURVE_SQL = f"""units as (select ttype, sample_id, row_number() over (partition by ttype, sample_id) as copy from (select distinct ttype, sample_id from fx_samples)),
   sizes as (select ttype, cast(count(*) as int) as n_samples from units group by 1),
-  ur as (select *, {HEX.format("concat_ws('|', sample_id, cast(copy as string), cast(replicate as string), '1')")} as u from (select *, unnest(range(0, 20)) as replicate from units)),
+  ur as (select *, {HEX.format("concat_ws('|', sample_id, cast(copy as string), cast(replicate as string), '1')")} as u from (select *, unnest(range(0, 100)) as replicate from units)),
   rk as (select ttype, sample_id, replicate, row_number() over (partition by ttype, replicate order by u, sample_id, copy) as r from ur),
   fs as (select s.ttype, replicate, pos, min(r) as f from (select distinct ttype, sample_id, pos from fx_samples) s join rk on rk.ttype = s.ttype and rk.sample_id = s.sample_id group by 1, 2, 3),
-  pts as (select ttype, n_samples, cast(point as int) as point, cast(replicate as int) as replicate, point * n_samples / cast(19 as double) as x from (select *, unnest(range(0, 20)) as point from sizes), (select unnest(range(0, 20)) as replicate)),
+  pts as (select ttype, n_samples, cast(point as int) as point, cast(replicate as int) as replicate, point * n_samples / cast(19 as double) as x from (select *, unnest(range(0, 20)) as point from sizes), (select unnest(range(0, 100)) as replicate)),
   curve as (select p.ttype, p.replicate, p.point, p.x, p.n_samples, (select count(*) from fs where fs.ttype = p.ttype and fs.replicate = p.replicate and fs.f <= floor(p.x)) as n_unique from pts p)"""
 
 
 def curves(t) -> DataFrame:
     rows = t["fx_samples"].select("ttype", "sample_id", "pos")
-    return discovery.downsample_curve(rows, rows.select("ttype", "sample_id").distinct(), ["ttype"], "sample_id", ["pos"], replicates=20)
+    return discovery.downsample_curve(rows, rows.select("ttype", "sample_id").distinct(), ["ttype"], "sample_id", ["pos"])
 
 
 @query("downsample_curve", f"with {CURVE_SQL} select ttype, replicate, point, round(x, 6) as x, n_unique from curve")
@@ -962,11 +962,11 @@ def _(t):
 
 
 BOOT_SQL = f"""{CURVE_SQL}, boot as (select b.ttype, b.replicate, b.point, b.x, b.n_samples, c.n_unique from curve b join curve c on c.ttype = b.ttype and c.point = b.point
-  and c.replicate = floor({HEX.format("concat_ws('|', b.ttype, cast(b.replicate as string), cast(b.point as string), '1', 'boot')")} * 20))"""
+  and c.replicate = floor({HEX.format("concat_ws('|', b.ttype, cast(b.replicate as string), cast(b.point as string), '1', 'boot')")} * 100))"""
 
 
 def booted(t) -> DataFrame:
-    return discovery.bootstrap_curves(curves(t), ["ttype"], replicates=20)
+    return discovery.bootstrap_curves(curves(t), ["ttype"])
 
 
 @query("bootstrap_curves", f"with {BOOT_SQL} select ttype, replicate, point, n_unique from boot")
@@ -998,6 +998,15 @@ def _(t):
     return out.select("ttype", "n_samples", *[F.round(c, 4).alias(c) for c in ("discovery_index", "discovery_high", "discovery_low")])
 
 
+@query("discovery_table", f"with {FIT_SQL}, v as (select f.ttype, n_samples, least(1.0, 1 - exp(-lam * n_samples)) as d from fit f join sizes s on s.ttype = f.ttype), i as (select ttype, n_samples, round(quantile_cont(d, 0.5), 4) as discovery_index from v group by 1, 2) select i.ttype, n_samples, discovery_index, n_muts, n_unique_muts from i join (select ttype, count(*) as n_muts from fx_samples group by 1) m on m.ttype = i.ttype join (select ttype, cast(max(n_unique) as bigint) as n_unique_muts from boot group by 1) u on u.ttype = i.ttype")
+def _(t):
+    boot = src.written(booted(t), "curves")
+    sizes = boot.select("ttype", "n_samples").distinct()
+    index = discovery.discovery_index(discovery.fit_saturation_curve(boot, ["ttype"]), sizes, ["ttype"])
+    muts = t["fx_samples"].groupBy("ttype").agg(F.count("*").alias("n_muts"))
+    return discovery.discovery_table(index, boot, muts, ["ttype"]).select("ttype", "n_samples", F.round("discovery_index", 4).alias("discovery_index"), "n_muts", "n_unique_muts")
+
+
 @query("fitted_curve_points", f"with {FIT_SQL} select ttype, cast(point as int) as point, round(avg(m * (1 - exp(-lam * (point * n_samples / cast(49 as double))))), 3) as y from (select f.*, n_samples, unnest(range(0, 50)) as point from fit f join sizes s on s.ttype = f.ttype) group by 1, 2")
 def _(t):
     sizes = t["fx_samples"].select("ttype", "sample_id").distinct().groupBy("ttype").agg(F.count("*").cast("int").alias("n_samples"))
@@ -1006,6 +1015,8 @@ def _(t):
 
 # ---- models ---------------------------------------------------------------------------------------------------------
 
+#: Fewer, larger steps than the defaults (20,000 rounds of 0.001 with patience 2,000), which take hours; all 50 splits are trained.
+QUICK = {"rounds": 40, "rate": 0.1, "patience": 5}
 MODEL_FEATURES = ["n_chars", "e0", "e1", "e2", "ext"]
 
 
@@ -1018,7 +1029,7 @@ def model_rows(t) -> DataFrame:
 def trained(t) -> tuple[DataFrame, DataFrame]:
     long = split_rows(t)
     path = scratch(t.spark, "nodes")
-    model.train_ensemble(long, ["ttype", "gene", "split"], MODEL_FEATURES, "id", rounds=30, patience=5).write.parquet(path)
+    model.train_ensemble(long, ["ttype", "gene", "split"], MODEL_FEATURES, "id", **QUICK).write.parquet(path)
     return long, t.spark.read.parquet(path)
 
 
@@ -1029,18 +1040,18 @@ def _(t):
 
 def split_rows(t) -> DataFrame:
     rows = model_rows(t)
-    cut = splits.balanced_splits(rows.withColumn("label", 1 - F.col("label")), ["ttype", "gene"], "id", n_splits=4).withColumn("label", 1 - F.col("label"))
+    cut = splits.balanced_splits(rows.withColumn("label", 1 - F.col("label")), ["ttype", "gene"], "id").withColumn("label", 1 - F.col("label"))
     return cut.join(rows.drop("label"), ["ttype", "gene", "id"])
 
 
 @query("train_models")
 def _(t):
-    return training.train_models(split_rows(t), ["ttype", "gene"], MODEL_FEATURES, "id", least=10, rounds=20, patience=5)[0]
+    return training.train_models(split_rows(t), ["ttype", "gene"], MODEL_FEATURES, "id", least=10, **QUICK)[0]
 
 
 @query("learning_curves")
 def _(t):
-    return model.learning_curves(split_rows(t), ["ttype", "gene", "split"], MODEL_FEATURES, "id", rounds=30, patience=5)
+    return model.learning_curves(split_rows(t), ["ttype", "gene", "split"], MODEL_FEATURES, "id", **QUICK)
 
 
 @query("score_members")
@@ -1052,8 +1063,7 @@ def _(t):
 @query("cv_table")
 def _(t):
     long, nodes = trained(t)
-    test = long.filter("role = 'test'")
-    return test.select("ttype", "gene", "split", "id", "label").join(model.score_members(test, nodes, ["ttype", "gene", "split"], MODEL_FEATURES, "id"), ["ttype", "gene", "split", "id"])
+    return training.cv_table(long.filter("role = 'test'"), nodes, ["ttype", "gene", "split"], MODEL_FEATURES, "id")
 
 
 @query("tree_attribution")
@@ -1082,9 +1092,9 @@ def _(t):
 
 
 def feature_tables(t) -> dict[str, DataFrame]:
-    ann = annotations(t).withColumn("csqn", F.expr("case impact when 'Missense' then 'missense_variant' when 'Nonsense' then 'stop_gained' when 'Essential_Splice' then 'splice_donor_variant' else 'synonymous_variant' end"))
+    ann = t["fx_muts"].select("gene", "chr", "pos", "alt", F.col("sample_id").cast("long").alias("ord"), F.when(F.col("impact") == "Synonymous", "-").otherwise("NM").alias("mane"), F.expr(CSQN).alias("csqn"))
     return {
-        "annotations": ann.select("chr", "pos", "alt", "ord", "mane", "csqn", F.concat("chr", F.lit("/7")).alias("exon"), F.concat(F.lit("A"), "pos", "alt").alias("aachange")),
+        "annotations": ann.withColumn("exon", F.concat("chr", F.lit("/7"))).withColumn("aachange", F.concat(F.lit("A"), "pos", "alt")),
         "signal": signal_ranges(t["fx_clusters"]),
         "flags": t["part"].join(t["embeddings"], F.col("p_partkey") == F.col("vec_id")).select(F.col("p_brand").alias("gene"), F.concat(F.lit("A"), "vec_id").alias("residue"), F.transform("embedding", lambda x: (x > 0).cast("int")).alias("flags")),
         "clusters": t["fx_clusters"].filter("p_value <= 0.05"),
@@ -1093,17 +1103,70 @@ def feature_tables(t) -> dict[str, DataFrame]:
     }
 
 
-@query("build_training_table")
+CSQN = "case impact when 'Missense' then 'missense_variant' when 'Nonsense' then 'stop_gained' when 'Essential_Splice' then 'splice_donor_variant' else 'synonymous_variant' end"
+FLAG_PLACES = {"Acetylation": 1, "Methylation": 6, "Phosphorylation": 4, "Regulatory_Site": 8, "Ubiquitination": 5}  # from 1
+
+
+def features_sql(rows: str, own: str) -> str:
+    """Views from the table ``rows`` to ``feats``, its rows with all features; ``own`` tells whether a table's ttype is the row's own."""
+    half = "case when v = 0 then v else round_even(v / pow(2.0, greatest(floor(log2(v)), -14) - 10), 0) * pow(2.0, greatest(floor(log2(v)), -14) - 10) end"
+    flags = ", ".join(f'case when csqn is null or csqn = 4 or csqn = 3 then 0 else cast(coalesce(e.embedding[{k}] > 0, false) as int) end as "{n}"' for n, k in FLAG_PLACES.items())
+    return f"""sites as (select distinct ttype, gene, chr, pos, alt from {rows}),
+  ann as (select gene, chr, pos, alt, arg_min(case impact when 'Missense' then 1 when 'Nonsense' then 2 else 3 end, (cast(sample_id as bigint), {CSQN})) as csqn from fx_muts where impact <> 'Synonymous' group by all),
+  sig as (select s.chr, s.pos, min(c.p_value) as v from (select distinct chr, pos from sites) s join fx_clusters c on c.chr = s.chr and s.pos > c.lo and s.pos <= c.hi group by 1, 2),
+  clu as (select s.chr, s.pos, s.ttype, max(case when {own.format('c')} then 2 else 1 end) as level from (select distinct chr, pos, ttype from sites) s join fx_clusters c on c.chr = s.chr and s.pos between c.lo and c.hi and c.p_value <= 0.05 group by 1, 2, 3),
+  pts as (select s.chr, s.pos, s.ttype, max(case when {own.format('c')} then 2 else 1 end) as level from (select distinct chr, pos, ttype from sites) s join fx_clusters c on c.chr = s.chr and s.pos = c.lo group by 1, 2, 3),
+  dom as (select s.gene, s.pos, s.ttype, max(case when {own.format('c')} then 2 else 1 end) as level from (select distinct gene, pos, ttype from sites) s join fx_domains c on c.gene = s.gene and s.pos > c.start_pos and s.pos < c.stop_pos group by 1, 2, 3),
+  feats as (select m.*, csqn, round({half}, 6) as phylop, case when m.chr = '7' and csqn = 2 then 1 else 0 end as nmd, coalesce(clu.level, 0) as clustl, case when csqn = 3 then 0 else coalesce(pts.level, 0) end as hotmaps, coalesce(dom.level, 0) as smregions,
+    {flags.replace('csqn = 4 or ', '')}
+    from {rows} m left join ann on ann.gene = m.gene and ann.chr = m.chr and ann.pos = m.pos and ann.alt = m.alt left join sig on sig.chr = m.chr and sig.pos = m.pos
+    left join clu on clu.chr = m.chr and clu.pos = m.pos and clu.ttype = m.ttype left join pts on pts.chr = m.chr and pts.pos = m.pos and pts.ttype = m.ttype left join dom on dom.gene = m.gene and dom.pos = m.pos and dom.ttype = m.ttype
+    left join (part p join embeddings e on e.vec_id = p.p_partkey) on p.p_brand = m.gene and p.p_partkey = m.pos)"""
+
+
+def digest(rows: DataFrame, keys: list[str], n) -> DataFrame:
+    """Rows by class and features, with their number and the sum of the signal."""
+    by = [*keys, *[F.col(f"csqn_type_{c}").alias(c) for c in V.CLASSES[:3]], F.col("nmd"), F.col("CLUSTL").cast("int").alias("clustl"), F.col("HotMaps").alias("hotmaps"), F.col("smRegions").cast("int").alias("smregions"), *[F.col(c).cast("int").alias(c) for c in FLAG_PLACES]]
+    return rows.groupBy(*by).agg(F.sum(n).cast("long").alias("n"), F.round(F.sum(F.round("PhyloP", 6) * n), 3).alias("signal"))
+
+
+DIGEST_SQL = "cast(coalesce(csqn = 1, false) as int) as missense, cast(coalesce(csqn = 2, false) as int) as nonsense, cast(coalesce(csqn = 3, false) as int) as splicing, nmd, clustl, hotmaps, smregions, " + ", ".join(f'"{n}"' for n in FLAG_PLACES)
+
+TRAINING_SQL = f"""with {SUBS_SQL}, rates as (select context, count(*) as rate from subs where context is not null group by 1),
+  obs as (select m.* from fx_muts m join fx_excess e on m.gene = e.gene where e.wmis > 8 and impact <> 'Synonymous' and pos % 5 <> 0
+    and ((impact = 'Missense' and wmis > 1 and (wmis - 1) / wmis > 0.85) or (impact = 'Nonsense' and wnon > 1 and (wnon - 1) / wnon > 0.85) or (impact = 'Essential_Splice' and wspl > 1 and (wspl - 1) / wspl > 0.85))),
+  over as (select s.chr, s.pos, count(*) as k from (select distinct chr, pos from obs) s join fx_clusters r on r.chr = s.chr and s.pos - 1 < r.hi and r.lo < s.pos group by 1, 2),
+  posi as (select c.ttype, o.gene, o.chr, o.pos, o.ref, o.alt, 1 as response, cast(sum(coalesce(k, 1)) as bigint) as n from obs o join fx_cohorts c on c.cohort = o.cohort left join over v on v.chr = o.chr and v.pos = o.pos group by all),
+  cand as (select s.gene, s.chr, s.pos, s.ref, s.alt, cast(coalesce(rate, 0) as double) as w from subs s left join rates r on r.context = s.context),
+  cum as (select *, sum(w) over (partition by gene order by chr, pos, alt rows unbounded preceding) as hi, sum(w) over (partition by gene) as total from cand),
+  dr as (select ttype, gene, unnest(range(1, n * 50 + 1)) as draw from (select ttype, gene, cast(sum(n) as bigint) as n from posi group by 1, 2)),
+  us as (select dr.ttype, dr.gene, {HEX.format("concat_ws('|', dr.ttype, dr.gene, cast(draw as string), '1')")} * total as x from dr join (select gene, max(total) as total from cum group by 1) g on g.gene = dr.gene),
+  neg as (select u.ttype, u.gene, c.chr, c.pos, c.ref, c.alt, 0 as response, count(*) as n from us u asof join (select *, hi - w as lo from cum where w > 0) c on c.gene = u.gene and u.x >= c.lo group by all),
+  labelled as (select * from posi union all select * from neg), {features_sql('labelled', '{0}.ttype = s.ttype')}
+  select ttype, gene, response, {DIGEST_SQL}, cast(sum(n) as bigint) as n, round(sum(phylop * n), 3) as signal from feats group by all"""
+
+
+@query("build_training_table", TRAINING_SQL)
 def _(t):
-    rates = t["fx_muts"].groupBy("gene", "chr", "pos", "ref", "alt").agg(F.count("*").cast("double").alias("rate"))
+    changes = sequence.all_substitutions(sequence.explode_bases(t["fx_seq"], ["gene"]), ["gene"])
+    rates = changes.filter("context is not null").groupBy("context").agg(F.count("*").cast("double").alias("rate"))
     regions = t["fx_clusters"].select("chr", F.col("lo").alias("r_start"), F.col("hi").alias("r_end"))
-    return training.build_training_table(feature_tables(t) | {
-        "muts": t["fx_tmuts"], "drivers": t["fx_excess"].filter("wmis > 8"), "mnvs": t.sql(MNV_SQL).groupBy("gene", "sample_id", "cohort").agg(F.array_join(F.collect_list(F.col("pos").cast("string")), ",").alias("positions")),
-        "estimates": t["fx_excess"], "regions": regions, "candidates": rates,
-    })
+    rows = training.build_training_table(feature_tables(t) | {
+        "muts": t["fx_tmuts"].withColumn("impact", F.when(F.col("impact") == "Synonymous", "no-SNV").otherwise(F.col("impact"))), "drivers": t["fx_excess"].filter("wmis > 8"),
+        "mnvs": t.sql(MNV_SQL).groupBy("gene", "sample_id", "cohort").agg(F.array_join(F.collect_list(F.col("pos").cast("string")), ",").alias("positions")),
+        "estimates": t["fx_excess"], "regions": regions, "sequences": t["fx_seq"], "rates": rates,
+    }, counted=True)
+    return digest(rows, ["ttype", "gene", "response"], F.col("n"))
+
+
+SATURATION_SQL = f"""with recursive {CLOSURE_SQL}, sat as (select distinct c.ancestor as ttype, gene, chr, pos, ref, alt from fx_tmuts m join closure c on c.node = m.ttype where c.depth = 1),
+  {features_sql('sat', "exists (select 1 from closure k where k.node = {0}.ttype and k.ancestor = s.ttype)")}
+  select ttype, gene, {DIGEST_SQL}, count(*) as n, round(sum(phylop), 3) as signal from feats where csqn is not null group by all"""
 
 
-@query("annotate_saturation")
+@query("annotate_saturation", SATURATION_SQL)
 def _(t):
-    sites = t["fx_tmuts"].select("ttype", "gene", "chr", "pos", "ref", "alt").distinct()
-    return training.annotate_saturation(sites, feature_tables(t))
+    closure = tree.tree_closure(t["fx_tree"])
+    regions = closure.filter("depth = 1").select(F.col("node").alias("ttype"), F.col("ancestor").alias("region"))
+    sites = t["fx_tmuts"].join(regions, "ttype").select(F.col("region").alias("ttype"), "gene", "chr", "pos", "ref", "alt").distinct()
+    return digest(training.annotate_saturation(sites, feature_tables(t), closure), ["ttype", "gene"], F.lit(1))

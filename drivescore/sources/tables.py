@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -29,19 +32,23 @@ def read_positional(spark: SparkSession, path: str, names: list[str | None], hea
     return spark.read.csv(path, sep="\t", header=header, schema=schema, enforceSchema=True).select(*[n for n in names if n])
 
 
-def file_key(path=None):
-    """Name of the row's input file up to its first dot."""
-    return F.regexp_extract(path if path is not None else F.input_file_name(), r"([^/.]+)[^/]*$", 1)
+#: The part of a file's path that is its key: the name up to its first dot.
+FILE_NAME = r"([^/.]+)[^/]*$"
+
+
+def file_key(pattern: str = FILE_NAME):
+    """The key in the path of the row's input file."""
+    return F.regexp_extract(F.input_file_name(), pattern, 1)
 
 
-def scan_with_key(spark: SparkSession, glob: str, schema: T.StructType | str, key: str = "COHORT") -> DataFrame:
-    """All files of a glob as one table, with the key that their names hold."""
-    return read_tsv(spark, glob, schema).withColumn(key, file_key())
+def scan_with_key(spark: SparkSession, glob: str, schema: T.StructType | str, key: str = "COHORT", pattern: str = FILE_NAME) -> DataFrame:
+    """All files of a glob as one table, with the key that their paths hold."""
+    return read_tsv(spark, glob, schema).withColumn(key, file_key(pattern))
 
 
-def read_json_by_key(spark: SparkSession, glob: str, schema: T.StructType | str, key: str = "COHORT") -> DataFrame:
-    """One JSON document per file, as one row per file with the key that its name holds."""
-    return spark.read.schema(schema).json(glob, multiLine=True).withColumn(key, file_key())
+def read_json_by_key(spark: SparkSession, glob: str, schema: T.StructType | str, key: str = "COHORT", pattern: str = FILE_NAME) -> DataFrame:
+    """One JSON document per file, as one row per file with the key that its path holds."""
+    return spark.read.schema(schema).json(glob, multiLine=True).withColumn(key, file_key(pattern))
 
 
 def read_rate_map(df: DataFrame, json_col: str, keys: list[str]) -> DataFrame:
@@ -78,13 +85,46 @@ def read_trace_skip_comments(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).filter(~F.col("value").startswith("##"))
 
 
+_OWN_DIR: dict[str, str] = {}
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that driver and executors share, which ``spark.checkpoint.dir`` names.
+
+    Only a session in one process (tests) that names none has a temporary folder instead.
+    """
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named:
+        master = spark.conf.get("spark.master", "")
+        if not (master == "local" or master.startswith("local[")):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        named = _OWN_DIR.setdefault("dir", tempfile.mkdtemp(prefix="spark-files-"))
+    return f"{named.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the shared folder and read back: its lineage is cut, so plans that use it often stay small."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def required(df: DataFrame, what: str) -> DataFrame:
+    """``df``; an error if it has no row."""
+    if df.isEmpty():
+        raise ValueError(f"no rows: {what}")
+    return df
+
+
 def read_saturation(df: DataFrame) -> DataFrame:
     """Saturation annotations under short names: rows of the selected transcript whose alternate is a base.
 
+    An error if the selected transcript has no row.
+
     ``df`` has Chromosome, Position, Reference, Alternate, Gene, Feature, Consequence, Symbol, Mane_select.
     """
     names = {"Chromosome": "chr", "Position": "pos", "Reference": "ref", "Alternate": "alt", "Gene": "ENSEMBL_GENE", "Feature": "ENSEMBL_TRANSCRIPT", "Consequence": "csqn", "Symbol": "gene"}
-    kept = df.filter((F.col("Mane_select") != "-") & F.col("Alternate").isin("A", "C", "G", "T"))
+    kept = required(df.filter(F.col("Mane_select") != "-"), "mutations in the selected transcript").filter(F.col("Alternate").isin("A", "C", "G", "T"))
     return kept.withColumnsRenamed(names).withColumn("chr", F.regexp_replace("chr", "chr", ""))
 
 
@@ -100,6 +140,27 @@ def write_parquet(df: DataFrame, path: str, keys: list[str] | None = None) -> No
     (df.write.partitionBy(*keys) if keys else df.write).parquet(path)
 
 
+def write_json(df: DataFrame, path: str, keys: list[str] | None = None) -> None:
+    (df.write.partitionBy(*keys) if keys else df.write).json(path)
+
+
+def sort_output(df: DataFrame, *columns: str) -> DataFrame:
+    """The order in which tables are handed on: by chromosome or name, then position."""
+    return df.orderBy(*columns)
+
+
+def distinct_rows(df: DataFrame, *columns: str) -> DataFrame:
+    return df.select(*columns).distinct() if columns else df.distinct()
+
+
+def channel_concat(*tables: DataFrame) -> DataFrame:
+    """Tables one after another, by column name; repeats stay."""
+    first, *rest = tables
+    for df in rest:
+        first = first.unionByName(df)
+    return first
+
+
 def vep_input(df: DataFrame, order: list[str]) -> DataFrame:
     """(chr, start, end, alleles) of the first row of each site, by chromosome and position."""
     first = W.partitionBy("chr", "pos", "ref", "alt").orderBy(*order)
@@ -107,5 +168,11 @@ def vep_input(df: DataFrame, order: list[str]) -> DataFrame:
     return rows.select("chr", F.col("pos").alias("start"), F.col("pos").alias("end"), F.concat_ws("/", "ref", "alt").alias("alleles")).orderBy("chr", "start", "alleles")
 
 
-def write_vep_input(df: DataFrame, path: str, order: list[str]) -> None:
-    vep_input(df, order).write.option("sep", "\t").option("header", False).csv(path)
+def write_vep_input(df: DataFrame, path: str, order: list[str], gene: str | None = None) -> None:
+    """The sites as text without a header; in a folder of its own for each gene if its column is named."""
+    if gene is None:
+        vep_input(df, order).write.option("sep", "\t").option("header", False).csv(path)
+        return
+    sites = df.dropDuplicates([gene, "chr", "pos", "ref", "alt"]).select(gene, "chr", F.col("pos").alias("start"), F.col("pos").alias("end"), F.concat_ws("/", "ref", "alt").alias("alleles"))
+    rows = sites.repartition(gene).sortWithinPartitions(gene, "chr", "start", "alleles")
+    rows.write.partitionBy(gene).option("sep", "\t").option("header", False).csv(path)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from drivescore.functions import variants as V
 from drivescore.operators import clusters, discovery, intervals, lookups, metrics, model, sequence, splits, tree
+from drivescore.plans import training
 from drivescore.sources import tables as src
 
 
@@ -78,6 +79,112 @@ def test_unknown_cohort_fails(spark):
         lookups.cohort_to_ttype(spark.createDataFrame([("y",)], "cohort string"), c).collect()
 
 
+def test_last_row_of_a_cohort_and_empty_inputs(spark):
+    c = spark.createDataFrame([("x", "B", 1), ("x", "A", 2)], "cohort string, ttype string, line int")
+    assert values(lookups.cohort_to_ttype(spark.createDataFrame([("x",)], "cohort string"), c, order="line")) == [("x", "A")]
+    muts = spark.createDataFrame([("g", "no-SNV"), ("h", "Missense")], "gene string, impact string")
+    with pytest.raises(ValueError, match="driver genes"):
+        clusters.filter_driver_snvs(muts, spark.createDataFrame([("g",)], "gene string"))
+    with pytest.raises(ValueError, match="known consequence"):
+        training.keep_known_consequence(spark.createDataFrame([("odd",)], "csqn_type string"))
+    names = "Chromosome string, Position int, Reference string, Alternate string, Gene string, Feature string, Consequence string, Symbol string, Mane_select string"
+    with pytest.raises(ValueError, match="selected transcript"):
+        src.read_saturation(spark.createDataFrame([("chr1", 1, "A", "C", "E", "T", "c", "g", "-")], names))
+
+
+def test_protein_change(spark):
+    df = spark.createDataFrame([("33", "A/C"), ("33", "L"), ("-", "A/C"), (None, "A")], "pos string, aa string")
+    assert [r[0] for r in df.select(V.protein_change(F.col("pos"), F.col("aa"))).collect()] == ["A33C", "L33L", ".", None]
+
+
+def test_annotation_belongs_to_its_gene(spark):
+    """Two genes overlap: each site has the consequence of its own gene, and own tumor types may be those of a subtree."""
+    sites = spark.createDataFrame([("T", "a", "1", 5, "C"), ("T", "b", "1", 5, "C")], "ttype string, gene string, chr string, pos int, alt string")
+    ann = spark.createDataFrame([("a", "1", 5, "C", "NM", "missense_variant", "1/3", "A5C", 2), ("b", "1", 5, "C", "NM", "stop_gained", "3/3", "Q5*", 1), ("b", "1", 5, "C", "-", "intron_variant", "1/3", "-", 0)], "gene string, chr string, pos int, alt string, mane string, csqn string, exon string, aachange string, ord int")
+    t = {
+        "annotations": ann, "signal": spark.createDataFrame([("chr1", 4, 5, 0.1)], "chrom string, start int, end int, value double"),
+        "flags": spark.createDataFrame([("a", "A5", [1, 0, 0, 0, 0, 1, 0, 0])], "gene string, residue string, flags array<int>"),
+        "clusters": spark.createDataFrame([("1", 1, 9, "U")], "chr string, lo int, hi int, ttype string"), "points": spark.createDataFrame([("1", 5, "T")], "chr string, pos int, ttype string"),
+        "domains": spark.createDataFrame([("a", 1, 9, "kin", "U", 1)], "gene string, start_pos int, stop_pos int, element string, ttype string, ord int"),
+    }
+    got = {r.gene: r for r in training.site_features(sites, t).collect()}
+    assert [(got[g].csqn_type, got[g].nmd, got[g].CLUSTL, got[g].HotMaps, got[g].smRegions, got[g].motif, got[g].Acetylation, got[g].Methylation) for g in "ab"] == [("missense", 0, 1, 2, 1, "kin;", 1, 1), ("nonsense", 1, 1, 2, 0, "", 0, 0)]
+    assert got["a"].PhyloP == float(np.float16(0.1))
+    closure = tree.tree_closure(spark.createDataFrame([("T", None), ("U", "T")], "id string, parent string"))
+    wide = {r.gene: r for r in training.annotate_saturation(sites.withColumn("ref", F.lit("A")), t, closure).collect()}
+    assert wide["a"].CLUSTL == 2 and wide["a"].smRegions == 2 and wide["a"].motif == "kin;"
+
+
+def test_background_follows_context_rates(spark):
+    t = {"sequences": spark.createDataFrame([("g", "1", 100, "ACGTNACA"), ("h", "1", 300, "TTTT"), ("other", "1", 900, "ACGT")], "gene string, chr string, start int, seq string"), "rates": spark.createDataFrame([("ACG>T", 3.0), ("ACA>G", 1.0)], "context string, rate double")}
+    counts = spark.createDataFrame([("T", "g", 40), ("T", "h", 5)], "ttype string, gene string, n int")
+    rows = training.background(t, counts).collect()
+    at = [(r.gene, r.pos, r.ref, r.alt) for r in rows]
+    # ACG at 100, its complement CGT at 101, ACA at 105; TTT of h has no rate, so its six changes are drawn evenly.
+    assert len(at) == 50 * 45 and {x[1:] for x in at if x[0] == "g"} == {(100, "C", "T"), (101, "G", "A"), (105, "C", "G")}
+    assert abs(sum(x[1] == 105 for x in at) / 2000 - 1 / 7) < 0.03
+    assert {x[1:] for x in at if x[0] == "h"} == {(p, "T", a) for p in (300, 301) for a in "ACG"}
+
+
+def test_median_iqr(spark):
+    rng = np.random.default_rng(2)
+    rows = [(g, float(v)) for g in "ab" for v in rng.integers(-4, 5, 37)] + [("c", 2.5), ("d", None), (None, 1.0), (None, 4.0), ("a", None)]
+    got = {r.g: (r.low, r.median, r.high) for r in metrics.median_iqr(spark.createDataFrame(rows, "g string, v double"), ["g"], "v").collect()}
+    assert got["d"] == (None, None, None)
+    for g in ("a", "b", "c", None):
+        assert got[g] == pytest.approx(tuple(np.percentile([v for k, v in rows if k == g and v is not None], [25, 50, 75])))
+
+
+def plain_value(nodes, x):
+    at = 0
+    while nodes[at][0] >= 0:
+        v = x[int(nodes[at][0])]
+        at = int(nodes[at][2] if v is None or v < nodes[at][1] else nodes[at][3])
+    return nodes[at][4]
+
+
+def test_models_against_plain_trees(spark):
+    """Training, scores, consensus and attributions of a small ensemble, each row by walking its trees."""
+    rng = np.random.default_rng(6)
+    rows = []
+    for gene in ("g", "h"):
+        for k in range(60):
+            x, y = float(rng.normal()), float(rng.normal())
+            rows.append(("T", gene, k + 100 * (gene == "h"), int(x + rng.normal(scale=0.4) > 0), x, None if k % 9 == 0 else y))
+    df = spark.createDataFrame(rows, "ttype string, gene string, id int, label int, x double, y double")
+    cut = splits.balanced_splits(df, ["ttype", "gene"], "id", n_splits=3).join(df.drop("label"), ["ttype", "gene", "id"])
+    few = cut.filter("gene = 'g' or id < 104")  # too few rows of h
+    nodes, failed = training.train_models(few, ["ttype", "gene"], ["x", "y"], "id", least=20, rounds=6, rate=0.3, patience=3)
+    nodes = spark.createDataFrame(nodes.collect(), nodes.schema)
+    assert {(r.gene, r.split) for r in nodes.collect()} == {("g", s) for s in range(3)} and [r.gene for r in failed.collect()] == ["h"]
+    models = {}
+    for r in nodes.collect():
+        models.setdefault((r.split, r.tree), {})[r.node] = (r.feature, r.threshold, r.left_node, r.right_node, r.value)
+    base = {r.split: r.base_margin for r in nodes.collect()}
+    features = {r[2]: (r[4], r[5]) for r in rows if r[1] == "g"}
+    margin = {(s, i): base[s] + sum(plain_value(t, x) for (k, _), t in models.items() if k == s) for s in range(3) for i, x in features.items()}
+    scored = {(r.split, r.id): r.p for r in model.score_members(df.filter("gene = 'g'"), nodes, ["ttype", "gene"], ["x", "y"], "id", member="split").collect()}
+    assert scored == pytest.approx({k: 1 / (1 + np.exp(-m)) for k, m in margin.items()})
+    test = cut.filter("gene = 'g' and role = 'test'")
+    table = training.cv_table(test, nodes, ["ttype", "gene", "split"], ["x", "y"], "id").collect()
+    assert len(table) == test.count() and all(r.p == pytest.approx(scored[r.split, r.id]) for r in table)
+    selection = spark.createDataFrame([("T", "g", "T")], "ttype string, gene string, selected_ttype string")
+    out = training.predict_saturation(df.filter("gene = 'g'"), nodes, selection, ["x", "y"], "id").collect()
+    means = {i: np.mean([margin[s, i] for s in range(3)]) for i in features}
+    assert {r.id: r.score for r in out} == pytest.approx({i: 1 / (1 + np.exp(-2.3 * m)) for i, m in means.items()})
+    assert all(r["class"] == (r.score >= 0.5) for r in out)
+    expected = {r.id: r.base for r in model.tree_attribution(df.filter("gene = 'g'"), nodes, ["ttype", "gene"], ["x", "y"], "id", member="split").groupBy("id").agg(F.avg("base").alias("base")).collect()}
+    assert {r.id: expected[r.id] + r.attr_x + r.attr_y for r in out} == pytest.approx(means)
+    curve = model.learning_curves(few.filter("gene = 'g'"), ["ttype", "gene", "split"], ["x", "y"], "id", rounds=6, rate=0.3, patience=3).collect()
+    assert {(r.split, r["round"]) for r in curve} == set(models)
+    q = {(r.split, r.id): r.label for r in test.collect()}
+    for s in range(3):
+        last = [-(np.log(scored[k]) if y else np.log(1 - scored[k])) for k, y in q.items() if k[0] == s]
+        assert np.mean(last) == pytest.approx(min(r.logloss for r in curve if r.split == s))
+    with pytest.raises(Exception, match="no high-quality model: T h"):
+        training.predict_saturation(df, nodes, selection, ["x", "y"], "id").collect()
+
+
 def test_tree(spark):
     edges = spark.createDataFrame([("r", None), ("a", "r"), ("b", "r"), ("c", "a")], "id string, parent string")
     closure = tree.tree_closure(edges)
@@ -89,7 +196,16 @@ def test_tree(spark):
     assert near == {("c", "g"): "a", ("a", "g"): "a", ("r", "g"): "r"}
     assert far == {("c", "g"): "r", ("a", "g"): "r", ("r", "g"): "r", ("b", "h"): None}
     loop = spark.createDataFrame([("x", "y"), ("y", "x")], "id string, parent string")
-    assert tree.tree_closure(loop, max_depth=5).count() == 12
+    for edges_of in (loop, spark.createDataFrame([(f"n{k}", f"n{k + 1}") for k in range(9)], "id string, parent string")):
+        with pytest.raises(Exception, match="a cycle, or more than"):
+            tree.tree_closure(edges_of, max_depth=5).count()
+    cohorts = spark.createDataFrame([("x", "c"), ("y", "b")], "cohort string, ttype string")
+    assert values(tree.subtree_cohorts(closure, cohorts, node="a")) == [("a", "x")]
+    with pytest.raises(ValueError, match="unknown tumor type: z"):
+        tree.subtree_cohorts(closure, cohorts, node="z")
+    rows = spark.createDataFrame([("c", 1), ("b", 2)], "ttype string, k int")
+    assert values(tree.subtree_filter(rows, closure, "a")) == [("c", 1)]
+    assert values(tree.at_ancestors(rows, closure).select("ttype", "k")) == [("a", 1), ("b", 2), ("c", 1), ("r", 1), ("r", 2)]
 
 
 def test_one_class_and_ties(spark):
