@@ -21,6 +21,7 @@ from .common import staged
 
 ANY = [frozenset()]
 MOST_STRINGS, MOST_SETS = 64, 64
+KEY = ["key", "key2"]
 
 
 @dataclass(frozen=True)
@@ -123,14 +124,15 @@ def vocabulary(rules=RULES) -> list[str]:
 
 
 def build_index(rows: DataFrame, words: list[str]) -> DataFrame:
-    """Posting lists (word: place in ``words``, row) of the trigrams of ``words`` that texts hold; written, a folder a trigram."""
+    """Posting lists (word: place in ``words``, key) of the trigrams of ``words`` that texts hold; written, a folder a trigram."""
     low = F.lower("t")
-    held = F.array_compact(F.array(*[F.when(F.contains(low, F.lit(w)), F.lit(k)) for k, w in enumerate(words)]))
-    return staged(rows.select("row", F.explode(held).alias("word")), "postings", ["word"])
+    flags = F.array(*[F.contains(low, F.lit(w)) for w in words])
+    held = F.array_compact(F.transform(flags, lambda x, k: F.when(x, k)))
+    return staged(rows.select(*KEY, F.explode(held).alias("word")).distinct(), "postings", ["word"])
 
 
 def candidates(index: DataFrame, rules: tuple[Rule, ...], words: list[str]) -> DataFrame:
-    """(row, rules): for each row the rules of which it satisfies a set of trigrams, as a bitmap.
+    """(key, rules): for each row the rules of which it satisfies a set of trigrams, as a bitmap.
 
     Each set's posting lists are intersected: a row is in all of them if it has as many postings as the set has trigrams.
     """
@@ -139,8 +141,8 @@ def candidates(index: DataFrame, rules: tuple[Rule, ...], words: list[str]) -> D
     wanted = [(at[t], n, k, len(s)) for n, (k, s) in enumerate(queries) for t in sorted(s)]
     sets = index.sparkSession.createDataFrame(wanted, "word int, set int, rule int, need int")  # as many rows as the rules have trigrams
     lists = index.join(F.broadcast(sets), "word")
-    both = lists.groupBy("row", "set", "rule", "need").agg(F.count("*").alias("n")).filter("n = need")
-    return both.groupBy("row").agg(F.bit_or(F.expr("shiftleft(1L, rule)")).alias("rules"))
+    both = lists.groupBy(*KEY, "set", "rule", "need").agg(F.count("*").alias("n")).filter("n = need")
+    return both.groupBy(*KEY).agg(F.bit_or(F.expr("shiftleft(1L, rule)")).alias("rules"))
 
 
 def rule_spans(text: Column, rule: Rule, order: int) -> Column:
@@ -181,14 +183,17 @@ def secret_scan(docs: DataFrame, rules=RULES, id_col: str = "doc_id", text_col:
     """
     words = vocabulary(rules)
     indexed = [k for k, r in enumerate(rules) if all(trigram_query(r.pattern))]
-    # Rows get their numbers once, when written; index, scan and verification read the same files.
-    rows = staged(docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"), F.monotonically_increasing_id().alias("row")), "scanned")
+    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
+    # 128 bits of hash name a row; rows repeated with id and text share a name, and so their spans.
+    rows = rows.select("id", "t", F.xxhash64("id", "t").alias("key"), F.xxhash64("t", F.lit("second"), "id").alias("key2"))
     scanned = [F.when(F.col("t").rlike(r.java), rule_spans(F.col("t"), r, k)).otherwise(NOTHING()) for k, r in enumerate(rules) if k not in indexed]
-    scans = rows.select("id", "row", (F.concat(*scanned) if scanned else NOTHING()).alias("scanned"))
-    named = candidates(build_index(rows, words), rules, words)
+    scans = rows.select("id", *KEY, (F.concat(*scanned) if scanned else NOTHING()).alias("scanned"))
+    named = staged(candidates(build_index(rows, words), rules, words), "candidates")
     verified = [F.when(F.col("rules").bitwiseAND(F.lit(1 << k).cast("long")) != 0, rule_spans(F.col("t"), rules[k], k)).otherwise(NOTHING()) for k in indexed]
-    found = named.join(rows.select("row", "t"), "row").select("row", F.concat(NOTHING(), *verified).alias("verified"))
-    spans = scans.join(found, "row", "left").select("id", F.array_sort(F.concat("scanned", F.coalesce("verified", NOTHING()))).alias("s"))
+    # Only candidates' texts are asked for: at scale Spark filters the texts by their names before it moves any.
+    found = named.join(rows.select(*KEY, "t"), KEY).select(*KEY, F.concat(NOTHING(), *verified).alias("verified")).filter(F.size("verified") > 0)
+    found = found.dropDuplicates(KEY)
+    spans = scans.join(found, KEY, "left").select("id", F.array_sort(F.concat("scanned", F.coalesce("verified", NOTHING()))).alias("s"))
     kinds = F.array(*[F.lit(r.kind) for r in rules])
     base = [k for k, r in enumerate(rules) if r.base]
 
