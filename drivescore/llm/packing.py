@@ -16,6 +16,7 @@ from __future__ import annotations
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 from string import punctuation
 from unicodedata import normalize
 
@@ -25,12 +26,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import before, bounded_batches, bucket_count, release, staged
+from .common import before, bounded_batches, bucket_count, staged
+from .words import MEAN_CHARS
 
 CAPACITY = 4096
 END_ID = 1
-CACHED_WORDS = 450_000
-GROUP_WORDS = 60_000
+CACHED_WORDS = 900_000
+GROUP_WORDS = 120_000
 GROUP_CHARS = 2_000_000
 
 
@@ -44,7 +46,7 @@ class WordEncoder:
     Letters that the tokenizer's normalizer turns into a letter and a mark are the exception, as the
     mark joins the punctuation: parts with those are encoded whole.
 
-    The cache starts afresh at about ``limit`` entries. Texts are read in groups of at most ``group`` words and
+    The cache starts afresh at about ``limit`` entries, or ``MEAN_CHARS`` characters for each. Texts are read in groups of at most ``group`` words and
     ``GROUP_CHARS`` characters, or one word.
     """
 
@@ -53,6 +55,7 @@ class WordEncoder:
 
         self.tokenizer, self.limit, self.group = Tokenizer.from_file(path), limit, group
         self.known: dict[str, bytes] = {}
+        self.chars = 0
         vocabulary = self.tokenizer.get_vocab()
         self.closes = np.zeros(max(vocabulary.values()) + 1, bool)
         self.closes[[k for t, k in vocabulary.items() if t.endswith("</w>")]] = True
@@ -83,9 +86,12 @@ class WordEncoder:
     def _learn(self, words: set[str]) -> None:
         """Bring all of the words into the cache."""
         fresh = words.difference(self.known)
-        if fresh and len(self.known) + len(fresh) > self.limit:
+        more = sum(map(len, fresh))
+        if fresh and (len(self.known) + len(fresh) > self.limit or self.chars + more > self.limit * MEAN_CHARS):
             self.known.clear()
-            fresh = words
+            self.chars, fresh = 0, words
+            more = sum(map(len, fresh))
+        self.chars += more
         known, parts, need = self.known, [], set()
         for w in sorted(fresh):
             c = w.rstrip(punctuation)
@@ -129,11 +135,17 @@ class WordEncoder:
             yield b"".join(map(ids, words))
 
 
+@lru_cache(maxsize=1)
+def word_encoder(path: str) -> WordEncoder:
+    """One for each Python worker: its cache serves all tasks that the worker runs, as a cold one costs each task anew."""
+    return WordEncoder(path)
+
+
 def tokenized_pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY) -> DataFrame:
     """Pieces of every document: id, piece, start, length, ids_crc32."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordEncoder(tokenizer)
+        encoder = word_encoder(tokenizer)
         end, step = np.array([END_ID], "<u4").tobytes(), capacity * 4
         for b in batches:
             at, piece, start, length, crc = [], [], [], [], []
@@ -148,7 +160,6 @@ def tokenized_pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", te
                     crc.append(zlib.crc32(part))
             columns = [b.column(0).take(pa.array(at, pa.int64())), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc))]
             yield pa.RecordBatch.from_arrays(columns, names=["id", "piece", "start", "length", "ids_crc32"])
-        release(encoder.known)
 
     kind = docs.schema[id_col].dataType.simpleString()
     return bounded_batches(docs).select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).mapInArrow(run, f"id {kind}, piece int, start long, length long, ids_crc32 long")
