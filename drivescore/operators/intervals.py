@@ -78,6 +78,20 @@ def signal_at_point(df: DataFrame, signal: DataFrame, name: str = "signal", chro
     return df.join(signal_values(df, signal, name, chrom, pos, width), [chrom, pos], "left")
 
 
+def types_at(sites: DataFrame, clusters: DataFrame, name: str = "types", chrom: str = "chr", pos: str = "pos", ttype: str = "ttype", width: int = BIN) -> DataFrame:
+    """(chrom, pos, types): the distinct ttypes of the intervals [lo, hi] in which a site lies, of the sites that lie in any."""
+    there = clusters.select(F.col(chrom), F.col("lo").alias("_lo"), F.col("hi").alias("_hi"), F.col(ttype).alias("_t"))
+    hits = points_in(sites.select(chrom, pos).distinct(), there, [chrom], pos, "_lo", "_hi", F.col(pos).between(F.col("_lo"), F.col("_hi")), width=width)
+    return hits.groupBy(chrom, pos).agg(F.collect_set("_t").alias(name))
+
+
+def domains_at(sites: DataFrame, domains: DataFrame, name: str = "domains", gene: str = "gene", pos: str = "pos", ttype: str = "ttype", width: int = BIN) -> DataFrame:
+    """(gene, pos, domains): distinct (ord, element, ttype) of the domains start < pos < stop in which a site lies, the last first."""
+    there = domains.select(F.col(gene), F.col("start_pos").alias("_lo"), F.col("stop_pos").alias("_hi"), F.struct(F.col("ord"), F.col("element"), F.col(ttype).alias("ttype")).alias("_d"))
+    hits = points_in(sites.select(gene, pos).distinct(), there, [gene], pos, "_lo", "_hi", (F.col(pos) > F.col("_lo")) & (F.col(pos) < F.col("_hi")), width=width)
+    return hits.groupBy(gene, pos).agg(F.sort_array(F.collect_set("_d"), asc=False).alias(name))
+
+
 def region_overlap_outer(df: DataFrame, regions: DataFrame, chrom: str = "chr", start: str = "start", end: str = "end", width: int = BIN) -> DataFrame:
     """Left outer join on half-open overlap: a row for each (row, region) pair, and rows without a region.
 

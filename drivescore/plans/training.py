@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from drivescore.functions.variants import CLASSES, FEATURES, class_threshold, classify_consequence, half_precision, nmd_flag, normalize_chrom, one_hot_consequence, rectify
 from drivescore.operators.clusters import filter_by_excess, filter_driver_snvs
-from drivescore.operators.intervals import domain_levels, interval_levels, region_overlap_outer, signal_values
-from drivescore.operators.lookups import annotate_variant, anti_join_mnv, flag_vector_lookup, point_membership
+from drivescore.operators.intervals import domains_at, region_overlap_outer, signal_values, types_at
+from drivescore.operators.lookups import annotate_variant, anti_join_mnv, flag_vector_lookup
 from drivescore.operators.metrics import consensus, mean_train_size
 from drivescore.operators.model import failed_groups, mean_attribution, score_members, train_ensemble, tree_attribution
 from drivescore.operators.sequence import all_substitutions, explode_bases, weighted_draw
@@ -35,30 +35,42 @@ def keep_known_consequence(df: DataFrame, consequence: str = "csqn_type") -> Dat
     return required(df.filter(F.col(consequence).isin(CLASSES)), "mutations of a known consequence")
 
 
-SITE = ["ttype", "gene", "chr", "pos", "alt"]
+SITE = ["gene", "chr", "pos", "alt"]
 
 
 def site_features(sites: DataFrame, t: dict[str, DataFrame]) -> DataFrame:
-    """Feature columns of distinct sites (ttype, gene, chr, pos, alt). Each feature reads the sites for itself.
+    """What is known of distinct sites (gene, chr, pos, alt) under any ttype. Each table meets the sites for itself.
 
-    ``t``: annotations (gene, chr, pos, alt, mane, csqn, exon, aachange, ord), signal, flags (gene, residue, flags),
-    clusters, points, domains. An annotation belongs to its gene: overlapping genes have one each.
+    Ttypes of clusters and points and the domains are arrays, bounded by the number of ttypes and of a position's domains.
+    An annotation belongs to its gene: overlapping genes have one each.
     """
-    out = annotate_variant(sites, t["annotations"], ["gene", "chr", "pos", "alt"], ["ord", "csqn"], ["csqn", "exon", "aachange"])
+    out = annotate_variant(sites, t["annotations"], SITE, ["ord", "csqn"], ["csqn", "exon", "aachange"])
     out = out.withColumn("csqn_type", classify_consequence(F.col("csqn"))).withColumn("nmd", nmd_flag(F.col("exon")))
     out = out.withColumn("residue", F.expr("substring(aachange, 1, length(aachange) - 1)"))
     out = flag_vector_lookup(out, t["flags"], ["gene", "residue"]).drop("residue", "csqn", "exon")
     out = out.join(signal_values(sites, t["signal"], "PhyloP"), ["chr", "pos"], "left").withColumn("PhyloP", half_precision(F.col("PhyloP")))
-    out = out.join(interval_levels(sites, t["clusters"], "CLUSTL"), ["chr", "pos", "ttype"], "left")
-    out = point_membership(out, t["points"], "HotMaps")
-    out = out.join(domain_levels(sites, t["domains"], "smRegions"), ["gene", "pos", "ttype"], "left")
-    return out.na.fill({"CLUSTL": 0, "smRegions": 0, "motif": ""})
+    out = out.join(types_at(sites, t["clusters"], "_clusters"), ["chr", "pos"], "left")
+    out = out.join(t["points"].groupBy("chr", "pos").agg(F.collect_set("ttype").alias("_points")), ["chr", "pos"], "left")
+    return out.join(domains_at(sites, t["domains"], "_domains"), ["gene", "pos"], "left")
 
 
 def add_features(df: DataFrame, t: dict[str, DataFrame]) -> DataFrame:
-    """All feature columns of rows with (ttype, gene, chr, pos, alt): found once for each distinct site, then joined to the rows."""
+    """All feature columns of rows with (ttype, gene, chr, pos, alt), found once for each distinct site and joined to the rows once.
+
+    ``t``: annotations (gene, chr, pos, alt, mane, csqn, exon, aachange, ord), signal, flags (gene, residue, flags),
+    clusters, points, domains. Levels are 2 for the row's own ttype, 1 for any, 0 for none.
+    """
     sites = written(df.select(*SITE).distinct(), "sites")
-    return df.join(site_features(sites, t), SITE)
+    rows = df.join(written(site_features(sites, t), "site_features"), SITE)
+
+    def level(types) -> F.Column:
+        return F.when(F.array_contains(types, F.col("ttype")), 2).when(F.size(types) > 0, 1).otherwise(0)
+
+    own = F.filter("_domains", lambda d: d["ttype"] == F.col("ttype"))
+    shown = F.array_distinct(F.transform(F.when(F.size(own) > 0, own).otherwise(F.col("_domains")), lambda d: F.struct(d["ord"], d["element"])))
+    motif = F.coalesce(F.array_join(F.transform(shown, lambda d: F.concat(d["element"], F.lit(";"))), ""), F.lit(""))
+    found = {"CLUSTL": level(F.col("_clusters")), "HotMaps": level(F.col("_points")), "smRegions": level(F.col("_domains.ttype")), "motif": motif}
+    return rows.withColumns(found).drop("_clusters", "_points", "_domains")
 
 
 def background(t: dict[str, DataFrame], counts: DataFrame, per_row: int = 50, seed: int = 1) -> DataFrame:
@@ -79,7 +91,7 @@ def build_training_table(t: dict[str, DataFrame], per_row: int = 50, threshold:
     """Labelled feature rows: observed driver mutations of excess classes, and drawn background mutations.
 
     ``t``: muts (cohort, ttype, gene, chr, pos, ref, alt, sample_id, impact), drivers, mnvs, estimates, regions
-    (chr, r_start, r_end, r_gene), sequences, rates and what ``site_features`` takes. With ``counted``, equal rows are one
+    (chr, r_start, r_end, r_gene), sequences, rates and what ``add_features`` takes. With ``counted``, equal rows are one
     row with their number n, before any feature is joined. An error if no observed mutation is left.
     """
     muts = filter_driver_snvs(t["muts"], t["drivers"])

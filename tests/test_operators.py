@@ -107,7 +107,7 @@ def test_annotation_belongs_to_its_gene(spark):
         "clusters": spark.createDataFrame([("1", 1, 9, "U")], "chr string, lo int, hi int, ttype string"), "points": spark.createDataFrame([("1", 5, "T")], "chr string, pos int, ttype string"),
         "domains": spark.createDataFrame([("a", 1, 9, "kin", "U", 1)], "gene string, start_pos int, stop_pos int, element string, ttype string, ord int"),
     }
-    got = {r.gene: r for r in training.site_features(sites, t).collect()}
+    got = {r.gene: r for r in training.add_features(sites, t).collect()}
     assert [(got[g].csqn_type, got[g].nmd, got[g].CLUSTL, got[g].HotMaps, got[g].smRegions, got[g].motif, got[g].Acetylation, got[g].Methylation) for g in "ab"] == [("missense", 0, 1, 2, 1, "kin;", 1, 1), ("nonsense", 1, 1, 2, 0, "", 0, 0)]
     assert got["a"].PhyloP == float(np.float16(0.1))
     closure = tree.tree_closure(spark.createDataFrame([("T", None), ("U", "T")], "id string, parent string"))
