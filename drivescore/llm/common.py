@@ -82,8 +82,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Smallest reachable node of each node in ``edges`` (columns a, b of a numeric type).
 
     Alternates large-star and small-star steps until the edge set stops changing, staging each
-    round. Rows of the result: node, root. Nodes without an edge do not appear. A hub's edges are
-    never gathered: its minimum is a partial aggregate that is joined back.
+    round. Rows of the result: node, root. Nodes without an edge do not appear. A hub's minimum is a partial aggregate
+    that is joined back as one row: a join whose other side Spark splits where it is skewed.
     """
 
     def star(e: DataFrame, large: bool) -> DataFrame:

@@ -124,3 +124,35 @@ def test_large_shards_are_exact(spark):
         assert ((a ^ b) % 2**64).bit_count() > 0
         parent[max(find(at[a]), find(at[b]))] = min(find(at[a]), find(at[b]))
     assert [find(k) for k in range(len(fps))] == whole
+
+
+def test_near_copies_go_by_row(spark):
+    """Null and repeated ids: exactly one row of each component stays, and no row of another goes with it."""
+    rng = random.Random(3)
+    words = [f"w{k}" for k in range(300)]
+    t, other, third = (" ".join(rng.choices(words, k=60)) for _ in range(3))
+    rows = [(1, t), (None, t), (None, other), (5, t), (5, third)]
+    left = simhash.drop_near_copies(table(spark, rows)).collect()
+    assert sorted((str(r.doc_id), r.text) for r in left) == sorted([("1", t), ("None", other), ("5", third)])
+    rows = [*texts(), *texts()[:20], (None, None), (None, texts()[0][1]), *rows]
+    comp = components([plain_fingerprint(x) for _, x in rows])
+    left = simhash.drop_near_copies(table(spark, rows))
+    assert left.columns == table(spark, rows).columns
+    got = [(r.doc_id, r.text) for r in left.collect()]
+    group = {(i, x): c for (i, x), c in zip(rows, comp, strict=True)}
+    assert sorted(group[r] for r in got) == sorted(set(comp))
+    for i, x in got:
+        own = [j for (j, _), c in zip(rows, comp, strict=True) if c == group[i, x]]
+        assert i == min((j for j in own if j is not None), default=None)
+    assert simhash.drop_near_copies(table(spark, [])).count() == 0
+
+
+def test_exact_copies_go_by_row(spark):
+    rows = [*texts(), *texts()[:20], (None, None), (1, "other text"), (1, "other  text"), (None, texts()[0][1])]
+    left = [(r.doc_id, r.text) for r in exact_dedup.drop_exact_copies(table(spark, rows)).collect()]
+    norm = lambda x: re.sub(r"[\x20\x09-\x0D]", "", x or "")
+    want = {}
+    for i, x in rows:
+        key = (-len(x or ""), i is None, i or 0)
+        want[norm(x)] = min(want.get(norm(x), (key, i)), (key, i), key=lambda v: v[0])
+    assert sorted((norm(x), str(i)) for i, x in left) == sorted((k, str(v[1])) for k, v in want.items())

@@ -68,6 +68,51 @@ def test_mix(spark):
     assert mixing.mix_sources(table(spark, [(1, None, "a")])).collect()[0].taken == 0
 
 
+def spark_hash(*values):
+    """Spark's xxhash64 of (kind, value) columns: i for int, l for long; nulls are passed over."""
+    import struct
+
+    from xxhash import xxh64_intdigest
+
+    h = 42
+    for kind, v in values:
+        if v is not None:
+            h = xxh64_intdigest(struct.pack("<i" if kind == "i" else "<q", v), h)
+    return h - 2**64 if h >= 2**63 else h
+
+
+def test_mix_equals_a_plain_block_mix(spark):
+    """Every document's taken words: blocks of its source's stream, each as often as the permutations name it."""
+    rng, seed = random.Random(12), mixing.SEED
+    rows = [(k, "w " * rng.randint(0, 40), rng.choice(["a", "b", "b", None])) for k in range(60)] + [(None, "x y z", "a"), (7, "w w", "b"), (900, None, "a")]
+    size = lambda t: len((t or "").split())
+    sizes = Counter()
+    for _, t, s in rows:
+        sizes[s] += size(t)
+    names = ["a", "b", None]
+    want = Counter()
+    for src, name in enumerate(names, 1):
+        own = sorted(((spark_hash(("l", i), ("i", seed)) % 64, i is None, i or 0, size(t), i) for i, t, s in rows if s == name))
+        total = sizes[name]
+        length = max(1, min(64, -(-total // 1000)))
+        blocks = -(-total // length)
+        quota = min(3 * blocks, int(targets(sizes)[name] * blocks / total + 0.5))
+        copies = Counter()
+        for j in range(quota):
+            x, key = j % blocks, (("i", seed), ("l", src), ("l", j // blocks))
+            for r in range(1, mixing.ROUNDS + 1):
+                other = (spark_hash(("i", r), ("l", blocks), *key) % blocks - x) % blocks
+                if spark_hash(("l", max(x, other)), ("i", r), *key) & 1:
+                    x = other
+            copies[x] += 1
+        at = 0
+        for *_, n, i in own:
+            want[i, name, n, sum(copies[w // length] for w in range(at, at + n))] += 1
+            at += n
+    got = mixing.mix_sources(table(spark, rows), shard_slots=100).collect()
+    assert Counter((r.doc_id, r.source, r.size, r.taken) for r in got) == want
+
+
 def test_permutation_is_bijective(spark):
     for n in (1, 2, 7, 64, 1001):
         x = spark.range(n).select(mixing.permuted(mixing.F.col("id"), mixing.F.lit(n).cast("long"), mixing.F.lit(9)).alias("x"))
