@@ -125,10 +125,11 @@ def vocabulary(rules=RULES) -> list[str]:
 
 def build_index(rows: DataFrame, words: list[str]) -> DataFrame:
     """Posting lists (word: place in ``words``, key) of the trigrams of ``words`` that texts hold; written, a folder a trigram."""
-    low = F.lower("t")
-    flags = F.array(*[F.contains(low, F.lit(w)) for w in words])
-    held = F.array_compact(F.transform(flags, lambda x, k: F.when(x, k)))
-    return staged(rows.select(*KEY, F.explode(held).alias("word")).distinct(), "postings", ["word"])
+    # Each step is a projection of its own, so that a text is put in lower case once and not for each trigram.
+    low = rows.select(*KEY, F.lower("t").alias("low"))
+    flags = low.select(*KEY, F.array(*[F.contains("low", F.lit(w)) for w in words]).alias("flags"))
+    held = F.array_compact(F.transform("flags", lambda x, k: F.when(x, k)))
+    return staged(flags.select(*KEY, F.explode(held).alias("word")).distinct(), "postings", ["word"])
 
 
 def candidates(index: DataFrame, rules: tuple[Rule, ...], words: list[str]) -> DataFrame:
