@@ -331,7 +331,10 @@ def _(t):
     return t["fx_scored"].select("id", V.tier_predicate(F.col("p"), d, F.col("split") * 20).alias("ok"))
 
 
-@query("half_precision")
+HALF_SQL = "case when {0} = 0 then {0} else round_even({0} / pow(2.0, greatest(floor(log2(abs({0}))), -14) - 10), 0) * pow(2.0, greatest(floor(log2(abs({0}))), -14) - 10) end"
+
+
+@query("half_precision", f"select id, {HALF_SQL.format('v')} as h from (select id, p * 30 as v from fx_scored)")
 def _(t):
     return t["fx_scored"].select("id", V.half_precision(F.col("p") * 30).alias("h"))
 
@@ -1109,7 +1112,7 @@ FLAG_PLACES = {"Acetylation": 1, "Methylation": 6, "Phosphorylation": 4, "Regula
 
 def features_sql(rows: str, own: str) -> str:
     """Views from the table ``rows`` to ``feats``, its rows with all features; ``own`` tells whether a table's ttype is the row's own."""
-    half = "case when v = 0 then v else round_even(v / pow(2.0, greatest(floor(log2(v)), -14) - 10), 0) * pow(2.0, greatest(floor(log2(v)), -14) - 10) end"
+    half = HALF_SQL.format("v")
     flags = ", ".join(f'case when csqn is null or csqn = 4 or csqn = 3 then 0 else cast(coalesce(e.embedding[{k}] > 0, false) as int) end as "{n}"' for n, k in FLAG_PLACES.items())
     return f"""sites as (select distinct ttype, gene, chr, pos, alt from {rows}),
   ann as (select gene, chr, pos, alt, arg_min(case impact when 'Missense' then 1 when 'Nonsense' then 2 else 3 end, (cast(sample_id as bigint), {CSQN})) as csqn from fx_muts where impact <> 'Synonymous' group by all),
