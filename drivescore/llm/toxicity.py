@@ -82,7 +82,20 @@ class Tagger:
 
     def word_weights(self, words: list[str]) -> np.ndarray:
         """Weight of each word, as a column; 0 for a word without any feature."""
-        return (self.word_features(words) @ self.weights)[:, None].astype(np.float32)
+        get, out = self.scaled().get, np.zeros((len(words), 1), np.float32)
+        for k, w in enumerate(words):
+            c = core(w)
+            total = get(c, 0.0)
+            for n in PREFIXES:
+                if len(c) > n:
+                    total += get(c[:n] + "*", 0.0)
+            if total:
+                out[k, 0] = total
+        return out
+
+    def scaled(self) -> dict[str, float]:
+        """The lexicon with each entry times its feature's weight."""
+        return {key: v * self.weights[0 if key[-1] != "*" else PREFIXES.index(len(key) - 1) + 1] for key, v in self.lexicon.items()}
 
     def _power(self, k: int) -> np.ndarray:
         step = np.exp(self.moves) * np.array([1.0, np.exp(self.bias)])
