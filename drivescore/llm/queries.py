@@ -1,6 +1,6 @@
 """The registered queries of this subpackage, and the SQL of those that SQL can express."""
 
-from . import exact_dedup, html_extract, language_id, mixing, packing, secret_scan, simhash, token_counts, topk, toxicity
+from . import codebooks, exact_dedup, html_extract, language_id, minhash, mixing, packing, secret_scan, simhash, token_counts, topk, toxicity, whitening
 
 QUERIES = {
     "op1_mix_sources": mixing.query,
@@ -13,9 +13,14 @@ QUERIES = {
     "op8_secret_scan": secret_scan.query,
     "op9_exact_topk": topk.query,
     "op10_simhash_dedup": simhash.query,
+    "op11_minhash_dedup": minhash.query,
+    "op12_code_vectors": codebooks.query,
+    "op13_whiten": whitening.query,
 }
 ORACLE_SQL = {
     "op5_exact_dedup": exact_dedup.ORACLE_SQL,
     "op8_secret_scan": secret_scan.ORACLE_SQL,
     "op9_exact_topk": topk.ORACLE_SQL,
+    "op11_minhash_dedup": minhash.ORACLE_SQL,
+    "op12_code_vectors": codebooks.ORACLE_SQL,
 }
