@@ -1,133 +1,37 @@
-"""Ensembles of boosted trees: one model per key and split, trained, scored and explained in group maps.
+"""Ensembles of boosted trees: one model per key and split, trained, scored and explained.
 
-A group's rows are those of one gene and tumor type, which a task holds. Models are node rows, so that they
-are stored, joined and compared like any table. Trees are second-order boosted for the logistic loss.
+Models are node rows, so that they are stored, joined and compared like any table. Training is that of ``boosting``, which deals large
+keys over tasks; scoring and explaining deal a key's rows over tasks, each of which has the key's compiled models (``forest``).
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
-from math import factorial
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from drivescore.operators.boosting import boosted_nodes, fit_booster, sigmoid
+from drivescore.operators.forest import Forest, tree_shapley, tree_values
+
+__all__ = ["fit_booster", "tree_values"]
 NODE_COLUMNS = "tree int, node int, feature int, threshold double, left_node int, right_node int, value double, cover double, base_margin double"
 TASK_ROWS = 65_536
 # Parameters of the boosters.
 ROUNDS, RATE, PATIENCE, DEPTH = 20_000, 0.001, 2_000, 4
 
 
-def _sigmoid(z):
-    return 1 / (1 + np.exp(-z))
-
-
-def grow_tree(x: np.ndarray, g: np.ndarray, h: np.ndarray, depth: int, reg: float, min_child: float) -> list[list]:
-    """Nodes [feature, threshold, left, right, value, cover] of the tree of largest gain; feature -1 in leaves.
-
-    Rows go left if the value is below the threshold, or missing.
-    """
-    nodes: list[list] = []
-
-    def add(rows: np.ndarray, level: int) -> int:
-        at, gs, hs = len(nodes), g[rows].sum(), h[rows].sum()
-        nodes.append([-1, 0.0, -1, -1, -gs / (hs + reg), float(hs)])
-        best = (1e-9, -1, 0.0)
-        if level < depth and len(rows) > 1:
-            for f in range(x.shape[1]):
-                v = np.where(np.isnan(x[rows, f]), -np.inf, x[rows, f])
-                order = np.argsort(v, kind="stable")
-                s, gl, hl = v[order], np.cumsum(g[rows][order])[:-1], np.cumsum(h[rows][order])[:-1]
-                cut = np.flatnonzero((s[1:] > s[:-1]) & (hl >= min_child) & (hs - hl >= min_child))
-                if len(cut):
-                    gain = gl[cut] ** 2 / (hl[cut] + reg) + (gs - gl[cut]) ** 2 / (hs - hl[cut] + reg) - gs**2 / (hs + reg)
-                    k = int(np.argmax(gain))
-                    if gain[k] > best[0]:
-                        low, high = s[cut[k]], s[cut[k] + 1]
-                        best = (gain[k], f, float(high if np.isinf(low) else (low + high) / 2))
-        if best[1] >= 0:
-            v = x[rows, best[1]]
-            left = np.isnan(v) | (v < best[2])
-            nodes[at][:2] = best[1], best[2]
-            nodes[at][2] = add(rows[left], level + 1)
-            nodes[at][3] = add(rows[~left], level + 1)
-        return at
-
-    add(np.arange(len(x)), 0)
-    return nodes
-
-
-def tree_values(nodes: np.ndarray, x: np.ndarray) -> np.ndarray:
-    at = np.zeros(len(x), int)
-    for _ in range(64):
-        f = nodes[at, 0].astype(int)
-        live = f >= 0
-        if not live.any():
-            break
-        v = x[np.arange(len(x)), np.maximum(f, 0)]
-        left = np.isnan(v) | (v < nodes[at, 1])
-        at = np.where(live, np.where(left, nodes[at, 2], nodes[at, 3]).astype(int), at)
-    return nodes[at, 4]
-
-
-def fit_booster(x: np.ndarray, y: np.ndarray, x_test: np.ndarray, y_test: np.ndarray, rounds: int, rate: float, patience: int, depth: int, reg: float = 1.0, min_child: float = 1.0) -> tuple[list[np.ndarray], float, list[float]]:
-    """Trees up to the round of least test log loss, the margin that they start from, and the learning curve."""
-    share = float(np.clip(y.mean(), 1e-6, 1 - 1e-6))
-    base = float(np.log(share / (1 - share)))
-    z, z_test, trees, curve, best = np.full(len(x), base), np.full(len(x_test), base), [], [], (np.inf, 0)
-    for k in range(rounds):
-        p = _sigmoid(z)
-        nodes = np.array(grow_tree(x, p - y, p * (1 - p), depth, reg, min_child))
-        nodes[:, 4] *= rate
-        trees.append(nodes)
-        z = z + tree_values(nodes, x)
-        z_test = z_test + tree_values(nodes, x_test)
-        q = np.clip(_sigmoid(z_test), 1e-15, 1 - 1e-15)
-        loss = float(-(y_test * np.log(q) + (1 - y_test) * np.log(1 - q)).mean()) if len(y_test) else 0.0
-        curve.append(loss)
-        if loss < best[0] - 1e-12:
-            best = (loss, k + 1)
-        elif k + 1 - best[1] >= patience:
-            break
-    return trees[: max(1, best[1])], base, curve
-
-
 def train_ensemble(df: DataFrame, keys: list[str], features: list[str], row_id: str, label: str = "label", role: str = "role", rounds: int = ROUNDS, rate: float = RATE, patience: int = PATIENCE, depth: int = DEPTH) -> DataFrame:
     """Node rows of one booster per key (keys include the split). Groups without both labels in train give none."""
-
-    def fit(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(row_id)
-        train, test = pdf[pdf[role] == "train"], pdf[pdf[role] == "test"]
-        out = []
-        if train[label].nunique() == 2:
-            x, t = train[features].to_numpy(float), test[features].to_numpy(float)
-            trees, base, _ = fit_booster(x, train[label].to_numpy(float), t, test[label].to_numpy(float), rounds, rate, patience, depth)
-            for k, nodes in enumerate(trees):
-                out += [(*key, k, n, int(r[0]), r[1], int(r[2]), int(r[3]), r[4], r[5], base) for n, r in enumerate(nodes)]
-        return pd.DataFrame(out, columns=[*keys, *[c.split()[0] for c in NODE_COLUMNS.split(", ")]])
-
-    kinds = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)
-    return df.select(*keys, row_id, role, label, *[F.col(f).cast("double").alias(f) for f in features]).groupBy(*keys).applyInPandas(fit, f"{kinds}, {NODE_COLUMNS}")
+    return boosted_nodes(df, keys, features, row_id, label, role, rounds, rate, patience, depth).drop("logloss")
 
 
 def learning_curves(df: DataFrame, keys: list[str], features: list[str], row_id: str, label: str = "label", role: str = "role", rounds: int = ROUNDS, rate: float = RATE, patience: int = PATIENCE, depth: int = DEPTH) -> DataFrame:
     """(keys, round, logloss): test log loss after each round of a key's booster, up to its best round."""
-
-    def fit(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(row_id)
-        train, test = pdf[pdf[role] == "train"], pdf[pdf[role] == "test"]
-        out = []
-        if train[label].nunique() == 2:
-            x, t = train[features].to_numpy(float), test[features].to_numpy(float)
-            trees, _, curve = fit_booster(x, train[label].to_numpy(float), t, test[label].to_numpy(float), rounds, rate, patience, depth)
-            out = [(*key, k, loss) for k, loss in enumerate(curve[: len(trees)])]
-        return pd.DataFrame(out, columns=[*keys, "round", "logloss"])
-
-    kinds = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)
-    return df.select(*keys, row_id, role, label, *[F.col(f).cast("double").alias(f) for f in features]).groupBy(*keys).applyInPandas(fit, f"{kinds}, round int, logloss double")
+    nodes = boosted_nodes(df, keys, features, row_id, label, role, rounds, rate, patience, depth)
+    return nodes.filter("node = 0").select(*keys, F.col("tree").alias("round"), "logloss")
 
 
 def failed_groups(df: DataFrame, nodes: DataFrame, keys: list[str]) -> DataFrame:
@@ -166,8 +70,8 @@ def score_members(df: DataFrame, nodes: DataFrame, keys: list[str], features: li
         x, out = rows[features].to_numpy(float), []
         for name, own in trees.groupby(member, sort=True) if member else [(None, trees)]:
             if len(own) and len(rows):
-                z = own["base_margin"].iloc[0] + sum(tree_values(t, x) for t in _trees(own))
-                part = rows[[*keys, row_id]].assign(p=_sigmoid(z))
+                z = Forest.of(_trees(own), own["base_margin"].iloc[0], len(features)).margins(x)
+                part = rows[[*keys, row_id]].assign(p=sigmoid(z))
                 out.append(part.assign(**{member: name}) if member else part)
         names = [*keys, *([member] if member else []), row_id, "p"]
         return pd.concat(out)[names] if out else pd.DataFrame(columns=names)
@@ -178,44 +82,6 @@ def score_members(df: DataFrame, nodes: DataFrame, keys: list[str], features: li
     return left.groupBy(*keys, "_salt").cogroup(right.groupBy(*keys, "_salt")).applyInPandas(score, schema)
 
 
-def tree_shapley(nodes: np.ndarray, x: np.ndarray, out: np.ndarray) -> float:
-    """Add each feature's exact Shapley value of one tree to ``out``; returns the tree's expected value.
-
-    A leaf is a product over the features of its path: of whether the row follows the path, for known features,
-    and of the share of cover that follows it, for the others. With at most depth features a path, the subsets
-    are enumerated.
-    """
-    expected = 0.0
-
-    def walk(at: int, path: dict[int, tuple[np.ndarray, float]]) -> None:
-        nonlocal expected
-        f, threshold, left, right, value, cover = nodes[at]
-        if f < 0:
-            names = list(path)
-            shares = np.array([path[n][1] for n in names])
-            expected += value * float(np.prod(shares))
-            for k, n in enumerate(names):
-                rest = [j for j in range(len(names)) if j != k]
-                total = np.zeros(len(x))
-                for size in range(len(rest) + 1):
-                    weight = factorial(size) * factorial(len(names) - size - 1) / factorial(len(names))
-                    for known in combinations(rest, size):
-                        term = np.full(len(x), weight * float(np.prod([shares[j] for j in rest if j not in known])))
-                        for j in known:
-                            term = term * path[names[j]][0]
-                        total += term
-                out[:, n] += value * total * (path[n][0] - path[n][1])
-            return
-        v = x[:, int(f)]
-        goes_left = np.isnan(v) | (v < threshold)
-        for child, goes in ((int(left), goes_left), (int(right), ~goes_left)):
-            follow, share = path.get(int(f), (np.ones(len(x)), 1.0))
-            walk(child, path | {int(f): (follow * goes, share * nodes[child][5] / (nodes[int(left)][5] + nodes[int(right)][5]))})
-
-    walk(0, {})
-    return expected
-
-
 def tree_attribution(df: DataFrame, nodes: DataFrame, keys: list[str], features: list[str], row_id: str, member: str | None = None) -> DataFrame:
     """(keys, member, row id, attr_<feature> ..., base, margin): additive attribution of each row's margin under its model, or under
     each member of its key."""
@@ -227,10 +93,10 @@ def tree_attribution(df: DataFrame, nodes: DataFrame, keys: list[str], features:
         for name, part in trees.groupby(member, sort=True) if member else [(None, trees)]:
             if len(rows) and len(part):
                 x, start = rows[features].to_numpy(float), float(part["base_margin"].iloc[0])
-                out, base, margin = np.zeros((len(x), len(features))), start, np.full(len(x), start)
-                for t in _trees(part):
+                out, base, own_trees = np.zeros((len(x), len(features))), start, list(_trees(part))
+                for t in own_trees:
                     base += tree_shapley(t, x, out)
-                    margin += tree_values(t, x)
+                margin = Forest.of(own_trees, start, len(features)).margins(x)
                 more = {f"attr_{f}": out[:, k] for k, f in enumerate(features)} | ({member: name} if member else {})
                 found.append(rows[[*keys, row_id]].assign(**more, base=base, margin=margin)[names])
         return pd.concat(found) if found else pd.DataFrame(columns=names)
