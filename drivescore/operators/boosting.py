@@ -264,7 +264,7 @@ def _gather(rate: float, n_features: int, level: int):
                     out.append(np.array([[-1], [0], [0], [losses(z[test], y[test])], [test.sum()]]))
                 g, h = gradients(z[train], y[train])
                 own = bins[:, train]
-                at = (leaf_of(_tree(r["tree"]), own) if level else np.zeros(own.shape[1], np.int64)) - r["first"]
+                at = leaf_of(_tree(r["tree"]), own) - r["first"] if level else np.zeros(own.shape[1], np.int64)
                 many = int(at.max(initial=-1)) + 1
                 hist = histograms(own, at, g, h, max(many, 0))
                 node, f, k = np.nonzero(hist.any(0))
@@ -339,7 +339,7 @@ def _large(rows: DataFrame, cuts: DataFrame, features: list[str], row_id: str, l
     block = F.pmod(F.xxhash64(row_id), F.ceil(F.col("_n") / task_rows)).cast("int")
     packed = rows.withColumn("_block", block).groupBy("_key", "_block").applyInPandas(_pack(features, label, role), "_key long, _block int, n int, x binary, y binary, train binary")
     ones = rows.filter(F.col(role) == "train").groupBy("_key").agg(F.sum(F.col(label).cast("double")).alias("ones"), F.count("*").alias("many")).filter("ones > 0 and ones < many")
-    base = F.udf(start_margin, "double")  # once for each key
+    base = F.udf(lambda ones, n: start_margin(ones, n), "double")  # once for each key
     known = written(ones.select("_key", base("ones", F.col("many").cast("double")).alias("base")).join(cuts, "_key", "left"), "known")
     blocks = written(packed.join(known, "_key").select("_key", "n", "x", "y", "train", "cuts", "base").mapInArrow(_to_bins(n_features), BLOCK_SCHEMA), "blocks")
     lengths = F.transform(F.sequence(F.lit(0), F.lit(n_features - 1)), lambda k: F.coalesce(F.element_at(F.map_from_arrays("cuts.f", F.transform("cuts.v", F.size)), k), F.lit(0)))
