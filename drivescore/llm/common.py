@@ -47,6 +47,11 @@ def staged(df: DataFrame, name: str, by: Sequence[str] = ()) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def narrow(df: DataFrame, most: int = 1_000_000) -> DataFrame:
+    """A written table of a few longs a row, to be broadcast if it has no more than ``most`` rows, which is counted; else as it is."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
 def bounded_batches(df: DataFrame, most: int = BATCH_BYTES) -> DataFrame:
     """``df``, after its session's Arrow batches were bounded to ``most`` bytes, so that a Python worker holds few texts at once.
 

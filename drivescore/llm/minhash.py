@@ -1,7 +1,6 @@
 """MinHash near-duplicates: circulant signatures, banding, and exact Jaccard verification of the full sets.
 
-1. ``shingle_rows``: each document becomes the sorted set of its shingles' 64-bit hashes, a digest of that set, and the keys of its bands.
-   The signature is circulant: one permutation of [0, 2^32) places the shingles, and coordinate k is the least value that a second
+1. ``shingle_rows``: of each document's shingles' 64-bit hashes a digest of their set and the keys of its bands are kept. The signature is circulant: one permutation of [0, 2^32) places the shingles, and coordinate k is the least value that a second
    permutation gives to the places shifted by k around the circle. Two permutations thus make all ``COORDINATES``.
 2. Documents of equal sets are one node. Nodes that share a band's key meet there; 50 bands of 6 coordinates find a pair of
    similarity 0.8 but for a chance of 3e-7, of 0.85 but for 3e-11.
@@ -27,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, connected_components, staged
+from .common import bounded_batches, connected_components, narrow, staged
 
 SEED = 42
 BANDS, WIDTH = 50, 6
@@ -106,33 +105,56 @@ def _list(rows: list[np.ndarray] | np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.ascontiguousarray(flat).view(np.int64)))
 
 
+def digest_of(own: np.ndarray) -> tuple[int, int]:
+    """Two sums over a set's hashes, as signed 64-bit numbers."""
+    with np.errstate(over="ignore"):
+        both = np.array([own.sum(dtype=U64), _mix64(own).sum(dtype=U64)])
+    return tuple(both.view(np.int64).tolist())
+
+
+def _groups(texts: pa.Array, words: int) -> Iterator[list[np.ndarray]]:
+    """The sets of consecutive texts, in groups of about ``GROUP_CHARS``."""
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+    begin = 0
+    while begin < len(texts):
+        end = begin + max(1, int(np.searchsorted(np.cumsum(sizes[begin:]), GROUP_CHARS, "right")))
+        known: dict[bytes, int] = {}
+        yield [shingle_hashes(t.as_py(), words, known) for t in texts.slice(begin, end - begin)]
+        begin = end
+
+
 def shingle_rows(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
-    """(id, row, n, d1, d2, bands, shingles) of every row; a row without shingles has empty lists."""
+    """(id, row, h, n, d1, d2, bands) of every row; h is the text's hash, n the size of its set; a row without shingles has no bands."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts, begin = b.column(2), 0
-            sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
-            while begin < b.num_rows:
-                end = begin + max(1, int(np.searchsorted(np.cumsum(sizes[begin:]), GROUP_CHARS, "right")))
-                known: dict[bytes, int] = {}
-                sets = [shingle_hashes(t.as_py(), words, known) for t in texts.slice(begin, end - begin)]
+            begin = 0
+            for sets in _groups(b.column(3), words):
                 some = [k for k, s in enumerate(sets) if len(s)]
-                keys = np.zeros((len(sets), BANDS), U64)
-                keys[some] = band_keys(signatures([sets[k] for k in some]))
-                digest = np.zeros((2, len(sets)), U64)
-                with np.errstate(over="ignore"):
-                    for k in some:
-                        digest[0, k], digest[1, k] = sets[k].sum(), _mix64(sets[k]).sum()
-                bands = [keys[k] if len(s) else keys[k, :0] for k, s in enumerate(sets)]
-                own = b.slice(begin, end - begin)
-                columns = [own.column(0), own.column(1), pa.array([len(s) for s in sets], pa.int64()), *map(pa.array, digest.view(np.int64)), _list(bands), _list(sets)]
-                yield pa.RecordBatch.from_arrays(columns, names=["id", "row", "n", "d1", "d2", "bands", "shingles"])
-                begin = end
+                keys = band_keys(signatures([sets[k] for k in some]))
+                at = dict(zip(some, keys, strict=True))
+                digests = [digest_of(s) for s in sets]
+                own = b.slice(begin, len(sets))
+                columns = [*own.columns[:3], pa.array([len(s) for s in sets], pa.int64()), *(pa.array([d[k] for d in digests], pa.int64()) for k in (0, 1))]
+                yield pa.RecordBatch.from_arrays([*columns, _list([at.get(k, keys[:0].ravel()) for k in range(len(sets))])], names=["id", "row", "h", "n", "d1", "d2", "bands"])
+                begin += len(sets)
 
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("row"), F.col(text_col).cast("binary").alias("t"))
-    return bounded_batches(rows).mapInArrow(run, f"id {kind}, row long, n long, d1 long, d2 long, bands array<long>, shingles array<long>")
+    rows = docs.select(F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("row"), F.xxhash64(text_col).alias("h"), F.col(text_col).cast("binary").alias("t"))
+    return bounded_batches(rows).mapInArrow(run, f"id {kind}, row long, h long, n long, d1 long, d2 long, bands array<long>")
+
+
+def sets_of(texts: DataFrame, words: int) -> DataFrame:
+    """(n, d1, d2, shingles) of texts (t)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for sets in _groups(b.column(0), words):
+                digests = [digest_of(s) for s in sets]
+                columns = [pa.array([len(s) for s in sets], pa.int64()), *(pa.array([d[k] for d in digests], pa.int64()) for k in (0, 1)), _list(sets)]
+                yield pa.RecordBatch.from_arrays(columns, names=["n", "d1", "d2", "shingles"])
+
+    return texts.select(F.col("t").cast("binary").alias("t")).mapInArrow(run, "n long, d1 long, d2 long, shingles array<long>")
 
 
 def linked(sets: list[np.ndarray], comp: np.ndarray, side: np.ndarray, least: Fraction) -> list[tuple[int, int]]:
@@ -243,13 +265,17 @@ def minhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     share = Fraction(least)
     rows = staged(shingle_rows(docs, id_col, text_col, words), "shingles")
-    nodes = staged(rows.filter("n > 0").groupBy("d1", "d2", "n").agg(F.min("row").alias("node"), F.min("id").alias("low")), "nodes")
-    own = nodes.select(F.col("node").alias("row"))
-    buckets = staged(rows.select("row", "n", "bands").join(own, "row", "left_semi").select(F.col("row").alias("node"), "n", F.explode("bands").alias("band")), "bands")
-    shared = buckets.groupBy("band").agg(F.min("node").alias("lead"), F.count("*").alias("many")).filter("many > 1").select("band", "lead")
-    met = staged(buckets.join(shared, "band").select("band", "node", "lead", "n"), "met")
+    first = F.min(F.struct("row", "h"))
+    nodes = staged(rows.filter("n > 0").groupBy("d1", "d2", "n").agg(first.alias("f"), F.min("id").alias("low")).select("d1", "d2", "n", "low", F.col("f.row").alias("node"), F.col("f.h").alias("h")), "nodes")
+    own = staged(rows.select(F.col("row").alias("node"), "n", "bands").join(narrow(nodes.select("node")), "node", "left_semi"), "bands")
+    buckets = own.select("node", "n", F.explode("bands").alias("band"))
+    shared = staged(buckets.groupBy("band").agg(F.min("node").alias("lead"), F.count("*").alias("many")).filter("many > 1").select("band", "lead"), "shared")
+    met = staged(buckets.join(narrow(shared), "band").select("band", "node", "lead", "n"), "met")
     stars = met.filter("node <> lead").groupBy("node", "lead").agg(F.max("n").alias("n"))
-    sets = staged(rows.select(F.col("row").alias("node"), "n", "shingles").join(met.select("node").distinct(), "node", "left_semi"), "sets")
+    # Sets are made again, of the nodes that met others, from their texts: sets of all documents would take more room than the texts.
+    asked = staged(nodes.join(met.select("node").distinct(), "node", "left_semi"), "asked")
+    texts = docs.select(F.xxhash64(text_col).alias("h"), F.col(text_col).alias("t")).join(narrow(asked.select("h").distinct()), "h", "left_semi").distinct()
+    sets = staged(sets_of(texts, words).join(asked.select("n", "d1", "d2", "node"), ["n", "d1", "d2"]).select("node", "n", "shingles"), "sets")
     up, down = F.lit(share.denominator), F.lit(share.numerator)
     led = sets.select(F.col("node").alias("lead"), F.col("n").alias("m"), F.col("shingles").alias("others"))
     held = stars.join(led.select("lead", "m"), "lead").filter(F.least("n", "m") * up >= F.greatest("n", "m") * down)
