@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from drivescore.functions.variants import hash_uniform
+from drivescore.operators.splits import bucket_number, numbered
+from drivescore.sources.tables import written
 
 GRID = 20
 REPLICATES = 100
@@ -22,12 +24,13 @@ def downsample_curve(df: DataFrame, samples: DataFrame, keys: list[str], sample:
 
     ``samples`` has one row for each of the group's samples, with or without a mutation; repeats count apart.
     """
-    units = samples.select(*keys, sample).withColumn("_copy", F.row_number().over(W.partitionBy(*keys, sample).orderBy(F.lit(0))))
+    counted = samples.groupBy(*keys, sample).agg(F.count("*").alias("_many"))
+    units = written(counted.select(*keys, sample, F.explode(F.sequence(F.lit(1), F.col("_many").cast("int"))).alias("_copy")), "units")
     sizes = units.groupBy(*keys).agg(F.count("*").cast("int").alias("n_samples"))
     reps = units.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
     u = hash_uniform(F.col(sample), F.col("_copy"), F.col("replicate"), F.lit(seed))
-    rank = F.row_number().over(W.partitionBy(*keys, "replicate").orderBy("_u", sample, "_copy"))
-    ranks = reps.withColumn("_u", u).withColumn("_rank", rank).groupBy(*keys, "replicate", sample).agg(F.min("_rank").alias("_rank"))
+    placed = numbered(reps.withColumn("_u", u), [*keys, "replicate"], "_u", [sample, "_copy"], "_rank", bucket_number(units, keys))
+    ranks = placed.groupBy(*keys, "replicate", sample).agg(F.min("_rank").alias("_rank"))
     seen = df.select(*keys, sample, *site).distinct()
     first = seen.join(ranks, [*keys, sample]).groupBy(*keys, "replicate", *site).agg(F.min("_rank").alias("_first"))
     by_rank = first.groupBy(*keys, "replicate", "_first").agg(F.count("*").alias("_c"))

@@ -1,7 +1,8 @@
-"""Range joins by binning: intervals go to the bins that they touch, points to the one they lie in.
+"""Range joins by a hierarchy of bins: each interval lies in at most two bins of the level that fits its length.
 
-The bin is part of an equi-join key, so that a join on a chromosome is dealt over its bins, and the exact
-condition is the residual. Nothing is broadcast unless Spark finds it small.
+A level's bins are ``STEP`` times as wide as those of the level below. A point asks the one bin of each level that intervals are on, an
+interval at most two. Level and bin are part of an equi-join key, so that a join on a chromosome is dealt over its bins and a
+range as long as a chromosome makes no more rows than a short one; the exact condition is the residual. Nothing is broadcast unless Spark finds it small.
 """
 
 from __future__ import annotations
@@ -10,23 +11,41 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BIN = 256
+STEP = 4
+
+
+def level_of(length: Column, width: int = BIN) -> Column:
+    """The lowest level whose bins are wider than ``length``: 0 below ``width``, 1 below 4 ``width``, and so on."""
+    times = F.floor(length / width)
+    # Two binary digits a level.
+    return F.when(times <= 0, 0).otherwise(F.floor((F.length(F.bin(times)) + 1) / 2)).cast("int")
+
+
+def bin_of(pos: Column, level: Column, width: int = BIN) -> Column:
+    return F.floor(pos / (F.lit(float(width)) * F.pow(F.lit(float(STEP)), level)))
 
 
 def in_bins(intervals: DataFrame, lo: str, hi: str, width: int = BIN) -> DataFrame:
-    """Each interval once for each bin that the closed range [lo, hi] touches; none if it is empty."""
-    kept = intervals.filter(F.col(lo) <= F.col(hi))
-    first, last = F.floor(F.col(lo) / width), F.floor(F.col(hi) / width)
-    return kept.withColumn("_bin", F.explode(F.sequence(first, last)))
+    """Each interval with its _level, once for each bin (_bin) that the closed range [lo, hi] touches there; none if it is empty."""
+    kept = intervals.filter(F.col(lo) <= F.col(hi)).withColumn("_level", level_of(F.col(hi) - F.col(lo), width))
+    return kept.withColumn("_bin", F.explode(F.sequence(bin_of(F.col(lo), F.col("_level"), width), bin_of(F.col(hi), F.col("_level"), width))))
+
+
+def levels_in(intervals: DataFrame, lo: str, hi: str, width: int = BIN) -> list[int]:
+    """The levels of the intervals: a dozen at most for positions of a genome."""
+    return sorted(r[0] for r in intervals.filter(F.col(lo) <= F.col(hi)).select(level_of(F.col(hi) - F.col(lo), width)).distinct().collect())
 
 
-def points_in(points: DataFrame, intervals: DataFrame, keys: list[str], pos: str, lo: str, hi: str, where: Column, how: str = "inner", width: int = BIN) -> DataFrame:
+def points_in(points: DataFrame, intervals: DataFrame, keys: list[str], pos: str, lo: str, hi: str, where: Column, width: int = BIN) -> DataFrame:
     """Pairs of points and intervals of equal keys that satisfy ``where``, a condition within [lo, hi]."""
-    left = points.withColumn("_bin", F.floor(F.col(pos) / width))
-    right = in_bins(intervals.withColumnsRenamed({k: f"_r_{k}" for k in keys}), lo, hi, width).withColumnRenamed("_bin", "_r_bin")
-    on = (F.col("_bin") == F.col("_r_bin")) & where
+    levels = levels_in(intervals, lo, hi, width) or [0]
+    asked = [F.struct(F.lit(n).alias("level"), bin_of(F.col(pos), F.lit(n), width).alias("bin")) for n in levels]
+    left = points.withColumn("_at", F.explode(F.array(*asked)))
+    right = in_bins(intervals.withColumnsRenamed({k: f"_r_{k}" for k in keys}), lo, hi, width)
+    on = (F.col("_at.level") == F.col("_level")) & (F.col("_at.bin") == F.col("_bin")) & where
     for k in keys:
         on = on & (F.col(k) == F.col(f"_r_{k}"))
-    return left.join(right, on, how).drop("_bin", "_r_bin", *[f"_r_{k}" for k in keys])
+    return left.join(right, on).drop("_at", "_level", "_bin", *[f"_r_{k}" for k in keys])
 
 
 def interval_levels(sites: DataFrame, clusters: DataFrame, name: str = "level", chrom: str = "chr", pos: str = "pos", ttype: str = "ttype", width: int = BIN) -> DataFrame:
@@ -95,21 +114,34 @@ def domains_at(sites: DataFrame, domains: DataFrame, name: str = "domains", gene
 def region_overlap_outer(df: DataFrame, regions: DataFrame, chrom: str = "chr", start: str = "start", end: str = "end", width: int = BIN) -> DataFrame:
     """Left outer join on half-open overlap: a row for each (row, region) pair, and rows without a region.
 
-    ``regions`` has chr, r_start, r_end and more. Distinct sites and
-    regions are binned; a pair is made in the bin where the overlap begins, so it is made once.
+    ``regions`` has chr, r_start, r_end and more. Distinct sites and regions lie in the bins of their own level, and are asked for in those of
+    each level above; a pair is made on the higher of its two levels, in the bin where the overlap begins, so it is made once.
     """
-    sites = df.select(F.col(chrom).alias("_c"), F.col(start).alias("_s"), F.col(end).alias("_e")).distinct()
-    cut = in_bins(sites.withColumn("_last", F.col("_e") - 1), "_s", "_last", width)
-    right = in_bins(regions.withColumn("_rlast", F.col("r_end") - 1), "r_start", "_rlast", width).withColumnRenamed("_bin", "_rbin").drop("_rlast")
-    once = F.floor(F.greatest(F.col("_s"), F.col("r_start")) / width) == F.col("_bin")
-    on = (F.col("_c") == right[chrom]) & (F.col("_bin") == F.col("_rbin")) & (F.col("_s") < F.col("r_end")) & (F.col("r_start") < F.col("_e")) & once
-    pairs = cut.join(right, on).drop("_last", "_bin", "_rbin", chrom)
+    sites = df.select(F.col(chrom).alias("_c"), F.col(start).alias("_s"), F.col(end).alias("_e")).filter("_s < _e").distinct()
+    there = regions.filter(F.col("r_start") < F.col("r_end"))
+    cut, right = sites.withColumn("_last", F.col("_e") - 1), there.withColumn("_rlast", F.col("r_end") - 1)
+    levels = sorted({*levels_in(cut, "_s", "_last", width), *levels_in(right, "r_start", "_rlast", width)}) or [0]
+
+    def touched(lo: str, hi: str, n: int) -> Column:
+        bins = F.sequence(bin_of(F.col(lo), F.lit(n), width), bin_of(F.col(hi), F.lit(n), width))
+        return F.transform(bins, lambda b: F.struct(F.lit(n).alias("level"), b.alias("bin")))
+
+    def spread(side: DataFrame, lo: str, hi: str, own: str, at: str) -> DataFrame:
+        leveled = side.withColumn(own, level_of(F.col(hi) - F.col(lo), width))
+        each = F.flatten(F.array(*[F.when(F.lit(n) >= F.col(own), touched(lo, hi, n)).otherwise(F.array()) for n in levels]))
+        return leveled.withColumn(at, F.explode(each))
+
+    left, right = spread(cut, "_s", "_last", "_own", "_at"), spread(right, "r_start", "_rlast", "_rown", "_rat")
+    once = (F.greatest("_own", "_rown") == F.col("_at.level")) & (bin_of(F.greatest(F.col("_s"), F.col("r_start")), F.col("_at.level"), width) == F.col("_at.bin"))
+    on = (F.col("_c") == right[chrom]) & (F.col("_at") == F.col("_rat")) & (F.col("_s") < F.col("r_end")) & (F.col("r_start") < F.col("_e")) & once
+    pairs = left.join(right, on).drop("_last", "_own", "_at", "_rlast", "_rown", "_rat", chrom)
     same = (F.col(chrom) == F.col("_c")) & (F.col(start) == F.col("_s")) & (F.col(end) == F.col("_e"))
     return df.join(pairs, same, "left").drop("_c", "_s", "_e")
 
 
 def region_scan(df: DataFrame, regions: DataFrame, chrom: str = "chr", pos: str = "pos", width: int = BIN) -> DataFrame:
     """Rows with canonical flag YES whose position lies in a region [lo, hi]; each row once."""
-    sites = df.filter(F.col("canonical") == "YES")
+    rows = df.filter(F.col("canonical") == "YES")
     there = regions.select(F.col(chrom), F.col("lo").alias("_lo"), F.col("hi").alias("_hi"))
-    return points_in(sites, there, [chrom], pos, "_lo", "_hi", F.col(pos).between(F.col("_lo"), F.col("_hi")), "left_semi", width)
+    hits = points_in(rows.select(chrom, pos).distinct(), there, [chrom], pos, "_lo", "_hi", F.col(pos).between(F.col("_lo"), F.col("_hi")), width)
+    return rows.join(hits.select(chrom, pos).distinct(), [chrom, pos], "left_semi")

@@ -6,7 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from drivescore.operators.splits import balance_classes, same_keys, with_totals
+from drivescore.sources.tables import written
+
 CLIP = 1e-15
+BORDERS = 1023
 
 
 def _both_classes(label: str) -> Column:
@@ -41,13 +45,28 @@ def binary_metrics(df: DataFrame, keys: list[str], label: str = "label", p: str
     )
 
 
+def in_ranges(by: DataFrame, keys: list[str], p: str) -> DataFrame:
+    """Add _bucket: the place of a row's score among its key's ``BORDERS`` borders, which a quantile sketch of the rows sets.
+
+    However the scores lie, a range holds about rows / ``BORDERS`` of a key.
+    """
+    shares = F.array(*[F.lit(k / (BORDERS + 1)) for k in range(1, BORDERS + 1)])
+    sketch = by.groupBy(*[F.col(k).alias(f"_s_{k}") for k in keys]).agg(F.array_distinct(F.percentile_approx(F.col(p).cast("double"), shares, 20_000)).alias("_borders"))
+    steps = F.array(*[F.lit(1 << k) for k in range(BORDERS.bit_length() - 1, -1, -1)])
+
+    def further(at: Column, step: Column) -> Column:
+        return F.when(at + step <= F.size("_borders"), F.when(F.get("_borders", at + step - 1) < F.col(p), at + step).otherwise(at)).otherwise(at)
+
+    return by.join(sketch, same_keys(keys, [f"_s_{k}" for k in keys])).withColumn("_bucket", F.aggregate(steps, F.lit(0), further)).select(*by.columns, "_bucket")
+
+
 def _before(by: DataFrame, keys: list[str], p: str, values: list[str], descending: bool = False) -> DataFrame:
-    """Add _before_<value>: its sum over the rows of the keys whose score comes before the row's own.
+    """Add _before_<value>: its sum over the rows of the keys whose score comes before the row's own; and _all_<value>, over all.
 
-    ``by`` has one row per distinct score. Scores go to buckets of a monotone function; whole buckets are summed
-    first and a row adds its own bucket's part, so that a key with most of the rows is dealt over its buckets.
+    ``by`` has one row per distinct score. It is written in ranges of score; whole ranges are summed first and a row adds its own range's
+    part, so that a key with most of the rows is dealt over its ranges.
     """
-    rows = by.withColumn("_bucket", F.floor(F.asinh(F.col(p).cast("double") * 1e6) * 50))
+    rows = written(in_ranges(by, keys, p), "ranges")
 
     def up(c: str) -> Column:
         return F.desc(c) if descending else F.asc(c)
@@ -55,16 +74,14 @@ def _before(by: DataFrame, keys: list[str], p: str, values: list[str], descendin
     def so_far(w, c: str) -> Column:
         return F.coalesce(F.sum(c).over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
 
+    named = [f"_k_{k}" for k in keys]
     sums = rows.groupBy(*keys, "_bucket").agg(*[F.sum(v).alias(v) for v in values])
-    over = W.partitionBy(*keys).orderBy(up("_bucket"))
-    bases = sums.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_bucket").alias("_b"), *[so_far(over, v).alias(f"_base_{v}") for v in values])
-    same = F.col("_bucket").eqNullSafe(F.col("_b"))
-    for k in keys:
-        same = same & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    over = W.partitionBy(*keys)
+    bases = sums.select(*[F.col(k).alias(n) for k, n in zip(keys, named, strict=True)], F.col("_bucket").alias("_b"), *[so_far(over.orderBy(up("_bucket")), v).alias(f"_base_{v}") for v in values], *[F.sum(v).over(over).alias(f"_all_{v}") for v in values])
     within = W.partitionBy(*keys, "_bucket").orderBy(up(p))
-    out = rows.withColumns({f"_own_{v}": so_far(within, v) for v in values}).join(bases, same)
+    out = rows.withColumns({f"_own_{v}": so_far(within, v) for v in values}).join(bases, same_keys([*keys, "_bucket"], [*named, "_b"]))
     out = out.withColumns({f"_before_{v}": F.col(f"_own_{v}") + F.col(f"_base_{v}") for v in values})
-    return out.select(*by.columns, *[f"_before_{v}" for v in values])
+    return out.select(*by.columns, *[f"_before_{v}" for v in values], *[f"_all_{v}" for v in values])
 
 
 def roc_auc(df: DataFrame, keys: list[str], label: str = "label", p: str = "p") -> DataFrame:
@@ -92,12 +109,8 @@ def deviance(df: DataFrame, keys: list[str], label: str = "label", p: str = "p")
 def _cumulated(df: DataFrame, keys: list[str], label: str, p: str) -> DataFrame:
     """One row per distinct score: positives and negatives at or above it, and the totals."""
     by = df.groupBy(*keys, p).agg(F.sum(label).alias("_pos"), F.count("*").alias("_n")).withColumn("_neg", F.col("_n") - F.col("_pos"))
-    totals = by.groupBy(*[F.col(k).alias(f"_t_{k}") for k in keys]).agg(F.sum("_pos").alias("_p1"), F.sum("_neg").alias("_p0"))
-    same = F.lit(True)
-    for k in keys:
-        same = same & F.col(k).eqNullSafe(F.col(f"_t_{k}"))
-    upto = _before(by, keys, p, ["_pos", "_neg"], descending=True).join(totals, same)
-    return upto.select(*keys, p, (F.col("_before__pos") + F.col("_pos")).alias("_tp"), (F.col("_before__neg") + F.col("_neg")).alias("_fp"), "_pos", "_neg", "_p1", "_p0")
+    upto = _before(by, keys, p, ["_pos", "_neg"], descending=True)
+    return upto.select(*keys, p, (F.col("_before__pos") + F.col("_pos")).alias("_tp"), (F.col("_before__neg") + F.col("_neg")).alias("_fp"), "_pos", "_neg", F.col("_all__pos").alias("_p1"), F.col("_all__neg").alias("_p0"))
 
 
 def roc_points(df: DataFrame, keys: list[str], label: str = "label", p: str = "p") -> DataFrame:
@@ -128,12 +141,11 @@ def pr_benchmark(df: DataFrame, keys: list[str], label: str, score: str, row_id:
     The fit is monotone in the score and its slope has the sign of their covariance, so the area is that of
     the score times that sign; no fit is made.
     """
-    from drivescore.operators.splits import balance_classes, with_totals
-
     rows = df.filter(F.col(score).isNotNull() & F.col(label).isNotNull())
     if balance:
         rows = balance_classes(rows, keys, label, row_id, seed)
     sign = F.signum(F.covar_pop(F.col(score).cast("double"), F.col(label).cast("double")))
+    rows = written(rows.select(*keys, label, score), "balanced")
     rows = with_totals(rows, keys, _sign=sign, _ones=F.sum(label)).filter(F.col("_ones") > least_positives)
     return pr_auc(rows.withColumn("_s", F.col("_sign") * F.col(score)), keys, label, "_s")
 
@@ -169,11 +181,9 @@ def median_iqr(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     Values are counted first and ranked through score buckets, so that no task holds all values of a key.
     """
     by = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_n"))
-    sizes = df.groupBy(*[F.col(k).alias(f"_t_{k}") for k in keys]).agg(F.count(value).alias("_all"))
-    same = F.lit(True)
-    for k in keys:
-        same = same & F.col(k).eqNullSafe(F.col(f"_t_{k}"))
-    ranked = _before(by, keys, value, ["_n"]).join(sizes, same, "right")
+    named = [f"_t_{k}" for k in keys]
+    known = df.select(*[F.col(k).alias(n) for k, n in zip(keys, named, strict=True)]).distinct()
+    ranked = _before(by, keys, value, ["_n"]).join(known, same_keys(keys, named), "right").withColumnRenamed("_all__n", "_all")
     picks = []
     for k, q in enumerate((0.25, 0.5, 0.75)):
         at = (F.col("_all") - 1) * q

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from drivescore.functions.variants import hash_uniform, pyrimidine_context
+from drivescore.operators.splits import same_keys
+from drivescore.sources.tables import written
 
 BASES = "ACGT"
 DRAWS = 4096
@@ -31,36 +33,66 @@ def all_substitutions(bases: DataFrame, keys: list[str]) -> DataFrame:
     return rows.select(*keys, "pos", "ref", "alt", pyrimidine_context(F.col("triplet"), F.col("alt")).alias("context"))
 
 
+def _blocks(df: DataFrame, weight: str, keys: list[str], order: list[str]) -> tuple[DataFrame, DataFrame]:
+    """The rows, written by ranges of (keys, order) with their range as _block; and what comes before each block of a key.
+
+    Ranges hold about as many rows each, whatever the keys, so a key of most rows is dealt over many. The second table (keys as _k_<key>, _kb) has
+    the sum of weights before the block, the key's total, its number of rows, and whether its weights are a distribution (a
+    positive sum of weights that aren't negative); where they aren't, each row weighs 1.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    w = F.coalesce(F.col(weight), F.lit(0.0)).cast("double")
+    rows = written(df.withColumn("_w", w).repartitionByRange(parts, *keys, *order).withColumn("_block", F.spark_partition_id()), "weighed")
+    named = [F.col(k).alias(f"_k_{k}") for k in keys]
+    sums = rows.groupBy(*named, F.col("_block").alias("_kb")).agg(F.sum("_w").alias("_sum"), F.min("_w").alias("_least"), F.count("*").alias("_n"))
+    key = W.partitionBy(*[f"_k_{k}" for k in keys])
+    before = key.orderBy("_kb").rowsBetween(W.unboundedPreceding, -1)
+    sums = sums.withColumn("_fine", (F.sum("_sum").over(key) > 0) & (F.min("_least").over(key) >= 0)).withColumn("_many", F.sum("_n").over(key))
+    own = F.when(F.col("_fine"), F.col("_sum")).otherwise(F.col("_n").cast("double"))
+    sums = sums.withColumn("_own", own).withColumn("_base", F.coalesce(F.sum("_own").over(before), F.lit(0.0))).withColumn("total", F.sum("_own").over(key))
+    return rows, sums.select(*[f"_k_{k}" for k in keys], "_kb", "_base", "total", "_many", "_fine")
+
+
+def _cumulated(df: DataFrame, weight: str, keys: list[str], order: list[str]) -> DataFrame:
+    rows, bases = _blocks(df, weight, keys, order)
+    met = rows.join(bases, same_keys([*keys, "_block"], [*[f"_k_{k}" for k in keys], "_kb"]))
+    met = met.withColumn("_w", F.when(F.col("_fine"), F.col("_w")).otherwise(F.lit(1.0)))
+    within = W.partitionBy(*keys, "_block").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+    out = met.withColumn("cum_hi", F.col("_base") + F.sum("_w").over(within))
+    # The lower end is the row before's upper end, so that ranges meet without a gap.
+    low = F.lag("cum_hi").over(W.partitionBy(*keys, "_block").orderBy(*order))
+    return out.withColumn("cum_lo", F.coalesce(low, F.col("_base"))).select(*df.columns, "cum_hi", "total", "cum_lo", "_many")
+
+
 def cumulative_weights(df: DataFrame, weight: str, keys: list[str], order: list[str]) -> DataFrame:
-    """Add cum_lo, cum_hi and total: the running sum of weights within the keys, before and with the row.
+    """Add cum_hi, total and cum_lo: the running sum of weights within the keys, with the row, over all rows, and before the row.
 
-    If a key's weights are no distribution (a sum that is not positive, or none), its rows weigh 1 each.
+    If a key's weights are no distribution (a sum that is not positive, or a negative weight), its rows weigh 1 each. Sums run over ranges of rows first
+    and within a range then, so that no task holds a key whole.
     """
-    group = W.partitionBy(*keys)
-    fine = F.coalesce((F.sum(weight).over(group) > 0) & (F.min(F.coalesce(F.col(weight), F.lit(0.0))).over(group) >= 0), F.lit(False))
-    df = df.withColumn("_w", F.when(fine, F.coalesce(F.col(weight), F.lit(0.0))).otherwise(F.lit(1.0)))
-    upto = group.orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
-    out = df.withColumn("cum_hi", F.sum("_w").over(upto)).withColumn("total", F.sum("_w").over(group))
-    return out.withColumn("cum_lo", F.lag("cum_hi", 1, 0.0).over(group.orderBy(*order))).drop("_w")
+    return _cumulated(df, weight, keys, order).drop("_many")
 
 
-def weighted_draw(candidates: DataFrame, counts: DataFrame, weight: str, keys: list[str], order: list[str], seed: int = 1, per_row: int = 50, cells: int = 1024, per: tuple[str, ...] = ()) -> DataFrame:
+def weighted_draw(candidates: DataFrame, counts: DataFrame, weight: str, keys: list[str], order: list[str], seed: int = 1, per_row: int = 50, per: tuple[str, ...] = ()) -> DataFrame:
     """Draw ``per_row`` times each key's count rows with replacement, in proportion to the weight.
 
     ``counts`` has the keys, n and the columns ``per``: the draws of each (per, key) come from the one table of
     the key. Draws are numbered from 1; draw d takes the row whose cumulative range holds u * total, where u is
-    the hash uniform of (per, key, d, seed). Draws and ranges meet in cells of u, so that a key's candidates are
-    not compared with all its draws and a frequent key is dealt over its cells.
+    the hash uniform of (per, key, d, seed). Draws and ranges meet in cells of u. A key has as many cells as candidates, so
+    that a draw is compared with a few of them, and a frequent key is dealt over its cells.
     """
-    table = cumulative_weights(candidates, weight, keys, order).filter("cum_hi > cum_lo")
-    table = table.withColumn("_cell", F.explode(F.sequence(F.floor(F.col("cum_lo") / F.col("total") * cells), F.least(F.lit(cells), F.floor(F.col("cum_hi") / F.col("total") * cells)))))
+    table = written(_cumulated(candidates, weight, keys, order).filter("cum_hi > cum_lo"), "cumulated")
+    own = [f"_k_{k}" for k in keys]
+    sizes = table.groupBy(*[F.col(k).alias(n) for k, n in zip(keys, own, strict=True)]).agg(F.max("total").alias("_total"), F.max("_many").alias("_cells"))
+    cell = lambda x: F.least(F.col("_many") - 1, F.floor(x / F.col("total") * F.col("_many")))
+    table = table.withColumn("_cell", F.explode(F.sequence(cell(F.col("cum_lo")), cell(F.col("cum_hi"))))).drop("total", "_many")
     names = [*per, *keys]
     # Few keys have all draws: blocks of draws are dealt over the tasks before they are numbered.
     last = (F.col("n") * per_row).cast("long")
     blocks = counts.filter("n > 0").select(*names, last.alias("_last"), F.explode(F.sequence(F.lit(1).cast("long"), last, F.lit(DRAWS).cast("long"))).alias("_from"))
-    blocks = blocks.repartition(int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions")), *names, "_from")
-    draws = blocks.select(*names, F.explode(F.sequence("_from", F.least("_last", F.col("_from") + DRAWS - 1))).alias("draw"))
+    blocks = blocks.join(sizes, same_keys(keys, own)).drop(*own).repartition(int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions")), *names, "_from")
+    draws = blocks.select(*names, "_total", "_cells", F.explode(F.sequence("_from", F.least("_last", F.col("_from") + DRAWS - 1))).alias("draw"))
     draws = draws.withColumn("u", hash_uniform(*[F.col(k) for k in names], F.col("draw"), F.lit(seed)))
-    draws = draws.withColumn("_cell", F.floor(F.col("u") * cells))
-    x = F.col("u") * F.col("total")
-    return draws.join(table, [*keys, "_cell"]).filter((F.col("cum_lo") <= x) & (x < F.col("cum_hi"))).drop("_cell", "cum_lo", "cum_hi", "total")
+    # A draw's cell is found from x as a range's cells from its ends; all three steps rise with their input, so rounding parts no draw from its range.
+    draws = draws.withColumn("_x", F.col("u") * F.col("_total")).withColumn("_cell", F.least(F.col("_cells") - 1, F.floor(F.col("_x") / F.col("_total") * F.col("_cells")))).drop("_total", "_cells")
+    return draws.join(table, [*keys, "_cell"]).filter((F.col("cum_lo") <= F.col("_x")) & (F.col("_x") < F.col("cum_hi"))).drop("_cell", "_x", "cum_lo", "cum_hi")

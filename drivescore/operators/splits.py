@@ -2,39 +2,73 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from drivescore.functions.variants import hash_uniform
+from drivescore.sources.tables import written
 
 
-BUCKETS = 1024
+LEAST_BUCKETS, MOST_BUCKETS, BUCKET_ROWS = 64, 65_536, 4096
 
 
-def numbered(df: DataFrame, keys: list[str], u: str, row_id: str, name: str) -> DataFrame:
-    """Add the rank (from 1) of each row within the keys, by the uniform number ``u`` and then the row id.
+def same_keys(left: list[str], right: list[str]) -> Column:
+    """Equality of columns one by one, where NULL equals NULL."""
+    same = F.lit(True)
+    for a, b in zip(left, right, strict=True):
+        same = same & F.col(a).eqNullSafe(F.col(b))
+    return same
+
+
+def bucket_number(rows: DataFrame, keys: list[str]) -> int:
+    """So many buckets of a uniform number that the largest key has a few thousand rows in each."""
+    most = rows.groupBy(*keys).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    return max(LEAST_BUCKETS, min(MOST_BUCKETS, -(-most // BUCKET_ROWS)))
+
+
+def numbered(rows: DataFrame, keys: list[str], u: str, order: list[str], name: str, buckets: int) -> DataFrame:
+    """Add the rank (from 1) of each row within the keys, by the uniform number ``u`` and then by ``order``.
 
-    Rows are ranked within buckets of u, whose sizes are summed before: no window holds more of a key than a bucket.
+    Rows are ranked within buckets of u, whose sizes are summed before: no window holds more of a key than a bucket, or its
+    ``buckets`` sizes. ``rows`` are read twice, so they should be cheap to read.
     """
-    rows = df.withColumn("_b", F.floor(F.col(u) * BUCKETS).cast("int"))
-    over = W.partitionBy(*[f"_k_{k}" for k in keys]).orderBy("_kb").rowsBetween(W.unboundedPreceding, -1)
-    sizes = rows.groupBy(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_b").alias("_kb")).agg(F.count("*").alias("_many"))
+    dealt = rows.withColumn("_b", F.floor(F.col(u) * buckets).cast("int"))
+    named = [f"_k_{k}" for k in keys]
+    over = W.partitionBy(*named).orderBy("_kb").rowsBetween(W.unboundedPreceding, -1)
+    sizes = dealt.groupBy(*[F.col(k).alias(n) for k, n in zip(keys, named, strict=True)], F.col("_b").alias("_kb")).agg(F.count("*").alias("_many"))
     sizes = sizes.withColumn("_base", F.coalesce(F.sum("_many").over(over), F.lit(0))).drop("_many")
-    same = F.col("_b") == F.col("_kb")
-    for k in keys:
-        same = same & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
-    own = rows.withColumn("_own", F.row_number().over(W.partitionBy(*keys, "_b").orderBy(u, row_id)))
-    return own.join(sizes, same).withColumn(name, F.col("_own") + F.col("_base")).select(*df.columns, name)
+    own = dealt.withColumn("_own", F.row_number().over(W.partitionBy(*keys, "_b").orderBy(u, *order)))
+    return own.join(sizes, same_keys([*keys, "_b"], [*named, "_kb"])).withColumn(name, F.col("_own") + F.col("_base")).select(*rows.columns, name)
+
+
+def among_smallest(rows: DataFrame, keys: list[str], u: str, order: list[str], k: str, name: str, buckets: int) -> DataFrame:
+    """Add whether a row is among the ``k`` smallest of its keys, by the uniform number ``u`` and then by ``order``. ``k`` is one for all rows of a key.
+
+    Counts by bucket of u tell the bucket in which the k-th row lies: rows of lower buckets are in, those of higher ones are not, and only that
+    bucket is ranked. ``rows`` are read three times, so they should be cheap to read; but for that bucket's, they move only to meet their
+    key's cut-off, a table of one row a key.
+    """
+    dealt = rows.withColumn("_b", F.floor(F.col(u) * buckets).cast("int"))
+    named = [f"_k_{x}" for x in keys]
+    sizes = dealt.groupBy(*[F.col(x).alias(n) for x, n in zip(keys, named, strict=True)], F.col("_b").alias("_kb")).agg(F.count("*").alias("_many"), F.max(k).alias("_want"))
+    over = W.partitionBy(*named).orderBy("_kb").rowsBetween(W.unboundedPreceding, 0)
+    summed = sizes.withColumn("_upto", F.sum("_many").over(over))
+    cut = F.when((F.col("_upto") > F.col("_want")) & (F.col("_upto") - F.col("_many") < F.col("_want")), F.struct("_kb", (F.col("_want") - F.col("_upto") + F.col("_many")).alias("need")))
+    full = F.when(F.col("_upto") <= F.col("_want"), F.col("_kb"))
+    cuts = summed.groupBy(*named).agg(F.coalesce(F.max(full), F.lit(-1)).alias("_full"), F.max(cut).alias("_cut"))
+    met = dealt.join(cuts, same_keys(keys, named))
+    edge = F.coalesce(F.col("_b") == F.col("_cut._kb"), F.lit(False))
+    place = F.row_number().over(W.partitionBy(*keys, "_b").orderBy(u, *order))
+    ranked = met.filter(edge).withColumn(name, place <= F.col("_cut.need"))
+    return met.filter(~edge).withColumn(name, F.col("_b") <= F.col("_full")).select(*rows.columns, name).unionByName(ranked.select(*rows.columns, name))
 
 
 def with_totals(df: DataFrame, keys: list[str], **totals) -> DataFrame:
     """Add aggregates over the keys as columns; a join with one row for each key, whose rows stay dealt as they are."""
-    named = df.groupBy(*[F.col(k).alias(f"_k_{k}") for k in keys]).agg(*[c.alias(n) for n, c in totals.items()])
-    same = F.lit(True)
-    for k in keys:
-        same = same & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
-    return df.join(named, same).drop(*[f"_k_{k}" for k in keys])
+    named = [f"_k_{k}" for k in keys]
+    by_key = df.groupBy(*[F.col(k).alias(n) for k, n in zip(keys, named, strict=True)]).agg(*[c.alias(n) for n, c in totals.items()])
+    return df.join(by_key, same_keys(keys, named)).drop(*named)
 
 
 def balanced_splits(df: DataFrame, keys: list[str], row_id: str, label: str = "label", n_splits: int = 50, test_fraction: float = 0.3, seed: int = 1) -> DataFrame:
@@ -43,16 +77,17 @@ def balanced_splits(df: DataFrame, keys: list[str], row_id: str, label: str = "l
     Negatives are drawn without replacement; fewer stay if there are fewer than positives. Ties of the hash
     go by row id.
     """
-    base = with_totals(df.select(*keys, row_id, label), keys, _pos=F.sum(label))
+    base = written(with_totals(df.select(*keys, row_id, label), keys, _pos=F.sum(label)), "labelled")
+    buckets, drawn = bucket_number(base, keys), [*keys, "split"]
     rows = base.withColumn("split", F.explode(F.sequence(F.lit(0), F.lit(n_splits - 1))))
-    rows = rows.withColumn("_u", hash_uniform(F.col(row_id), F.col("split"), F.lit(seed)))
     # Positives all stay, so that only negatives are ranked.
-    negatives = numbered(rows.filter(F.col(label) != 1), [*keys, "split"], "_u", row_id, "_k").filter(F.col("_k") <= F.col("_pos")).drop("_k")
-    chosen = rows.filter(F.col(label) == 1).unionByName(negatives).drop("_u", "_pos")
-    chosen = chosen.withColumn("_v", hash_uniform(F.col(row_id), F.col("split"), F.lit(seed), F.lit("role")))
-    ranked = with_totals(numbered(chosen, [*keys, "split"], "_v", row_id, "_r"), [*keys, "split"], _n=F.count("*"))
-    role = F.when(F.col("_r") <= F.ceil(F.lit(test_fraction) * F.col("_n")), "test").otherwise("train")
-    return ranked.select(*keys, row_id, label, "split", role.alias("role"))
+    negatives = rows.filter(F.col(label) != 1).withColumn("_u", hash_uniform(F.col(row_id), F.col("split"), F.lit(seed)))
+    negatives = among_smallest(negatives, drawn, "_u", [row_id], "_pos", "_in", buckets).filter("_in")
+    chosen = rows.filter(F.col(label) == 1).select(*drawn, row_id, label).unionByName(negatives.select(*drawn, row_id, label))
+    chosen = written(chosen.withColumn("_v", hash_uniform(F.col(row_id), F.col("split"), F.lit(seed), F.lit("role"))), "chosen")
+    counted = with_totals(chosen, drawn, _test=F.ceil(F.lit(test_fraction) * F.count("*")))
+    ranked = among_smallest(counted, drawn, "_v", [row_id], "_test", "_in", buckets)
+    return ranked.select(*keys, row_id, label, "split", F.when(F.col("_in"), "test").otherwise("train").alias("role"))
 
 
 def stack_iterations(splits: DataFrame, keys: list[str], row_id: str, label: str = "label") -> DataFrame:
@@ -75,7 +110,8 @@ def balance_classes(df: DataFrame, keys: list[str], label: str, row_id: str, see
     """All rows of the rarer class and as many of the other, chosen by hash rank."""
     u = hash_uniform(F.col(row_id), *[F.col(k) for k in keys], F.lit(seed), F.lit("balance"))
     sized = with_totals(df, keys, _least=F.least(F.sum(label), F.count("*") - F.sum(label)))
-    return numbered(sized.withColumn("_u", u), [*keys, label], "_u", row_id, "_k").filter("_k <= _least").select(*df.columns)
+    rows = written(sized.withColumn("_u", u), "hashed")
+    return among_smallest(rows, [*keys, label], "_u", [row_id], "_least", "_in", bucket_number(rows, keys)).filter("_in").select(*df.columns)
 
 
 def merge_splits(splits: DataFrame, nodes: DataFrame, ttype: str = "ttype") -> DataFrame:

@@ -2,29 +2,33 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from drivescore.sources.tables import written
+
 
-def tree_closure(edges: DataFrame, id_col: str = "id", parent_col: str = "parent", max_depth: int = 64) -> DataFrame:
+def tree_closure(edges: DataFrame, id_col: str = "id", parent_col: str = "parent") -> DataFrame:
     """(node, ancestor, depth) for every node and each of its ancestors, itself at depth 0.
 
-    A node that stands only as a parent is a root. A cycle, or a tree deeper than ``max_depth``, is an error.
+    A node that stands only as a parent is a root. A cycle is an error. Paths double: a round knows each node's ancestors below 2^k steps and its
+    jump of 2^k, and finds the next 2^k through the jump, so that a tree of depth d takes log2(d) rounds, each written.
     """
-    spark, view = edges.sparkSession, f"edges_{uuid.uuid4().hex}"
-    edges.select(F.col(id_col).alias("id"), F.col(parent_col).alias("parent")).createOrReplaceTempView(view)
-    rows = spark.sql(f"""
-        with recursive up(node, ancestor, depth) as (
-          select id, id, 0 from (select id from {view} union select parent from {view} where parent is not null)
-          union all
-          select u.node, e.parent, u.depth + 1 from up u join {view} e on u.ancestor = e.id
-          where e.parent is not null and u.depth < {max_depth})
-        select * from up""")
-    deep = F.raise_error(F.concat(F.lit(f"a cycle, or more than {max_depth - 1} levels above "), "node"))
-    return rows.filter(F.when(F.col("depth") < max_depth, F.lit(True)).otherwise(deep.cast("boolean")))
+    own = edges.select(F.col(id_col).alias("node"), F.col(parent_col).alias("ancestor"))
+    jump = written(own.filter("ancestor is not null"), "jumps")
+    names = own.select("node").unionByName(jump.select(F.col("ancestor").alias("node"))).filter("node is not null").distinct()
+    closure = written(names.select("node", F.col("node").alias("ancestor"), F.lit(0).alias("depth")), "closure")
+    reach = 1
+    while not jump.isEmpty():
+        far = jump.select("node", F.col("ancestor").alias("at"))
+        above = closure.select(F.col("node").alias("at"), "ancestor", (F.col("depth") + reach).alias("depth"))
+        closure = written(closure.unionByName(far.join(above, "at").select("node", "ancestor", "depth")), "closure")
+        if not closure.filter("depth > 0 and node = ancestor").isEmpty():
+            raise ValueError("the tree has a cycle")
+        jump = written(far.join(jump.withColumnRenamed("node", "at"), "at").select("node", "ancestor"), "jumps")
+        reach *= 2
+    return closure
 
 
 def subtree_cohorts(closure: DataFrame, cohorts: DataFrame, cohort: str = "cohort", ttype: str = "ttype", node: str | None = None) -> DataFrame:

@@ -210,9 +210,10 @@ def parsed_positions(scored: DataFrame) -> DataFrame:
     return rows.select("id", V.parse_aa_position(F.col("aa")).alias("strict"), V.parse_aa_position(F.col("aa"), strict=False).alias("digits"))
 
 
-@query("parse_aa_position_all")
+@query("parse_aa_position_all", "select case when alt = 'A' then pos else -1 end as strict, case when alt = 'R' then null else pos end as digits, count(*) as n from fx_muts group by 1, 2")
 def _(t):
-    return parsed_positions(t["fx_scored"])
+    aa = F.expr("case alt when 'N' then concat(ref, pos, 'fs*') when 'R' then 'p.?' else concat(ref, pos, alt) end")
+    return t["fx_muts"].select(V.parse_aa_position(aa).alias("strict"), V.parse_aa_position(aa, strict=False).alias("digits")).groupBy("strict", "digits").agg(F.count("*").alias("n"))
 
 
 @query("protein_change", "select pos, case when alt = 'N' then '.' else concat(ref, cast(pos as string), alt) end as change, count(*) as n from fx_muts group by 1, 2")
@@ -369,9 +370,9 @@ def _(t):
 
 @query("domain_membership", """with s as (select distinct gene, pos, ttype from fx_tmuts),
   h as (select s.gene, s.pos, s.ttype, d.element, d.ord, d.ttype = s.ttype as own from s join fx_domains d on d.gene = s.gene and s.pos > d.start_pos and s.pos < d.stop_pos),
-  l as (select *, max(case when own then 2 else 1 end) over (partition by gene, pos, ttype) as level from h),
-  g as (select gene, pos, ttype, max(level) as level, string_agg(concat(element, ';'), '' order by ord desc) as motif from l where own or level = 1 group by 1, 2, 3)
-  select s.gene, s.pos, s.ttype, coalesce(level, 0) as level, coalesce(motif, '') as motif from s left join g on s.gene = g.gene and s.pos = g.pos and s.ttype = g.ttype""")
+  g as (select gene, pos, ttype, max(case when own then 2 else 1 end) as level, list_sort(list(struct_pack(o := -ord, e := element)) filter (own)) as mine, list_sort(list(struct_pack(o := -ord, e := element))) as every from h group by 1, 2, 3)
+  select s.gene, s.pos, s.ttype, coalesce(level, 0) as level, coalesce(array_to_string(list_transform(case when level = 2 then mine else every end, lambda x: x.e || ';'), ''), '') as motif
+  from s left join g on s.gene = g.gene and s.pos = g.pos and s.ttype = g.ttype""")
 def _(t):
     return intervals.domain_membership(t["fx_tmuts"].select("gene", "pos", "ttype").distinct(), t["fx_domains"])
 
@@ -399,9 +400,11 @@ def signal_ranges(clusters: DataFrame) -> DataFrame:
     return clusters.select(F.concat(F.lit("chr"), "chr").alias("chrom"), F.col("lo").alias("start"), F.col("hi").alias("end"), F.col("p_value").alias("value"))
 
 
-@query("signal_at_point_all")
+@query("signal_at_point_all", """with s as (select m.chr, m.pos, min(c.p_value) as v from (select distinct chr, pos from fx_tmuts) m join fx_clusters c on c.chr = m.chr and m.pos > c.lo and m.pos <= c.hi group by 1, 2)
+  select ttype, count(*) as n, count(v) as hits, round(sum(v), 4) as signal from fx_tmuts m left join s on s.chr = m.chr and s.pos = m.pos group by 1""")
 def _(t):
-    return intervals.signal_at_point(t["fx_muts"].select("chr", "pos").distinct(), signal_ranges(t["fx_clusters"]))
+    rows = intervals.signal_at_point(t["fx_tmuts"].select("ttype", "chr", "pos"), signal_ranges(t["fx_clusters"]))
+    return rows.groupBy("ttype").agg(F.count("*").alias("n"), F.count("signal").alias("hits"), F.round(F.sum("signal"), 4).alias("signal"))
 
 
 @query("flag_vector_lookup", """select l_orderkey, l_linenumber, cast(coalesce(embedding[1] > 0, false) as int) as "Acetylation", cast(coalesce(embedding[6] > 0, false) as int) as "Methylation",
@@ -459,32 +462,38 @@ def _(t):
     return lookups.channel_join("cohort", n, k, t["fx_cohorts"])
 
 
-SCORES_SQL = "select cast(l_linenumber as string) as chr, cast(l_partkey as int) as pos, l_returnflag as alt, max(l_discount) as score, case when l_partkey % 9 = 0 then '-' else 'NM' end as mane from lineitem where l_tax > 0.05 group by 1, 2, 3, 5"
+SCORES_SQL = "select cast(l_linenumber as string) as chr, cast(l_partkey as int) as pos, l_returnflag as alt, max(l_discount) as score, case when l_partkey % 9 = 0 then '-' else 'NM' end as mane from lineitem group by 1, 2, 3, 5"
+#: Sites next to those of the mutations: some have scores, some have none.
+NEXT_SQL = "(select gene, cohort, chr, pos + 1 as pos, alt from fx_muts)"
 
 
 def scores(t) -> DataFrame:
-    return t["lineitem"].filter("l_tax > 0.05").groupBy(F.col("l_linenumber").cast("string").alias("chr"), F.col("l_partkey").cast("int").alias("pos"), F.col("l_returnflag").alias("alt"), F.when(F.col("l_partkey") % 9 == 0, "-").otherwise("NM").alias("mane")).agg(F.max("l_discount").alias("score"))
+    return t["lineitem"].groupBy(F.col("l_linenumber").cast("string").alias("chr"), F.col("l_partkey").cast("int").alias("pos"), F.col("l_returnflag").alias("alt"), F.when(F.col("l_partkey") % 9 == 0, "-").otherwise("NM").alias("mane")).agg(F.max("l_discount").alias("score"))
+
 
+def next_sites(t) -> DataFrame:
+    return t["fx_muts"].select("gene", "cohort", "chr", (F.col("pos") + 1).alias("pos"), "alt")
 
-@query("join_external_scores", f"select m.gene, m.chr, m.pos, m.alt, s.score from fx_muts m join ({SCORES_SQL}) s on m.chr = s.chr and m.pos = s.pos and m.alt = s.alt where s.mane <> '-'")
+
+@query("join_external_scores", f"select m.gene, m.chr, m.pos, m.alt, s.score from {NEXT_SQL} m join ({SCORES_SQL}) s on m.chr = s.chr and m.pos = s.pos and m.alt = s.alt where s.mane <> '-'")
 def _(t):
-    return lookups.join_external_scores(t["fx_muts"], scores(t), ["chr", "pos", "alt"]).select("gene", "chr", "pos", "alt", "score")
+    return lookups.join_external_scores(next_sites(t), scores(t), ["chr", "pos", "alt"]).select("gene", "chr", "pos", "alt", "score")
 
 
-@query("join_assay_scores", """select s.id, a.n_chars as long_assay, b.n_chars as short_assay from fx_scored s left join (select * from documents where n_chars > 2000) a on a.doc_id = s.id left join (select * from documents where n_chars <= 500 and lang = 'en') b on b.doc_id = s.id""")
+@query("join_assay_scores", """select s.id, a.n_chars as other_assay, b.n_chars as english_assay from fx_scored s left join documents a on a.doc_id = s.id + 100 left join (select * from documents where lang = 'en') b on b.doc_id = s.id""")
 def _(t):
     docs = t["documents"].select("doc_id", "n_chars", "lang")
-    return lookups.join_assay_scores(t["fx_scored"].select("id"), [
-        {"table": docs.filter("n_chars > 2000"), "key": "doc_id", "on": "id", "score": "n_chars", "name": "long_assay"},
-        {"table": docs.filter("n_chars <= 500"), "key": "doc_id", "on": "id", "score": "n_chars", "name": "short_assay", "where": F.col("lang") == "en"},
-    ])
+    return lookups.join_assay_scores(t["fx_scored"].select("id", (F.col("id") + 100).alias("other")), [
+        {"table": docs, "key": "doc_id", "on": "other", "score": "n_chars", "name": "other_assay"},
+        {"table": docs, "key": "doc_id", "on": "id", "score": "n_chars", "name": "english_assay", "where": F.col("lang") == "en"},
+    ]).drop("other")
 
 
-@query("annotate_cv_table", f"select m.chr, m.pos, m.alt, count(*) as n, max(s.score) as score, max(a.k) as k from fx_muts m left join ({SCORES_SQL}) s on m.chr = s.chr and m.pos = s.pos and m.alt = s.alt left join (select chr, pos, alt, count(*) as k from fx_muts where ref = 'O' group by 1, 2, 3) a on m.chr = a.chr and m.pos = a.pos and m.alt = a.alt group by 1, 2, 3")
+@query("annotate_cv_table", f"select m.chr, m.pos, m.alt, count(*) as n, max(s.score) as score, max(a.k) as k from {NEXT_SQL} m left join ({SCORES_SQL}) s on m.chr = s.chr and m.pos = s.pos and m.alt = s.alt left join (select chr, pos, alt, count(*) as k from fx_muts group by 1, 2, 3) a on m.chr = a.chr and m.pos = a.pos and m.alt = a.alt group by 1, 2, 3")
 def _(t):
     keys = ["chr", "pos", "alt"]
-    assays = t["fx_muts"].filter("ref = 'O'").groupBy(*keys).agg(F.count("*").alias("k"))
-    return lookups.annotate_cv_table(t["fx_muts"].select(*keys), assays, scores(t), keys).groupBy(*keys).agg(F.count("*").alias("n"), F.max("score").alias("score"), F.max("k").alias("k"))
+    assays = t["fx_muts"].groupBy(*keys).agg(F.count("*").alias("k"))
+    return lookups.annotate_cv_table(next_sites(t).select(*keys), assays, scores(t), keys).groupBy(*keys).agg(F.count("*").alias("n"), F.max("score").alias("score"), F.max("k").alias("k"))
 
 
 @query("exclude_train_rows", "with m as (select *, cast(sample_id as bigint) % 5 as split from fx_muts) select split, pos, ref, alt, count(*) as n from m a where cohort < 'Supplier#000000050' and not exists (select 1 from m b where b.cohort >= 'Supplier#000000050' and a.split = b.split and a.pos = b.pos and a.ref = b.ref and a.alt = b.alt) group by 1, 2, 3, 4")
@@ -494,11 +503,11 @@ def _(t):
     return lookups.exclude_train_rows(test, train).groupBy("split", "pos", "ref", "alt").agg(F.count("*").alias("n"))
 
 
-@query("observed_with_scores", f"select m.gene, m.chr, m.pos, m.alt, s.score from fx_muts m join ({SCORES_SQL}) s on m.chr = s.chr and m.pos = s.pos and m.alt = s.alt where s.mane <> '-' and m.cohort in (select cohort from fx_cohorts where ttype in ('NATION_2', 'NATION_3', 'NATION_4'))")
+@query("observed_with_scores", f"select m.gene, m.chr, m.pos, m.alt, s.score from {NEXT_SQL} m join ({SCORES_SQL}) s on m.chr = s.chr and m.pos = s.pos and m.alt = s.alt where s.mane <> '-' and m.cohort in (select cohort from fx_cohorts where ttype in ('NATION_2', 'NATION_3', 'NATION_4'))")
 def _(t):
     predicted = scores(t).withColumn("class", F.when(F.col("mane") != "-", F.lit(True)))
     cohorts = t["fx_cohorts"].filter("ttype in ('NATION_2', 'NATION_3', 'NATION_4')")
-    return lookups.observed_with_scores(t["fx_muts"], predicted, cohorts, ["chr", "pos", "alt"]).select("gene", "chr", "pos", "alt", "score")
+    return lookups.observed_with_scores(next_sites(t), predicted, cohorts, ["chr", "pos", "alt"]).select("gene", "chr", "pos", "alt", "score")
 
 
 @query("domains_with_names", "select d.element, d.start_pos, p.p_type, e.wmis from fx_domains d left join (select distinct p_name, p_type from part) p on p.p_name = d.element join (select distinct gene, round(wmis, 6) as wmis from fx_excess) e on e.gene = d.gene")
@@ -515,16 +524,16 @@ def _(t):
     return lookups.role_join(t["fx_muts"], roles).groupBy("gene", "role").agg(F.count("*").alias("n"))
 
 
-@query("expected_rate_lookup", "select l_orderkey, l_linenumber, round(coalesce(rate, 0), 2) as rate from lineitem join part on l_partkey = p_partkey left join (select * from fx_rates where rate > 1500) r on r.gene = p_brand and r.context = p_type")
+@query("expected_rate_lookup", "select l_orderkey, l_linenumber, round(coalesce(rate, 0), 2) as rate from lineitem join part on l_partkey = p_partkey left join fx_rates r on r.gene = p_brand and r.context = case when l_linenumber = 7 then 'none' else p_type end")
 def _(t):
-    rows = t["lineitem"].join(t["part"], F.col("l_partkey") == F.col("p_partkey")).select("l_orderkey", "l_linenumber", F.col("p_brand").alias("gene"), F.col("p_type").alias("context"))
-    return lookups.expected_rate_lookup(rows, t["fx_rates"].filter("rate > 1500"), ["gene", "context"]).select("l_orderkey", "l_linenumber", F.round("rate", 2).alias("rate"))
+    rows = t["lineitem"].join(t["part"], F.col("l_partkey") == F.col("p_partkey")).select("l_orderkey", "l_linenumber", F.col("p_brand").alias("gene"), F.when(F.col("l_linenumber") == 7, "none").otherwise(F.col("p_type")).alias("context"))
+    return lookups.expected_rate_lookup(rows, t["fx_rates"], ["gene", "context"]).select("l_orderkey", "l_linenumber", F.round("rate", 2).alias("rate"))
 
 
-@query("region_scan", "select m.chr, m.pos, m.sample_id from fx_muts m where ref = 'O' and exists (select 1 from fx_clusters c where c.chr = m.chr and m.pos between c.lo and c.hi and c.p_value < 0.02)")
+@query("region_scan", "select m.chr, m.pos, m.sample_id from fx_muts m where ref = 'O' and exists (select 1 from fx_clusters c where c.chr = m.chr and m.pos between c.lo and c.hi)")
 def _(t):
     rows = t["fx_muts"].withColumn("canonical", F.when(F.col("ref") == "O", "YES").otherwise("-"))
-    return intervals.region_scan(rows, t["fx_clusters"].filter("p_value < 0.02")).select("chr", "pos", "sample_id")
+    return intervals.region_scan(rows, t["fx_clusters"]).select("chr", "pos", "sample_id")
 
 
 # ---- generators and hierarchy ---------------------------------------------------------------------------------------
@@ -557,9 +566,10 @@ def samples_by_node(t, donors: DataFrame) -> DataFrame:
     return clusters.attach_ttypes(samples, nodes).groupBy("node", "sample").agg(F.count("*").alias("n"))
 
 
-@query("explode_samples_all")
+@query("explode_samples_all", "select cohort, sample_id as sample, count(distinct gene) as n from fx_muts group by 1, 2")
 def _(t):
-    return samples_by_node(t, t["fx_muts"])
+    own = t["fx_muts"].groupBy("cohort", "gene").agg(F.collect_set("sample_id").alias("l")).groupBy("cohort").agg(F.map_from_entries(F.collect_list(F.struct("gene", "l"))).alias("donors"))
+    return clusters.explode_samples(own.withColumn("hypermutators", F.array().cast("array<string>"))).groupBy("cohort", "sample").agg(F.count("*").alias("n"))
 
 
 @query("explode_samples_stats", "select distinct cohort, sample_id as sample from fx_muts")
@@ -674,39 +684,45 @@ def _(t):
     return codon.codon_bands(codons(t), ["aa", "pos", "transcript"], "missense", "nonsense")
 
 
-VECTOR_SQL = "vec as (select gene, ttype, pos, max(case when impact = 'Missense' then 1 else 0 end) as h, row_number() over (partition by gene, ttype order by pos) as k from fx_tmuts group by 1, 2, 3)"
+def vector_sql(kind: str = "ttype") -> str:
+    return f"vec as (select gene, {kind} as ttype, pos, max(case when impact = 'Missense' then 1 else 0 end) as h, row_number() over (partition by gene, {kind} order by pos) as k from fx_tmuts group by 1, 2, 3)"
 
 
-def vectors(t) -> DataFrame:
-    return codon.saturation_vectors(t["fx_tmuts"].withColumn("h", (F.col("impact") == "Missense").cast("int")), ["gene", "ttype"], "pos", "h")
+def vectors(t, kind: str = "ttype") -> DataFrame:
+    rows = t["fx_tmuts"].select("gene", F.col(kind).alias("ttype"), "pos", (F.col("impact") == "Missense").cast("int").alias("h"))
+    return codon.saturation_vectors(rows, ["gene", "ttype"], "pos", "h")
+
+
+def distance_sql(kind: str = "ttype") -> str:
+    return f"""with {vector_sql(kind)}, n as (select gene, ttype, count(*) as n, sum(h) as s from vec group by 1, 2),
+  d as (select x.gene, x.ttype as a, y.ttype as b, greatest(x.n, y.n) as n, cast(x.s as double) as sx, cast(y.s as double) as sy,
+    coalesce((select sum(p.h * q.h) from vec p join vec q on p.k = q.k where p.gene = x.gene and p.ttype = x.ttype and q.gene = y.gene and q.ttype = y.ttype), 0) as tp from n x join n y on x.gene = y.gene and x.ttype < y.ttype),
+  e as (select *, n - sx - sy + tp as tn, sx - tp as fp, sy - tp as fn from d)
+  select gene, a, b, round(greatest(1 - coalesce((tp * tn - fp * fn) / nullif(sqrt(sx * sy * (tn + fp) * (tn + fn)), 0), 0), 0), 6) as distance from e"""
 
 
 def vector_text(df: DataFrame) -> DataFrame:
     return df.select("gene", "ttype", F.array_join(F.transform("vector", lambda x: x.cast("string")), "").alias("vector"))
 
 
-@query("saturation_vectors", f"with {VECTOR_SQL} select gene, ttype, string_agg(cast(h as string), '' order by pos) as vector from vec group by 1, 2")
+@query("saturation_vectors", f"with {vector_sql()} select gene, ttype, string_agg(cast(h as string), '' order by pos) as vector from vec group by 1, 2")
 def _(t):
     return vector_text(vectors(t))
 
 
-@query("saturation_vectors_all")
+@query("saturation_vectors_all", f"with {vector_sql('chr')} select gene, ttype, string_agg(cast(h as string), '' order by pos) as vector from vec group by 1, 2")
 def _(t):
-    return vector_text(vectors(t))
+    return vector_text(vectors(t, "chr"))
 
 
-@query("pairwise_mcc_distance", f"""with {VECTOR_SQL}, n as (select gene, ttype, count(*) as n, sum(h) as s from vec group by 1, 2),
-  d as (select x.gene, x.ttype as a, y.ttype as b, greatest(x.n, y.n) as n, cast(x.s as double) as sx, cast(y.s as double) as sy,
-    coalesce((select sum(p.h * q.h) from vec p join vec q on p.k = q.k where p.gene = x.gene and p.ttype = x.ttype and q.gene = y.gene and q.ttype = y.ttype), 0) as tp from n x join n y on x.gene = y.gene and x.ttype < y.ttype),
-  e as (select *, n - sx - sy + tp as tn, sx - tp as fp, sy - tp as fn from d)
-  select gene, a, b, round(greatest(1 - coalesce((tp * tn - fp * fn) / nullif(sqrt(sx * sy * (tn + fp) * (tn + fn)), 0), 0), 0), 6) as distance from e""")
+@query("pairwise_mcc_distance", distance_sql())
 def _(t):
     return codon.pairwise_mcc_distance(vectors(t)).select("gene", "a", "b", r6("distance").alias("distance"))
 
 
-@query("pairwise_mcc_distance_all")
+@query("pairwise_mcc_distance_all", distance_sql("chr"))
 def _(t):
-    return codon.pairwise_mcc_distance(vectors(t)).select("gene", "a", "b", r6("distance").alias("distance"))
+    return codon.pairwise_mcc_distance(vectors(t, "chr")).select("gene", "a", "b", r6("distance").alias("distance"))
 
 
 @query("confusion_counts", "select grp, split, count(*) filter (p >= 0.5 and label = 1) as tp, count(*) filter (p >= 0.5 and label = 0) as fp, count(*) filter (p < 0.5 and label = 0) as tn, count(*) filter (p < 0.5 and label = 1) as fn from fx_scored group by 1, 2")
@@ -868,29 +884,34 @@ def _(t):
     return out.select("gene", "context", F.round("cum_hi", 4).alias("cum_hi"), F.round("total", 4).alias("total"))
 
 
-@query("weighted_draw", f"""with c as (select gene, context, cast(rate * 100 as bigint) as w from fx_rates),
+def draw_sql(source: str, per: str = "") -> str:
+    names = f"{per}gene"
+    return f"""with c as (select gene, context, cast(rate * 100 as bigint) as w from fx_rates),
   cum as (select gene, context, sum(w) over (partition by gene order by context rows unbounded preceding) as hi, sum(w) over (partition by gene order by context rows unbounded preceding) - w as lo, sum(w) over (partition by gene) as total from c),
-  d as (select gene, unnest(range(1, n * 50 + 1)) as draw from (select gene, count(*) as n from fx_muts group by 1)),
-  u as (select gene, draw, {HEX.format("concat_ws('|', gene, cast(draw as string), '1')")} as u from d)
-  select u.gene, context, count(*) as n from u join cum on u.gene = cum.gene and u.u * total >= lo and u.u * total < hi group by 1, 2""")
-def _(t):
-    return draws_by_context(t, t["fx_muts"])
+  d as (select {names}, unnest(range(1, n * 50 + 1)) as draw from (select {names}, count(*) as n from {source} group by all)),
+  u as (select {names}, {HEX.format(f"concat_ws('|', {names}, cast(draw as string), '1')")} * total as x from d join (select gene as g, max(total) as total from cum group by 1) on g = gene)
+  select {per}u.gene, context, count(*) as n from u asof join cum on u.gene = cum.gene and u.x >= cum.lo group by all"""
 
 
-def draws_by_context(t, rows: DataFrame, **options) -> DataFrame:
-    counts = rows.groupBy("gene").agg(F.count("*").alias("n"))
+def draws_by_context(t, source: str, per: tuple[str, ...] = ()) -> DataFrame:
+    counts = t[source].groupBy(*per, "gene").agg(F.count("*").alias("n"))
     whole = t["fx_rates"].withColumn("w", F.expr("cast(round(rate * 100) as bigint)").cast("double"))
-    return sequence.weighted_draw(whole, counts, "w", ["gene"], ["context"], **options).groupBy("gene", "context").agg(F.count("*").alias("n"))
+    return sequence.weighted_draw(whole, counts, "w", ["gene"], ["context"], per=per).groupBy(*per, "gene", "context").agg(F.count("*").alias("n"))
+
+
+@query("weighted_draw", draw_sql("fx_muts"))
+def _(t):
+    return draws_by_context(t, "fx_muts")
 
 
-@query("weighted_draw_all")
+@query("weighted_draw_all", draw_sql("fx_tmuts", "ttype, "))
 def _(t):
-    return draws_by_context(t, t["fx_muts"])
+    return draws_by_context(t, "fx_tmuts", ("ttype",))
 
 
-@query("union_labelled", "select gene, pos, 1 as response from fx_muts where ref = 'O' union all select gene, start_pos, 0 from fx_domains")
+@query("union_labelled", "select gene, pos, 1 as response from fx_muts union all select gene, start_pos, 0 from fx_domains")
 def _(t):
-    return training.union_labelled(t["fx_muts"].filter("ref = 'O'").select("gene", "pos"), t["fx_domains"].select(F.col("start_pos").alias("pos"), "gene")).select("gene", "pos", "response")
+    return training.union_labelled(t["fx_muts"].select("gene", "pos"), t["fx_domains"].select(F.col("start_pos").alias("pos"), "gene")).select("gene", "pos", "response")
 
 
 @query("union_groups", """select chr, lo, 'low' as "CANCER_TYPE" from fx_clusters where p_value <= 0.02 union all select chr, lo, 'high' from fx_clusters where p_value > 0.08""")

@@ -37,12 +37,12 @@ FILE_NAME = r"([^/.]+)[^/]*$"
 
 
 def file_key(pattern: str = FILE_NAME):
-    """The key in the path of the row's input file."""
-    return F.regexp_extract(F.input_file_name(), pattern, 1)
+    """The key in the path of the row's input file, from the files' metadata: a filter on it leaves out files before they are read."""
+    return F.regexp_extract(F.col("_metadata.file_path"), pattern, 1)
 
 
 def scan_with_key(spark: SparkSession, glob: str, schema: T.StructType | str, key: str = "COHORT", pattern: str = FILE_NAME) -> DataFrame:
-    """All files of a glob as one table, with the key that their paths hold."""
+    """All files of a glob as one table, with the key that their paths hold; a filter on the key reads the files of that key alone."""
     return read_tsv(spark, glob, schema).withColumn(key, file_key(pattern))
 
 

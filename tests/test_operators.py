@@ -1,5 +1,7 @@
 """Operators on literal rows: thresholds, open and closed ends, NULLs, ties, invariants of models."""
 
+import random
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -57,6 +59,27 @@ def test_overlap_outer_keeps_all(spark):
         assert got == [(100, 101, "c"), (3, 40, "a"), (3, 40, "b"), (3, 40, "c"), (4, 5, "a"), (4, 5, "a"), (4, 5, "c"), (4, 5, "c")]
 
 
+def test_ranges_of_all_lengths(spark):
+    """Points and ranges from one base to a chromosome against brute force; a long range makes few rows."""
+    rng = random.Random(2)
+    spans = [(c, lo, lo + int(2 ** rng.uniform(0, 27)) - 1) for c in "12" for lo in (rng.randint(-50, 1 << 26) for _ in range(60))]
+    spans += [("1", 0, 250_000_000), ("1", 255, 256), ("1", 256, 511), ("1", 256, 512), ("2", -3, -1), ("2", 5, 4)]
+    points = sorted({("12"[k % 2], p) for k, p in enumerate([rng.randint(-60, 1 << 27) for _ in range(300)] + [s[k] + d for s in spans for k in (1, 2) for d in (-1, 0, 1)])})
+    held = spark.createDataFrame([(c, lo, hi, "A") for c, lo, hi in spans], "chr string, lo int, hi int, ttype string")
+    assert intervals.in_bins(held, "lo", "hi").count() <= 2 * len(spans)
+    asked = spark.createDataFrame([(c, p, "A") for c, p in points], "chr string, pos int, ttype string")
+    inside = {(r.chr, r.pos): r.level for r in intervals.interval_membership(asked, held).collect()}
+    assert inside == {(c, p): 2 if any(c == d and lo <= p <= hi for d, lo, hi in spans) else 0 for c, p in points}
+    regions = held.select("chr", F.col("lo").alias("r_start"), (F.col("hi") + 1).alias("r_end"))
+    rows = [(c, p, p + 1) for c, p in points[::9]] + [(c, lo - 7, hi - 100) for c, lo, hi in spans[::5]] + [("3", 1, 2), ("1", 9, 9)]
+    got = values(intervals.region_overlap_outer(spark.createDataFrame(rows, "chr string, start int, end int"), regions))
+    want = []
+    for c, s, e in rows:
+        hit = [(c, s, e, lo, hi + 1) for d, lo, hi in spans if c == d and lo <= hi and s < hi + 1 and lo < e and s < e]
+        want += hit or [(c, s, e, None, None)]
+    assert sorted(map(str, got)) == sorted(map(str, want))
+
+
 def test_signal_range(spark):
     df = spark.createDataFrame([("1", 10), ("1", 11), ("1", 20), ("1", 21)], "chr string, pos int")
     s = spark.createDataFrame([("chr1", 10, 20, 0.5)], "chrom string, start int, end int, value double")
@@ -196,9 +219,13 @@ def test_tree(spark):
     assert near == {("c", "g"): "a", ("a", "g"): "a", ("r", "g"): "r"}
     assert far == {("c", "g"): "r", ("a", "g"): "r", ("r", "g"): "r", ("b", "h"): None}
     loop = spark.createDataFrame([("x", "y"), ("y", "x")], "id string, parent string")
-    for edges_of in (loop, spark.createDataFrame([(f"n{k}", f"n{k + 1}") for k in range(9)], "id string, parent string")):
-        with pytest.raises(Exception, match="a cycle, or more than"):
-            tree.tree_closure(edges_of, max_depth=5).count()
+    below = spark.createDataFrame([("x", "y"), ("y", "z"), ("z", "x"), ("t", "x"), ("u", "t"), ("r", None)], "id string, parent string")
+    for edges_of in (loop, below):
+        with pytest.raises(ValueError, match="cycle"):
+            tree.tree_closure(edges_of)
+    chain = tree.tree_closure(spark.createDataFrame([(k, k + 1 if k < 999 else None) for k in range(1000)], "id int, parent int"))
+    assert chain.count() == 1000 * 1001 // 2 and chain.filter("ancestor - node <> depth").count() == 0
+    assert tree.tree_closure(edges.limit(0)).count() == 0
     cohorts = spark.createDataFrame([("x", "c"), ("y", "b")], "cohort string, ttype string")
     assert values(tree.subtree_cohorts(closure, cohorts, node="a")) == [("a", "x")]
     with pytest.raises(ValueError, match="unknown tumor type: z"):
@@ -304,6 +331,15 @@ def test_sources(spark, tmp_path):
     (tmp_path / "a.json").write_text('{"donors": {"d": ["s1", "s2"]},\n "hypermutators": {"hypermutators": ["s3"]}}')
     got = src.read_json_by_key(spark, f"{tmp_path}/*.json", "donors map<string,array<string>>, hypermutators struct<hypermutators:array<string>>")
     assert values(clusters.explode_samples(got.select("COHORT", "donors", "hypermutators.hypermutators"), "COHORT")) == [("a", "s1"), ("a", "s2"), ("a", "s3")]
+    (tmp_path / "COH3.tsv.gz").write_bytes(b"no gzip")  # only its key's readers would fail
+    for key in ("COH1", "COH2"):
+        kept = src.scan_with_key(spark, f"{tmp_path}/*.tsv*", "chr string, pos int").filter(F.col("COHORT") == key)
+        assert [r.COHORT for r in kept.collect()] == [key]
+    with pytest.raises(Exception, match="(?i)gzip|FAILED_READ_FILE"):
+        src.scan_with_key(spark, f"{tmp_path}/*.tsv*", "chr string, pos int").filter("COHORT = 'COH3'").collect()
+    (tmp_path / "b.json").write_text("{ not json")
+    asked = src.read_json_by_key(spark, f"{tmp_path}/*.json", "donors map<string,array<string>>").filter("COHORT = 'a'")
+    assert len(asked.collect()) == 1 and "file_path" in asked._jdf.queryExecution().toString()
     (tmp_path / "t.txt").write_text("## c\nx\n# y\n")
     assert src.read_trace_skip_comments(spark, f"{tmp_path}/t.txt").count() == 2
 

@@ -1,4 +1,4 @@
-"""Queries over whole views, which have no SQL form, against brute force on the smallest tables."""
+"""Queries over whole views against brute force on the smallest tables."""
 
 import hashlib
 import math
@@ -27,7 +27,7 @@ def test_saturation_vectors_and_distances_take_every_position(spark, view):
         own = by[gene, ttype]
         own[pos] = max(own.get(pos, 0), int(impact == "Missense"))
     vectors = {k: [own[p] for p in sorted(own)] for k, own in by.items()}
-    got = {(r.gene, r.ttype): r.vector for r in QUERIES["saturation_vectors_all"](spark, FOLDER).collect()}
+    got = {(r.gene, r.ttype): r.vector for r in QUERIES["saturation_vectors"](spark, FOLDER).collect()}
     assert got == {k: "".join(map(str, v)) for k, v in vectors.items()}
 
     want = {}
@@ -39,7 +39,7 @@ def test_saturation_vectors_and_distances_take_every_position(spark, view):
                 tp, fp, fn, tn = (pairs.count(c) for c in ((1, 1), (1, 0), (0, 1), (0, 0)))
                 root = math.sqrt((tp + fp) * (tp + fn) * (tn + fp) * (tn + fn))
                 want[gene, a, b] = max(1 - ((tp * tn - fp * fn) / root if root else 0), 0)
-    rows = QUERIES["pairwise_mcc_distance_all"](spark, FOLDER).collect()
+    rows = QUERIES["pairwise_mcc_distance"](spark, FOLDER).collect()
     assert len(rows) == len(want)
     assert {(r.gene, r.a, r.b): r.distance for r in rows} == pytest.approx(want, abs=1e-6)
 
@@ -47,19 +47,19 @@ def test_saturation_vectors_and_distances_take_every_position(spark, view):
 def test_saturation_vectors_take_all_of_the_larger_tables(spark):
     folder = "/root/testdata/sf0.01"
     positions = Tables(spark, folder)["fx_tmuts"].select("gene", "ttype", "pos").distinct()
-    got = QUERIES["saturation_vectors_all"](spark, folder).selectExpr("sum(length(vector)) as n").first().n
+    got = QUERIES["saturation_vectors"](spark, folder).selectExpr("sum(length(vector)) as n").first().n
     assert got == positions.count() > 2 * positions.filter("pos < 400").count()
 
 
 def test_parse_aa_position_takes_every_row(spark, view):
-    got = {r.id: (r.strict, r.digits) for r in QUERIES["parse_aa_position_all"](spark, FOLDER).collect()}
+    got = {r.id: (r.strict, r.digits) for r in QUERIES["parse_aa_position"](spark, FOLDER).collect()}
     assert got == {i: ((-1, i), (-1, None), (i, i))[i % 3] for (i,) in view("fx_scored", "id")}
 
 
 def test_signal_at_point_takes_every_interval(spark, view):
     ranges, sites = view("fx_clusters", "chr", "lo", "hi", "p_value"), set(view("fx_muts", "chr", "pos"))
     want = {(c, p): min((v for k, lo, hi, v in ranges if k == c and lo < p <= hi), default=None) for c, p in sites}
-    rows = QUERIES["signal_at_point_all"](spark, FOLDER).collect()
+    rows = QUERIES["signal_at_point"](spark, FOLDER).collect()
     assert len(rows) == len(want) and {(r.chr, r.pos): r.signal for r in rows} == want
 
 
@@ -80,7 +80,7 @@ def test_explode_samples_takes_every_donor(spark, view):
     muts = view("fx_muts", "cohort", "gene", "sample_id", "pos")
     samples = [(c, s) for c, _, s in {m[:3] for m in muts}] + list({(c, s) for c, _, s, p in muts if p % 500 == 1})
     want = Counter((node, s) for c, s in samples for node in ancestors[ttype[c]])
-    assert {(r.node, r["sample"]): r.n for r in QUERIES["explode_samples_all"](spark, FOLDER).collect()} == want
+    assert {(r.node, r["sample"]): r.n for r in QUERIES["explode_samples"](spark, FOLDER).collect()} == want
 
 
 def test_weighted_draw_makes_fifty_draws_a_row(spark, view):
@@ -94,7 +94,7 @@ def test_weighted_draw_makes_fifty_draws_a_row(spark, view):
             u = int(hashlib.md5(f"{gene}|{draw}|1".encode()).hexdigest()[:8], 16) / 2**32
             want[gene, weights[gene][bisect_right(ends, u * ends[-1])][0]] += 1
     assert sum(want.values()) == 50 * len(view("fx_muts", "gene"))
-    assert {(r.gene, r.context): r.n for r in QUERIES["weighted_draw_all"](spark, FOLDER).collect()} == want
+    assert {(r.gene, r.context): r.n for r in QUERIES["weighted_draw"](spark, FOLDER).collect()} == want
 
 
 def test_training_table_takes_every_region_and_draw(spark, monkeypatch):
