@@ -33,17 +33,38 @@ def matrix(column: pa.Array, dim: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), dim)
 
 
+def packed(rows: DataFrame, dim: int) -> DataFrame:
+    """The vectors ``x``, whose components are below 2^31, as blocks: (m, block) with m vectors of 32-bit integers."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                block = matrix(b.column(0), dim).astype(np.int32).tobytes()
+                yield pa.RecordBatch.from_arrays([pa.array([b.num_rows], pa.int32()), pa.array([block], pa.binary())], names=["m", "block"])
+
+    return rows.select("x").mapInArrow(run, "m int, block binary")
+
+
+def _matrices(b: pa.RecordBatch, dim: int) -> Iterator[np.ndarray]:
+    if b.num_columns == 1:
+        yield matrix(b.column(0), dim)
+        return
+    for m, block in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+        yield np.frombuffer(block.as_buffer(), np.int32).reshape(m, dim)
+
+
 def summed(rows: DataFrame, dim: int, part: Callable[[np.ndarray], np.ndarray], kind: type = np.float64) -> np.ndarray:
-    """Sum of ``part`` (a flat array of a fixed length) over batches of the vectors ``x``: by task first, then by place."""
+    """Sum of ``part`` (a flat array of a fixed length) over the vectors ``x``, or ``packed`` blocks of them: by task first, then by place."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = None
         for b in batches:
-            if b.num_rows:
-                now = part(matrix(b.column(0), dim))
+            for x in _matrices(b, dim) if b.num_rows else ():
+                now = part(x)
                 total = now if total is None else total + now
         if total is not None:
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total), dtype=np.int32)), pa.array(total.astype(kind))], names=["at", "v"])
 
-    sums = rows.select("x").mapInArrow(run, f"at int, v {'double' if kind is np.float64 else 'long'}").groupBy("at").agg(F.sum("v").alias("v")).toArrow().sort_by("at")
+    columns = ["m", "block"] if "block" in rows.columns else ["x"]
+    sums = rows.select(*columns).mapInArrow(run, f"at int, v {'double' if kind is np.float64 else 'long'}").groupBy("at").agg(F.sum("v").alias("v")).toArrow().sort_by("at")
     return sums.column("v").to_numpy()

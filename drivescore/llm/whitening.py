@@ -1,7 +1,8 @@
 """Whitening of vectors by Chebyshev-filtered subspace iteration.
 
 The covariance of the distinct vectors is never built. All that is asked of it are products with a block of columns, V Q = (1/n) times the sum over
-the centred vectors y of y (y' Q): one pass over the fit list, summed by task and then by place, so that a pass gathers ``dim * block`` numbers.
+the centred vectors y of y (y' Q): one pass over the fit list, which is written as blocks of vectors once, summed by task and then by place, so
+that a pass gathers ``dim * block`` numbers.
 
 1. A few Lanczos steps from one vector give the lower end of the spectrum.
 2. A Chebyshev polynomial of V, which is small on the unwanted part of the spectrum (from that end to the smallest Ritz
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, staged
-from .vectors import integer_rows, matrix, summed, within
+from .vectors import integer_rows, matrix, packed, summed, within
 
 SCALE = 256.0
 BLOCK = 16
@@ -88,8 +89,9 @@ def leading_pairs(product: Callable[[np.ndarray], np.ndarray], dim: int, k: int,
 
 def _whiten(rows: DataFrame, fit: DataFrame, dim: int, k: int, schema: str) -> DataFrame:
     """``rows`` (id, x) of one length, whitened by the distinct vectors ``fit`` (x)."""
-    n = fit.count()
-    sums = summed(fit, dim, lambda x: x.sum(0), np.int64)
+    fit = staged(packed(fit, dim), "blocks")
+    n = fit.agg(F.sum("m")).first()[0]
+    sums = summed(fit, dim, lambda x: x.sum(0, dtype=np.int64), np.int64)
     mean = np.array([int(s) / n for s in sums])
     k = min(k, dim)
 
