@@ -12,6 +12,7 @@ from drivescore.sources.tables import written
 
 BASES = "ACGT"
 DRAWS = 4096
+BROADCAST_ROWS = 200_000
 
 
 def explode_bases(regions: DataFrame, keys: list[str], start: str = "start", seq: str = "seq") -> DataFrame:
@@ -85,6 +86,7 @@ def weighted_draw(candidates: DataFrame, counts: DataFrame, weight: str, keys: l
     own = [f"_k_{k}" for k in keys]
     sizes = table.groupBy(*[F.col(k).alias(n) for k, n in zip(keys, own, strict=True)]).agg(F.max("total").alias("_total"), F.max("_many").alias("_cells"))
     cell = lambda x: F.least(F.col("_many") - 1, F.floor(x / F.col("total") * F.col("_many")))
+    many = table.agg(F.sum(cell(F.col("cum_hi")) - cell(F.col("cum_lo")) + 1)).first()[0] or 0
     table = table.withColumn("_cell", F.explode(F.sequence(cell(F.col("cum_lo")), cell(F.col("cum_hi"))))).drop("total", "_many")
     names = [*per, *keys]
     # Few keys have all draws: blocks of draws are dealt over the tasks before they are numbered.
@@ -95,4 +97,5 @@ def weighted_draw(candidates: DataFrame, counts: DataFrame, weight: str, keys: l
     draws = draws.withColumn("u", hash_uniform(*[F.col(k) for k in names], F.col("draw"), F.lit(seed)))
     # A draw's cell is found from x as a range's cells from its ends; all three steps rise with their input, so rounding parts no draw from its range.
     draws = draws.withColumn("_x", F.col("u") * F.col("_total")).withColumn("_cell", F.least(F.col("_cells") - 1, F.floor(F.col("_x") / F.col("_total") * F.col("_cells")))).drop("_total", "_cells")
-    return draws.join(table, [*keys, "_cell"]).filter((F.col("cum_lo") <= F.col("_x")) & (F.col("_x") < F.col("cum_hi"))).drop("_cell", "_x", "cum_lo", "cum_hi")
+    # Cells multiply the rows of a table whose files are small, which Spark would broadcast by their size: it is told to by the rows.
+    return draws.join(table.hint("broadcast" if many <= BROADCAST_ROWS else "merge"), [*keys, "_cell"]).filter((F.col("cum_lo") <= F.col("_x")) & (F.col("_x") < F.col("cum_hi"))).drop("_cell", "_x", "cum_lo", "cum_hi")
