@@ -7,7 +7,10 @@ so one minimum per site and replicate replaces all draws.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+from math import log
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -54,34 +57,68 @@ def bootstrap_curves(curves: DataFrame, keys: list[str], replicates: int = REPLI
     return reps.select(*keys, "replicate", "point", "x", "n_samples", chosen["n_unique"].alias("n_unique"))
 
 
-def fit_saturation_curve(curves: DataFrame, keys: list[str], steps: int = 160, low: float = 1e-7, high: float = 10.0) -> DataFrame:
-    """(keys, replicate, m, lam, sse): best m (1 - exp(-lam x)) over a log grid of lam, refined once around the best.
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def fit_saturation_curve(curves: DataFrame, keys: list[str], starts: int = 24, steps: int = 40, low: float = 1e-7, high: float = 10.0) -> DataFrame:
+    """(keys, replicate, m, lam, sse): the m and lam of least weighted squares of m (1 - exp(-lam x)), lam between the bounds and m at least half
+    of the group's largest count.
 
     Weights are those of the spread of counts at a grid point: 1 / (1 + sd ** (2 log10(points))). For each lam
-    the best m is sum(w y g) / sum(w g g), at least half of the group's largest count.
+    the best m follows from sums over the points, so steps are on log lam alone: Gauss-Newton steps with m projected out, from the best of ``starts``
+    values of even ratio, and a quarter as long after a step that would not lower the sum. A replicate's points, as many as the grid has, are one row.
     """
     spread = curves.groupBy(*keys, "point").agg(F.stddev_pop("n_unique").alias("_sd"))
-    points = F.count("*").over(W.partitionBy(*keys, "replicate"))
-    half = F.max("n_unique").over(W.partitionBy(*keys)) / 2
-    rows = curves.join(spread, [*keys, "point"]).withColumn("_k", points).withColumn("_half", half)
-    rows = rows.withColumn("_w", 1 / (1 + F.pow(F.col("_sd"), 2 * F.log10(F.col("_k"))))).filter("_half > 0 and n_samples > 0")
-    step = (high / low) ** (1 / (steps - 1))
-
-    def best(rows: DataFrame) -> DataFrame:
-        g = 1 - F.exp(-F.col("lam") * F.col("x"))
-        y, w = F.col("n_unique"), F.col("_w")
-        sums = rows.groupBy(*keys, "replicate", "lam").agg(F.sum(w * y * g).alias("_yg"), F.sum(w * g * g).alias("_gg"), F.sum(w * y * y).alias("_yy"), F.max("_half").alias("_h"))
-        m = F.greatest(F.col("_h"), F.coalesce(F.try_divide(F.col("_yg"), F.col("_gg")), F.col("_h")))
-        fits = sums.withColumn("m", m).withColumn("sse", F.col("_yy") - 2 * F.col("m") * F.col("_yg") + F.col("m") * F.col("m") * F.col("_gg"))
-        one = fits.groupBy(*keys, "replicate").agg(F.min_by(F.struct("m", "lam", "sse"), F.struct(F.round("sse", 6), "lam")).alias("f"))
-        return one.select(*keys, "replicate", "f.*")
-
-    def around(k):
-        return F.lit(low) * F.pow(F.lit(step), k)
-
-    coarse = best(rows.withColumn("lam", F.explode(F.transform(F.sequence(F.lit(0), F.lit(steps - 1)), around))))
-    fine = F.explode(F.transform(F.sequence(F.lit(-20), F.lit(20)), lambda k: F.col("_lam") * F.pow(F.lit(step), k / 20)))
-    return best(rows.join(coarse.select(*keys, "replicate", F.col("lam").alias("_lam")), [*keys, "replicate"]).withColumn("lam", fine))
+    tops = curves.groupBy(*keys).agg((F.max("n_unique") / 2).alias("_half"))
+    point = F.struct(F.col("x").cast("double").alias("x"), F.col("n_unique").cast("double").alias("y"), F.col("_sd").alias("sd"))
+    rows = curves.join(spread, [*keys, "point"]).filter("n_samples > 0").groupBy(*keys, "replicate").agg(F.sort_array(F.collect_list(point)).alias("_p"))
+    weigh = lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y"), (1 / (1 + F.pow(p["sd"], 2 * F.log10(F.size("_p"))))).alias("w"))
+    rows = rows.join(tops, keys).filter("_half > 0").withColumn("_p", F.transform("_p", weigh))
+    zero = F.struct(*[F.lit(0.0).alias(n) for n in ("yg", "gg", "yy", "gd", "dd", "yd")])
+
+    def sums(theta: Column) -> Column:
+        """Weighted sums of the curve g of m = 1, its derivative d by log lam, and y."""
+
+        def add(acc: Column, p: Column) -> Column:
+            def with_gd(v: Column) -> Column:
+                g, d, y, w = v["g"], v["d"], p["y"], p["w"]
+                parts = {"yg": y * g, "gg": g * g, "yy": y * y, "gd": g * d, "dd": d * d, "yd": y * d}
+                return F.struct(*[(acc[n] + w * x).alias(n) for n, x in parts.items()])
+
+            z = F.exp(theta) * p["x"]
+            return _let(F.struct((1 - F.exp(-z)).alias("g"), (z * F.exp(-z)).alias("d")), with_gd)
+
+        return F.aggregate("_p", zero, add)
+
+    def at(theta: Column) -> Column:
+        """theta with m, the squared error, and the step from there."""
+
+        def solved(s: Column) -> Column:
+            free = F.coalesce(F.try_divide(s["yg"], s["gg"]), F.lit(0.0))
+
+            def stepped(m: Column) -> Column:
+                slope = m * (s["yd"] - m * s["gd"])
+                own = m * m * s["dd"]
+                bend = F.when(m > F.col("_half"), own - F.coalesce(F.try_divide(F.pow(m * s["gd"], F.lit(2.0)), s["gg"]), F.lit(0.0))).otherwise(own)
+                move = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.coalesce(F.try_divide(slope, bend), F.lit(0.0))))
+                return F.struct((s["yy"] - 2 * m * s["yg"] + m * m * s["gg"]).alias("sse"), theta.alias("theta"), m.alias("m"), move.alias("move"))
+
+            return _let(F.greatest(F.col("_half"), free), stepped)
+
+        return _let(sums(theta), solved)
+
+    def step(acc: Column, _: Column) -> Column:
+        tried = F.greatest(F.lit(log(low)), F.least(F.lit(log(high)), acc["at"]["theta"] + acc["size"] * acc["at"]["move"]))
+        better = lambda new: F.when(new["sse"] < acc["at"]["sse"], F.struct(new.alias("at"), F.lit(1.0).alias("size"))).otherwise(F.struct(acc["at"].alias("at"), (acc["size"] / 4).alias("size")))
+        return _let(_let(tried, at), better)
+
+    ratio = (log(high) - log(low)) / (starts - 1)
+    first = F.array_min(F.transform(F.array(*[F.lit(log(low) + k * ratio) for k in range(starts)]), at))
+    fitted = rows.withColumn("_first", F.struct(first.alias("at"), F.lit(1.0).alias("size")))
+    fitted = fitted.withColumn("_f", F.aggregate(F.sequence(F.lit(1), F.lit(steps)), F.col("_first"), step, lambda acc: acc["at"]))
+    return fitted.select(*keys, "replicate", F.col("_f.m").alias("m"), F.exp("_f.theta").alias("lam"), F.col("_f.sse").alias("sse"))
 
 
 def discovery_index(fits: DataFrame, sizes: DataFrame, keys: list[str]) -> DataFrame:

@@ -998,21 +998,29 @@ def _(t):
     return booted(t).select("ttype", "replicate", "point", "n_unique")
 
 
+def refined_sql(k: int) -> str:
+    """From the best lam of step k the best of 41 around it, to the neighbours at the step's distance; the bounds hold."""
+    width = f"{18.420680743952367 / 159 / 20 ** (k - 1)!r} * i / cast(20 as double)"
+    return f"""c{k} as materialized (select wr.ttype, wr.replicate, lam, sum(w * y * g) as yg, sum(w * g * g) as gg, sum(w * y * y) as yy, max(h) as h from (select wr.*, lam, 1 - exp(-lam * x) as g
+    from wr join (select ttype, replicate, least(10, greatest(1e-7, l0 * exp({width}))) as lam from b{k}, (select unnest(range(-20, 21)) as i)) f on f.ttype = wr.ttype and f.replicate = wr.replicate) wr group by 1, 2, 3),
+  b{k + 1} as materialized (select ttype, replicate, lam as l0, m from (select *, row_number() over (partition by ttype, replicate order by yy - 2 * m * yg + m * m * gg, lam) as rn from (select *, greatest(h, coalesce(yg / nullif(gg, 0), h)) as m from c{k})) where rn = 1)"""
+
+
 FIT_SQL = f"""{BOOT_SQL}, sp as (select ttype, point, stddev_pop(n_unique) as sd from boot group by 1, 2), hf as (select ttype, max(n_unique) / cast(2 as double) as h from boot group by 1),
   wr as (select b.ttype, replicate, x, cast(n_unique as double) as y, 1 / (1 + pow(sd, 2 * log10(20))) as w, h from boot b join sp on sp.ttype = b.ttype and sp.point = b.point join hf on hf.ttype = b.ttype where h > 0),
   g1 as (select ttype, replicate, lam, sum(w * y * g) as yg, sum(w * g * g) as gg, sum(w * y * y) as yy, max(h) as h from (select *, 1 - exp(-lam * x) as g from wr, (select 1e-7 * pow(pow(1e8, 1 / cast(159 as double)), k) as lam from (select unnest(range(0, 160)) as k))) group by 1, 2, 3),
-  b1 as (select ttype, replicate, lam as l0 from (select *, row_number() over (partition by ttype, replicate order by round(yy - 2 * m * yg + m * m * gg, 6), lam) as rn from (select *, greatest(h, coalesce(yg / nullif(gg, 0), h)) as m from g1)) where rn = 1),
-  g2 as (select ttype, replicate, lam, sum(w * y * g) as yg, sum(w * g * g) as gg, sum(w * y * y) as yy, max(h) as h from (select wr.*, lam, 1 - exp(-lam * x) as g from wr join (select ttype, replicate, l0 * pow(pow(1e8, 1 / cast(159 as double)), k / cast(20 as double)) as lam from (select *, unnest(range(-20, 21)) as k from b1)) f on f.ttype = wr.ttype and f.replicate = wr.replicate) group by 1, 2, 3),
-  fit as (select * from (select *, row_number() over (partition by ttype, replicate order by round(yy - 2 * m * yg + m * m * gg, 6), lam) as rn from (select *, greatest(h, coalesce(yg / nullif(gg, 0), h)) as m from g2)) where rn = 1)"""
+  b1 as (select ttype, replicate, lam as l0 from (select *, row_number() over (partition by ttype, replicate order by yy - 2 * m * yg + m * m * gg, lam) as rn from (select *, greatest(h, coalesce(yg / nullif(gg, 0), h)) as m from g1)) where rn = 1),
+  {", ".join(refined_sql(k) for k in range(1, 6))},
+  fit as (select ttype, replicate, l0 as lam, m from b6)"""
 
 
 def fits(t) -> DataFrame:
     return discovery.fit_saturation_curve(booted(t), ["ttype"])
 
 
-@query("fit_saturation_curve", f"with {FIT_SQL} select ttype, replicate, round(m, 2) as m from fit")
+@query("fit_saturation_curve", f"with {FIT_SQL} select ttype, replicate, round(ln(m), 3) as log_m, round(ln(lam), 3) as log_lam from fit")
 def _(t):
-    return fits(t).select("ttype", "replicate", F.round("m", 2).alias("m"))
+    return fits(t).select("ttype", "replicate", F.round(F.ln("m"), 3).alias("log_m"), F.round(F.ln("lam"), 3).alias("log_lam"))
 
 
 @query("discovery_index", f"with {FIT_SQL}, v as (select f.ttype, n_samples, least(1.0, 1 - exp(-lam * n_samples)) as d from fit f join sizes s on s.ttype = f.ttype) select ttype, n_samples, round(quantile_cont(d, 0.5), 4) as discovery_index, round(quantile_cont(d, 0.75), 4) as discovery_high, round(quantile_cont(d, 0.25), 4) as discovery_low from v group by 1, 2")
@@ -1031,10 +1039,10 @@ def _(t):
     return discovery.discovery_table(index, boot, muts, ["ttype"]).select("ttype", "n_samples", F.round("discovery_index", 4).alias("discovery_index"), "n_muts", "n_unique_muts")
 
 
-@query("fitted_curve_points", f"with {FIT_SQL} select ttype, cast(point as int) as point, round(avg(m * (1 - exp(-lam * (point * n_samples / cast(49 as double))))), 3) as y from (select f.*, n_samples, unnest(range(0, 50)) as point from fit f join sizes s on s.ttype = f.ttype) group by 1, 2")
+@query("fitted_curve_points", f"with {FIT_SQL} select ttype, cast(point as int) as point, round(avg(m * (1 - exp(-lam * (point * n_samples / cast(49 as double))))), 2) as y from (select f.*, n_samples, unnest(range(0, 50)) as point from fit f join sizes s on s.ttype = f.ttype) group by 1, 2")
 def _(t):
     sizes = t["fx_samples"].select("ttype", "sample_id").distinct().groupBy("ttype").agg(F.count("*").cast("int").alias("n_samples"))
-    return discovery.fitted_curve_points(fits(t), sizes, ["ttype"]).select("ttype", "point", F.round("y", 3).alias("y"))
+    return discovery.fitted_curve_points(fits(t), sizes, ["ttype"]).select("ttype", "point", F.round("y", 2).alias("y"))
 
 
 # ---- models ---------------------------------------------------------------------------------------------------------

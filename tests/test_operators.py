@@ -281,6 +281,32 @@ def test_downsampling_equals_explicit_subsets(spark):
             assert got[rep, point] == (pytest.approx(x), len({r[2] for r in rows if r[1] in kept}))
 
 
+def test_saturation_fits_are_the_least_squares(spark):
+    """Squared errors are at most those of a fine grid, for saturated, linear, flat and noisy curves."""
+    rng = np.random.default_rng(5)
+    rows, x = [], [k * 40 / 19 for k in range(20)]
+    shapes = {"sat": lambda v: 300 * (1 - np.exp(-0.1 * v)), "steep": lambda v: 50 * (1 - np.exp(-3 * v)), "line": lambda v: 4 * v, "flat": lambda v: 7 + 0 * v, "noise": lambda v: rng.integers(0, 30)}
+    for name, f in shapes.items():
+        for r in range(6):
+            rows += [(name, r, k, v, 40, int(max(0, f(v) + rng.normal(scale=2 if name in ("sat", "line") else 0)))) for k, v in enumerate(x)]
+    rows += [("none", 0, k, v, 40, 0) for k, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "g string, replicate int, point int, x double, n_samples int, n_unique int")
+    got = {(r.g, r.replicate): r for r in discovery.fit_saturation_curve(df, ["g"]).collect()}
+    assert set(got) == {(g, r) for g in shapes for r in range(6)}
+    lam = np.exp(np.linspace(np.log(1e-7), np.log(10), 40_000))
+    for g in shapes:
+        own = np.array([[y for n, k, p, *_, y in rows if n == g and k == r] for r in range(6)], float)
+        w = 1 / (1 + own.std(0) ** (2 * np.log10(20)))
+        curve = 1 - np.exp(-lam[:, None] * np.array(x))
+        for r in range(6):
+            yg, gg = curve @ (w * own[r]), curve**2 @ w
+            m = np.maximum(own.max() / 2, yg / gg)
+            best = ((m[:, None] * curve - own[r]) ** 2 @ w).min()
+            fit = got[g, r]
+            mine = (w * (fit.m * (1 - np.exp(-fit.lam * np.array(x))) - own[r]) ** 2).sum()
+            assert mine <= best + 1e-6 * max(1, best) and fit.sse == pytest.approx(mine, abs=1e-6) and 0.999e-7 <= fit.lam <= 10.000001
+
+
 def test_booster_learns_and_attribution_adds_up():
     rng = np.random.default_rng(1)
     x = rng.normal(size=(300, 4))
