@@ -104,28 +104,31 @@ def histograms(bins: np.ndarray, node: np.ndarray, g: np.ndarray, h: np.ndarray,
     return out
 
 
-def best_split(hist: np.ndarray, g: float, h: float, n_cuts: np.ndarray) -> tuple[int, int, float, float] | None:
-    """(feature, cut, g and h to its left) of the largest gain, the first of equal ones; of sums (2, feature, bin) of one node."""
-    gl, hl = np.cumsum(hist[:, :, :-1], 2) / SCALE
-    fits = (np.arange(gl.shape[1]) < n_cuts[:, None]) & (hl >= MIN_CHILD) & (h / SCALE - hl >= MIN_CHILD)
-    if not fits.any():
-        return None
-    gs, hs = g / SCALE, h / SCALE
-    gain = np.where(fits, gl**2 / (hl + REG) + (gs - gl) ** 2 / (hs - hl + REG) - gs**2 / (hs + REG), -1.0)
-    f, cut = divmod(int(gain.argmax()), gain.shape[1])
-    return (f, cut, float(gl[f, cut] * SCALE), float(hl[f, cut] * SCALE)) if gain[f, cut] > LEAST_GAIN else None
+def best_splits(hist: np.ndarray, g: np.ndarray, h: np.ndarray, n_cuts: np.ndarray) -> list[tuple[int, int, float, float] | None]:
+    """(feature, cut, g and h to its left) of each node's largest gain, the first of equal ones; of sums (2, node, feature, bin)."""
+    width = int(n_cuts.max(initial=0))
+    if not width or not len(g):
+        return [None] * len(g)
+    gl, hl = np.cumsum(hist[..., :width], 3) / SCALE
+    gs, hs = (v[:, None, None] / SCALE for v in (g, h))
+    fits = (np.arange(width) < n_cuts[:, None]) & (hl >= MIN_CHILD) & (hs - hl >= MIN_CHILD)
+    gain = np.where(fits, gl**2 / (hl + REG) + (gs - gl) ** 2 / (hs - hl + REG) - gs**2 / (hs + REG), -1.0).reshape(len(g), -1)
+    out: list[tuple[int, int, float, float] | None] = []
+    for k, best in enumerate(gain.argmax(1).tolist()):
+        f, cut = divmod(best, width)
+        out.append((f, cut, float(gl[k, f, cut] * SCALE), float(hl[k, f, cut] * SCALE)) if gain[k, best] > LEAST_GAIN else None)
+    return out
 
 
 def grown_level(tree: np.ndarray, first: int, hist: np.ndarray, n_cuts: np.ndarray) -> np.ndarray:
     """``tree`` with the splits of its nodes from ``first`` on, whose histograms are (2, node, feature, bin)."""
     fresh, many = [], len(tree)
     tree = tree.copy()
-    for k in range(first, many):
-        g, h = tree[k, GRADIENT], tree[k, CURVATURE]
-        if found := best_split(hist[:, k - first], g, h, n_cuts):
+    for k, found in enumerate(best_splits(hist, tree[first:, GRADIENT], tree[first:, CURVATURE], n_cuts), first):
+        if found:
             f, cut, gl, hl = found
             tree[k, :4] = f, cut, many + len(fresh), many + len(fresh) + 1
-            fresh += [[-1, 0, -1, -1, gl, hl], [-1, 0, -1, -1, g - gl, h - hl]]
+            fresh += [[-1, 0, -1, -1, gl, hl], [-1, 0, -1, -1, tree[k, GRADIENT] - gl, tree[k, CURVATURE] - hl]]
     return np.concatenate((tree, np.array(fresh).reshape(-1, 6)))
 
 
