@@ -2,10 +2,10 @@
 
 From each rule's regular expression a Boolean query over trigrams of the lower-case text is derived:
 a disjunction of sets of trigrams, one of which every match must hold completely. The trigrams of
-all rules are the index's vocabulary. ``build_index`` writes a posting (trigram, row) for each of them that a text
-holds, in one folder for each trigram. A set's postings are intersected by counting for each row the set's
+all rules are the index's vocabulary. One pass over the texts finds which of them a text holds, and ``build_index`` writes a posting (trigram,
+row) for each, in one folder for each trigram. A set's postings are intersected by counting for each row the set's
 trigrams it has; rows that satisfy a set of a rule are that rule's candidates, and only they are verified with
-the expression. A rule without mandatory trigrams (a hexadecimal run) scans all.
+the expression, in a second pass. A rule without mandatory trigrams (a hexadecimal run) scans all, in the first pass.
 """
 
 from __future__ import annotations
@@ -17,11 +17,12 @@ from re import _parser as parser
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import narrow, staged
 
 ANY = [frozenset()]
 MOST_STRINGS, MOST_SETS = 64, 64
 KEY = ["key", "key2"]
+CANDIDATES = 500_000
 
 
 @dataclass(frozen=True)
@@ -123,13 +124,13 @@ def vocabulary(rules=RULES) -> list[str]:
     return sorted({t for r in rules for s in trigram_query(r.pattern) for t in s})
 
 
-def build_index(rows: DataFrame, words: list[str]) -> DataFrame:
-    """Posting lists (word: place in ``words``, key) of the trigrams of ``words`` that texts hold; written, a folder a trigram."""
-    # Each step is a projection of its own, so that a text is put in lower case once and not for each trigram.
-    low = rows.select(*KEY, F.lower("t").alias("low"))
-    flags = low.select(*KEY, F.array(*[F.contains("low", F.lit(w)) for w in words]).alias("flags"))
-    held = F.array_compact(F.transform("flags", lambda x, k: F.when(x, k)))
-    return staged(flags.select(*KEY, F.explode(held).alias("word")).distinct(), "postings", ["word"])
+def build_index(entries: DataFrame) -> DataFrame:
+    """Posting lists (word, key) of ``entries``, whose ``held`` are the places of a text's trigrams in the vocabulary; written, a folder a trigram.
+
+    Lists are dealt over tasks by their length before they are written, so that a folder has few files and a long list several.
+    """
+    postings = entries.select(*KEY, F.explode("held").alias("word")).distinct()
+    return staged(postings.hint("rebalance", "word"), "postings", ["word"])
 
 
 def candidates(index: DataFrame, rules: tuple[Rule, ...], words: list[str]) -> DataFrame:
@@ -188,12 +189,18 @@ def secret_scan(docs: DataFrame, rules=RULES, id_col: str = "doc_id", text_col:
     # 128 bits of hash name a row; rows repeated with id and text share a name, and so their spans.
     rows = rows.select("id", "t", F.xxhash64("id", "t").alias("key"), F.xxhash64("t", F.lit("second"), "id").alias("key2"))
     scanned = [F.when(F.col("t").rlike(r.java), rule_spans(F.col("t"), r, k)).otherwise(NOTHING()) for k, r in enumerate(rules) if k not in indexed]
-    scans = rows.select("id", *KEY, (F.concat(*scanned) if scanned else NOTHING()).alias("scanned"))
-    named = staged(candidates(build_index(rows, words), rules, words), "candidates")
+    # One pass reads the texts for the trigrams that they hold and for the rules that scan all. Each step is a projection of its own, so that a
+    # text is put in lower case once and not for each trigram.
+    low = rows.select("id", *KEY, (F.concat(*scanned) if scanned else NOTHING()).alias("scanned"), F.lower("t").alias("low"))
+    flags = low.select("id", *KEY, "scanned", F.array(*[F.contains("low", F.lit(w)) for w in words]).alias("flags"))
+    held = F.array_compact(F.transform("flags", lambda x, k: F.when(x, k)))
+    entries = staged(flags.select("id", *KEY, "scanned", held.alias("held")), "entries")
+    named = staged(candidates(build_index(entries), rules, words), "candidates")
     verified = [F.when(F.col("rules").bitwiseAND(F.lit(1 << k).cast("long")) != 0, rule_spans(F.col("t"), rules[k], k)).otherwise(NOTHING()) for k in indexed]
-    # Only candidates' texts are asked for: at scale Spark filters the texts by their names before it moves any.
-    found = named.join(rows.select(*KEY, "t"), KEY).select(*KEY, F.concat(NOTHING(), *verified).alias("verified")).filter(F.size("verified") > 0)
+    # The second pass asks for candidates' texts alone. Their names go to the texts where they are few enough, else names and texts meet by key.
+    found = narrow(named, CANDIDATES).join(rows.select(*KEY, "t"), KEY).select(*KEY, F.concat(NOTHING(), *verified).alias("verified")).filter(F.size("verified") > 0)
     found = found.dropDuplicates(KEY)
+    scans = entries.select("id", *KEY, "scanned")
     spans = scans.join(found, KEY, "left").select("id", F.array_sort(F.concat("scanned", F.coalesce("verified", NOTHING()))).alias("s"))
     kinds = F.array(*[F.lit(r.kind) for r in rules])
     base = [k for k, r in enumerate(rules) if r.base]
