@@ -1,7 +1,7 @@
 """Exact top-k inner-product search by tiled matrix products.
 
 Candidate vectors stay where they are. Query vectors go to them in blocks of at most ``QUERY_BYTES``, which are broadcast, one
-block in a round. A tile is a batch of candidates with a part of the block: its scores are one matrix
+block in a round, and forgotten after it. A tile is a batch of candidates with a part of the block: its scores are one matrix
 product, from which each query's best k are selected at once and merged with those of the task's tiles before.
 The per-query lists of the tasks then merge in a tree, ``fan`` lists at
 a time, so no step holds more than ``fan * k`` entries of a query. Only these lists are shuffled.
@@ -104,8 +104,11 @@ def exact_topk(vectors: DataFrame, k: int = 5, every: int = 50, scale: float = 2
                 yield pa.RecordBatch.from_arrays([pa.array(x.rows[some]), pa.array(x.ids[some]), pa.array([task] * len(some), pa.int64()), top], names=["row", "query_id", "list", "top"])
 
         found = bounded_batches(rows.select("id", "v", "row", "dim")).mapInArrow(tiles, "row long, query_id long, list long, top array<struct<s:long,c:long>>")
-        rounds.append(staged(found, "lists") if blocks > 1 else found)
-    merged, width = reduce(DataFrame.unionByName, rounds), rows.rdd.getNumPartitions()
+        # Once a round's lists are written nothing asks for its block again: the driver and the executors let it go.
+        rounds.append(staged(found, "lists"))
+        shared.destroy()
+    merged = reduce(DataFrame.unionByName, rounds)
+    width = (merged.agg(F.max("list")).first()[0] or 0) + 1
     while True:
         width = -(-width // fan)
         merged = merged.withColumn("list", F.expr(f"list div {fan}")).groupBy("row", "query_id", "list").agg(F.slice(F.sort_array(F.flatten(F.collect_list("top"))), 1, k).alias("top"))
