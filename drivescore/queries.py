@@ -1059,7 +1059,7 @@ def model_rows(t) -> DataFrame:
 
 
 def trained(t) -> tuple[DataFrame, DataFrame]:
-    long = split_rows(t)
+    long = src.written(split_rows(t), "split_rows")
     path = scratch(t.spark, "nodes")
     model.train_ensemble(long, ["ttype", "gene", "split"], MODEL_FEATURES, "id", **QUICK).write.parquet(path)
     return long, t.spark.read.parquet(path)
