@@ -360,6 +360,10 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 
 
 def score_with(docs: DataFrame, tagger: Tagger, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, held_out, score, predicted and spans of every row of ``docs`` by a trained tagger; null and empty texts score as those without spans.
+
+    Repeated rows each give a row, an empty table none; other columns are ignored.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(tagger)
     a, b, c = (float(x) for x in tagger.calibration)
     z = F.lit(a) + F.lit(b) * F.log1p("total") + F.lit(c) * F.col("most")
