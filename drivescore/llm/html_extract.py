@@ -8,8 +8,13 @@ by its odds. One linear scan finds the contiguous region of largest sum, and the
 the text begins and ends: what lies outside stays out whatever its own score. Inside the region boilerplate
 (an advert between two paragraphs) is left out.
 
-Names of boilerplate enter as features: a small prior where the labelled pages say nothing. A form, or a
-container with such a name, that holds marked content or is nearly the whole page is a wrapper and weighs nothing.
+Names of boilerplate enter as features: a small prior where the labelled pages say nothing. They are read by
+their last part ("cookie-banner", "user-comments"); words that are as often a topic ("market-share") count alone or
+with a part that names a place or the site. A form, or a container with such a name, that holds marked content or is
+nearly the whole page is a wrapper and weighs nothing, but a list of comments, a menu or an advert never is one.
+
+A menu or an aside between two paragraphs of one container ("on this page") is set into the text and parts it no
+more than other boilerplate does. A ``header`` that holds a heading before text of the same container is a title.
 
 Reading a page takes linear time, broken markup included. The weights are fitted on about ``SAMPLE_PAGES``
 pages chosen by a hash; every page is then read whole.
@@ -33,6 +38,7 @@ SAMPLE_PAGES = 4000
 LEAST_PAGES = 5
 LIMIT = 4.0  # bound of a log-odds weight
 WRAPPER = 0.8  # share of a page's words from which on a form or named container is its wrapper
+SENTENCE = 5  # words a link from which on a paragraph of links is text
 
 TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>\"']*)>")
 NAME = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
@@ -48,6 +54,10 @@ CONTENT = {"article", "main"}
 CONTAINERS = {"article", "main", "section", "div", "nav", "header", "footer", "aside", "ul", "ol", "dl", "table", "body", "figure", "blockquote", "details", "address", "center", *FORMS}
 BLOCKS = CONTAINERS - {"label"} | {"p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "dt", "dd", "tr", "caption", "thead", "tbody", "tfoot", "pre", "hr", "figcaption", "hgroup", "summary", "legend", "search"}
 SPACES = {"br", "td", "th", "wbr"}
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
+PARTING = {"nav", "header", "footer", "aside"}
+#: Containers that are part of the text around them.
+FLOWING = {"ul", "ol", "dl", "table", "figure", "blockquote", "details", "address", "center"}
 # Priors: log-odds of containers with such a name or role, where labelled pages tell nothing else.
 BAD_NAMES = {
     "nav", "navbar", "navigation", "menu", "breadcrumb", "breadcrumbs", "masthead", "footer", "sidebar", "aside", "notice", "cookie", "cookies", "consent", "gdpr", "banner", "popup",
@@ -55,10 +65,15 @@ BAD_NAMES = {
     "comments", "commentlist", "disqus", "respond", "replies", "share", "sharing", "social", "related", "recommended", "widget", "toolbar", "pagination", "pager", "alert", "disclaimer", "topbar",
     "copyright", "paywall", "teaser",
 }
+#: Those of them that are topics as well: they count alone, or where every other part is a place or the site.
+TOPICS = {"aside", "notice", "menu", "share", "sharing", "social", "related", "recommended", "alert", "promotion", "comment", "respond", "replies", "consent", "login", "disclaimer", "copyright", "sponsor", "banner", "ad", "ads", "overlay", "widget"}
+AROUND = {"site", "page", "main", "global", "primary", "secondary", "user", "reader", "post", "article", "entry", "header", "mobile", "sticky", "button", "js"}
+#: Names of what never wraps the main text.
+APART = {"nav", "navbar", "navigation", "breadcrumb", "breadcrumbs", "footer", "cookie", "cookies", "comment", "comments", "commentlist", "disqus", "respond", "replies", "ad", "ads", "advert", "adverts", "advertisement", "related", "recommended", "pagination", "pager"}
 HEAD_NAMES = {"header", "topbar", "masthead"}
 BAD_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "alertdialog", "menu", "menubar", "form", "note", "status", "toolbar"}
 #: Endings of class names that say where a box stands, not what it is ("ad-slot", "sidebar-left").
-PLACES = {"left", "right", "top", "bottom", "wrap", "wrapper", "container", "box", "bar", "inner", "outer", "block", "area", "slot", "list", "item", "section", "panel", "widget"}
+PLACES = {"left", "right", "top", "bottom", "wrap", "wrapper", "container", "box", "bar", "inner", "outer", "block", "area", "slot", "list", "item", "section", "panel", "widget", "body", "content", "text", "group", "links", "buttons", "icons"}
 PRIOR = -2.0
 
 
@@ -67,7 +82,10 @@ def head_word(name: str) -> str:
     parts = [p.lower() for p in FRAGMENT.findall(name)]
     while len(parts) > 1 and parts[-1] in PLACES:
         parts.pop()
-    return parts[-1] if parts else ""
+    head = parts.pop() if parts else ""
+    if head in TOPICS and not all(p in PLACES or p in AROUND or p in BAD_NAMES for p in parts):
+        return ""
+    return head
 
 
 @dataclass
@@ -85,7 +103,7 @@ class Weights:
     def odds(self, c: Container) -> float | None:
         """The least log-odds of the container's features; None if it has none."""
         found = [self.names[f] for f in features(c) if f in self.names]
-        if c.tag != "body" and (c.tag in TELLING and not (c.tag == "header" and c.inside) or any(prior(n, c.inside) for n in c.names)):
+        if c.tag != "body" and (c.tells() or any(prior(n, c) for n in c.names)):
             found.append(PRIOR)
         return min(found, default=None)
 
@@ -93,30 +111,56 @@ class Weights:
 class Container:
     """An element of the page: the words below it and what they weigh."""
 
-    __slots__ = ("above", "barred", "content", "holds", "inside", "names", "own", "tag", "weight", "words")
+    __slots__ = ("above", "barred", "begin", "content", "first", "flow", "heading", "holds", "inside", "last", "menu", "names", "own", "tag", "weight", "words")
 
     def __init__(self, above: Container | None, tag: str, names: list[str]):
         self.above, self.tag, self.names = above, tag, names
         self.words, self.own, self.weight = 0, None, None
         self.content = self.inside = self.holds = False
+        #: The container whose text this one's own text belongs to, the places of that text, and of the opening tag.
+        self.flow = above.flow if above is not None and tag in FLOWING else self
+        self.first = self.last = self.begin = None
+        self.heading = self.menu = False
         #: Lies in an element that is never a wrapper of content.
         self.barred = above is not None and (above.barred or above.tag in ("nav", "aside", "footer"))
 
     def marks(self) -> bool:
         return self.tag in CONTENT or any(n[1:] in CONTENT for n in self.names if n[0] == "@")
 
+    def title(self) -> bool:
+        """A header with a heading and no menu, before text of the container that it lies in; not the page's own header."""
+        up = self.above
+        return self.tag == "header" and self.heading and not self.menu and up.tag not in ("", "body") and (up.flow.last or 0) > self.begin and not any("site" in n.lower() for n in self.names)
+
+    def tells(self) -> bool:
+        return self.tag in TELLING and not (self.tag == "header" and (self.inside or self.title()))
+
+    def within(self) -> bool:
+        """Lies between two texts of one container, or in a quotation or figure."""
+        up = self.above
+        return up.tag in FLOWING or self.tag != "footer" and up.flow.first is not None and up.flow.first < self.begin < up.flow.last
+
+    def apart(self) -> bool:
+        return self.tag in ("nav", "aside", "footer") or any(n[0] != "@" and (n[1:].lower() in APART or head_word(n[1:]) in APART) for n in self.names)
+
 
 def features(c: Container) -> list[str]:
     """Whole class and id names and roles, and the tag if it tells; generic containers have no feature."""
-    return [n.lower() for n in c.names if c.tag != "body"] + ([f"<{c.tag}>"] if c.tag in TELLING and not (c.tag == "header" and c.inside) else [])
+    return [n.lower() for n in c.names if c.tag != "body"] + ([f"<{c.tag}>"] if c.tells() else [])
 
 
-def prior(name: str, inside: bool) -> bool:
-    """Whether a class, id or role names boilerplate; within marked content only as a whole ("related-work" is a section)."""
+def prior(name: str, c: Container) -> bool:
+    """Whether a class, id or role of a container names boilerplate.
+
+    Within marked content headers are titles, and the id of a section names its topic unless it can name nothing else.
+    """
     kind, bare = name[0], name[1:].lower()
     if kind == "@":
         return bare in BAD_ROLES
-    return bare in BAD_NAMES or not inside and (bare in HEAD_NAMES or (word := head_word(name[1:])) in BAD_NAMES or word in HEAD_NAMES)
+    word = head_word(name[1:])
+    if kind == "#" and c.inside and c.tag == "section" and (bare in TOPICS or word in TOPICS):
+        return False
+    return bare in BAD_NAMES or word in BAD_NAMES or not (c.inside or c.title()) and (bare in HEAD_NAMES or word in HEAD_NAMES)
 
 
 def tag_end(page: str, at: int, spent: dict[str, bool]) -> int:
@@ -235,11 +279,22 @@ def events(page: str) -> tuple[list[tuple[str, str, Container]], list[Container]
 
 def weigh(seq: list[tuple[str, str, Container]], containers: list[Container], weights: Weights) -> bool:
     """Set each container's log-odds and whether it is or lies in marked content; True if the page marks any."""
-    for kind, value, c in seq:
+    for k, (kind, value, c) in enumerate(seq):
         if kind == "text":
-            c.words += len(value.split())
+            if n := len(value.split()):
+                c.words += n
+                c.flow.last = k
+                if c.flow.first is None:
+                    c.flow.first = k
+        elif kind == "start":
+            if c.begin is None and value == c.tag:
+                c.begin = k
+            if value in HEADINGS:
+                c.heading = True
     for c in reversed(containers[1:]):
         c.above.words += c.words
+        c.above.heading |= c.heading
+        c.above.menu |= c.menu or c.tag in ("nav", "form", "menu")
 
     def settle(wrappers: set[Container]) -> bool:
         found = False
@@ -254,7 +309,7 @@ def weigh(seq: list[tuple[str, str, Container]], containers: list[Container], we
         return found
 
     def may_wrap(c: Container) -> bool:
-        return c.own is not None and c.own < 0 and c.tag not in ("nav", "aside", "footer")
+        return c.own is not None and c.own < 0 and not c.apart()
 
     found = settle(set())
     wrappers = {c for c in containers[1:] if c.tag in FORMS and may_wrap(c) and c.words >= 0.5 * containers[0].words}
@@ -268,15 +323,50 @@ def weigh(seq: list[tuple[str, str, Container]], containers: list[Container], we
     return settle(wrappers) if wrappers else found
 
 
+def link_scores(seq: list[tuple[str, str, Container]], weights: Weights) -> list[float]:
+    """Score of a word in a link by the block of each entry: the denser its links, the nearer to the score of a menu's.
+
+    A paragraph whose links run on for ``SENTENCE`` words or more is text.
+    """
+    out: list[float] = []
+    link = paragraph = False
+    words = inner = links = 0
+
+    def close() -> None:
+        part = inner / words if words else 0.0
+        w = weights.word if paragraph and inner >= SENTENCE * links else part * weights.link + (1 - part) * weights.word
+        out.extend([w] * (k - len(out)))
+
+    k = 0
+    for k, (kind, value, c) in enumerate(seq):
+        if kind == "text":
+            n = len(value.split())
+            words += n
+            if link:
+                inner += n
+        elif value == "a":
+            link = kind == "start"
+            links += link
+        elif value in BLOCKS:
+            close()
+            paragraph = value == "p" and kind == "start"
+            words = inner = 0
+            links = int(link)
+    k = len(seq)
+    close()
+    return out
+
+
 def scores(seq: list[tuple[str, str, Container]], marked: bool, weights: Weights) -> list[float]:
     """Score of each entry of the sequence: words positive, tags negative.
 
     Words of boilerplate weigh nothing, so that an advert parts no text by its length; the tag that opens it
-    costs as much as ``-own / 2`` words, and ``5 LIMIT`` if it parts the page (nav, header, footer, aside). On a page
+    costs as much as ``-own / 2`` words, and ``5 LIMIT`` if it parts the page (nav, header, footer, aside not set into a text). On a page
     that marks its content, words elsewhere are known not to be content: they score negative.
     """
     out, link = [], False
-    for kind, value, c in seq:
+    linked = link_scores(seq, weights)
+    for k, (kind, value, c) in enumerate(seq):
         bad = c.weight is not None and c.weight < 0
         if kind == "text":
             if bad:
@@ -284,7 +374,7 @@ def scores(seq: list[tuple[str, str, Container]], marked: bool, weights: Weights
             elif marked and not c.inside and c.weight is None:
                 w = -weights.word
             else:
-                w = weights.link if link and not c.inside else weights.word
+                w = linked[k] if link and not c.inside else weights.word
             out.append(w * len(value.split()))
             continue
         if value == "a":
@@ -292,7 +382,7 @@ def scores(seq: list[tuple[str, str, Container]], marked: bool, weights: Weights
         if not bad:
             out.append(weights.tag(value))
         elif kind == "start" and c.tag == value and not c.inside and (c.above.weight is None or c.above.weight >= 0):
-            out.append(-5 * LIMIT if value in ("nav", "header", "footer", "aside") else c.own / 2)
+            out.append(-5 * LIMIT if value in PARTING and not c.within() else c.own / 2)
         else:
             out.append(0.0)
     return out
