@@ -2,8 +2,8 @@
 
 The field has two states and tags each word as plain or toxic. A word's features are the log-odds, in a lexicon of the
 sample, of its form and of its prefixes of 4 to 6 letters; the field also has a bias and transitions. Labels are given for
-documents, not for words, so the words' states are hidden: each toxic word is noticed with probability ``NOTICE``, a document
-has label 1 if one was, and the weights maximise the likelihood of the documents' labels (``fit_chain``). No threshold
+documents, not for words, so the words' states are hidden: each toxic word is noticed with a probability (at first ``NOTICE``),
+a document has label 1 if one was, and the weights and that probability maximise the likelihood of the documents' labels (``fit_chain``). No threshold
 on a word's counts names its state. Forward-backward gives each word's marginal; a document's
 score is a logistic of the marginals' sum and maximum, fitted on the sample and set to the share
 of toxic rows in all labelled training rows. Spans are the runs of words whose marginal is 0.5 or
@@ -38,7 +38,7 @@ PREFIXES = (4, 5, 6)
 LEAST_DOCS = 3
 DOUBT = 1.5
 NOTICE = 0.45
-WIDTH, WINDOWS = 9, 8
+WIDTH = 9  # words of a window of the fit; every word with a lexicon entry of a sampled text lies in one
 LEAST_ODDS = 0.5
 SPAN = "array<struct<start:long,end:long,p:double>>"
 
@@ -164,30 +164,56 @@ def chain_sums(unary: np.ndarray, step: np.ndarray) -> tuple[np.ndarray, np.ndar
     return log_z, p[:, :, 1] / p.sum(2), moves
 
 
-def fit_chain(x: np.ndarray, doc: np.ndarray, toxic: np.ndarray, rounds: int = 150, rate: float = 0.1, decay: float = 1e-3) -> tuple[np.ndarray, float, np.ndarray]:
-    """Weights, bias and transitions of largest likelihood of the documents' labels, with the words' states hidden.
+def fit_chain(
+    x: np.ndarray, doc: np.ndarray, toxic: np.ndarray, rounds: int = 150, rate: float = 0.1, decay: float = 1e-3, times: np.ndarray | None = None, fit_notice: bool = True
+) -> tuple[np.ndarray, float, np.ndarray, float]:
+    """Weights, bias, transitions and chance of notice of largest likelihood of the documents' labels, with the words' states hidden.
 
-    ``x[w, t]`` are the features of word t of window w; ``doc[w]`` is the window's
-    document, ``toxic[d]`` its label. A toxic word is noticed with probability ``NOTICE``; label 1 means that one was. The
-    probability of label 0 is then R = Z' / Z, where Z' has the factors of toxic words times 1 - NOTICE. The gradient of log R is
-    E'[f] - E[f], that of log(1 - R) is R / (1 - R) (E[f] - E'[f]).
+    ``x[w, t]`` are the features of word t of window w, which its document has ``times[w]`` times (1 if None); ``doc[w]`` is the
+    window's document, ``toxic[d]`` its label. A toxic word is noticed with probability v; label 1 means that one was. The
+    probability of label 0 is then R = Z' / Z, where Z' has the factors of toxic words times 1 - v. The gradient of log R is
+    E'[f] - E[f], that of log(1 - R) is R / (1 - R) (E[f] - E'[f]); by the logit of v they are -v E'[toxic words] and
+    R / (1 - R) v E'[toxic words]. Windows that are alike, in whatever document, are walked once a round.
     """
     n, size = len(toxic), x.shape[2]
-    theta = prior = np.concatenate(([1.0], np.zeros(size - 1), [-4.0], np.zeros(4)))
-    decays = np.repeat((decay, 50 * decay), (size + 1, 4))  # transitions stay weak where texts don't tell
+    different, which = np.unique(x.reshape(len(x), -1), axis=0, return_inverse=True)
+    x, which = different.reshape(-1, *x.shape[1:]), which.ravel()
+    times = np.ones(len(which)) if times is None else times
+    theta = prior = np.concatenate(([1.0], np.zeros(size - 1), [-4.0], np.zeros(4), [np.log(NOTICE / (1 - NOTICE))]))
+    # Transitions and the chance of notice stay near their start where texts don't tell.
+    decays = np.repeat((decay, 50 * decay), (size + 1, 5))
     m = v = np.zeros(len(theta))
     for k in range(1, rounds + 1):
-        step = np.exp(theta[-4:].reshape(2, 2))
-        unary = np.exp(np.clip(theta[-5] + x @ theta[:size], -50, 50))
+        step, notice = np.exp(theta[-5:-1].reshape(2, 2)), 1 / (1 + np.exp(-theta[-1]))
+        unary = np.exp(np.clip(theta[-6] + x @ theta[:size], -50, 50))
         log_z, p, moves = chain_sums(unary, step)
-        log_u, q, missed = chain_sums(unary * (1 - NOTICE), step)
-        log_r = np.minimum(np.bincount(doc, log_u - log_z, n), -1e-9)
-        pull = np.where(toxic, np.exp(log_r) / -np.expm1(log_r), -1.0)[doc]
+        log_u, q, missed = chain_sums(unary * (1 - notice), step)
+        log_r = np.minimum(np.bincount(doc, times * (log_u - log_z)[which], n), -1e-9)
+        pull = np.bincount(which, times * np.where(toxic, np.exp(log_r) / -np.expm1(log_r), -1.0)[doc], len(x))
         more = pull[:, None] * (p - q)
-        g = np.concatenate((np.einsum("wt,wtf->f", more, x), [more.sum()], pull @ (moves - missed))) / n - decays * (theta - prior)
+        noticed = notice * (pull @ q.sum(1)) if fit_notice else 0.0
+        g = np.concatenate((np.einsum("wt,wtf->f", more, x), [more.sum()], pull @ (moves - missed), [noticed])) / n - decays * (theta - prior)
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         theta = theta + rate * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.99**k)) + 1e-8)
-    return theta[:size], float(theta[-5]), theta[-4:].reshape(2, 2)
+    return theta[:size], float(theta[-6]), theta[-5:-1].reshape(2, 2), float(1 / (1 + np.exp(-theta[-1])))
+
+
+def cover(f: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(different windows of WIDTH words, how often each occurs) that together hold every word with a positive feature once.
+
+    A window begins half its width before the first such word that no window holds yet, or where the last one ends; the
+    text's end is filled up with words without features.
+    """
+    hits = np.flatnonzero(f.max(1) > 0).tolist()
+    starts: list[int] = []
+    end = 0
+    for h in hits:
+        if not starts or h >= end:
+            starts.append(max(end, h - WIDTH // 2))
+            end = starts[-1] + WIDTH
+    f = np.concatenate((f, np.zeros((WIDTH, f.shape[1]))))
+    rows = f[np.array(starts, int)[:, None] + np.arange(WIDTH)].reshape(len(starts), WIDTH * f.shape[1])
+    return np.unique(rows.astype(np.float32), axis=0, return_counts=True)
 
 
 def held_out(id_col: str):
@@ -256,30 +282,23 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = shared.value
         for b in batches:
-            docs, xs = [], []
+            docs, xs, ns = [], [], []
             for at, text in enumerate(b.column(1)):
-                f = t.word_features(text.as_py().split())
-                f = np.concatenate((f, np.zeros((max(0, WIDTH - len(f)), f.shape[1]))))
-                strength = f.max(1)
-                hits = np.flatnonzero(strength > 0)
-                covered, own = np.zeros(len(f), bool), 0
-                for h in hits[np.argsort(-strength[hits], kind="stable")].tolist():
-                    s = min(max(0, h - WIDTH // 2), len(f) - WIDTH)
-                    if own < WINDOWS and not covered[s : s + WIDTH].any():
-                        covered[s : s + WIDTH] = True
-                        docs.append(at)
-                        xs.append(f[s : s + WIDTH].ravel())
-                        own += 1
+                rows, times = cover(t.word_features(text.as_py().split()))
+                docs += [at] * len(rows)
+                xs += list(rows)
+                ns += times.tolist()
             at = pa.array(docs, pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(2).take(at), pa.array(xs, pa.list_(pa.float32()))], names=["label", "kind", "x"])
+            yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(2).take(at), pa.array(xs, pa.list_(pa.float32())), pa.array(ns, pa.int64())], names=["label", "kind", "x", "n"])
 
-    got = sample.select("label", "text", "kind").mapInArrow(windows, "label int, kind long, x array<float>").toArrow()  # at most WINDOWS a sampled row
+    # Different windows of the sampled texts: words of the lexicon and what stands beside them, not all words.
+    got = sample.select("label", "text", "kind").mapInArrow(windows, "label int, kind long, x array<float>, n long").toArrow()
     if got.num_rows:
-        label, kind = (got.column(k).to_numpy() for k in (0, 1))
+        label, kind, times = (got.column(k).to_numpy() for k in (0, 1, 3))
         x = got.column(2).combine_chunks().flatten().to_numpy().reshape(len(label), WIDTH, -1).astype(float)
         order = np.lexsort((*x.reshape(len(x), -1).T[::-1], kind, label))  # the fit does not depend on the order of tasks
         docs_of, doc = np.unique(np.column_stack((label, kind))[order], axis=0, return_inverse=True)
-        tagger.weights, tagger.bias, tagger.moves = fit_chain(x[order], doc.ravel(), docs_of[:, 0] == 1)
+        tagger.weights, tagger.bias, tagger.moves, _ = fit_chain(x[order], doc.ravel(), docs_of[:, 0] == 1, times=times[order].astype(float))
 
     shared_tagger = spark.sparkContext.broadcast(tagger)
     seen = summaries(sample.select(F.col("label").alias("id"), "text"), shared_tagger).toArrow()  # a row for each sampled row

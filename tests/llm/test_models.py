@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pytest
 
 from drivescore.llm import language_id, token_counts, toxicity
 
@@ -158,15 +159,15 @@ def test_hidden_states_gradient():
     rng = np.random.default_rng(4)
     x, doc, toxic = rng.normal(size=(4, 3, 2)), np.array([0, 0, 1, 2]), np.array([True, False, True])
 
-    def likelihood(theta):
-        moves, total = theta[3:].reshape(2, 2), 0.0
+    def likelihood(theta, notice=toxicity.NOTICE):
+        moves = theta[3:].reshape(2, 2)
         z, u = np.ones(3), np.ones(3)
         for w in range(4):
             sums = [0.0, 0.0]
             for states in np.ndindex(2, 2, 2):
                 e = sum(s * (theta[2] + x[w, t] @ theta[:2]) for t, s in enumerate(states)) + sum(moves[a, b] for a, b in zip(states, states[1:]))
                 sums[0] += np.exp(e)
-                sums[1] += np.exp(e) * (1 - toxicity.NOTICE) ** sum(states)
+                sums[1] += np.exp(e) * (1 - notice) ** sum(states)
             z[doc[w]] *= sums[0]
             u[doc[w]] *= sums[1]
         r = u / z
@@ -182,8 +183,66 @@ def test_hidden_states_gradient():
     g = np.concatenate((np.einsum("wt,wtf->f", more, x), [more.sum()], pull @ (m - missed)))
     numeric = [(likelihood(theta + h) - likelihood(theta - h)) / 2e-5 for h in np.eye(7) * 1e-5]
     assert np.allclose(g, numeric, atol=1e-5)
-    weights, bias, moves = toxicity.fit_chain(x, doc, toxic, rounds=60, decay=0.0)
-    assert likelihood(np.concatenate((weights, [bias], moves.ravel()))) > likelihood(theta)
+    # By the logit of the chance of notice.
+    v = toxicity.NOTICE
+    near = [1 / (1 + (1 - v) / v * np.exp(-h)) for h in (1e-5, -1e-5)]
+    assert np.isclose(v * (pull @ q.sum(1)), (likelihood(theta, near[0]) - likelihood(theta, near[1])) / 2e-5, atol=1e-5)
+    held = toxicity.fit_chain(x, doc, toxic, rounds=60, decay=0.0, fit_notice=False)
+    free = toxicity.fit_chain(x, doc, toxic, rounds=60, decay=0.0)
+    value = lambda f: likelihood(np.concatenate((f[0], [f[1]], f[2].ravel())), f[3])
+    assert held[3] == pytest.approx(v) and value(free) > value(held) > likelihood(theta)
+    # A window twice is two windows.
+    twice = toxicity.fit_chain(x[[0, 1, 2, 3, 3, 0]], doc[[0, 1, 2, 3, 3, 0]], toxic, rounds=20)
+    times = toxicity.fit_chain(x, doc, toxic, rounds=20, times=np.array([2.0, 1, 1, 2]))
+    assert all(np.allclose(a, b) for a, b in zip(twice, times, strict=True))
+
+
+def test_windows_of_the_fit_hold_every_word_of_the_lexicon_once():
+    rng = np.random.default_rng(5)
+    for _ in range(60):
+        n = int(rng.integers(0, 400))
+        f = np.where(rng.random((n, 2)) < rng.choice([0.01, 0.2, 0.9]), rng.integers(-2, 9, (n, 2)), 0).astype(float)
+        rows, times = toxicity.cover(f)
+        got, want = Counter(), Counter(map(tuple, f[f.max(1) > 0])) if n else Counter()
+        for r, k in zip(rows.reshape(-1, toxicity.WIDTH, 2), times, strict=True):
+            for word in r[r.max(1) > 0]:
+                got[tuple(word)] += int(k)
+        assert got == want
+
+
+def test_scores_are_those_of_all_state_sequences(spark):
+    """Score, prediction and spans of whole documents by enumeration of every sequence of states."""
+    rng = np.random.default_rng(6)
+    t = toxicity.Tagger({"bad": 3.0, "badl*": 1.5, "idio*": 2.5, "good": -2.0}, rng.normal(1, 0.2, 1 + len(toxicity.PREFIXES)), -1.5, rng.normal(0, 0.5, (2, 2)), np.array([-2.0, 1.1, 2.0]))
+    vocabulary = ["plain", "Bad!", "badly", "idiocy", "good", "--", "x"]
+    texts = [" ".join(rng.choice(vocabulary, rng.integers(1, 11))) for _ in range(60)] + ["", None, "bad", " \n bad  badly "]
+    got = {r.doc_id: r for r in toxicity.score_with(table(spark, [(k, x, "en") for k, x in enumerate(texts)]), t).collect()}
+    assert len(got) == len(texts)
+    predicted = set()
+    for k, text in enumerate(texts):
+        words = list(re.finditer(r"\S+", text or ""))
+        x = t.word_weights([w[0] for w in words])[:, 0].astype(float) if words else np.zeros(0)
+        p, z = np.zeros(len(x)), 0.0
+        for states in np.ndindex(*[2] * len(x)):
+            e = np.exp(sum(s * (t.bias + v) for s, v in zip(states, x, strict=True)) + sum(t.moves[a, b] for a, b in zip(states, states[1:])))
+            z += e
+            p += e * np.array(states)
+        p = p / z
+        # Words far from any with a weight stay out of the sum, as those of a text without one.
+        near = [j for j in range(len(x)) if x[max(0, j - 1) : j + 2].any()]
+        p = p[near]
+        score = 1 / (1 + math.exp(-(-2.0 + 1.1 * math.log1p(p.sum()) + 2.0 * (p.max() if len(p) else 0.0))))
+        assert math.isclose(got[k].score, score, abs_tol=1e-6) and got[k].predicted == (got[k].score >= 0.3)
+        predicted.add(got[k].predicted)
+        runs = []
+        for j, q in zip(near, p, strict=True):
+            if q >= 0.5:
+                if runs and runs[-1][2] == j - 1:
+                    runs[-1] = [runs[-1][0], words[j].end(), j]
+                else:
+                    runs.append([words[j].start(), words[j].end(), j])
+        assert [[s.start, s.end] for s in got[k].spans] == [r[:2] for r in runs]
+    assert predicted == {0, 1}
 
 
 def test_toxicity(spark):
