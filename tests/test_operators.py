@@ -370,6 +370,17 @@ def test_sources(spark, tmp_path):
     assert src.read_trace_skip_comments(spark, f"{tmp_path}/t.txt").count() == 2
 
 
+def test_keyed_writes_give_one_file_a_key(spark, tmp_path):
+    rows = spark.range(0, 4000, 1, 8).select((F.col("id") % 40).cast("string").alias("cohort"), "id")
+    src.write_tsv(rows, f"{tmp_path}/t", ["cohort"])
+    src.write_json(rows, f"{tmp_path}/j", ["cohort"])
+    src.write_parquet(rows, f"{tmp_path}/p", ["cohort"])
+    for kind in "tjp":
+        assert len(list((tmp_path / kind).glob("cohort=*/part-*"))) == 40
+    got = src.scan_with_key(spark, f"{tmp_path}/t/*", "id long", "key", r"cohort=([^/]+)/").groupBy("key").count()
+    assert sorted(values(got)) == sorted((str(k), 100) for k in range(40))
+
+
 def test_large_keys_are_dealt_over_tasks(spark, monkeypatch):
     rows = spark.createDataFrame([("a", k, float(k % 7)) for k in range(100)] + [("b", 500, 1.0), (None, 600, 1.0)], "gene string, id int, x double")
     stump = [(0, 0, 0, 3.0, 1, 2, 0.0, 10.0), (0, 1, -1, 0.0, -1, -1, -1.0, 4.0), (0, 2, -1, 0.0, -1, -1, 1.0, 6.0)]
