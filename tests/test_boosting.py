@@ -156,3 +156,15 @@ def test_shapley_of_deep_trees_adds_up():
     out = np.zeros((300, 12))
     base = forest.tree_shapley(nodes, x, out)
     assert np.allclose(base + out.sum(1), [walk(nodes, r) for r in x], atol=1e-8)
+
+
+def test_shapley_values_of_alike_rows_are_found_once(monkeypatch):
+    rng = np.random.default_rng(5)
+    nodes, x = random_tree(rng, 3, 3), np.round(rng.normal(size=(20_000, 3)), 2)
+    x[::7, 1] = np.nan
+    found, plain = [], forest._shapley
+    monkeypatch.setattr(forest, "_shapley", lambda n, x, out: found.append(len(x)) or plain(n, x, out))
+    out, want = np.zeros(x.shape), np.zeros(x.shape)
+    base = forest.tree_shapley(nodes, x, out)
+    assert base == plain(nodes, x, want) and np.allclose(out, want, atol=1e-12)
+    assert max(found) <= 2**7
