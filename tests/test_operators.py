@@ -381,6 +381,18 @@ def test_keyed_writes_give_one_file_a_key(spark, tmp_path):
     assert sorted(values(got)) == sorted((str(k), 100) for k in range(40))
 
 
+def test_rows_are_dealt_by_the_members_that_they_meet(spark, monkeypatch):
+    rows = spark.createDataFrame([("a", k, float(k % 7)) for k in range(60)] + [("b", 500, 1.0)], "gene string, id int, x double")
+    nodes = spark.createDataFrame([(g, m, 0, 0, -1, 0.0, -1, -1, float(m), 4.0, 0.5) for g in "ab" for m in range(10)], f"gene string, split int, {model.NODE_COLUMNS}")
+    monkeypatch.setattr(model, "TASK_MEETS", 50)
+    left, right = model.dealt(rows, nodes, ["gene"], "id", member="split")
+    assert left.filter("gene = 'a'").agg(F.max("_salt")).first()[0] == 11 and right.filter("gene = 'b'").count() == 10
+    assert left.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert len(values(model.score_members(rows, nodes, ["gene"], ["x"], "id", member="split"))) == 610
+    mean = model.mean_attribution(model.tree_attribution(rows, nodes, ["gene"], ["x"], "id", member="split"), ["gene", "id"])
+    assert sorted(values(mean)) == sorted([("a", k, 0.0) for k in range(60)] + [("b", 500, 0.0)])
+
+
 def test_large_keys_are_dealt_over_tasks(spark, monkeypatch):
     rows = spark.createDataFrame([("a", k, float(k % 7)) for k in range(100)] + [("b", 500, 1.0), (None, 600, 1.0)], "gene string, id int, x double")
     stump = [(0, 0, 0, 3.0, 1, 2, 0.0, 10.0), (0, 1, -1, 0.0, -1, -1, -1.0, 4.0), (0, 2, -1, 0.0, -1, -1, 1.0, 6.0)]
