@@ -255,6 +255,21 @@ def test_draws_follow_weights_and_invalid_weights_are_uniform(spark):
     assert abs(count["a", 2] / 2000 - 0.75) < 0.04 and all(abs(count["z", k] / 2000 - 0.25) < 0.04 for k in range(4))
 
 
+@pytest.mark.parametrize("slice_rows", [None, 3])
+def test_counted_draws_equal_single_draws(spark, monkeypatch, slice_rows):
+    rows = [("a", k, float(w)) for k, w in enumerate([1, 0, 3, 0.5, 0.25, 7, 0.1])] + [("z", k, 0.0) for k in range(4)] + [(None, 1, 1.0)]
+    c = spark.createDataFrame(rows, "gene string, k int, w double")
+    n = spark.createDataFrame([("t", "a", 30), (None, "a", 21), ("t", "z", 7), ("u", None, 5), ("u", "a", 0)], "ttype string, gene string, n int")
+    want = {(r.ttype, r.gene, r.k): r["count"] for r in sequence.weighted_draw(c, n, "w", ["gene"], ["k"], 1, 50, ("ttype",)).groupBy("ttype", "gene", "k").count().collect()}
+    monkeypatch.setattr(sequence, "RUN_DRAWS", 400)
+    if slice_rows:
+        monkeypatch.setattr(sequence, "BROADCAST_ROWS", 0)
+        monkeypatch.setattr(sequence, "SLICE_ROWS", slice_rows)
+    got = sequence.drawn_counts(c, n, "w", ["gene"], ["k"], 1, 50, ("ttype",)).select("gene", "k", F.explode("drawn").alias("d"))
+    got = got.groupBy("d.ttype", "gene", "k").agg(F.sum("d.n").alias("n")).collect()
+    assert {(r.ttype, r.gene, r.k): r.n for r in got} == want and sum(want.values()) == 50 * 58
+
+
 def test_splits_are_balanced(spark):
     df = spark.createDataFrame([("g", k, int(k < 12)) for k in range(100)] + [("h", k, int(k > 102)) for k in range(100, 106)], "gene string, id int, label int")
     got = splits.balanced_splits(df, ["gene"], "id", n_splits=6).collect()
