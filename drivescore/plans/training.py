@@ -11,7 +11,7 @@ from drivescore.operators.intervals import domains_at, region_overlap_outer, sig
 from drivescore.operators.lookups import annotate_variant, anti_join_mnv, flag_vector_lookup
 from drivescore.operators.metrics import consensus, mean_train_size
 from drivescore.operators.model import failed_groups, mean_attribution, score_members, train_ensemble, tree_attribution
-from drivescore.operators.sequence import all_substitutions, explode_bases, weighted_draw
+from drivescore.operators.sequence import all_substitutions, drawn_counts, explode_bases, weighted_draw
 from drivescore.operators.tree import at_ancestors
 from drivescore.sources.tables import required, written
 
@@ -54,14 +54,17 @@ def site_features(sites: DataFrame, t: dict[str, DataFrame]) -> DataFrame:
     return out.join(domains_at(sites, t["domains"], "_domains"), ["gene", "pos"], "left")
 
 
-def add_features(df: DataFrame, t: dict[str, DataFrame]) -> DataFrame:
+def add_features(df: DataFrame, t: dict[str, DataFrame], nested: str | None = None) -> DataFrame:
     """All feature columns of rows with (ttype, gene, chr, pos, alt), found once for each distinct site and joined to the rows once.
 
     ``t``: annotations (gene, chr, pos, alt, mane, csqn, exon, aachange, ord), signal, flags (gene, residue, flags),
-    clusters, points, domains. Levels are 2 for the row's own ttype, 1 for any, 0 for none.
+    clusters, points, domains. Levels are 2 for the row's own ttype, 1 for any, 0 for none. With ``nested``, a column of that name holds an array of
+    what a site's rows have of their own, ttype among it; they become rows once the features are joined.
     """
     sites = written(df.select(*SITE).distinct(), "sites")
     rows = df.join(written(site_features(sites, t), "site_features"), SITE)
+    if nested:
+        rows = rows.select("*", F.explode(nested).alias("_own")).select("*", "_own.*").drop("_own", nested)
 
     def level(types) -> F.Column:
         return F.when(F.array_contains(types, F.col("ttype")), 2).when(F.size(types) > 0, 1).otherwise(0)
@@ -73,18 +76,20 @@ def add_features(df: DataFrame, t: dict[str, DataFrame]) -> DataFrame:
     return rows.withColumns(found).drop("_clusters", "_points", "_domains")
 
 
-def background(t: dict[str, DataFrame], counts: DataFrame, per_row: int = 50, seed: int = 1) -> DataFrame:
+def background(t: dict[str, DataFrame], counts: DataFrame, per_row: int = 50, seed: int = 1, counted: bool = False) -> DataFrame:
     """(ttype, gene, chr, pos, ref, alt): mutations drawn at random from the genes' sequences.
 
     All changes of the bases of ``t["sequences"]`` (gene, chr, start, seq) have the rate of their context in ``t["rates"]`` (context,
     rate; 0 without one); for each (ttype, gene) of ``counts``, ``per_row`` times n of them are drawn by rate, or evenly if no
-    change of the gene has a rate.
+    change of the gene has a rate. With ``counted``, a change is one row with drawn, its numbers of draws n by ttype.
     """
     genes = t["sequences"].join(counts.select("gene").distinct(), "gene", "left_semi")
     changes = all_substitutions(explode_bases(genes, ["gene", "chr"]), ["gene", "chr"])
     candidates = changes.join(t["rates"].select("context", "rate"), "context", "left").na.fill(0.0, ["rate"])
-    drawn = weighted_draw(candidates, counts, "rate", ["gene"], ["chr", "pos", "alt"], seed, per_row, per=("ttype",))
-    return drawn.select("ttype", "gene", "chr", "pos", "ref", "alt")
+    draw = (candidates, counts, "rate", ["gene"], ["chr", "pos", "alt"], seed, per_row, ("ttype",))
+    if counted:
+        return drawn_counts(*draw).select("gene", "chr", "pos", "ref", "alt", "drawn")
+    return weighted_draw(*draw).select("ttype", "gene", "chr", "pos", "ref", "alt")
 
 
 def build_training_table(t: dict[str, DataFrame], per_row: int = 50, threshold: float = 0.85, seed: int = 1, counted: bool = False) -> DataFrame:
@@ -92,7 +97,7 @@ def build_training_table(t: dict[str, DataFrame], per_row: int = 50, threshold:
 
     ``t``: muts (cohort, ttype, gene, chr, pos, ref, alt, sample_id, impact), drivers, mnvs, estimates, regions
     (chr, r_start, r_end, r_gene), sequences, rates and what ``add_features`` takes. With ``counted``, equal rows are one
-    row with their number n, before any feature is joined. An error if no observed mutation is left.
+    row with their number n (background rows may be several, whose numbers add up), and a site's rows are one until its features are joined. An error if no observed mutation is left.
     """
     muts = filter_driver_snvs(t["muts"], t["drivers"])
     muts = anti_join_mnv(muts, t["mnvs"], ["gene", "sample_id", "cohort"])
@@ -100,11 +105,14 @@ def build_training_table(t: dict[str, DataFrame], per_row: int = 50, threshold:
     positives = region_overlap_outer(to_half_open(muts), t["regions"]).select("ttype", "gene", "chr", "pos", "ref", "alt")
     positives = required(written(positives, "positives"), "observed mutations of excess classes")
     counts = written(positives.groupBy("ttype", "gene").agg(F.count("*").alias("n")), "positive_counts")
-    rows = union_labelled(positives, background(t, counts, per_row, seed)).withColumn("chr", normalize_chrom(F.col("chr")))
     if counted:
-        rows = rows.groupBy(*rows.columns).agg(F.count("*").alias("n"))
-    rows = written(rows, "training_rows")
-    return rectify(drop_synonymous_positives(one_hot_consequence(add_features(rows, t), "csqn_type")))
+        sites = ["gene", "chr", "pos", "ref", "alt"]
+        observed = positives.groupBy("ttype", *sites).agg(F.count("*").alias("n")).groupBy(*sites).agg(F.collect_list(F.struct("ttype", "n")).alias("drawn"))
+        rows = union_labelled(observed, background(t, counts, per_row, seed, counted=True))
+    else:
+        rows = union_labelled(positives, background(t, counts, per_row, seed))
+    rows = written(rows.withColumn("chr", normalize_chrom(F.col("chr"))), "training_rows")
+    return rectify(drop_synonymous_positives(one_hot_consequence(add_features(rows, t, "drawn" if counted else None), "csqn_type")))
 
 
 def annotate_saturation(saturation: DataFrame, t: dict[str, DataFrame], closure: DataFrame | None = None) -> DataFrame:
