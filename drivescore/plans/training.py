@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from drivescore.functions.variants import CLASSES, FEATURES, class_threshold, classify_consequence, half_precision, nmd_flag, normalize_chrom, one_hot_consequence, rectify
@@ -12,7 +12,6 @@ from drivescore.operators.lookups import annotate_variant, anti_join_mnv, flag_v
 from drivescore.operators.metrics import consensus, mean_train_size
 from drivescore.operators.model import failed_groups, mean_attribution, score_members, train_ensemble, tree_attribution
 from drivescore.operators.sequence import all_substitutions, drawn_counts, explode_bases, weighted_draw
-from drivescore.operators.tree import at_ancestors
 from drivescore.sources.tables import required, written
 
 
@@ -35,23 +34,26 @@ def keep_known_consequence(df: DataFrame, consequence: str = "csqn_type") -> Dat
     return required(df.filter(F.col(consequence).isin(CLASSES)), "mutations of a known consequence")
 
 
-SITE = ["gene", "chr", "pos", "alt"]
+# Joins sort by the first of these before the others: the position tells most rows apart.
+SITE = ["pos", "gene", "chr", "alt"]
 
 
-def site_features(sites: DataFrame, t: dict[str, DataFrame]) -> DataFrame:
-    """What is known of distinct sites (gene, chr, pos, alt) under any ttype. Each table meets the sites for itself.
+def site_features(sites: DataFrame, t: dict[str, DataFrame], known: bool = False) -> DataFrame:
+    """What is known of distinct sites (gene, chr, pos, alt) under any ttype, beside the sites' other columns. Each table meets the sites for itself.
 
     Ttypes of clusters and points and the domains are arrays, bounded by the number of ttypes and of a position's domains.
-    An annotation belongs to its gene: overlapping genes have one each.
+    An annotation belongs to its gene: overlapping genes have one each. With ``known``, sites of no known class are left out.
     """
     out = annotate_variant(sites, t["annotations"], SITE, ["ord", "csqn"], ["csqn", "exon", "aachange"])
     out = out.withColumn("csqn_type", classify_consequence(F.col("csqn"))).withColumn("nmd", nmd_flag(F.col("exon")))
+    if known:
+        out = out.filter(F.col("csqn_type").isin(CLASSES))
     out = out.withColumn("residue", F.expr("substring(aachange, 1, length(aachange) - 1)"))
-    out = flag_vector_lookup(out, t["flags"], ["gene", "residue"]).drop("residue", "csqn", "exon")
-    out = out.join(signal_values(sites, t["signal"], "PhyloP"), ["chr", "pos"], "left").withColumn("PhyloP", half_precision(F.col("PhyloP")))
-    out = out.join(types_at(sites, t["clusters"], "_clusters"), ["chr", "pos"], "left")
-    out = out.join(t["points"].groupBy("chr", "pos").agg(F.collect_set("ttype").alias("_points")), ["chr", "pos"], "left")
-    return out.join(domains_at(sites, t["domains"], "_domains"), ["gene", "pos"], "left")
+    out = flag_vector_lookup(out, t["flags"], ["residue", "gene"]).drop("residue", "csqn", "exon")
+    out = out.join(signal_values(sites, t["signal"], "PhyloP"), ["pos", "chr"], "left").withColumn("PhyloP", half_precision(F.col("PhyloP")))
+    out = out.join(types_at(sites, t["clusters"], "_clusters"), ["pos", "chr"], "left")
+    out = out.join(t["points"].groupBy("chr", "pos").agg(F.collect_set("ttype").alias("_points")), ["pos", "chr"], "left")
+    return out.join(domains_at(sites, t["domains"], "_domains"), ["pos", "gene"], "left")
 
 
 def add_features(df: DataFrame, t: dict[str, DataFrame], nested: str | None = None) -> DataFrame:
@@ -64,13 +66,24 @@ def add_features(df: DataFrame, t: dict[str, DataFrame], nested: str | None = No
     sites = written(df.select(*SITE).distinct(), "sites")
     rows = df.join(written(site_features(sites, t), "site_features"), SITE)
     if nested:
-        rows = rows.select("*", F.explode(nested).alias("_own")).select("*", "_own.*").drop("_own", nested)
+        rows = unnested(rows, nested)
+    return with_levels(rows)
+
+
+def unnested(rows: DataFrame, nested: str) -> DataFrame:
+    """A row for each struct of the array ``nested``, whose fields become columns."""
+    return rows.select("*", F.explode(nested).alias("_own")).select("*", "_own.*").drop("_own", nested)
+
+
+def with_levels(rows: DataFrame, own: Column | None = None) -> DataFrame:
+    """Levels and motif of rows with what was found at their site under any ttype. ``own`` lists the ttypes that count as the row's own."""
+    own = F.array("ttype") if own is None else own
 
     def level(types) -> F.Column:
-        return F.when(F.array_contains(types, F.col("ttype")), 2).when(F.size(types) > 0, 1).otherwise(0)
+        return F.when(F.arrays_overlap(types, own), 2).when(F.size(types) > 0, 1).otherwise(0)
 
-    own = F.filter("_domains", lambda d: d["ttype"] == F.col("ttype"))
-    shown = F.array_distinct(F.transform(F.when(F.size(own) > 0, own).otherwise(F.col("_domains")), lambda d: F.struct(d["ord"], d["element"])))
+    mine = F.filter("_domains", lambda d: F.array_contains(own, d["ttype"]))
+    shown = F.array_distinct(F.transform(F.when(F.size(mine) > 0, mine).otherwise(F.col("_domains")), lambda d: F.struct(d["ord"], d["element"])))
     motif = F.coalesce(F.array_join(F.transform(shown, lambda d: F.concat(d["element"], F.lit(";"))), ""), F.lit(""))
     found = {"CLUSTL": level(F.col("_clusters")), "HotMaps": level(F.col("_points")), "smRegions": level(F.col("_domains.ttype")), "motif": motif}
     return rows.withColumns(found).drop("_clusters", "_points", "_domains")
@@ -119,11 +132,19 @@ def annotate_saturation(saturation: DataFrame, t: dict[str, DataFrame], closure:
     """Feature rows of every possible change of the known classes. ``saturation`` has ttype, gene, chr, pos, ref, alt.
 
     With ``closure``, what is found at any ttype below the row's own counts as its own. An error if no change has a known class.
+
+    A site's rows travel as one, so that each table is met once a site, and ttypes meet those below them once all is found.
     """
     if closure is not None:
-        t = t | {k: at_ancestors(t[k], closure) for k in ("clusters", "points", "domains")}
-    rows = written(add_features(saturation, t), "annotated")
-    return rectify(one_hot_consequence(keep_known_consequence(rows), "csqn_type"))
+        t = t | {k: t[k].join(closure.select(F.col("node").alias("ttype")).distinct(), "ttype", "left_semi") for k in ("clusters", "points", "domains")}
+    rest = F.collect_list(F.struct(*[c for c in saturation.columns if c not in SITE])).alias("_rows")
+    sites = written(saturation.groupBy(*SITE).agg(rest), "sites")
+    found = keep_known_consequence(written(site_features(sites, t, known=True), "site_features"))
+    rows, own = unnested(found, "_rows"), None
+    if closure is not None:
+        below = closure.groupBy(F.col("ancestor").alias("ttype")).agg(F.collect_set("node").alias("_below"))
+        rows, own = rows.join(below, "ttype", "left"), F.coalesce("_below", F.array().cast("array<string>"))
+    return rectify(one_hot_consequence(with_levels(rows, own).drop("_below"), "csqn_type"))
 
 
 def select_features(df: DataFrame, keep: tuple[str, ...] = (), response: str = "response") -> DataFrame:

@@ -138,6 +138,27 @@ def test_annotation_belongs_to_its_gene(spark):
     assert wide["a"].CLUSTL == 2 and wide["a"].smRegions == 2 and wide["a"].motif == "kin;"
 
 
+def test_saturation_meets_tables_once_a_site(spark, monkeypatch):
+    """Rows of a site under many ttypes are one on the way: what is written has a row for each site. Repeats and all levels stay."""
+    names = [f"t{k:02}" for k in range(30)]
+    closure = tree.tree_closure(spark.createDataFrame([("r", None), *[(n, "r") for n in names]], "id string, parent string"))
+    rows = [(n, "a", "1", p, "A", "C") for n in [*names, "r", "t00", "far"] for p in (5, 6)]
+    saturation = spark.createDataFrame([*rows, ("t01", "a", "1", 9, "A", "C")], "ttype string, gene string, chr string, pos int, ref string, alt string")
+    ann = spark.createDataFrame([("a", "1", p, "C", "NM", "missense_variant", "1/3", f"A{p}C", 1) for p in (5, 6)] + [("a", "1", 9, "C", "NM", "odd", "1/3", "A9C", 1)], "gene string, chr string, pos int, alt string, mane string, csqn string, exon string, aachange string, ord int")
+    t = {
+        "annotations": ann, "signal": spark.createDataFrame([("chr1", 4, 5, 0.1)], "chrom string, start int, end int, value double"),
+        "flags": spark.createDataFrame([("a", "A5", [1, 0, 0, 0, 0, 1, 0, 0])], "gene string, residue string, flags array<int>"),
+        "clusters": spark.createDataFrame([("1", 1, 5, "t03"), ("1", 6, 6, "odd"), ("1", 6, 6, None)], "chr string, lo int, hi int, ttype string"), "points": spark.createDataFrame([("1", 6, "t04")], "chr string, pos int, ttype string"),
+        "domains": spark.createDataFrame([("a", 1, 9, "kin", "t05", 1), ("a", 1, 9, "kin", "t06", 1), ("a", 1, 7, "sh", "t06", 2), ("a", 1, 9, "no", None, 3)], "gene string, start_pos int, stop_pos int, element string, ttype string, ord int"),
+    }
+    kept, write = {}, training.written
+    monkeypatch.setattr(training, "written", lambda df, name: kept.setdefault(name, write(df, name)))
+    got = values(training.annotate_saturation(saturation, t, closure).select("ttype", "pos", "CLUSTL", "HotMaps", "smRegions", "motif"))
+    own = lambda n, *of: 2 if n in of else 1
+    assert got == sorted([(n, p, own(n, "t03", "r") if p == 5 else 0, own(n, "t04", "r") if p == 6 else 0, own(n, "t05", "t06", "r"), "kin;" if n == "t05" else "sh;kin;") for n, *_, p, _, _ in rows], key=str)
+    assert {n: df.count() for n, df in kept.items()} == {"sites": 3, "site_features": 2}
+
+
 def test_background_follows_context_rates(spark):
     t = {"sequences": spark.createDataFrame([("g", "1", 100, "ACGTNACA"), ("h", "1", 300, "TTTT"), ("other", "1", 900, "ACGT")], "gene string, chr string, start int, seq string"), "rates": spark.createDataFrame([("ACG>T", 3.0), ("ACA>G", 1.0)], "context string, rate double")}
     counts = spark.createDataFrame([("T", "g", 40), ("T", "h", 5)], "ttype string, gene string, n int")
