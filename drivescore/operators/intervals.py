@@ -10,6 +10,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from drivescore.operators.tree import above, ancestor_map
+from drivescore.sources.tables import written
+
 BIN = 256
 STEP = 4
 
@@ -64,6 +67,19 @@ def interval_membership(df: DataFrame, clusters: DataFrame, name: str = "level",
     return df.join(interval_levels(df, clusters, name, chrom, pos, ttype, width), [chrom, pos, ttype], "left").na.fill(0, [name])
 
 
+def sites_by_level(df: DataFrame, clusters: DataFrame, closure: DataFrame, site: list[str], name: str = "level", chrom: str = "chr", pos: str = "pos", ttype: str = "ttype", width: int = BIN) -> DataFrame:
+    """(node, level, n_unique): distinct sites of the rows under each tree node, by the cluster level that ``interval_membership`` gives the rows.
+
+    A site is one row with its ttypes, meets its position's clusters once, and tells in place which nodes it counts for, so that the tree multiplies
+    nothing that moves.
+    """
+    sites = written(df.groupBy(*site).agg(F.collect_set(ttype).alias("_own")), "level_sites")
+    met = sites.join(types_at(sites, clusters, "_types", chrom, pos, ttype, width), [pos, chrom], "left").crossJoin(F.broadcast(ancestor_map(closure, "_above")))
+    level = lambda t: F.when(F.array_contains("_types", t), 2).when(F.col("_types").isNotNull(), 1).otherwise(0)
+    counted = F.flatten(F.transform("_own", lambda t: F.transform(above("_above", t), lambda a: F.struct(a.alias("node"), level(t).alias(name)))))
+    return met.select(F.explode(F.array_distinct(counted)).alias("_at")).groupBy("_at.node", f"_at.{name}").agg(F.count("*").alias("n_unique"))
+
+
 def domain_levels(sites: DataFrame, domains: DataFrame, name: str = "level", gene: str = "gene", pos: str = "pos", ttype: str = "ttype", width: int = BIN) -> DataFrame:
     """(gene, pos, ttype, level, motif) of the distinct sites that lie in any domain; see ``domain_membership``."""
     there = domains.select(F.col(gene), F.col("start_pos").alias("_lo"), F.col("stop_pos").alias("_hi"), F.col("element").alias("_e"), F.col(ttype).alias("_t"), F.col("ord").alias("_o"))

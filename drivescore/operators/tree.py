@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -52,6 +52,18 @@ def at_ancestors(df: DataFrame, closure: DataFrame, ttype: str = "ttype") -> Dat
     return df.join(above, ttype).drop(ttype).withColumnRenamed("_above", ttype)
 
 
+def ancestor_map(closure: DataFrame, name: str) -> DataFrame:
+    """One row: a map from each node to its ancestors, itself among them. It is as small as the tree, and lets rows find the nodes above a list of
+    theirs without a row for each."""
+    lists = closure.groupBy("node").agg(F.collect_set("ancestor").alias("_l"))
+    return lists.agg(F.map_from_entries(F.collect_list(F.struct("node", "_l"))).alias(name))
+
+
+def above(name: str, node: Column) -> Column:
+    """The node's list in the map; none for NULL and for names that the tree does not have."""
+    return F.coalesce(F.element_at(name, node), F.array().cast("array<string>"))
+
+
 def genes_to_ttypes(df: DataFrame, gene: str = "gene", ttype: str = "ttype") -> DataFrame:
     """(gene, ttypes): the distinct ttypes of each gene, in order."""
     return df.select(gene, ttype).distinct().groupBy(gene).agg(F.sort_array(F.collect_list(ttype)).alias("ttypes"))

@@ -159,6 +159,20 @@ def test_saturation_meets_tables_once_a_site(spark, monkeypatch):
     assert {n: df.count() for n, df in kept.items()} == {"sites": 3, "site_features": 2}
 
 
+def test_sites_by_level_counts_a_site_once_a_node(spark):
+    muts = [("1", 5, "A", "x"), ("1", 5, "A", "y"), ("1", 5, "A", "x"), ("1", 5, "C", "y"), ("2", 5, "A", "x"), ("1", 20, "A", "z"), ("1", 20, "A", None), ("1", 20, "A", "far")]
+    ranges = [("1", 1, 5, "x"), ("2", 5, 5, "y"), ("1", 6, 19, "z")]
+    tables = spark.createDataFrame(muts, "chr string, pos int, alt string, ttype string"), spark.createDataFrame(ranges, "chr string, lo int, hi int, ttype string")
+    above = {"x": "xpr", "y": "ypr", "z": "zr"}
+    closure = tree.tree_closure(spark.createDataFrame([("r", None), ("p", "r"), ("x", "p"), ("y", "p"), ("z", "r")], "id string, parent string"))
+    want = set()
+    for c, pos, alt, ttype in muts:
+        types = {k for a, lo, hi, k in ranges if a == c and lo <= pos <= hi}
+        want |= {(node, 2 if ttype in types else int(bool(types)), c, pos, alt) for node in above.get(ttype, "")}
+    count = {k: sum(w[:2] == k for w in want) for k in {w[:2] for w in want}}
+    assert values(intervals.sites_by_level(*tables, closure, ["pos", "chr", "alt"]).select("node", "level", "n_unique")) == sorted([(*k, n) for k, n in count.items()], key=str)
+
+
 def test_background_follows_context_rates(spark):
     t = {"sequences": spark.createDataFrame([("g", "1", 100, "ACGTNACA"), ("h", "1", 300, "TTTT"), ("other", "1", 900, "ACGT")], "gene string, chr string, start int, seq string"), "rates": spark.createDataFrame([("ACG>T", 3.0), ("ACA>G", 1.0)], "context string, rate double")}
     counts = spark.createDataFrame([("T", "g", 40), ("T", "h", 5)], "ttype string, gene string, n int")
