@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from drivescore.functions.variants import hash_uniform
+from drivescore.operators.boosting import spread
 from drivescore.operators.splits import bucket_number, numbered
 from drivescore.sources.tables import written
 
@@ -30,12 +31,15 @@ def downsample_curve(df: DataFrame, samples: DataFrame, keys: list[str], sample:
     counted = samples.groupBy(*keys, sample).agg(F.count("*").alias("_many"))
     units = written(counted.select(*keys, sample, F.explode(F.sequence(F.lit(1), F.col("_many").cast("int"))).alias("_copy")), "units")
     sizes = units.groupBy(*keys).agg(F.count("*").cast("int").alias("n_samples"))
-    reps = units.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
+    # A unit is few bytes, so that few files hold many: they are dealt over the tasks before they become a row for each replicate.
+    reps = spread(units, *keys, sample, "_copy").withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
     u = hash_uniform(F.col(sample), F.col("_copy"), F.col("replicate"), F.lit(seed))
     placed = numbered(reps.withColumn("_u", u), [*keys, "replicate"], "_u", [sample, "_copy"], "_rank", bucket_number(units, keys))
-    ranks = placed.groupBy(*keys, "replicate", sample).agg(F.min("_rank").alias("_rank"))
-    seen = df.select(*keys, sample, *site).distinct()
-    first = seen.join(ranks, [*keys, sample]).groupBy(*keys, "replicate", *site).agg(F.min("_rank").alias("_first"))
+    # A sample's ranks travel as one row, and meet its sites once; repeats of a sample go out with the least rank of a site.
+    ranks = placed.groupBy(sample, *keys).agg(F.collect_list(F.struct("replicate", "_rank")).alias("_ranks"))
+    seen = df.select(sample, *keys, *site).distinct()
+    met = seen.join(ranks, [sample, *keys]).select(*keys, *site, F.explode("_ranks").alias("_r")).select(*keys, *site, "_r.*")
+    first = met.groupBy(*keys, "replicate", *site).agg(F.min("_rank").alias("_first"))
     by_rank = first.groupBy(*keys, "replicate", "_first").agg(F.count("*").alias("_c"))
     points = sizes.withColumn("point", F.explode(F.sequence(F.lit(0), F.lit(grid - 1)))).withColumn("x", F.col("point") * F.col("n_samples") / (grid - 1)).withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
     # Each rank counts at the first grid point that reaches it; a running sum over points does the rest.

@@ -173,6 +173,14 @@ def test_sites_by_level_counts_a_site_once_a_node(spark):
     assert values(intervals.sites_by_level(*tables, closure, ["pos", "chr", "alt"]).select("node", "level", "n_unique")) == sorted([(*k, n) for k, n in count.items()], key=str)
 
 
+def test_units_are_dealt_before_they_become_replicates(spark, monkeypatch):
+    seen, number = [], discovery.numbered
+    monkeypatch.setattr(discovery, "numbered", lambda rows, *rest: seen.append(rows) or number(rows, *rest))
+    df = spark.createDataFrame([("t", f"s{k}", k % 3) for k in range(40)], "t string, s string, pos int").coalesce(1)
+    assert discovery.downsample_curve(df, df.select("t", "s"), ["t"], "s", ["pos"], replicates=5, grid=7).count() == 35
+    assert seen[0].rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def test_background_follows_context_rates(spark):
     t = {"sequences": spark.createDataFrame([("g", "1", 100, "ACGTNACA"), ("h", "1", 300, "TTTT"), ("other", "1", 900, "ACGT")], "gene string, chr string, start int, seq string"), "rates": spark.createDataFrame([("ACG>T", 3.0), ("ACA>G", 1.0)], "context string, rate double")}
     counts = spark.createDataFrame([("T", "g", 40), ("T", "h", 5)], "ttype string, gene string, n int")
