@@ -181,6 +181,14 @@ def test_units_are_dealt_before_they_become_replicates(spark, monkeypatch):
     assert seen[0].rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def test_rows_are_dealt_before_they_become_splits(spark, monkeypatch):
+    seen, smallest = [], splits.among_smallest
+    monkeypatch.setattr(splits, "among_smallest", lambda rows, *rest: seen.append(rows) or smallest(rows, *rest))
+    df = spark.createDataFrame([("g", k, int(k < 10)) for k in range(40)], "g string, id int, label int").coalesce(1)
+    assert splits.balanced_splits(df, ["g"], "id", n_splits=3).count() == 60
+    assert seen[0].rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def test_background_follows_context_rates(spark):
     t = {"sequences": spark.createDataFrame([("g", "1", 100, "ACGTNACA"), ("h", "1", 300, "TTTT"), ("other", "1", 900, "ACGT")], "gene string, chr string, start int, seq string"), "rates": spark.createDataFrame([("ACG>T", 3.0), ("ACA>G", 1.0)], "context string, rate double")}
     counts = spark.createDataFrame([("T", "g", 40), ("T", "h", 5)], "ttype string, gene string, n int")
