@@ -52,6 +52,30 @@ def test_table_of_one_task_equals_rows_in_memory(spark):
     assert [r.threshold for r in nodes] == [r[1] for tree in trees for r in tree]
 
 
+def test_keys_of_one_task_are_cut_there(spark, monkeypatch):
+    monkeypatch.setattr(boosting, "_large", lambda *_: pytest.fail("dealt over blocks"))
+    monkeypatch.setattr(boosting, "bin_values", lambda *_: pytest.fail("cut in a pass of its own"))
+    df = spark.range(70_000).selectExpr("'a' as k", "id", "if(id % 4 = 0, 'test', 'train') as role", "cast(id * 7919 % 70000 < 9000 as int) as label", "cast(id * 7919 % 70000 as double) as x", "cast(id % 3 as double) as y")
+    nodes = boosting.boosted_nodes(df, ["k"], ["x", "y"], "id", "label", "role", 1, 0.3, 3, 1).collect()
+    assert [(r.tree, r.node, r.feature, r.left_node, r.right_node) for r in nodes] == [(0, 0, 0, 1, 2), (0, 1, -1, -1, -1), (0, 2, -1, -1, -1)]
+    assert abs(nodes[0].threshold - 9_000) < 70_000 / boosting.BINS
+
+
+@pytest.mark.parametrize("depth", [1, 3, 5])
+def test_rest_of_a_pair_equals_its_own_sums(depth):
+    rng = np.random.default_rng(depth)
+    bins, n_cuts = rng.integers(0, 9, (3, 700)).astype(np.uint16), np.array([9, 9, 9])
+    g, h = boosting.gradients(rng.normal(size=700), (rng.random(700) < 0.3).astype(float))
+    tree, rows = boosting.grown_tree(bins, g, h, n_cuts, depth)
+    plain, first, at = boosting.root(g.sum(), h.sum()), 0, np.zeros(700, np.int64)
+    for _ in range(depth):
+        many = len(plain)
+        plain = boosting.grown_level(plain, first, boosting.histograms(bins, at - first, g, h, many - first), n_cuts)
+        at, first = boosting.leaf_of(plain, bins), many
+    assert len(tree) > 2 and np.array_equal(tree, plain)
+    assert sorted(rows) == [k for k, r in enumerate(tree) if r[0] < 0] and all((at[own] == k).all() for k, own in rows.items()) and sum(map(len, rows.values())) == 700
+
+
 def test_splits_are_the_best_of_all_cuts():
     rng = np.random.default_rng(5)
     x, y = rng.normal(size=(200, 3)), (rng.random(200) < 0.4).astype(float)

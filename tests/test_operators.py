@@ -189,6 +189,14 @@ def test_rows_are_dealt_before_they_become_splits(spark, monkeypatch):
     assert seen[0].rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def test_hashes_of_splits_and_their_cut_offs_are_written_once(spark, monkeypatch):
+    seen, plain = [], splits.written
+    monkeypatch.setattr(splits, "written", lambda df, name: seen.append((name, set(df.columns))) or plain(df, name))
+    df = spark.createDataFrame([("g", k, int(k < 10)) for k in range(40)], "g string, id int, label int")
+    assert splits.balanced_splits(df, ["g"], "id", n_splits=3).count() == 60
+    assert [n for n, _ in seen] == ["labelled", "hashed", "cuts", "chosen", "cuts"] and "_u" in seen[1][1]
+
+
 def test_background_follows_context_rates(spark):
     t = {"sequences": spark.createDataFrame([("g", "1", 100, "ACGTNACA"), ("h", "1", 300, "TTTT"), ("other", "1", 900, "ACGT")], "gene string, chr string, start int, seq string"), "rates": spark.createDataFrame([("ACG>T", 3.0), ("ACA>G", 1.0)], "context string, rate double")}
     counts = spark.createDataFrame([("T", "g", 40), ("T", "h", 5)], "ttype string, gene string, n int")
