@@ -49,9 +49,9 @@ def union_groups(parts: list[tuple[str, DataFrame]], name: str = "CANCER_TYPE")
 
 
 def explode_samples(df: DataFrame, cohort: str = "cohort", donors: str = "donors", hypermutators: str = "hypermutators") -> DataFrame:
-    """(cohort, sample): samples of all donors, and the hypermutators; repeats stay."""
-    own = df.select(cohort, F.explode(F.map_values(donors)).alias("_s")).select(cohort, F.explode("_s").alias("sample"))
-    return own.unionByName(df.select(cohort, F.explode(hypermutators).alias("sample")))
+    """(cohort, sample): samples of all donors, and the hypermutators; repeats stay. ``df`` is read once."""
+    lists = F.concat(F.coalesce(F.map_values(donors), F.array().cast("array<array<string>>")), F.array(hypermutators))
+    return df.select(cohort, F.explode(lists).alias("_s")).select(cohort, F.explode("_s").alias("sample"))
 
 
 def explode_samples_stats(df: DataFrame, counts: str, cohort: str = "cohort") -> DataFrame:

@@ -9,6 +9,7 @@ from itertools import accumulate
 import pytest
 
 from drivescore.fixtures import Tables
+from drivescore.operators import clusters
 from drivescore.plans import training
 from drivescore.queries import QUERIES
 
@@ -83,6 +84,19 @@ def test_explode_samples_takes_every_donor(spark, view):
     assert {(r.node, r["sample"]): r.n for r in QUERIES["explode_samples"](spark, FOLDER).collect()} == want
 
 
+def test_samples_meet_by_name_before_they_multiply(spark, monkeypatch):
+    seen, explode, attach = {}, clusters.explode_samples, clusters.attach_ttypes
+    monkeypatch.setattr(clusters, "explode_samples", lambda df: seen.update(lists=df) or explode(df))
+    monkeypatch.setattr(clusters, "attach_ttypes", lambda samples, nodes: seen.update(samples=samples) or attach(samples, nodes))
+    plan = QUERIES["explode_samples"](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
+    assert max(len(r.donors or {}) for r in seen["lists"].collect()) == 1
+    assert "hashpartitioning(sample" in plan and "hashpartitioning(node" not in plan
+    rows = spark.createDataFrame([("a", {"g": ["s", "t"], "h": None}, ["s"]), ("b", None, ["u"]), ("c", {"g": ["v"]}, None)], "cohort string, donors map<string,array<string>>, hypermutators array<string>")
+    own = explode(rows)
+    assert "Union" not in own._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(map(tuple, own.collect())) == [("a", "s"), ("a", "s"), ("a", "t"), ("b", "u"), ("c", "v")]
+
+
 def test_weighted_draw_makes_fifty_draws_a_row(spark, view):
     weights = defaultdict(list)
     for gene, context, rate in sorted(view("fx_rates", "gene", "context", "rate")):
