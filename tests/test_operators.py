@@ -3,10 +3,12 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from drivescore.functions import variants as V
+from drivescore.functions.uniform import pair_words
 from drivescore.operators import clusters, discovery, intervals, lookups, metrics, model, sequence, splits, tree
 from drivescore.plans import training
 from drivescore.sources import tables as src
@@ -197,6 +199,42 @@ def test_hashes_of_splits_and_their_cut_offs_are_written_once(spark, monkeypatch
     assert [n for n, _ in seen] == ["labelled", "hashed", "cuts", "chosen", "cuts"] and "_u" in seen[1][1]
 
 
+def test_rows_that_cannot_stay_get_no_row_for_a_split(spark, monkeypatch):
+    kept, plain = {}, splits.written
+    monkeypatch.setattr(splits, "written", lambda df, name: kept.setdefault(name, plain(df, name)) if name == "hashed" else plain(df, name))
+    df = spark.range(20_000).selectExpr("if(id % 3 = 0, null, 'g') as k", "id", "cast(id < 200 as int) as label", "id * 2 as x")
+    got = splits.balanced_splits(df, ["k"], "id", n_splits=3, more=["x"]).cache()
+    assert kept["hashed"].count() < 4_000  # 60,000 rows and splits before
+    assert {(r.k, r.label): r["count"] for r in got.groupBy("k", "label").count().collect()} == {(None, 0): 201, (None, 1): 201, ("g", 0): 399, ("g", 1): 399}
+    assert got.filter("x <> id * 2 or x is null").isEmpty()
+    u = splits.hash_uniform(F.col("id"), F.col("split"), F.lit(1))
+    drawn = df.filter("label = 0").withColumn("split", F.explode(F.array(*map(F.lit, range(3))))).withColumn("n", F.row_number().over(splits.W.partitionBy("k", "split").orderBy(u, "id")))
+    want = drawn.filter("n <= if(k is null, 67, 133)").select("k", "id", "split")
+    assert values(want) == values(got.filter("label = 0").select("k", "id", "split"))
+    role = splits.W.partitionBy("k", "split").orderBy(splits.hash_uniform(F.col("id"), F.col("split"), F.lit(1), F.lit("role")), "id")
+    assert got.withColumn("n", F.row_number().over(role)).filter("(role = 'test') <> (n <= if(k is null, 41, 80))").isEmpty()
+
+
+def test_hashes_of_pairs_equal_those_of_rows(spark):
+    texts = ["7", None, "", "0123456789" * 12, "\u00e9\u4e2d", "41", "x" * 55, "y" * 47, "42"]
+    rows, numbers = (a.ravel() for a in np.meshgrid(np.arange(7), [0, 9, 10, 123], indexing="ij"))
+    df = spark.createDataFrame([(k, texts[2:][r], int(n)) for k, (r, n) in enumerate(zip(rows, numbers, strict=True))], "k int, t string, n int")
+    want = [r.u * 2**32 for r in df.withColumn("u", splits.hash_uniform(F.col("t"), F.col("n"), F.lit(5), F.lit("role"))).orderBy("k").collect()]
+    assert pair_words(pa.array(texts).slice(2), rows, numbers, b"5|role").tolist() == want
+    none = spark.range(1).select(splits.hash_uniform(F.lit(None).cast("string"), F.lit(12), F.lit(1))).first()[0]
+    assert pair_words(pa.array([None, "a"]), np.array([0]), np.array([12]), b"1").tolist() == [none * 2**32]
+
+
+def test_scores_keep_the_types_of_keys_and_ids(spark):
+    rows = spark.createDataFrame([(1, f"r{k}", float(k)) for k in range(5)] + [(2, "alone", 1.0), (None, "none", None)], "g long, id string, x double")
+    stump = [(0, 0, 0, 2.0, 1, 2, 0.0, 5.0), (0, 1, -1, 0.0, -1, -1, -1.0, 2.0), (0, 2, -1, 0.0, -1, -1, 1.0, 3.0)]
+    nodes = spark.createDataFrame([(g, m, *r, 0.0) for g in (1, 3) for m in ("b", None, "a") for r in stump], f"g long, m string, {model.NODE_COLUMNS}")
+    got = model.score_members(rows, nodes, ["g"], ["x"], "id", member="m")
+    assert [(f.name, f.dataType.simpleString()) for f in got.schema] == [("g", "bigint"), ("m", "string"), ("id", "string"), ("p", "double")]
+    assert [r[:3] for r in values(got)] == sorted([(1, m, f"r{k}") for k in range(5) for m in "ab"], key=str)
+    assert all(r.p == pytest.approx(1 / (1 + np.exp(1 if r.id < "r2" else -1))) for r in got.collect())
+
+
 def test_background_follows_context_rates(spark):
     t = {"sequences": spark.createDataFrame([("g", "1", 100, "ACGTNACA"), ("h", "1", 300, "TTTT"), ("other", "1", 900, "ACGT")], "gene string, chr string, start int, seq string"), "rates": spark.createDataFrame([("ACG>T", 3.0), ("ACA>G", 1.0)], "context string, rate double")}
     counts = spark.createDataFrame([("T", "g", 40), ("T", "h", 5)], "ttype string, gene string, n int")
