@@ -9,9 +9,9 @@ from itertools import accumulate
 import pytest
 
 from drivescore.fixtures import Tables
-from drivescore.operators import clusters
+from drivescore.operators import clusters, model
 from drivescore.plans import training
-from drivescore.queries import QUERIES
+from drivescore.queries import MODEL_FEATURES, QUERIES, QUICK
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -117,3 +117,19 @@ def test_training_table_takes_every_region_and_draw(spark, monkeypatch):
     monkeypatch.setattr(training, "build_training_table", lambda t, **options: seen.update(t, **options) or whole(t, **options))
     QUERIES["build_training_table"](spark, FOLDER)
     assert seen["regions"].count() == Tables(spark, FOLDER)["fx_clusters"].count() and seen.get("per_row", 50) == 50
+
+
+def test_mean_attribution_explains_every_row_by_every_member(spark, monkeypatch):
+    monkeypatch.setitem(QUICK, "rounds", 3)
+    folder, seen, explain = "/root/testdata/sf0.01", {}, model.tree_attribution
+    monkeypatch.setattr(model, "tree_attribution", lambda rows, nodes, *a, **b: seen.update(nodes=nodes, found=explain(rows, nodes, *a, **b)) or seen["found"])
+    got = {r.id: r for r in QUERIES["mean_attribution"](spark, folder).collect()}
+    rows = Tables(spark, folder)["fx_scored"].select("grp", "id").collect()
+    assert set(got) == {r.id for r in rows} and all(got[r.id].gene == r.grp for r in rows)
+    members = Counter(r.gene for r in seen["nodes"].select("gene", "split").distinct().collect())
+    by = defaultdict(list)
+    for r in seen["found"].collect():
+        by[r.id].append(r)
+    for k, own in by.items():
+        assert len({r.split for r in own}) == len(own) == members[got[k].gene]
+        assert sum(got[k][f"attr_{f}"] for f in MODEL_FEATURES) == pytest.approx(sum(r.margin - r.base for r in own) / len(own), abs=1e-9)
