@@ -64,9 +64,14 @@ def attach_ttypes(samples: DataFrame, nodes: DataFrame) -> DataFrame:
     return samples.join(nodes, "cohort").select("node", "sample")
 
 
+def driver_snvs(df: DataFrame, drivers: DataFrame, gene: str = "gene", impact: str = "impact") -> DataFrame:
+    """Single-base changes of driver genes."""
+    return df.filter(F.col(impact) != "no-SNV").join(drivers.select(gene).distinct(), gene, "left_semi")
+
+
 def filter_driver_snvs(df: DataFrame, drivers: DataFrame, gene: str = "gene", impact: str = "impact") -> DataFrame:
     """Single-base changes of driver genes; an error if there is none."""
-    return required(df.filter(F.col(impact) != "no-SNV").join(drivers.select(gene).distinct(), gene, "left_semi"), "mutations of driver genes")
+    return required(driver_snvs(df, drivers, gene, impact), "mutations of driver genes")
 
 
 def filter_by_excess(df: DataFrame, estimates: DataFrame, threshold: float = 0.85, gene: str = "gene", impact: str = "impact") -> DataFrame:

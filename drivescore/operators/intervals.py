@@ -7,14 +7,18 @@ range as long as a chromosome makes no more rows than a short one; the exact con
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from drivescore.operators.tree import above, ancestor_map
 from drivescore.sources.tables import written
 
 BIN = 256
 STEP = 4
+WIDE_BIN = 4096
 
 
 def level_of(length: Column, width: int = BIN) -> Column:
@@ -128,8 +132,8 @@ def domains_at(sites: DataFrame, domains: DataFrame, name: str = "domains", gene
     return hits.groupBy(gene, pos).agg(F.sort_array(F.collect_set("_d"), asc=False).alias(name))
 
 
-def region_overlap_outer(df: DataFrame, regions: DataFrame, chrom: str = "chr", start: str = "start", end: str = "end", width: int = BIN) -> DataFrame:
-    """Left outer join on half-open overlap: a row for each (row, region) pair, and rows without a region.
+def overlap_pairs(df: DataFrame, regions: DataFrame, chrom: str, start: str, end: str, width: int = BIN) -> DataFrame:
+    """(_c, _s, _e, the regions' other columns) of the distinct half-open ranges of ``df`` and the regions that they overlap.
 
     ``regions`` has chr, r_start, r_end and more. Distinct sites and regions lie in the bins of their own level, and are asked for in those of
     each level above; a pair is made on the higher of its two levels, in the bin where the overlap begins, so it is made once.
@@ -151,9 +155,31 @@ def region_overlap_outer(df: DataFrame, regions: DataFrame, chrom: str = "chr",
     left, right = spread(cut, "_s", "_last", "_own", "_at"), spread(right, "r_start", "_rlast", "_rown", "_rat")
     once = (F.greatest("_own", "_rown") == F.col("_at.level")) & (bin_of(F.greatest(F.col("_s"), F.col("r_start")), F.col("_at.level"), width) == F.col("_at.bin"))
     on = (F.col("_c") == right[chrom]) & (F.col("_at") == F.col("_rat")) & (F.col("_s") < F.col("r_end")) & (F.col("r_start") < F.col("_e")) & once
-    pairs = left.join(right, on).drop("_last", "_own", "_at", "_rlast", "_rown", "_rat", chrom)
+    return left.join(right, on).drop("_last", "_own", "_at", "_rlast", "_rown", "_rat", chrom)
+
+
+def region_overlap_outer(df: DataFrame, regions: DataFrame, chrom: str = "chr", start: str = "start", end: str = "end", width: int = BIN) -> DataFrame:
+    """Left outer join on half-open overlap: a row for each (row, region) pair, and rows without a region. ``regions`` has chr, r_start, r_end and more."""
+    same = (F.col(chrom) == F.col("_c")) & (F.col(start) == F.col("_s")) & (F.col(end) == F.col("_e"))
+    return df.join(overlap_pairs(df, regions, chrom, start, end, width), same, "left").drop("_c", "_s", "_e")
+
+
+def region_overlap_counts(df: DataFrame, regions: DataFrame, name: str, chrom: str = "chr", start: str = "start", end: str = "end", width: int = BIN) -> DataFrame:
+    """Add the number of rows that ``region_overlap_outer`` makes of each row, 1 at least; rows do not multiply."""
+    counted = overlap_pairs(df, regions, chrom, start, end, width).groupBy("_c", "_s", "_e").agg(F.count("*").alias(name))
     same = (F.col(chrom) == F.col("_c")) & (F.col(start) == F.col("_s")) & (F.col(end) == F.col("_e"))
-    return df.join(pairs, same, "left").drop("_c", "_s", "_e")
+    return df.join(counted, same, "left").drop("_c", "_s", "_e").na.fill(1, [name])
+
+
+def occupied(spans: list[tuple[DataFrame, str, str]], name: str, width: int = WIDE_BIN) -> DataFrame:
+    """(name): the bins of positions that any of the tables' ranges (table, lo, hi) touches, whatever their chromosome: 524,288 at most for positions of four bytes."""
+    at = lambda c: F.floor(F.col(c) / width).cast("long")
+    ends = [df.select(at(lo).alias("_a"), at(hi).alias("_b")).filter("_a <= _b").distinct() for df, lo, hi in spans]
+    longest = reduce(DataFrame.unionByName, ends).groupBy("_a").agg(F.max("_b").alias("_b"))
+    # What the ranges before reach is left out, so that a bin is made once however long the ranges are.
+    before = longest.withColumn("_done", F.max("_b").over(W.orderBy("_a").rowsBetween(W.unboundedPreceding, -1)))
+    rest = before.withColumn("_a", F.greatest("_a", F.col("_done") + 1)).filter("_a <= _b")
+    return rest.select(F.explode(F.sequence("_a", "_b")).alias(name))
 
 
 def region_scan(df: DataFrame, regions: DataFrame, chrom: str = "chr", pos: str = "pos", width: int = BIN) -> DataFrame:

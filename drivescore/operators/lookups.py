@@ -24,8 +24,12 @@ def point_membership(df: DataFrame, points: DataFrame, name: str = "level", keys
 
 def annotate_variant(df: DataFrame, annotations: DataFrame, keys: list[str], order: list, columns: list[str]) -> DataFrame:
     """Add columns of the first annotation row of each key, of those with a selected transcript; NULL without one."""
-    first = first_per_key(annotations.filter("mane <> '-'"), keys, order).select(*keys, *columns)
-    return df.join(first, keys, "left")
+    return df.join(first_annotations(annotations, keys, order, columns), keys, "left")
+
+
+def first_annotations(annotations: DataFrame, keys: list[str], order: list, columns: list[str]) -> DataFrame:
+    """(keys, columns) of the first annotation row of each key, of those with a selected transcript."""
+    return first_per_key(annotations.filter("mane <> '-'"), keys, order).select(*keys, *columns)
 
 
 def flag_vector_lookup(df: DataFrame, vectors: DataFrame, keys: list[str], places: dict[str, int] = PTM_PLACES, vector: str = "flags", missense_only: Column | None = None) -> DataFrame:

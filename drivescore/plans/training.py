@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from drivescore.functions.variants import CLASSES, FEATURES, class_threshold, classify_consequence, half_precision, nmd_flag, normalize_chrom, one_hot_consequence, rectify
-from drivescore.operators.clusters import filter_by_excess, filter_driver_snvs
-from drivescore.operators.intervals import domains_at, region_overlap_outer, signal_values, types_at
-from drivescore.operators.lookups import annotate_variant, anti_join_mnv, flag_vector_lookup
+from drivescore.operators.boosting import spread
+from drivescore.operators.clusters import driver_snvs, filter_by_excess, filter_driver_snvs
+from drivescore.operators.intervals import WIDE_BIN, domains_at, occupied, region_overlap_counts, region_overlap_outer, signal_values, types_at
+from drivescore.operators.lookups import PTM_PLACES, anti_join_mnv, first_annotations, flag_vector_lookup
 from drivescore.operators.metrics import consensus, mean_train_size
 from drivescore.operators.model import failed_groups, mean_attribution, score_members, train_ensemble, tree_attribution
-from drivescore.operators.sequence import all_substitutions, drawn_counts, explode_bases, weighted_draw
+from drivescore.operators.sequence import all_substitutions, drawn_counts, explode_bases, in_order, weighted_draw
 from drivescore.sources.tables import required, written
 
 
@@ -38,13 +41,19 @@ def keep_known_consequence(df: DataFrame, consequence: str = "csqn_type") -> Dat
 SITE = ["pos", "gene", "chr", "alt"]
 
 
+def site_annotations(t: dict[str, DataFrame]) -> DataFrame:
+    """(SITE, csqn, exon, aachange): the first annotation of each site that has one."""
+    return first_annotations(t["annotations"], SITE, ["ord", "csqn"], ["csqn", "exon", "aachange"])
+
+
 def site_features(sites: DataFrame, t: dict[str, DataFrame], known: bool = False) -> DataFrame:
     """What is known of distinct sites (gene, chr, pos, alt) under any ttype, beside the sites' other columns. Each table meets the sites for itself.
 
     Ttypes of clusters and points and the domains are arrays, bounded by the number of ttypes and of a position's domains.
-    An annotation belongs to its gene: overlapping genes have one each. With ``known``, sites of no known class are left out.
+    An annotation belongs to its gene: overlapping genes have one each. With ``known``, sites of no known class are left out. ``t`` may have
+    the table of ``site_annotations`` under that name.
     """
-    out = annotate_variant(sites, t["annotations"], SITE, ["ord", "csqn"], ["csqn", "exon", "aachange"])
+    out = sites.join(t["site_annotations"] if "site_annotations" in t else site_annotations(t), SITE, "left")
     out = out.withColumn("csqn_type", classify_consequence(F.col("csqn"))).withColumn("nmd", nmd_flag(F.col("exon")))
     if known:
         out = out.filter(F.col("csqn_type").isin(CLASSES))
@@ -56,18 +65,53 @@ def site_features(sites: DataFrame, t: dict[str, DataFrame], known: bool = False
     return out.join(domains_at(sites, t["domains"], "_domains"), ["pos", "gene"], "left")
 
 
-def add_features(df: DataFrame, t: dict[str, DataFrame], nested: str | None = None) -> DataFrame:
+def add_features(df: DataFrame, t: dict[str, DataFrame]) -> DataFrame:
     """All feature columns of rows with (ttype, gene, chr, pos, alt), found once for each distinct site and joined to the rows once.
 
     ``t``: annotations (gene, chr, pos, alt, mane, csqn, exon, aachange, ord), signal, flags (gene, residue, flags),
-    clusters, points, domains. Levels are 2 for the row's own ttype, 1 for any, 0 for none. With ``nested``, a column of that name holds an array of
-    what a site's rows have of their own, ttype among it; they become rows once the features are joined.
+    clusters, points, domains. Levels are 2 for the row's own ttype, 1 for any, 0 for none.
     """
+    return with_levels(with_sites(df, t))
+
+
+def with_sites(df: DataFrame, t: dict[str, DataFrame]) -> DataFrame:
+    """Rows with what is known of their site under any ttype."""
     sites = written(df.select(*SITE).distinct(), "sites")
-    rows = df.join(written(site_features(sites, t), "site_features"), SITE)
-    if nested:
-        rows = unnested(rows, nested)
-    return with_levels(rows)
+    return df.join(written(site_features(sites, t), "site_features"), SITE)
+
+
+def add_features_counted(df: DataFrame, t: dict[str, DataFrame], ttypes: list[str]) -> DataFrame:
+    """The features of ``add_features`` for rows with drawn, an array of numbers by ttype in the order of ``ttypes``. A row stays one for all ttypes
+    that no table names at its site, whose features are equal; the others have one each.
+
+    Rows where no table has anything, by wide bins of the position, meet no table: they have the features of a site of which nothing is known.
+    """
+    t = t | {"site_annotations": written(site_annotations(t), "site_annotations")}
+    spans = [("site_annotations", "pos", "pos"), ("signal", "start", "end"), ("clusters", "lo", "hi"), ("points", "pos", "pos"), ("domains", "start_pos", "stop_pos")]
+    bins = written(occupied([(t[name], lo, hi) for name, lo, hi in spans], "_occupied"), "occupied")
+    here = F.floor(F.col("pos") / WIDE_BIN).cast("long") == F.col("_occupied")
+    marked = written(df.join(F.broadcast(bins), here, "left").withColumn("_near", F.col("_occupied").isNotNull()).drop("_occupied"), "training_rows")
+    # Observed rows are few bytes in few files, so rows are dealt by their site before they meet it.
+    near = by_named_ttype(with_sites(spread(marked.filter("_near").drop("_near"), *SITE), t), ttypes)
+    near = with_levels(near, F.col("_own")).drop("_own")
+    far = marked.filter("not _near").drop("_near").na.drop("any", subset=SITE)
+    zero = {**dict.fromkeys(["nmd", "CLUSTL", "HotMaps", "smRegions", *PTM_PLACES], 0), "motif": ""}
+    return near.unionByName(far.withColumns({f.name: F.lit(zero.get(f.name)).cast(f.dataType) for f in near.schema if f.name not in far.columns}))
+
+
+def by_named_ttype(rows: DataFrame, ttypes: list[str]) -> DataFrame:
+    """A row for each ttype with a number that the tables name at the row's site, and one for all others, whose drawn has their numbers and 0 elsewhere.
+    _own lists the ttype of the former, and none for the latter."""
+    known = lambda c: F.coalesce(c, F.array().cast("array<string>"))
+    named = F.array_distinct(F.concat(known(F.col("_clusters")), known(F.col("_points")), known(F.col("_domains.ttype"))))
+    order = F.array(*[F.lit(v).cast("string") for v in ttypes])
+    places = F.filter(F.transform(named, lambda v: F.array_position(order, v).cast("int")), lambda k: (k > 0) & (F.get("drawn", k - 1) > 0))
+    # 0 stands for those that are not named.
+    rows = rows.withColumn("_named", F.coalesce(places, F.array().cast("array<int>"))).withColumn("_place", F.explode(F.concat(F.array(F.lit(0)), F.col("_named"))))
+    own = F.transform("drawn", lambda n, k: F.when(F.when(F.col("_place") == 0, ~F.array_contains("_named", k + 1)).otherwise(F.col("_place") == k + 1), n).otherwise(0))
+    plain = F.size("_named") == 0
+    rows = rows.withColumn("drawn", F.when(plain, F.col("drawn")).otherwise(own)).filter(plain | (F.col("_place") > 0) | F.exists("drawn", lambda n: n > 0))
+    return rows.withColumn("_own", F.when(F.col("_place") > 0, F.array(F.get(order, F.col("_place") - 1))).otherwise(F.array().cast("array<string>"))).drop("_named", "_place")
 
 
 def unnested(rows: DataFrame, nested: str) -> DataFrame:
@@ -89,19 +133,19 @@ def with_levels(rows: DataFrame, own: Column | None = None) -> DataFrame:
     return rows.withColumns(found).drop("_clusters", "_points", "_domains")
 
 
-def background(t: dict[str, DataFrame], counts: DataFrame, per_row: int = 50, seed: int = 1, counted: bool = False) -> DataFrame:
+def background(t: dict[str, DataFrame], counts: DataFrame, per_row: int = 50, seed: int = 1, ttypes: list[str] | None = None) -> DataFrame:
     """(ttype, gene, chr, pos, ref, alt): mutations drawn at random from the genes' sequences.
 
     All changes of the bases of ``t["sequences"]`` (gene, chr, start, seq) have the rate of their context in ``t["rates"]`` (context,
     rate; 0 without one); for each (ttype, gene) of ``counts``, ``per_row`` times n of them are drawn by rate, or evenly if no
-    change of the gene has a rate. With ``counted``, a change is one row with drawn, its numbers of draws n by ttype.
+    change of the gene has a rate. With ``ttypes``, all of ``counts``, a change is one row with drawn, its numbers of draws in their order.
     """
     genes = t["sequences"].join(counts.select("gene").distinct(), "gene", "left_semi")
     changes = all_substitutions(explode_bases(genes, ["gene", "chr"]), ["gene", "chr"])
     candidates = changes.join(t["rates"].select("context", "rate"), "context", "left").na.fill(0.0, ["rate"])
     draw = (candidates, counts, "rate", ["gene"], ["chr", "pos", "alt"], seed, per_row, ("ttype",))
-    if counted:
-        return drawn_counts(*draw).select("gene", "chr", "pos", "ref", "alt", "drawn")
+    if ttypes:
+        return drawn_counts(*draw, wide=ttypes).select("gene", "chr", "pos", "ref", "alt", "drawn")
     return weighted_draw(*draw).select("ttype", "gene", "chr", "pos", "ref", "alt")
 
 
@@ -109,23 +153,31 @@ def build_training_table(t: dict[str, DataFrame], per_row: int = 50, threshold:
     """Labelled feature rows: observed driver mutations of excess classes, and drawn background mutations.
 
     ``t``: muts (cohort, ttype, gene, chr, pos, ref, alt, sample_id, impact), drivers, mnvs, estimates, regions
-    (chr, r_start, r_end, r_gene), sequences, rates and what ``add_features`` takes. With ``counted``, equal rows are one
-    row with their number n (background rows may be several, whose numbers add up), and a site's rows are one until its features are joined. An error if no observed mutation is left.
+    (chr, r_start, r_end, r_gene), sequences, rates and what ``add_features`` takes. With ``counted``, rows that are equal but for their ttype are one
+    row with drawn, an array of their numbers by ttype; its metadata list the ttypes as JSON (background rows may be several, whose numbers add up). An error
+    if no observed mutation is left.
     """
-    muts = filter_driver_snvs(t["muts"], t["drivers"])
-    muts = anti_join_mnv(muts, t["mnvs"], ["gene", "sample_id", "cohort"])
-    muts = filter_by_excess(muts, t["estimates"], threshold)
-    positives = region_overlap_outer(to_half_open(muts), t["regions"]).select("ttype", "gene", "chr", "pos", "ref", "alt")
-    positives = required(written(positives, "positives"), "observed mutations of excess classes")
-    counts = written(positives.groupBy("ttype", "gene").agg(F.count("*").alias("n")), "positive_counts")
+    muts = anti_join_mnv(driver_snvs(t["muts"], t["drivers"]), t["mnvs"], ["gene", "sample_id", "cohort"])
+    muts = to_half_open(filter_by_excess(muts, t["estimates"], threshold))
+    sites, by_key = ["gene", "chr", "pos", "ref", "alt"], lambda n: positives.groupBy("ttype", "gene").agg(n.alias("n"))
     if counted:
-        sites = ["gene", "chr", "pos", "ref", "alt"]
-        observed = positives.groupBy("ttype", *sites).agg(F.count("*").alias("n")).groupBy(*sites).agg(F.collect_list(F.struct("ttype", "n")).alias("drawn"))
-        rows = union_labelled(observed, background(t, counts, per_row, seed, counted=True))
+        # What regions make of a mutation is counted, as nothing of theirs is kept.
+        rows = region_overlap_counts(written(muts.select("ttype", *sites, "start", "end"), "observed"), t["regions"], "_k")
+        positives = written(rows.groupBy("ttype", *sites).agg(F.sum("_k").alias("n")), "positives")
     else:
-        rows = union_labelled(positives, background(t, counts, per_row, seed))
-    rows = written(rows.withColumn("chr", normalize_chrom(F.col("chr"))), "training_rows")
-    return rectify(drop_synonymous_positives(one_hot_consequence(add_features(rows, t, "drawn" if counted else None), "csqn_type")))
+        positives = written(region_overlap_outer(muts, t["regions"]).select("ttype", *sites), "positives")
+    if positives.isEmpty():
+        filter_driver_snvs(t["muts"], t["drivers"])
+    required(positives, "observed mutations of excess classes")
+    counts = written(by_key(F.sum("n") if counted else F.count("*")), "positive_counts")
+    if not counted:
+        rows = union_labelled(positives, background(t, counts, per_row, seed)).withColumn("chr", normalize_chrom(F.col("chr")))
+        return rectify(drop_synonymous_positives(one_hot_consequence(add_features(written(rows, "training_rows"), t), "csqn_type")))
+    ttypes = sorted((r[0] for r in counts.select("ttype").distinct().collect()), key=lambda v: (v is None, v))
+    observed = positives.groupBy(*sites).agg(in_order("ttype", "n", ttypes).alias("drawn"))
+    rows = union_labelled(observed, background(t, counts, per_row, seed, ttypes)).withColumn("chr", normalize_chrom(F.col("chr")))
+    out = rectify(drop_synonymous_positives(one_hot_consequence(add_features_counted(rows, t, ttypes), "csqn_type")))
+    return out.withColumn("drawn", F.col("drawn").alias("drawn", metadata={"ttypes": json.dumps(ttypes)}))
 
 
 def annotate_saturation(saturation: DataFrame, t: dict[str, DataFrame], closure: DataFrame | None = None) -> DataFrame:

@@ -1,5 +1,6 @@
 """Operators on literal rows: thresholds, open and closed ends, NULLs, ties, invariants of models."""
 
+import hashlib
 import random
 
 import numpy as np
@@ -8,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from drivescore.functions import variants as V
-from drivescore.functions.uniform import pair_words
+from drivescore.functions.uniform import pair_words, uniforms
 from drivescore.operators import clusters, discovery, intervals, lookups, metrics, model, sequence, splits, tree
 from drivescore.plans import training
 from drivescore.sources import tables as src
@@ -367,6 +368,51 @@ def test_counted_draws_equal_single_draws(spark, monkeypatch, slice_rows):
     assert {(r.ttype, r.gene, r.k): r.n for r in got} == want and sum(want.values()) == 50 * 58
 
 
+@pytest.mark.parametrize("slice_rows", [None, 3])
+def test_counted_draws_by_place_equal_single_draws(spark, monkeypatch, slice_rows):
+    rows = [("a", k, float(w)) for k, w in enumerate([1, 0, 3, 0.5, 0.25, 7, 0.1])] + [("z", k, 0.0) for k in range(4)]
+    c = spark.createDataFrame(rows, "gene string, k int, w double")
+    n = spark.createDataFrame([("t", "a", 30), (None, "a", 21), ("t", "z", 7), ("u", "a", 2)], "ttype string, gene string, n int")
+    want = {(r.ttype, r.gene, r.k): r["count"] for r in sequence.weighted_draw(c, n, "w", ["gene"], ["k"], 1, 50, ("ttype",)).groupBy("ttype", "gene", "k").count().collect()}
+    monkeypatch.setattr(sequence, "RUN_DRAWS", 400)
+    if slice_rows:
+        monkeypatch.setattr(sequence, "BROADCAST_ROWS", 0)
+        monkeypatch.setattr(sequence, "SLICE_ROWS", slice_rows)
+    got = sequence.drawn_counts(c, n, "w", ["gene"], ["k"], 1, 50, ("ttype",), wide=["t", "u", None]).select("gene", "k", F.posexplode("drawn").alias("place", "n"))
+    got = got.groupBy("place", "gene", "k").agg(F.sum("n").alias("n")).filter("n > 0").collect()
+    assert {(["t", "u", None][r.place], r.gene, r.k): r.n for r in got} == want and sum(want.values()) == 50 * 60
+
+
+@pytest.mark.parametrize("before", [b"", b"NATION_1|Brand#11|", b"x" * 50, b"y" * 64, b"z" * 120])
+def test_draws_are_hashes_of_their_numbers(before):
+    for first, last in ((1, 25), (95, 105), (9_990, 10_012), (99_990, 110_025)):
+        want = [int(hashlib.md5(before + str(k).encode() + b"|1").hexdigest()[:8], 16) for k in range(first, last + 1)]
+        assert np.concatenate(list(uniforms(before, first, last, b"|1"))).tolist() == want
+
+
+def test_thresholds_of_draws_part_them_as_their_numbers_do():
+    at = np.random.default_rng(1)
+    for total in (1.0, 3.7, 1e-9, 1e12):
+        u = np.sort(at.integers(0, 1 << 32, 500))
+        ends = np.sort(np.concatenate([at.random(200) * total, u[::3] / 4294967296.0 * total, [total, total * 1.5]]))
+        assert (np.searchsorted(u, sequence._first_beyond(ends, total)) == np.searchsorted(u / 4294967296.0 * total, ends)).all()
+
+
+def test_bases_are_dealt_before_they_are_made(spark):
+    regions = spark.createDataFrame([("g", k, "ACGTN") for k in range(50)], "gene string, start int, seq string").coalesce(1)
+    bases = sequence.explode_bases(regions, ["gene"])
+    plan = bases._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate") < plan.index("RepartitionByExpression") and bases.count() == 150
+
+
+def test_occupied_bins_are_those_of_the_ranges(spark):
+    ranges = [(0, 1), (10, 9), (95, 131), (100, 128), (130, 139), (500, 500), (None, 3)]
+    a = spark.createDataFrame(ranges[:4], "lo int, hi int")
+    b = spark.createDataFrame(ranges[4:], "lo int, hi int")
+    got = [r[0] for r in intervals.occupied([(a, "lo", "hi"), (b, "lo", "hi")], "bin", 10).collect()]
+    assert sorted(got) == [0, 9, 10, 11, 12, 13, 50]
+
+
 def test_splits_are_balanced(spark):
     df = spark.createDataFrame([("g", k, int(k < 12)) for k in range(100)] + [("h", k, int(k > 102)) for k in range(100, 106)], "gene string, id int, label int")
     got = splits.balanced_splits(df, ["gene"], "id", n_splits=6).collect()

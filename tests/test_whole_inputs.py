@@ -1,15 +1,17 @@
 """Queries over whole views against brute force on the smallest tables."""
 
 import hashlib
+import json
 import math
 from bisect import bisect_right
 from collections import Counter, defaultdict
 from itertools import accumulate
 
 import pytest
+from pyspark.sql import functions as F
 
 from drivescore.fixtures import Tables
-from drivescore.operators import clusters, model
+from drivescore.operators import clusters, intervals, model
 from drivescore.plans import training
 from drivescore.queries import MODEL_FEATURES, QUERIES, QUICK
 
@@ -119,6 +121,27 @@ def test_training_table_takes_every_region_and_draw(spark, monkeypatch):
     assert seen["regions"].count() == Tables(spark, FOLDER)["fx_clusters"].count() and seen.get("per_row", 50) == 50
 
 
+def test_counted_training_rows_are_the_single_rows(spark, monkeypatch):
+    seen, whole, known = {}, training.build_training_table, training.site_features
+    monkeypatch.setattr(training, "WIDE_BIN", 64)
+    monkeypatch.setattr(intervals.occupied, "__defaults__", (64,))
+    monkeypatch.setattr(training, "build_training_table", lambda t, **options: seen.update(t=t, rows=whole(t, **options)) or seen["rows"])
+    QUERIES["build_training_table"](spark, FOLDER)
+    rows = seen["rows"]
+    ttypes = json.loads(rows.schema["drawn"].metadata["ttypes"])
+    of = [c for c in rows.columns if c != "drawn"]
+    each = rows.select(*of, F.explode(F.arrays_zip(F.array(*[F.lit(v) for v in ttypes]).alias("ttype"), F.col("drawn").alias("n"))).alias("d"))
+    got = each.select(*of, F.col("d.ttype").alias("ttype"), F.col("d.n").alias("n")).groupBy("ttype", *of).agg(F.sum("n").alias("n")).filter("n > 0")
+    single = whole(seen["t"]).groupBy("ttype", *of).agg(F.count("*").alias("n"))
+    assert got.exceptAll(single).isEmpty() and single.exceptAll(got).isEmpty() and got.filter("CLUSTL = 2 or smRegions = 2").count() > 0
+    # Sites where no table has anything do not meet the tables.
+    asked = {}
+    monkeypatch.setattr(training, "site_features", lambda sites, t, **options: asked.update(n=sites.count()) or known(sites, t, **options))
+    monkeypatch.setattr(training, "build_training_table", whole)
+    QUERIES["build_training_table"](spark, FOLDER)
+    assert 0 < asked["n"] < rows.select(*training.SITE).distinct().count() / 2
+
+
 def test_mean_attribution_explains_every_row_by_every_member(spark, monkeypatch):
     monkeypatch.setitem(QUICK, "rounds", 3)
     folder, seen, explain = "/root/testdata/sf0.01", {}, model.tree_attribution
