@@ -160,14 +160,14 @@ def overlap_pairs(df: DataFrame, regions: DataFrame, chrom: str, start: str, end
 
 def region_overlap_outer(df: DataFrame, regions: DataFrame, chrom: str = "chr", start: str = "start", end: str = "end", width: int = BIN) -> DataFrame:
     """Left outer join on half-open overlap: a row for each (row, region) pair, and rows without a region. ``regions`` has chr, r_start, r_end and more."""
-    same = (F.col(chrom) == F.col("_c")) & (F.col(start) == F.col("_s")) & (F.col(end) == F.col("_e"))
+    same = (F.col(start) == F.col("_s")) & (F.col(end) == F.col("_e")) & (F.col(chrom) == F.col("_c"))
     return df.join(overlap_pairs(df, regions, chrom, start, end, width), same, "left").drop("_c", "_s", "_e")
 
 
 def region_overlap_counts(df: DataFrame, regions: DataFrame, name: str, chrom: str = "chr", start: str = "start", end: str = "end", width: int = BIN) -> DataFrame:
     """Add the number of rows that ``region_overlap_outer`` makes of each row, 1 at least; rows do not multiply."""
     counted = overlap_pairs(df, regions, chrom, start, end, width).groupBy("_c", "_s", "_e").agg(F.count("*").alias(name))
-    same = (F.col(chrom) == F.col("_c")) & (F.col(start) == F.col("_s")) & (F.col(end) == F.col("_e"))
+    same = (F.col(start) == F.col("_s")) & (F.col(end) == F.col("_e")) & (F.col(chrom) == F.col("_c"))
     return df.join(counted, same, "left").drop("_c", "_s", "_e").na.fill(1, [name])
 
 

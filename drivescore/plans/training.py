@@ -41,6 +41,10 @@ def keep_known_consequence(df: DataFrame, consequence: str = "csqn_type") -> Dat
 SITE = ["pos", "gene", "chr", "alt"]
 
 
+# Numbers by ttype are many and small: to pack their differences takes less than to keep a dictionary.
+PACKED = {"parquet.enable.dictionary": "false", "parquet.writer.version": "v2"}
+
+
 def site_annotations(t: dict[str, DataFrame]) -> DataFrame:
     """(SITE, csqn, exon, aachange): the first annotation of each site that has one."""
     return first_annotations(t["annotations"], SITE, ["ord", "csqn"], ["csqn", "exon", "aachange"])
@@ -90,7 +94,8 @@ def add_features_counted(df: DataFrame, t: dict[str, DataFrame], ttypes: list[st
     spans = [("site_annotations", "pos", "pos"), ("signal", "start", "end"), ("clusters", "lo", "hi"), ("points", "pos", "pos"), ("domains", "start_pos", "stop_pos")]
     bins = written(occupied([(t[name], lo, hi) for name, lo, hi in spans], "_occupied"), "occupied")
     here = F.floor(F.col("pos") / WIDE_BIN).cast("long") == F.col("_occupied")
-    marked = written(df.join(F.broadcast(bins), here, "left").withColumn("_near", F.col("_occupied").isNotNull()).drop("_occupied"), "training_rows")
+    rows = df.join(F.broadcast(bins), here, "left").withColumn("_near", F.col("_occupied").isNotNull()).drop("_occupied")
+    marked = written(rows, "training_rows", **PACKED)
     # Observed rows are few bytes in few files, so rows are dealt by their site before they meet it.
     near = by_named_ttype(with_sites(spread(marked.filter("_near").drop("_near"), *SITE), t), ttypes)
     near = with_levels(near, F.col("_own")).drop("_own")
@@ -142,7 +147,7 @@ def background(t: dict[str, DataFrame], counts: DataFrame, per_row: int = 50, se
     """
     genes = t["sequences"].join(counts.select("gene").distinct(), "gene", "left_semi")
     changes = all_substitutions(explode_bases(genes, ["gene", "chr"]), ["gene", "chr"])
-    candidates = changes.join(t["rates"].select("context", "rate"), "context", "left").na.fill(0.0, ["rate"])
+    candidates = changes.join(t["rates"].select("context", "rate"), "context", "left").na.fill(0.0, ["rate"]).drop("context")
     draw = (candidates, counts, "rate", ["gene"], ["chr", "pos", "alt"], seed, per_row, ("ttype",))
     if ttypes:
         return drawn_counts(*draw, wide=ttypes).select("gene", "chr", "pos", "ref", "alt", "drawn")
